@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import decontaminate, minhash, packing, sharding
 
 _ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -26,7 +27,7 @@ WITH RECURSIVE d AS (
   FROM documents),
 s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g
   FROM d),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
@@ -39,8 +40,59 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.low,
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.x = d.doc_id
 """
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 13 words of ``benchmark`` in all of ``documents``."""
+    found = decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        decontaminate.is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
+OP2_SQL = rf"""
+WITH low AS (
+  SELECT 0 AS kind, doc_id AS id, translate(coalesce(text, ''), '{_ASCII_UPPER}', '{_ASCII_UPPER.lower()}') AS t FROM documents
+  UNION ALL
+  SELECT 1, item_id, translate(coalesce(text, ''), '{_ASCII_UPPER}', '{_ASCII_UPPER.lower()}') FROM benchmark),
+w AS (SELECT kind, id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
+win AS (
+  SELECT DISTINCT id AS item_id, least(len(w), 13) AS n,
+    unnest(list_transform(range(1, greatest(len(w) - 13, 0) + 2), lambda i: array_to_string(w[i:i + least(len(w), 13) - 1], ' '))) AS key
+  FROM w WHERE kind = 1 AND len(w) > 0),
+pos AS (SELECT id AS doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM w WHERE kind = 0),
+occ AS (
+  SELECT doc_id, p, win.n, item_id
+  FROM (SELECT doc_id, p, l.n, array_to_string(w[p:p + l.n - 1], ' ') AS key
+        FROM pos, (SELECT DISTINCT n FROM win) l WHERE p + l.n - 1 <= len(w)) q
+  JOIN win ON win.key = q.key AND win.n = q.n),
+hit AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS x FROM (SELECT DISTINCT doc_id, p, n FROM occ)) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM occ) GROUP BY doc_id)
+SELECT w.id AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w.w) AS contaminated
+FROM w LEFT JOIN hit ON hit.doc_id = w.id LEFT JOIN items ON items.doc_id = w.id WHERE w.kind = 0
+"""
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents`` in shards 0 to 7 of near-equal bytes."""
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"), 8)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents`` in sequences of 1024 tokens."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), size=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_decontamination": op2_decontamination,
+    "op7_sharding": op7_sharding,
+    "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_minhash_near_dedup": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_minhash_near_dedup": OP1_SQL, "op2_decontamination": OP2_SQL}

@@ -164,5 +164,13 @@ def distinct_pairs(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.n
     return row[new], value[new]
 
 
+def sorted_union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distinct values of both, ascending (sorting beats numpy's hashing here)."""
+    both = np.sort(np.concatenate([a, b]))
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    return both[new]
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
