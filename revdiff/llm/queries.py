@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, packing, sharding
+from . import decontaminate, langid, minhash, packing, quality, secrets, sharding
 
 _ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -78,11 +78,38 @@ FROM w LEFT JOIN hit ON hit.doc_id = w.id LEFT JOIN items ON items.doc_id = w.id
 """
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all of ``documents``."""
+    return langid.identify_languages(_table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` in shards 0 to 7 of near-equal bytes."""
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), 8)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of all of ``documents``, as ``labels.quality`` marks it."""
+    return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def _joined(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all of ``documents``; the counts are those of the base spans."""
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint")
+    return secrets.find_secrets(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *(count(kind).alias(f"n_{kind}") for kind in secrets.KINDS),
+        F.sha2(_joined(base), 256).alias("base_sha256"),
+        _joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` in sequences of 1024 tokens."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), size=1024)
@@ -91,7 +118,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_decontamination": op2_decontamination,
+    "op5_language_id": op5_language_id,
     "op7_sharding": op7_sharding,
+    "op8_quality": op8_quality,
+    "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
 }
 

@@ -1,0 +1,214 @@
+"""Secrets in texts and in the encoded layers inside them."""
+
+from __future__ import annotations
+
+import base64
+import binascii
+import re
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# fixed values: the kinds in the order of the contract, and their patterns
+KINDS = ("assign", "access", "hex")
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
+HEX = re.compile(r"[0-9a-f]{32,}")
+KEYWORDS = ("passw", "secret", "token", "api")
+
+_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_DELIMITED = re.compile(r"[A-Za-z0-9]{16,}={0,2}")
+_TEXT = bytes(sorted({9, 10, 13, *range(0x20, 0x7F)}))
+
+
+def scan(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the three patterns, leftmost and non-overlapping per kind; the kind is its place in ``KINDS``."""
+    out = []
+    low = text.lower()
+    if any(k in low for k in KEYWORDS):
+        out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
+    if "AKIA" in text:
+        out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
+    out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    return sorted(out)
+
+
+class _Layer:
+    """A decoded text; ``start[i]`` and ``end[i]`` are where its character i lies in the original text."""
+
+    __slots__ = ("text", "start", "end")
+
+    def __init__(self, text: str, start: np.ndarray, end: np.ndarray):
+        self.text, self.start, self.end = text, start, end
+
+
+def _replaced(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
+    """The layer with each match of ``pattern`` decoded; ``decode`` gives (text, source characters per character)."""
+    parts, starts, ends, at = [], [], [], 0
+    for m in pattern.finditer(layer.text):
+        a, b = m.span()
+        new, step = decode(m)
+        if new is None:
+            continue
+        parts += [layer.text[at:a], new]
+        first = a + np.arange(len(new)) * step
+        last = np.minimum(first + step, b) - 1
+        starts += [layer.start[at:a], layer.start[first]]
+        ends += [layer.end[at:a], layer.end[last]]
+        at = b
+    if not parts:
+        return None
+    parts.append(layer.text[at:])
+    return _Layer("".join(parts), np.concatenate([*starts, layer.start[at:]]), np.concatenate([*ends, layer.end[at:]]))
+
+
+def _percent(m: re.Match) -> tuple[str, int]:
+    return bytes.fromhex(m[0].replace("%", "")).decode("latin-1"), 3
+
+
+def _escape(m: re.Match) -> tuple[str | None, int]:
+    code = int(m[1] or m[2] or m[3] or "0", 16) or int(m[4] or 0)
+    return (chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else None), len(m[0])
+
+
+def _unpacked(raw: bytes) -> bytes | None:
+    """Content of zlib or gzip data, whole or as far as it reaches; None if it's neither."""
+    if raw[:2] == b"\x1f\x8b":
+        bits = 31
+    elif len(raw) > 2 and raw[0] & 0x0F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0:
+        bits = 15
+    else:
+        return None
+    try:
+        return zlib.decompressobj(bits).decompress(raw)
+    except zlib.error:
+        return None
+
+
+def _base64_layers(layer: _Layer) -> Iterator[_Layer]:
+    for m in _BASE64.finditer(layer.text):
+        runs = [m.span()]
+        if re.search(r"[+/_-]", m[0]):
+            runs += [(m.start() + d.start(), m.start() + d.end()) for d in _DELIMITED.finditer(m[0])]
+        for a, b in runs:
+            body = layer.text[a:b].rstrip("=")
+            body = body[: len(body) - (len(body) % 4 == 1)]
+            try:
+                raw = base64.b64decode(body.translate({45: "+", 95: "/"}) + "=" * (-len(body) % 4))
+            except (binascii.Error, ValueError):
+                continue
+            packed = _unpacked(raw)
+            if packed is not None:
+                n = len(packed)
+                yield _Layer(packed.decode("latin-1"), np.full(n, layer.start[a]), np.full(n, layer.end[b - 1]))
+            elif len(raw) - len(raw.translate(None, _TEXT)) >= 0.9 * len(raw):
+                first = a + np.arange(len(raw)) // 3 * 4
+                last = np.minimum(first + 4, b) - 1
+                yield _Layer(raw.decode("latin-1"), layer.start[first], layer.end[last])
+
+
+def _encoded(text: str) -> bool:
+    return ("%" in text and _PERCENT.search(text) is not None) or (("\\" in text or "&#" in text) and _ESCAPE.search(text) is not None) or _BASE64.search(text) is not None
+
+
+def find_all(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Spans of the text itself, and those that only decoded layers show, as (start, kind, end) in the text.
+
+    Layers wait in a worklist: each is scanned, then decoded in every way that
+    changes it, until none is left. A layer whose text was met before is not
+    decoded again, so nested data that contain themselves end.
+    """
+    base = scan(text)
+    if not _encoded(text):
+        return base, []
+    found: set[tuple[int, int, int]] = set()
+    at = np.arange(len(text))
+    work, seen = [_Layer(text, at, at + 1)], {text}
+    while work:
+        layer = work.pop()
+        if layer.text is not text:
+            found.update((int(layer.start[a]), kind, int(layer.end[b - 1])) for a, kind, b in scan(layer.text))
+        made = []
+        if "%" in layer.text:
+            made.append(_replaced(layer, _PERCENT, _percent))
+        if "\\" in layer.text or "&#" in layer.text:
+            made.append(_replaced(layer, _ESCAPE, _escape))
+        for x in (*made, *_base64_layers(layer)):
+            if x is not None and x.text and x.text not in seen:
+                seen.add(x.text)
+                work.append(x)
+    return base, sorted(found - set(base))
+
+
+_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = []
+        for text in batch.column(1):
+            base, more = find_all(text.as_py() or "")
+            own = set(base)
+            spans.append([{"kind": KINDS[k], "start": a, "end": b, "base": (a, k, b) in own} for a, k, b in sorted([*base, *more])])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(_SPAN))], names=["doc_id", "spans"])
+
+
+def find_secrets(docs: DataFrame) -> DataFrame:
+    """Secrets in each whole text, and in URL, Unicode, base64 and compressed layers of it.
+
+    ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Returns a row
+    per row of ``docs``: ``doc_id, spans``: array of (kind, start, end, base), by
+    start, then kind. Positions are code points of the original text, end
+    exclusive; a span of a decoded layer covers the characters it was decoded from,
+    or the whole encoded run if it was compressed. ``base`` marks what the text
+    shows without decoding. A layer from base64 counts as text if at least nine in
+    ten bytes are printable ASCII. Nothing is shuffled; each text is handled by
+    itself. Null is the empty text, without spans; null ids and repeated rows stay.
+    """
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_found, "doc_id bigint, spans array<struct<kind:string,start:int,end:int,base:boolean>>")
+
+
+def masked(text: str, mask: str) -> str:
+    """The text with every span replaced by ``mask``; overlapping spans are one."""
+    base, more = find_all(text)
+    out, at = [], 0
+    spans: list[list[int]] = []
+    for a, _, b in sorted([*base, *more]):
+        if spans and a < spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], b)
+        else:
+            spans.append([a, b])
+    for a, b in spans:
+        out += [text[at:a], mask]
+        at = b
+    return "".join([*out, text[at:]])
+
+
+def redact_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+    """``docs`` with all columns, secrets of ``text`` replaced by ``mask``.
+
+    ``n_chars``, if there is such a column, is set anew for changed texts. Rows
+    without a secret stay as they are; nulls stay null.
+    """
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            old = batch.column(names.index("text")).to_pylist()
+            new = [x if x is None else masked(x, mask) for x in old]
+            columns = list(batch.columns)
+            columns[names.index("text")] = pa.array(new, pa.string())
+            if "n_chars" in names:
+                at = names.index("n_chars")
+                values = [len(b) if b is not None and a != b else n for a, b, n in zip(old, new, batch.column(at).to_pylist())]
+                columns[at] = pa.array(values, batch.column(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.mapInArrow(run, docs.schema)
