@@ -73,16 +73,36 @@ def _grams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return doc[:m][whole], gram[whole], count
 
 
+def _numbered(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams, and for each n-gram its place among them."""
+    letters, small = [], np.zeros(len(gram), np.int64)
+    for place in range(GRAM):
+        code = ((gram >> np.uint64(21 * place)) & np.uint64(0x1FFFFF)).astype(np.int64)
+        present = np.flatnonzero(np.bincount(code)) if len(code) else code
+        number = np.zeros(0x110000, np.int32)
+        number[present] = np.arange(len(present))
+        small = small * len(present) + number[code]
+        letters.append(present)
+    size = int(np.prod([len(x) for x in letters]))
+    if size > 1 << 24:  # many scripts at once
+        return np.unique(gram, return_inverse=True)
+    seen = np.zeros(size, bool)
+    seen[small] = True
+    some = np.flatnonzero(seen)
+    number = np.zeros(size, np.int32)
+    number[some] = np.arange(len(some))
+    uniq, rest = np.zeros(len(some), np.uint64), some
+    for place in range(GRAM - 1, -1, -1):
+        rest, at = np.divmod(rest, len(letters[place]))
+        uniq |= letters[place][at].astype(np.uint64) << np.uint64(21 * place)
+    return uniq, number[small].astype(np.int64)
+
+
 def profiles(buf: np.ndarray, offsets: np.ndarray, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
     """The bundled vector of each text, of unit length (zero if it has no n-gram), and its number of letters."""
     n = len(offsets) - 1
     doc, gram, letters = _grams(buf, offsets)
-    order = np.argsort(gram, kind="stable")
-    fresh = np.ones(len(gram), bool)
-    fresh[1:] = gram[order[1:]] != gram[order[:-1]]
-    uniq = gram[order][fresh]
-    which = np.empty(len(gram), np.int64)
-    which[order] = np.cumsum(fresh) - 1
+    uniq, which = _numbered(gram)
     table = gram_vectors(uniq, dimensions).astype(np.float32)
     edge = np.searchsorted(doc, np.arange(n + 1))
     out = np.zeros((n, dimensions), np.float32)
