@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, minhash, packing, quality, secrets, sharding
+from . import decontaminate, langid, lattice_lm, minhash, packing, quality, secret_scan, sharding, token_count
 
 _ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -78,6 +78,16 @@ FROM w LEFT JOIN hit ON hit.doc_id = w.id LEFT JOIN items ON items.doc_id = w.id
 """
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram tokens of all of ``documents``."""
+    return token_count.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of all of ``documents``."""
+    return lattice_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all of ``documents``."""
     return langid.identify_languages(_table(spark, sf_dir, "documents"))
@@ -102,9 +112,9 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all of ``documents``; the counts are those of the base spans."""
     base = F.filter("spans", lambda s: s["base"])
     count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint")
-    return secrets.find_secrets(_table(spark, sf_dir, "documents")).select(
+    return secret_scan.find_secrets(_table(spark, sf_dir, "documents")).select(
         "doc_id",
-        *(count(kind).alias(f"n_{kind}") for kind in secrets.KINDS),
+        *(count(kind).alias(f"n_{kind}") for kind in secret_scan.KINDS),
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(F.col("spans")).alias("spans"),
     )
@@ -118,6 +128,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_decontamination": op2_decontamination,
+    "op3_token_counts": op3_token_counts,
+    "op4_lm_scores": op4_lm_scores,
     "op5_language_id": op5_language_id,
     "op7_sharding": op7_sharding,
     "op8_quality": op8_quality,
