@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lattice_lm, minhash, packing, quality, secret_scan, sharding, token_count
+from . import decontaminate, langid, lattice_lm, minhash, neighbours, packing, quality, secret_scan, sharding, token_count
 
 _ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -93,6 +93,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of all of ``embeddings`` for each row whose id is divisible by 100."""
+    return neighbours.nearest_neighbours(_table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` in shards 0 to 7 of near-equal bytes."""
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), 8)
@@ -131,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_lm_scores": op4_lm_scores,
     "op5_language_id": op5_language_id,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_sharding": op7_sharding,
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
