@@ -80,29 +80,30 @@ def _signatures(k: int, bands: int, rows: int):
     return run
 
 
+def _sets(buf: np.ndarray, offsets: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle sets of some rows' texts, as distinct (place in ``rows``, hash)."""
+    texts = [buf[offsets[i] : offsets[i + 1]] for i in rows.tolist()]
+    edges = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    return distinct_pairs(*shingles(Words(np.concatenate(texts), edges), k))
+
+
 def _verify(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a = batch.column(0).to_numpy()
-            uniq, where, of = np.unique(a, return_index=True, return_inverse=True)
-            buf_a, off_a = text_buffer(batch.column(2).take(pa.array(where)))
+            buf_a, off_a = text_buffer(batch.column(2))
             buf_b, off_b = text_buffer(batch.column(3))
-            sets: list[tuple[np.ndarray, np.ndarray]] = []
-            for lo, hi in slices(off_a):
-                w = Words(buf_a[off_a[lo] : off_a[hi]], off_a[lo : hi + 1] - off_a[lo])
-                r, h = distinct_pairs(*shingles(w, k))
-                sets.append((r + lo, h))
-            row_a = np.concatenate([r for r, _ in sets])
-            size_a = np.bincount(row_a, minlength=len(uniq))
-            tagged = np.sort(mix64(np.concatenate([h for _, h in sets]) ^ mix64(row_a.astype(np.uint64))))
             linked = np.zeros(len(a), bool)
-            for lo, hi in slices(off_b):
-                w = Words(buf_b[off_b[lo] : off_b[hi]], off_b[lo : hi + 1] - off_b[lo])
-                r, h = distinct_pairs(*shingles(w, k))
-                want = mix64(h ^ mix64(of[lo:hi][r].astype(np.uint64)))
+            for lo, hi in slices(off_a + off_b):
+                _, where, of = np.unique(a[lo:hi], return_index=True, return_inverse=True)
+                row_a, h = _sets(buf_a, off_a, where + lo, k)
+                size_a = np.bincount(row_a, minlength=len(where))
+                tagged = np.sort(mix64(h ^ mix64(row_a.astype(np.uint64))))
+                row_b, h = _sets(buf_b, off_b, np.arange(lo, hi), k)
+                want = mix64(h ^ mix64(of[row_b].astype(np.uint64)))
                 at = np.minimum(np.searchsorted(tagged, want), len(tagged) - 1)
-                both = np.bincount(r, weights=tagged[at] == want, minlength=hi - lo).astype(np.int64)
-                union = size_a[of[lo:hi]] + np.bincount(r, minlength=hi - lo) - both
+                both = np.bincount(row_b, weights=tagged[at] == want, minlength=hi - lo).astype(np.int64)
+                union = size_a[of] + np.bincount(row_b, minlength=hi - lo) - both
                 linked[lo:hi] = (den * both >= num * union) & (both > 0)
             keep = pa.array(linked)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
