@@ -52,7 +52,6 @@ def _signatures(k: int, bands: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix64(np.arange(1, m + 1, dtype=np.uint64) * _STEP)
-        bit = np.uint64(1) << np.arange(64, dtype=np.uint64)
         for batch in batches:
             buf, offsets = text_buffer(batch.column(1))
             for lo, hi in slices(offsets):
@@ -67,19 +66,57 @@ def _signatures(k: int, bands: int, rows: int):
                     prints.append(pa.array(signed(total)))
                 sig = mix64(super_minhash(row, h, n, m) ^ salt)
                 keys = mix64(sig.reshape(n, bands, rows).sum(axis=2, dtype=np.uint64))
-                odd = np.where(sig[:, :128] & np.uint64(1), np.tile(bit, 2)[: min(m, 128)], np.uint64(0))
-                sketch = [pa.array(signed(odd[:, s : s + 64].sum(axis=1, dtype=np.uint64))) for s in (0, 64)]
                 ends = np.cumsum(np.where(size > 0, bands, 0))
                 flat = pa.array(signed(keys[size > 0].reshape(-1)))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), flat)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, n), pa.array(size.astype(np.int64)), *prints, *sketch, lists],
-                    names=["doc_id", "n_shingles", "f1", "f2", "s1", "s2", "bands"],
+                    [batch.column(0).slice(lo, n), pa.array(size.astype(np.int64)), *prints, lists],
+                    names=["doc_id", "n_shingles", "f1", "f2", "bands"],
                 )
 
     return run
 
 
+#: Counters of shingle frequencies; different shingles may share one, which makes an order less selective, never wrong.
+COUNT_BUCKETS = 1 << 19
+
+
+def _counted(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNT_BUCKETS, np.int64)
+        for batch in batches:
+            buf, offsets = text_buffer(batch.column(0))
+            for lo, hi in slices(offsets):
+                _, h = distinct_pairs(*shingles(Words(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), k))
+                total += np.bincount((h % np.uint64(COUNT_BUCKETS)).astype(np.int64), minlength=COUNT_BUCKETS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
+
+    return run
+
+
+def _prefixes(k: int, num: int, den: int, often):
+    """The rarest shingles of each set: two sets as similar as asked for share one of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = text_buffer(batch.column(2))
+            for lo, hi in slices(offsets):
+                n = hi - lo
+                row, h = distinct_pairs(*shingles(Words(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), k))
+                order = np.lexsort((h, often.value[(h % np.uint64(COUNT_BUCKETS)).astype(np.int64)], row))
+                row, h = row[order], h[order]
+                size = np.bincount(row, minlength=n)
+                place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+                keep = place < (size - (num * size + den - 1) // den + 1)[row]
+                of = row[keep]
+                at = pa.array(of + lo)
+                columns = [pa.array(signed(h[keep])), batch.column(0).take(at), batch.column(1).take(at), pa.array(size[of]), pa.array((size[of] - place[keep] - 1).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "rep", "comp", "n", "left"])
+
+    return run
+
+
 def _sets(buf: np.ndarray, offsets: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingle sets of some rows' texts, as distinct (place in ``rows``, hash)."""
     texts = [buf[offsets[i] : offsets[i + 1]] for i in rows.tolist()]
@@ -131,11 +168,13 @@ def near_duplicates(
     3. Every class of a bucket is compared with the bucket's smallest one: links
        grow with the bucket, not with its square. Candidates are confirmed on full
        sets made from the texts.
-    4. Then the classes that a bucket's largest component doesn't hold are
-       compared with every class of another component in the bucket, so that no
-       link that would join two components is left out. Set sizes and a 128-bit
-       sketch (a bit for each place; more than 40 differing bits means a
-       similarity far below the threshold) rule out most of them without texts.
+    4. In a bucket that still holds several components, any two classes of different
+       components may be linked. Instead of all pairs, the rarest shingles of the
+       classes in such buckets are joined: sets of n shingles as similar as
+       asked for share one of their ``n - ceil(n * num / den) + 1`` rarest ones, under any
+       common order. Set sizes and the place of the shared shingle bound what two sets
+       can share; the pairs left are confirmed like the others. So no link that
+       would join two components is left out.
 
     Null or empty text: no shingles, linked with nothing. A null ``doc_id``: the
     row stays, with a null ``component_id`` and ``kept`` true. Rows that share an
@@ -145,14 +184,14 @@ def near_duplicates(
     made = staged(
         docs.mapInArrow(
             _signatures(shingle, bands, rows),
-            "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, s1 bigint, s2 bigint, bands array<bigint>",
+            "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>",
         )
     )
     group = ["n_shingles", "f1", "f2"]
     full = made.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = staged(full.groupBy(*group).agg(F.min("doc_id").alias("rep")))
     first = full.join(classes, [full[c].eqNullSafe(classes[c]) for c in group] + [full.doc_id == classes.rep], "left_semi")
-    keyed = first.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "s1", "s2")
+    keyed = first.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").drop("last")
     members = staged(keyed.join(shared, "key"))
 
@@ -166,20 +205,29 @@ def near_duplicates(
 
     links = staged(confirmed(members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))))
     found = staged(connected_components(links))
-    placed = staged(
-        members.join(found, members.rep == found.node, "left").select("key", "rep", "n", "s1", "s2", F.coalesce("component", "rep").alias("comp"))
+    placed = members.join(found, members.rep == found.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    placed = staged(placed)
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
+    opened = placed.join(mixed, "key", "left_semi").select("rep", "comp").distinct()
+    counts = texts.select("text").mapInArrow(_counted(shingle), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(COUNT_BUCKETS, np.int64)
+    often[counts["bucket"].to_numpy(int)] = counts["n"].to_numpy(np.int64)
+    often = docs.sparkSession.sparkContext.broadcast(often)
+    rare = staged(
+        texts.join(opened, texts.doc_id == opened.rep)
+        .select("rep", "comp", "text")
+        .mapInArrow(_prefixes(shingle, num, den, often), "token bigint, rep bigint, comp bigint, n bigint, left bigint")
     )
-    counts = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    mixed = counts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1")
-    mixed = staged(placed.join(mixed.drop("kinds"), "key"))
-    x, y = mixed.filter("comp <> main").alias("x"), mixed.alias("y")
+    x, y = rare.alias("x"), rare.alias("y")
+    # "left": how many of a set's shingles follow its prefix token, so how many more two sets can share
     close = (
-        (F.col("x.key") == F.col("y.key"))
+        (F.col("x.token") == F.col("y.token"))
+        & (F.col("x.rep") < F.col("y.rep"))
         & (F.col("x.comp") != F.col("y.comp"))
         & (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n"))
-        & (F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2"))) <= 40)
+        & ((1 + F.least("x.left", "y.left")) * (num + den) >= num * (F.col("x.n") + F.col("y.n")))
     )
-    rest = x.join(y, close).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    rest = x.join(y, close).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     more = confirmed(rest)
     found = staged(connected_components(links.unionByName(more)))
     classes = staged(classes.join(found, classes.rep == found.node, "left").select(*group, F.coalesce("component", "rep").alias("component")))
