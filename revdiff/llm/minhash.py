@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -235,3 +235,17 @@ def near_duplicates(
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     out = joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_first(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs``, all columns, one document of each group of near duplicates.
+
+    The document with the smallest id stays. ``how`` are parameters of
+    ``near_duplicates``, and the cases are its own; of rows that share an id one
+    stays. Rows with a null id stay. Texts are shuffled once, by id.
+    """
+    found = near_duplicates(docs, **how).filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
+    names = docs.columns
+    some = docs.filter("doc_id IS NOT NULL").join(found.select("doc_id"), "doc_id", "left_semi").select(*names)
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return some.withColumn("__first", first).filter("__first = 1").drop("__first").unionByName(docs.filter("doc_id IS NULL"))
