@@ -274,10 +274,10 @@ def score_documents(docs: DataFrame, *, path: str | None = None, rounds: int = 2
     end_base, end_score = (
         spark.range(1).select(base(F.lit(ends)).alias("b"), log_sum(F.lit(ends), F.lit(end_lattice)).alias("s")).first()
     )
-    often = scored.groupBy("c").agg(F.count("*").alias("k")).orderBy(F.desc("c")).limit(100_000).toPandas()
+    often = scored.groupBy("c").agg(F.count("*").alias("k")).orderBy(F.desc("c")).limit(100_000).toArrow().to_pandas()
     fits = often[often["k"].cumsum() <= head]
     least = int(fits["c"].min()) if len(fits) else (int(often["c"].max()) + 1 if len(often) else 0)
-    top: pd.DataFrame = values.filter(F.col("c") >= least).toPandas().sort_values("h")
+    top: pd.DataFrame = values.filter(F.col("c") >= least).toArrow().to_pandas().sort_values("h")
     table = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), top["base"].to_numpy(float), top["score"].to_numpy(float), (top["c"] > 0).to_numpy()))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
