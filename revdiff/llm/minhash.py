@@ -209,9 +209,9 @@ def near_duplicates(
     placed = staged(placed)
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
     opened = placed.join(mixed, "key", "left_semi").select("rep", "comp").distinct()
-    counts = texts.select("text").mapInArrow(_counted(shingle), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = texts.select("text").mapInArrow(_counted(shingle), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     often = np.zeros(COUNT_BUCKETS, np.int64)
-    often[counts["bucket"].to_numpy(int)] = counts["n"].to_numpy(np.int64)
+    often[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
     often = docs.sparkSession.sparkContext.broadcast(often)
     rare = staged(
         texts.join(opened, texts.doc_id == opened.rep)

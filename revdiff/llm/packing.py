@@ -122,7 +122,7 @@ def _packed(size: int, path: str | None):
         packer = _Packer(size, TaskContext.get().partitionId())
         for batch in batches:
             buf, offsets = text_buffer(batch.column(1))
-            for lo, hi in slices(offsets, 4 << 20):
+            for lo, hi in slices(offsets, 1 << 20):
                 count, ids = bpe.encode(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], end_id=0)
                 yield packer.add(batch.column(0).slice(lo, hi - lo), count, ids)
         yield packer.add(pa.array([], pa.int64()), np.zeros(0, np.int64), np.zeros(0, np.uint32), last=True)

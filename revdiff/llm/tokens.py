@@ -21,9 +21,7 @@ def _load(path: str):
     import json
 
     import tiktoken
-    from tokenizers import Tokenizer
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
     import public_tokenizers
@@ -32,7 +30,16 @@ def _load(path: str):
     specials = {t["content"] for t in model.get("added_tokens", [])}
     ranks = {bytes(letters[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in specials}
     fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return fast, Tokenizer.from_file(path), sorted(specials)
+    return fast, sorted(specials)
+
+
+@functools.lru_cache(maxsize=1)
+def _full(path: str):
+    """The library's own tokenizer, loaded only where a special token's string is met."""
+    from tokenizers import Tokenizer
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return Tokenizer.from_file(path)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -58,7 +65,7 @@ class ByteBpe:
             import public_tokenizers
 
             path = public_tokenizers.path("byte_bpe_50k.json")
-        self.fast, self.full, self.specials = _load(path)
+        self.path, (self.fast, self.specials) = path, _load(path)
         self.keys, self.begin, self.size = np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
@@ -66,7 +73,7 @@ class ByteBpe:
         if not special:
             return list(map(self.fast.encode_ordinary, texts))
         own = lambda x: any(s in x for s in self.specials)
-        return [self.full.encode(x, add_special_tokens=False).ids if own(x) else self.fast.encode_ordinary(x) for x in texts]
+        return [_full(self.path).encode(x, add_special_tokens=False).ids if own(x) else self.fast.encode_ordinary(x) for x in texts]
 
     def _lookup(self, raw: bytes, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each chunk begin in ``self.flat`` and how many there are; unknown chunks are encoded."""
