@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import staged
+from .storage import lean_batches, staged
 from .textbatch import ALNUM, Words, distinct_pairs, shingles, signed, slices, sorted_union, text_buffer
 
 #: Words of the shingles by which windows are found; a shorter window is one shingle.
@@ -159,6 +159,7 @@ def _by_row(doc: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _indexes(docs: DataFrame, benchmark: DataFrame, window: int, block_rows: int) -> list:
     """Broadcast indexes, of at most about ``block_rows`` (window, item) rows each."""
+    lean_batches(docs.sparkSession)
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     made = items.filter("item_id IS NOT NULL").mapInArrow(_windows(window), "item_id string, words array<bigint>, shingles array<bigint>")

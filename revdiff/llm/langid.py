@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import lean_batches
 from .textbatch import mix64, slices, text_buffer
 
 DIMENSIONS, GRAM = 512, 3
@@ -35,7 +36,7 @@ def letter_vectors(code: np.ndarray, dimensions: int) -> np.ndarray:
     """A fixed random vector of -1 and 1 for each code point; 0 stands for the gap between words."""
     seed = mix64(code.astype(np.uint64) + np.uint64(0x9E3779B9))
     words = mix64(seed[:, None] ^ mix64(np.arange(1, dimensions // 64 + 1, dtype=np.uint64))[None, :])
-    bits = np.unpackbits(words.view(np.uint8).reshape(len(code), -1), axis=1)
+    bits = np.unpackbits(words.view(np.uint8).reshape(len(code), dimensions // 8), axis=1)
     return (bits.astype(np.int8) * 2 - 1)[:, :dimensions]
 
 
@@ -178,6 +179,7 @@ def identify_languages(docs: DataFrame, *, dimensions: int = DIMENSIONS, max_lan
     ids are predicted and not learned from; repeated rows count each time; an empty
     table gives no rows.
     """
+    lean_batches(docs.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     train = rows.filter(~held & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("lang", "text")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocabulary
-from .storage import staged
+from .storage import lean_batches, staged
 from .textbatch import Words, signed, slices, text_buffer
 
 #: Words whose values are broadcast; all others are joined.
@@ -220,6 +220,7 @@ def score_documents(docs: DataFrame, *, path: str | None = None, rounds: int = 2
     the end as their only token. Null ids are learned from; repeated rows count each
     time; an empty table gives no rows.
     """
+    lean_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), _held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import staged
+from .storage import lean_batches, staged
 from .textbatch import Words, distinct_pairs, mix64, shingles, signed, slices, text_buffer
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -180,6 +180,7 @@ def near_duplicates(
     row stays, with a null ``component_id`` and ``kept`` true. Rows that share an
     id are one document if their sets are equal. An empty table gives no rows.
     """
+    lean_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = staged(
         docs.mapInArrow(

@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import lean_batches
 from .textbatch import Words, slices, sorted_union, text_buffer
 from .tokens import ByteBpe
 
@@ -147,6 +148,7 @@ def pack_documents(docs: DataFrame, *, size: int = 1024, tokenizer: str | None =
     padded. Texts are shuffled once and tokenised once, after the shuffle. Null ids
     and repeated rows are packed like others; an empty table gives no rows.
     """
+    lean_batches(docs.sparkSession)
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import staged
+from .storage import lean_batches, staged
 from .textbatch import Words, slices, text_buffer
 
 
@@ -185,6 +185,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, pool: float = 0.3, ridg
     Null ids are scored, never learned from; repeated rows count each time; an empty
     table gives no rows.
     """
+    lean_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     features = staged(rows.mapInArrow(_features, "doc_id bigint, x array<double>"))
     model = docs.sparkSession.sparkContext.broadcast(_fit(features, labels, pool, ridge))
@@ -207,6 +208,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, pool: float = 0.3, ridge: f
     The model is that of ``score_quality``. Texts aren't shuffled: they are read a
     second time to be scored in place.
     """
+    lean_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     features = rows.mapInArrow(_features, "doc_id bigint, x array<double>")
     model = docs.sparkSession.sparkContext.broadcast(_fit(features, labels, pool, ridge))

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import lean_batches
+
 # fixed values: the kinds in the order of the contract, and their patterns
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -171,6 +173,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     ten bytes are printable ASCII. Nothing is shuffled; each text is handled by
     itself. Null is the empty text, without spans; null ids and repeated rows stay.
     """
+    lean_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_found, "doc_id bigint, spans array<struct<kind:string,start:int,end:int,base:boolean>>")
 
@@ -197,6 +200,7 @@ def redact_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     ``n_chars``, if there is such a column, is set anew for changed texts. Rows
     without a secret stay as they are; nulls stay null.
     """
+    lean_batches(docs.sparkSession)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,6 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows of a batch that goes to Python at once, at most.
+BATCH_ROWS = 2_000
+
+
+def lean_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch, as rows that hold whole texts are large.
+
+    A batch lies in memory several times, in the JVM and in Python. A session that
+    asks for smaller batches keeps its own number.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back."""
     spark = df.sparkSession

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocabulary
+from .storage import lean_batches
 from .textbatch import Words, slices, text_buffer, word_table
 
 #: Words whose counts a worker keeps for later batches.
@@ -144,6 +145,7 @@ def count_tokens(docs: DataFrame, *, path: str | None = None, byte_fallback: boo
     the counts of up to ``KNOWN_WORDS`` words. Null and empty texts have 0 tokens;
     null ids and repeated rows stay; an empty table gives no rows.
     """
+    lean_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path, byte_fallback)
