@@ -17,11 +17,12 @@ _BLOCK = {"text": "string", "html": "string", "images": f"array<{IMAGE}>", "page
 def _whole_blocks(blocks: DataFrame) -> DataFrame:
     """``doc_id, pos, b``: each block as a struct of all fields a row can show."""
     fields = [(F.col(n).cast(t) if n in blocks.columns else F.lit(None).cast(t)).alias(n) for n, t in _BLOCK.items()]
-    sep = text.is_table_row(F.col("text")) & text.is_table_separator(F.col("text"))
+    row = F.when(text.is_table_row(F.col("text")), F.col("text"))  # null for most blocks, which then cost nothing
     given = F.col("cells").cast(_BLOCK["cells"]) if "cells" in blocks.columns else F.lit(None).cast(_BLOCK["cells"])
-    cells = F.when(given.isNotNull(), given).when(text.is_table_row(F.col("text")) & ~sep, text.parse_table_row(F.col("text")))
+    sep = F.coalesce(text.is_table_separator(row), F.lit(False))
+    cells = F.when(given.isNotNull(), given).when(~sep, text.parse_table_row(row))
     fields = [cells.alias("cells") if n == "cells" else f for n, f in zip(_BLOCK, fields)]
-    extra = [(given.isNull() & sep).alias("sep"), text.is_table_row(F.col("text")).alias("table")]
+    extra = [(given.isNull() & sep).alias("sep"), row.isNotNull().alias("table")]
     return blocks.select("doc_id", F.col("pos").cast("int").alias("pos"), F.struct(*fields, *extra).alias("b"))
 
 
@@ -66,6 +67,37 @@ def image_subrows(old_images: Column, new_images: Column) -> Column:
     return F.when(a != b, F.pandas_udf(_image_rows, _SUB)(F.when(a != b, a), F.when(a != b, b)))
 
 
+def _sha1s(images: Column) -> Column:
+    return F.transform(F.coalesce(images, F.array().cast(f"array<{IMAGE}>")), lambda x: x["sha1"])
+
+
+def _lines(pairs: DataFrame, blocks: DataFrame, fragments: DataFrame, labels: DataFrame) -> DataFrame:
+    """The blocks of both sides beside each other: ``pair_id, slot, k, label, plain, o, w`` (old and new block), their classes ``lc, rc`` and ``subs``."""
+    s = _stretches(pairs, blocks, fragments, labels)
+    n = F.greatest(F.col("i2") - F.col("i1"), F.col("j2") - F.col("j1"))
+    lines = s.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("k")).join(pairs.select("pair_id", "old_doc", "new_doc"), "pair_id")
+    lines = lines.withColumn("old_pos", F.when(F.col("i1") + F.col("k") < F.col("i2"), F.col("i1") + F.col("k"))).withColumn("new_pos", F.when(F.col("j1") + F.col("k") < F.col("j2"), F.col("j1") + F.col("k")))
+    whole = _whole_blocks(blocks)
+    lines = lines.join(whole.toDF("old_doc", "old_pos", "o"), ["old_doc", "old_pos"], "left").join(whole.toDF("new_doc", "new_pos", "w"), ["new_doc", "new_pos"], "left")
+    paired = F.col("o").isNotNull() & F.col("w").isNotNull()
+    plain = F.col("equal") | F.col("formatting")
+    left = F.when(plain, F.lit(None)).when(~paired, "removed").otherwise(text.side_change(F.col("label"), "left"))
+    right = F.when(plain, F.lit(None)).when(~paired, "added").otherwise(text.side_change(F.col("label"), "right"))
+    split = paired & ~F.col("o.table") & ~F.col("w.table")
+    return lines.select(
+        "pair_id", "slot", "k", "label", plain.alias("plain"), "o", "w",
+        F.when(F.col("o").isNotNull(), left).alias("lc"), F.when(F.col("w").isNotNull(), right).alias("rc"), F.when(split, image_subrows(F.col("o.images"), F.col("w.images"))).alias("subs"),
+    )
+
+
+def row_changes(pairs: DataFrame, blocks: DataFrame, fragments: DataFrame, labels: DataFrame) -> DataFrame:
+    """``pair_id, change``: the class of each row that ``build_rows`` makes, without making texts and segments."""
+    own = F.array(F.coalesce("lc", "rc"))
+    sub = F.transform("subs", lambda x: F.when(x["i1"] == x["i2"], "added").when(x["j1"] == x["j2"], "removed"))
+    every = F.when(F.col("subs").isNull(), own).otherwise(F.concat(own, sub))
+    return _lines(pairs, blocks, fragments, labels).select("pair_id", F.explode(every).alias("change"))
+
+
 def build_rows(pairs: DataFrame, blocks: DataFrame, fragments: DataFrame, labels: DataFrame, max_tokens: int = matching.MAX_INLINE_TOKENS) -> DataFrame:
     """Rows of both documents of each pair side by side.
 
@@ -83,28 +115,14 @@ def build_rows(pairs: DataFrame, blocks: DataFrame, fragments: DataFrame, labels
     paired row differ, a table row is marked, and other rows give their images to
     sub-rows.
     """
-    s = _stretches(pairs, blocks, fragments, labels)
-    n = F.greatest(F.col("i2") - F.col("i1"), F.col("j2") - F.col("j1"))
-    lines = s.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("k")).join(pairs.select("pair_id", "old_doc", "new_doc"), "pair_id")
-    lines = lines.withColumn("old_pos", F.when(F.col("i1") + F.col("k") < F.col("i2"), F.col("i1") + F.col("k"))).withColumn("new_pos", F.when(F.col("j1") + F.col("k") < F.col("j2"), F.col("j1") + F.col("k")))
-    whole = _whole_blocks(blocks)
-    lines = lines.join(whole.toDF("old_doc", "old_pos", "o"), ["old_doc", "old_pos"], "left").join(whole.toDF("new_doc", "new_pos", "w"), ["new_doc", "new_pos"], "left")
-
-    paired = F.col("o").isNotNull() & F.col("w").isNotNull()
-    plain = F.col("equal") | F.col("formatting")
-    left = F.when(plain, F.lit(None)).when(~paired, "removed").otherwise(text.side_change(F.col("label"), "left"))
-    right = F.when(plain, F.lit(None)).when(~paired, "added").otherwise(text.side_change(F.col("label"), "right"))
-    lines = lines.withColumn("lc", F.when(F.col("o").isNotNull(), left)).withColumn("rc", F.when(F.col("w").isNotNull(), right))
-    marked = paired & ~plain & (F.col("label") == "changed")
+    lines = _lines(pairs, blocks, fragments, labels)
+    marked = F.col("o").isNotNull() & F.col("w").isNotNull() & ~F.col("plain") & (F.col("label") == "changed")
     by_cells = marked & F.col("o.cells").isNotNull() & F.col("w.cells").isNotNull()
     by_words = marked & ~by_cells & ~F.col("o.sep") & ~F.col("w.sep")
-    lines = (
-        lines.withColumn("cs", diff.cell_diff(F.when(by_cells, F.col("o.cells")), F.when(by_cells, F.col("w.cells")), max_tokens))
-        .withColumn("ws", diff.inline_diff(F.when(by_words, F.col("o.text")), F.when(by_words, F.col("w.text")), max_tokens))
-        .withColumn("subs", F.when(paired & ~F.col("o.table") & ~F.col("w.table"), image_subrows(F.col("o.images"), F.col("w.images"))))
+    lines = lines.withColumn("cs", diff.cell_diff(F.when(by_cells, F.col("o.cells")), F.when(by_cells, F.col("w.cells")), max_tokens)).withColumn(
+        "ws", diff.inline_diff(F.when(by_words, F.col("o.text")), F.when(by_words, F.col("w.text")), max_tokens)
     )
-    sha = lambda c: F.transform(F.coalesce(c, F.array().cast(f"array<{IMAGE}>")), lambda x: x["sha1"])
-    table_images = paired & (F.col("o.table") | F.col("w.table")) & (sha(F.col("o.images")) != sha(F.col("w.images")))
+    table_images = (F.col("o.table") | F.col("w.table")) & (_sha1s(F.col("o.images")) != _sha1s(F.col("w.images"))) & F.col("o").isNotNull() & F.col("w").isNotNull()
     no_images = F.array().cast(f"array<{IMAGE}>")
 
     def side(b: str, change: str, which: str) -> Column:
@@ -118,21 +136,23 @@ def build_rows(pairs: DataFrame, blocks: DataFrame, fragments: DataFrame, labels
             ),
         )
 
-    base = lines.select("pair_id", "slot", "k", F.lit(-1).alias("sub"), side("o", "lc", "left").alias("left"), side("w", "rc", "right").alias("right"))
+    base = lines.select("pair_id", "slot", "k", "subs", F.col("o.images").alias("oi"), F.col("w.images").alias("wi"), side("o", "lc", "left").alias("left"), side("w", "rc", "right").alias("right"))
     kind = base.schema["left"].dataType
 
-    def image_side(b: str, first: str, end: str, alone: str) -> Column:
-        count = F.col(f"x.{end}") - F.col(f"x.{first}")
-        other = ("j2", "j1") if first == "i1" else ("i2", "i1")
-        only = F.col(f"x.{other[0]}") == F.col(f"x.{other[1]}")
-        images = F.slice(F.coalesce(F.col(f"{b}.images"), no_images), F.col(f"x.{first}") + 1, count)
-        values = {"text": F.lit(""), "html": F.lit(""), "images": images, "change": F.when(only, alone), "images_changed": F.col("x.changed"), "sep": F.lit(False)}
+    def image_side(images: str, x: Column, first: str, end: str, alone: str) -> Column:
+        a, b = ("j1", "j2") if first == "i1" else ("i1", "i2")
+        count = x[end] - x[first]
+        values = {
+            "text": F.lit(""), "html": F.lit(""), "images": F.slice(F.coalesce(F.col(images), no_images), x[first] + 1, count), "change": F.when(x[a] == x[b], alone),
+            "images_changed": x["changed"], "sep": F.lit(False),
+        }
         return F.when(count > 0, F.struct(*(values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields)))
 
-    extra = lines.filter("subs IS NOT NULL").select("pair_id", "slot", "k", "o", "w", F.posexplode("subs").alias("sub", "x"))
-    extra = extra.select("pair_id", "slot", "k", "sub", image_side("o", "i1", "i2", "removed").alias("left"), image_side("w", "j1", "j2", "added").alias("right"))
+    own = F.array(F.struct(F.lit(-1).alias("sub"), F.col("left"), F.col("right")))
+    extra = F.transform("subs", lambda x, i: F.struct(i.alias("sub"), image_side("oi", x, "i1", "i2", "removed").alias("left"), image_side("wi", x, "j1", "j2", "added").alias("right")))
+    every = base.select("pair_id", "slot", "k", F.explode(F.when(F.col("subs").isNull(), own).otherwise(F.concat(own, extra))).alias("r")).select("pair_id", "slot", "k", "r.*")
     order = Window.partitionBy("pair_id").orderBy("slot", "k", "sub")
-    out = base.unionByName(extra).withColumn("row_no", F.row_number().over(order) - 1)
+    out = every.withColumn("row_no", F.row_number().over(order) - 1)
     placeholder = F.when(F.col("left").isNull(), F.col("right.change")).when(F.col("right").isNull(), F.col("left.change"))
     return out.select("pair_id", "row_no", "left", "right", placeholder.alias("placeholder"))
 

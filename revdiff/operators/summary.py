@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 
 def change_counts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows of each class in a pair: ``pair_id, changed, removed, added, unchanged``."""
-    change = F.coalesce("left.change", "right.change")
+    """Rows of each class in a pair: ``pair_id, changed, removed, added, unchanged``.
+
+    ``rows`` as ``build_rows`` or, more cheaply, ``row_changes`` gives them.
+    """
+    change = F.col("change") if "change" in rows.columns else F.coalesce("left.change", "right.change")
     own = rows.select("pair_id", change.alias("c"))
     count = lambda x: F.sum((F.col("c") == x).cast("int"))
     sums = own.groupBy("pair_id").agg(*(F.coalesce(count(x), F.lit(0)).alias(x) for x in ("changed", "removed", "added")), F.sum(F.col("c").isNull().cast("int")).alias("unchanged"))

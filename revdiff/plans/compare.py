@@ -29,10 +29,10 @@ def compare_blocks(pairs: DataFrame, blocks: DataFrame, chat: model.Chat | None
 
     ``pairs``: ``pair_id, old_doc, new_doc, is_pdf``; ``blocks``: ``doc_id, pos, text`` and
     perhaps ``html, images, page, words, cells``; ``degraded``: ``pair_id, side, page``.
-    The fragments and, with a model, their labels are kept (on disk where memory is
-    short), as several results need them and they are dear to make.
+    The blocks, the fragments and, with a model, their labels are kept (on disk where
+    memory is short), as several results need them and they are dear to make.
     """
-    own = block_ops.normalize_blocks(blocks)
+    own = block_ops.normalize_blocks(blocks).persist(StorageLevel.MEMORY_AND_DISK)
     fragments = diff.refine_fragments(diff.find_diffs(pairs, own)).persist(StorageLevel.MEMORY_AND_DISK)
     labels = model.classify_fragments(fragments, chat)
     if chat is not None:
@@ -40,7 +40,7 @@ def compare_blocks(pairs: DataFrame, blocks: DataFrame, chat: model.Chat | None
     made = rows.build_rows(pairs, own, fragments, labels)
     if degraded is None:
         degraded = pairs.select("pair_id", F.lit("old").alias("side"), F.lit(0).alias("page")).limit(0)
-    return Comparison(fragments, labels, made, summary.pair_summary(pairs, fragments, labels, degraded), summary.change_counts(pairs, made))
+    return Comparison(fragments, labels, made, summary.pair_summary(pairs, fragments, labels, degraded), summary.change_counts(pairs, rows.row_changes(pairs, own, fragments, labels)))
 
 
 def compare_text_pages(pairs: DataFrame, blocks: DataFrame, masks: DataFrame, chat: model.Chat | None = None) -> tuple[Comparison, DataFrame]:
