@@ -97,10 +97,10 @@ def test_kernel_pieces():
     m[0, 0] = m[1, 1] = m[4, 4] = True
     assert sorted(c[0] for c in raster.components(m)) == [1, 2]
     assert raster.difference(np.ones((2, 2), bool), np.ones((3, 1), bool)).sum() == 4
-    ring = np.zeros((9, 9), bool)
-    ring[2:7, 2:7] = True
-    ring[4, 4] = False
-    assert raster.closed(ring)[4, 4] and raster.closed(ring).sum() == 25
+    ring = np.zeros((15, 15), bool)
+    ring[5:10, 5:10] = True
+    ring[7, 7] = False
+    assert raster.closed(ring)[7, 7] and raster.closed(ring).sum() == 25
 
 
 def test_selection_of_regions(spark):
