@@ -30,14 +30,17 @@ def block_sequences(blocks: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.transform(ordered, lambda x: x["h"]).alias("hashes"))
 
 
-def _texts(spans: DataFrame, blocks: DataFrame, doc: str, first: str, end: str, out: str) -> DataFrame:
-    """``pair_id, frag_no`` and the texts of the blocks from ``first`` to before ``end`` as an array."""
-    wanted = spans.filter(F.col(end) > F.col(first)).select(
-        "pair_id", "frag_no", F.col(doc).alias("doc_id"), F.explode(F.sequence(F.col(first), F.col(end) - 1)).alias("pos")
-    )
+def _texts(spans: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``pair_id, frag_no, old_blocks, new_blocks``: the texts of the blocks in each span's two ranges."""
+
+    def side(doc: str, first: str, end: str, number: int) -> DataFrame:
+        pos = F.explode(F.sequence(F.col(first), F.col(end) - 1)).alias("pos")
+        return spans.filter(F.col(end) > F.col(first)).select("pair_id", "frag_no", F.lit(number).alias("side"), F.col(doc).alias("doc_id"), pos)
+
+    wanted = side("old_doc", "i1", "i2", 0).unionByName(side("new_doc", "j1", "j2", 1))
     found = wanted.join(blocks.select("doc_id", F.col("pos").cast("int").alias("pos"), "text"), ["doc_id", "pos"])
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
-    return found.groupBy("pair_id", "frag_no").agg(F.transform(ordered, lambda x: x["text"]).alias(out))
+    texts = lambda number: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == number, F.struct("pos", "text")))), lambda x: x["text"])
+    return found.groupBy("pair_id", "frag_no").agg(texts(0).alias("old_blocks"), texts(1).alias("new_blocks"))
 
 
 def find_diffs(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -74,11 +77,8 @@ def find_diffs(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     spans = both.mapInPandas(match, schema).select("pair_id", "old_doc", "new_doc", F.posexplode("codes").alias("frag_no", "c"))
     spans = spans.select("pair_id", "frag_no", "old_doc", "new_doc", "c.*")
     none = F.array().cast("array<string>")
-    return (
-        spans.join(_texts(spans, blocks, "old_doc", "i1", "i2", "old_blocks"), ["pair_id", "frag_no"], "left")
-        .join(_texts(spans, blocks, "new_doc", "j1", "j2", "new_blocks"), ["pair_id", "frag_no"], "left")
-        .select("pair_id", "frag_no", "opcode", "i1", "i2", "j1", "j2", F.coalesce("old_blocks", none).alias("old_blocks"), F.coalesce("new_blocks", none).alias("new_blocks"))
-    )
+    own = spans.join(_texts(spans, blocks), ["pair_id", "frag_no"], "left")
+    return own.select("pair_id", "frag_no", "opcode", "i1", "i2", "j1", "j2", F.coalesce("old_blocks", none).alias("old_blocks"), F.coalesce("new_blocks", none).alias("new_blocks"))
 
 
 def refine_fragments(fragments: DataFrame, threshold: float = matching.SIMILARITY_THRESHOLD, max_pairs: int = matching.MAX_REFINE_PAIRS, autojunk: bool = True) -> DataFrame:
