@@ -17,13 +17,29 @@ MARKER_HEIGHT, MARKER_GAP, PARAGRAPH_GAPS, WORD_BAND = 3.0, 2.0, 1.6, 14.0
 _PAGE = ["doc_id", "page"]
 
 
+#: Sides, in points, of the squares by which words meet cells, and the most squares that a cell is dealt to.
+SQUARE_WIDTH, SQUARE_HEIGHT, MOST_SQUARES = 64.0, 16.0, 4096
+
+
 def words_outside_cells(words: DataFrame, cells: DataFrame) -> DataFrame:
-    """Words (``doc_id, page, x0, top, x1, bottom, ...``) whose centre lies in no cell (``doc_id, page, x0, y0, x1, y1``), edges included."""
+    """Words (``doc_id, page, x0, top, x1, bottom, ...``) whose centre lies in no cell (``doc_id, page, x0, y0, x1, y1``), edges included.
+
+    A word meets only the cells that reach into its centre's square of the page, so a
+    page's words aren't compared with all its cells; the few cells that cover very
+    many squares are compared by page.
+    """
     box = cells.filter("x0 IS NOT NULL").select(*_PAGE, F.col("x0").alias("cx0"), F.col("y0").alias("cy0"), F.col("x1").alias("cx1"), F.col("y1").alias("cy1"))
-    w, c = words.alias("w"), box.alias("c")
+    square = lambda c, side: F.floor(c / side).cast("bigint")
+    count = (square(F.col("cx1"), SQUARE_WIDTH) - square(F.col("cx0"), SQUARE_WIDTH) + 1) * (square(F.col("cy1"), SQUARE_HEIGHT) - square(F.col("cy0"), SQUARE_HEIGHT) + 1)
+    box = box.filter("cx1 >= cx0 AND cy1 >= cy0").withColumn("__squares", count)
+    small = box.filter(F.col("__squares") <= MOST_SQUARES).withColumn("__gx", F.explode(F.sequence(square(F.col("cx0"), SQUARE_WIDTH), square(F.col("cx1"), SQUARE_WIDTH))))
+    small = small.withColumn("__gy", F.explode(F.sequence(square(F.col("cy0"), SQUARE_HEIGHT), square(F.col("cy1"), SQUARE_HEIGHT))))
     x, y = (F.col("w.x0") + F.col("w.x1")) / 2, (F.col("w.top") + F.col("w.bottom")) / 2
-    inside = (F.col("w.doc_id") == F.col("c.doc_id")) & (F.col("w.page") == F.col("c.page")) & x.between(F.col("c.cx0"), F.col("c.cx1")) & y.between(F.col("c.cy0"), F.col("c.cy1"))
-    return w.join(c, inside, "left_anti")
+    same_page = (F.col("w.doc_id") == F.col("c.doc_id")) & (F.col("w.page") == F.col("c.page"))
+    inside = same_page & x.between(F.col("c.cx0"), F.col("c.cx1")) & y.between(F.col("c.cy0"), F.col("c.cy1"))
+    near = inside & (square(x, SQUARE_WIDTH) == F.col("c.__gx")) & (square(y, SQUARE_HEIGHT) == F.col("c.__gy"))
+    rest = words.alias("w").join(small.alias("c"), near, "left_anti")
+    return rest.alias("w").join(box.filter(F.col("__squares") > MOST_SQUARES).alias("c"), inside, "left_anti")
 
 
 def lines_from_words(words: DataFrame) -> DataFrame:

@@ -99,8 +99,10 @@ ALIGNMENT = """al AS (SELECT pair_id, kind, CASE WHEN kind <> 'only_new' THEN p
 def word_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of ``documents`` laid out by line and running length: ``doc_id, page, word_no, text, x0, x1, top, bottom``."""
     lines = line_blocks(spark, sf_dir)
-    words = lines.select("doc_id", "pos", F.posexplode(F.split("text", " ")).alias("i", "text"), F.split("text", " ").alias("all")).filter("text <> ''")
-    before = F.length(F.array_join(F.slice("all", F.lit(1), F.col("i")), " ")) + F.when(F.col("i") > 0, 1).otherwise(0)
+    words = lines.select("doc_id", "pos", F.posexplode(F.split("text", " ")).alias("i", "text"))
+    ahead = Window.partitionBy("doc_id", "pos").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    words = words.withColumn("before", F.coalesce(F.sum(F.length("text") + 1).over(ahead), F.lit(0))).filter("text <> ''")
+    before = F.col("before")
     x0, top = (6.0 * before), (14.0 * F.col("pos") + 30.0 * F.floor(F.col("pos") / 5))
     return words.select(
         "doc_id", (1 + F.floor(F.col("pos") / 40)).cast("int").alias("page"), (F.col("pos") * 100000 + F.col("i")).alias("word_no"), "text",
