@@ -7,6 +7,7 @@ import binascii
 import re
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,10 @@ class _Layer:
     def __init__(self, text: str, start: np.ndarray, end: np.ndarray):
         self.text, self.start, self.end = text, start, end
 
+    def key(self) -> tuple[str, bytes]:
+        """Equal for layers of the same text that was decoded from the same places."""
+        return self.text, blake2b(self.start.tobytes() + self.end.tobytes(), digest_size=16).digest()
+
 
 def _replaced(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
     """The layer with each match of ``pattern`` decoded; ``decode`` gives (text, source characters per character)."""
@@ -123,15 +128,17 @@ def find_all(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
     """Spans of the text itself, and those that only decoded layers show, as (start, kind, end) in the text.
 
     Layers wait in a worklist: each is scanned, then decoded in every way that
-    changes it, until none is left. A layer whose text was met before is not
-    decoded again, so nested data that contain themselves end.
+    changes it, until none is left. A layer that was met before, with the same text
+    from the same places, is not decoded again, so nested data that contain
+    themselves end; the same text from another place has spans of its own.
     """
     base = scan(text)
     if not _encoded(text):
         return base, []
     found: set[tuple[int, int, int]] = set()
     at = np.arange(len(text))
-    work, seen = [_Layer(text, at, at + 1)], {text}
+    work = [_Layer(text, at, at + 1)]
+    seen = {work[0].key()}
     while work:
         layer = work.pop()
         if layer.text is not text:
@@ -142,8 +149,8 @@ def find_all(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
         if "\\" in layer.text or "&#" in layer.text:
             made.append(_replaced(layer, _ESCAPE, _escape))
         for x in (*made, *_base64_layers(layer)):
-            if x is not None and x.text and x.text not in seen:
-                seen.add(x.text)
+            if x is not None and x.text and (key := x.key()) not in seen:
+                seen.add(key)
                 work.append(x)
     return base, sorted(found - set(base))
 

@@ -55,6 +55,23 @@ def test_self_reference_ends():
     assert secret_scan.find_all("%25" * 500) == ([], [])
 
 
+@pytest.mark.parametrize("other", LAYERS)
+@pytest.mark.parametrize("name", ["base64", "gzip", "twice"])
+def test_each_copy_of_an_encoded_secret_has_its_span(name, other):
+    text = f"one {LAYERS[name]} two\nthree {LAYERS[other]} four\nfive {LAYERS[name]} six"
+    more = secret_scan.find_all(text)[1]
+    for part in {LAYERS[name], LAYERS[other]}:
+        for m in re.finditer(re.escape(part), text):
+            assert any(m.start() <= a and b <= m.end() for a, _, b in more)
+    assert secret_scan.masked(text, "#").count("#") == 3
+
+
+def test_each_copy_is_redacted(spark):
+    copy = LAYERS["base64"]
+    got = secret_scan.redact_secrets(table(spark, [f"{copy} a\n{copy} b {LAYERS['gzip']}"])).collect()
+    assert got[0].text == "[SECRET] a\n[SECRET] b [SECRET]"
+
+
 def plain(text):
     """The three rules of the base, written out."""
     out = []
