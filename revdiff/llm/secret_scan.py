@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import contextlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,10 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _DELIMITED = re.compile(r"[A-Za-z0-9]{16,}={0,2}")
-_TEXT = bytes(sorted({9, 10, 13, *range(0x20, 0x7F)}))
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+# the first bytes of gzip, and those of zlib without a dictionary
+_PACKED = re.compile("\x1f\x8b\x08|" + "|".join(f"{re.escape(chr(c))}[{''.join(re.escape(chr(f)) for f in range(256) if (c << 8 | f) % 31 == 0 and not f & 0x20)}]" for c in range(0x08, 0x80, 0x10)))
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -52,7 +56,8 @@ class _Layer:
 
     def key(self) -> tuple[str, bytes]:
         """Equal for layers of the same text that was decoded from the same places."""
-        return self.text, blake2b(self.start.tobytes() + self.end.tobytes(), digest_size=16).digest()
+        n = len(self.text) if self.start.strides[0] else 1  # all characters of unpacked data lie in one place
+        return self.text, blake2b(self.start[:n].tobytes() + self.end[:n].tobytes(), digest_size=16).digest()
 
 
 def _replaced(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
@@ -81,21 +86,67 @@ def _percent(m: re.Match) -> tuple[str, int]:
 
 def _escape(m: re.Match) -> tuple[str | None, int]:
     code = int(m[1] or m[2] or m[3] or "0", 16) or int(m[4] or 0)
-    return (chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else None), len(m[0])
+    return (chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None), len(m[0])
 
 
-def _unpacked(raw: bytes) -> bytes | None:
-    """Content of zlib or gzip data, whole or as far as it reaches; None if it's neither."""
-    if raw[:2] == b"\x1f\x8b":
-        bits = 31
-    elif len(raw) > 2 and raw[0] & 0x0F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0:
-        bits = 15
-    else:
-        return None
+def _inflated(raw: memoryview) -> tuple[bytes, int, bool]:
+    """Content of the zlib or gzip data that ``raw`` starts with, as far as it reaches, the bytes it takes, and whether it ends there.
+
+    Members that follow one another are one content, as in gzip. Where the data
+    are broken, all that comes before the error counts.
+    """
+    out, at = [], 0
+    while True:
+        bits = 31 if raw[at] == 0x1F else 15
+        z = zlib.decompressobj(bits)
+        try:
+            out += [z.decompress(raw[at:]), z.flush()]
+        except zlib.error:
+            z = zlib.decompressobj(bits)
+            with contextlib.suppress(zlib.error):
+                while at < len(raw):
+                    out.append(z.decompress(raw[at : at + 1]))
+                    at += 1
+            return b"".join(out), at, False
+        at = len(raw) - len(z.unused_data)
+        after = at
+        while after < len(raw) and raw[after] == 0:
+            after += 1
+        if not z.eof or _PACKED.match(str(raw[after : after + 3], "latin-1")) is None:
+            return b"".join(out), at, z.eof
+        at = after
+
+
+def _packed_layers(layer: _Layer) -> Iterator[_Layer]:
+    """What zlib or gzip data in the characters of a decoded layer hold; it lies where all of the data lie."""
+    m = _PACKED.search(layer.text)
+    if m is None:
+        return
+    raw = memoryview(layer.text.encode("latin-1", "replace"))
+    while m is not None:
+        a = m.start()
+        content, size, whole = _inflated(raw[a:])
+        b = a + max(size, 1)
+        if content:
+            n = len(content)
+            yield _Layer(content.decode("latin-1"), np.broadcast_to(layer.start[a:b].min(), n), np.broadcast_to(layer.end[a:b].max(), n))
+        # what has no end may be text that only begins like such data
+        m = _PACKED.search(layer.text, b if whole else a + 1)
+
+
+def _worth(text: str) -> bool:
+    """Whether a decoded text has secrets or further layers."""
+    return bool(_encoded(text) or _PACKED.search(text) or scan(text))
+
+
+def _base64_text(body: str) -> str:
+    """The bytes of base64 as characters, as many as there are."""
+    body = body.rstrip("=")
+    body = body[: len(body) - (len(body) % 4 == 1)]
     try:
-        return zlib.decompressobj(bits).decompress(raw)
-    except zlib.error:
-        return None
+        return base64.b64decode(body.translate({45: "+", 95: "/"}) + "=" * (-len(body) % 4)).decode("latin-1")
+    except (binascii.Error, ValueError):
+        return ""
 
 
 def _base64_layers(layer: _Layer) -> Iterator[_Layer]:
@@ -104,24 +155,34 @@ def _base64_layers(layer: _Layer) -> Iterator[_Layer]:
         if re.search(r"[+/_-]", m[0]):
             runs += [(m.start() + d.start(), m.start() + d.end()) for d in _DELIMITED.finditer(m[0])]
         for a, b in runs:
-            body = layer.text[a:b].rstrip("=")
-            body = body[: len(body) - (len(body) % 4 == 1)]
-            try:
-                raw = base64.b64decode(body.translate({45: "+", 95: "/"}) + "=" * (-len(body) % 4))
-            except (binascii.Error, ValueError):
-                continue
-            packed = _unpacked(raw)
-            if packed is not None:
-                n = len(packed)
-                yield _Layer(packed.decode("latin-1"), np.full(n, layer.start[a]), np.full(n, layer.end[b - 1]))
-            elif len(raw) - len(raw.translate(None, _TEXT)) >= 0.9 * len(raw):
-                first = a + np.arange(len(raw)) // 3 * 4
+            made = _base64_text(layer.text[a:b])
+            if _worth(made):
+                first = a + np.arange(len(made)) // 3 * 4
                 last = np.minimum(first + 4, b) - 1
-                yield _Layer(raw.decode("latin-1"), layer.start[first], layer.end[last])
+                last[-1] = b - 1
+                yield _Layer(made, layer.start[first], layer.end[last])
+    if "\n" not in layer.text:
+        return
+    for m in _WRAPPED.finditer(layer.text):
+        lines = list(_LINE.finditer(m[0]))
+        first = np.cumsum([0, *(len(x[0]) for x in lines)])
+        body = "".join(x[0] for x in lines)
+        # the words before the data are joined to them; any line may be the first, so all places in four that a line starts at are tried
+        for phase in sorted({int(x) % 4 for x in first[:-1]}):
+            made = _base64_text(body[phase:])
+            if _worth(made):
+                place = np.concatenate([np.arange(x.start(), x.end()) for x in lines]) + m.start()
+                a = phase + np.arange(len(made)) // 3 * 4
+                yield _Layer(made, layer.start[place[a]], layer.end[place[np.minimum(a + 4, len(place)) - 1]])
 
 
 def _encoded(text: str) -> bool:
-    return ("%" in text and _PERCENT.search(text) is not None) or (("\\" in text or "&#" in text) and _ESCAPE.search(text) is not None) or _BASE64.search(text) is not None
+    return (
+        ("%" in text and _PERCENT.search(text) is not None)
+        or (("\\" in text or "&#" in text) and _ESCAPE.search(text) is not None)
+        or _BASE64.search(text) is not None
+        or ("\n" in text and any(len(m[0]) >= 16 for m in _WRAPPED.finditer(text)))
+    )
 
 
 def find_all(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -136,7 +197,7 @@ def find_all(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
     if not _encoded(text):
         return base, []
     found: set[tuple[int, int, int]] = set()
-    at = np.arange(len(text))
+    at = np.arange(len(text), dtype=np.int32)
     work = [_Layer(text, at, at + 1)]
     seen = {work[0].key()}
     while work:
@@ -148,6 +209,8 @@ def find_all(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
             made.append(_replaced(layer, _PERCENT, _percent))
         if "\\" in layer.text or "&#" in layer.text:
             made.append(_replaced(layer, _ESCAPE, _escape))
+        if layer.text is not text:
+            made += _packed_layers(layer)
         for x in (*made, *_base64_layers(layer)):
             if x is not None and x.text and (key := x.key()) not in seen:
                 seen.add(key)
@@ -175,10 +238,12 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     per row of ``docs``: ``doc_id, spans``: array of (kind, start, end, base), by
     start, then kind. Positions are code points of the original text, end
     exclusive; a span of a decoded layer covers the characters it was decoded from,
-    or the whole encoded run if it was compressed. ``base`` marks what the text
-    shows without decoding. A layer from base64 counts as text if at least nine in
-    ten bytes are printable ASCII. Nothing is shuffled; each text is handled by
-    itself. Null is the empty text, without spans; null ids and repeated rows stay.
+    or all characters of the compressed data if it was compressed. ``base`` marks
+    what the text shows without decoding. Every decoded layer is scanned, whatever
+    its bytes, as the patterns are ASCII; base64 may be wrapped over lines;
+    compressed data may begin anywhere in a decoded layer, have several members, be
+    cut off or be broken, and are read up to there. Nothing is shuffled; each text
+    is handled by itself. Null is the empty text, without spans; null ids and repeated rows stay.
     """
     lean_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -72,6 +72,53 @@ def test_each_copy_is_redacted(spark):
     assert got[0].text == "[SECRET] a\n[SECRET] b [SECRET]"
 
 
+def hidden(name):
+    """One encoded secret, as (text before, encoded, text after)."""
+    r = random.Random(3)
+    noise = "".join(r.choices("bcdeghij klmnopqrs", k=900))
+    deep = f"{noise} {SECRET} {noise}".encode()
+    wrap = lambda x, n, sep="\n": sep.join(x[i : i + n] for i in range(0, len(x), n))
+    member = gzip.compress(noise.encode(), mtime=0)
+    tail = bytearray(gzip.compress(deep, mtime=0))
+    tail[-6] ^= 0xFF
+    flushed = zlib.compressobj()
+    flushed = flushed.compress(deep) + flushed.flush(zlib.Z_FULL_FLUSH)
+    return {
+        "french": ("a ", b64(("é à ç è ù ê ô î û â " * 20 + SECRET + " très élevé où ça").encode()), " z"),
+        "gzip in zlib": ("a ", b64(zlib.compress(gzip.compress(deep))), " z"),
+        "zlib as %xx": ("a ", "".join(f"%{c:02X}" for c in zlib.compress(deep)), " z"),
+        "gzip as quoted url": ("a=", urllib.parse.quote(gzip.compress(deep, mtime=0), safe=""), "&z"),
+        "gzip as escapes": ("日本 ", "".join(f"\\x{c:02x}" for c in gzip.compress(deep, mtime=0)), " z"),
+        "second member": ("a ", b64(member + gzip.compress(deep, mtime=0)), " z"),
+        "over two members": ("a ", b64(gzip.compress(b"x " + SECRET[:12].encode()) + gzip.compress(SECRET[12:].encode())), " z"),
+        "wrong sum": ("a ", b64(bytes(tail)), " z"),
+        "broken tail": ("a ", b64(flushed + b"\xff" * 500), " z"),
+        "cut off": ("a ", b64(gzip.compress(noise.encode()) + flushed), " z"),
+        "wrapped": ("a:\n", wrap(b64(gzip.compress(deep, mtime=0)), 76), "\n"),
+        "wrapped by windows, indented": ("a:\r\n  ", wrap(b64(gzip.compress(deep, mtime=0)), 64, "\r\n  "), "\r\nz"),
+        "wrapped after words": ("a long following\nword\n", wrap(b64(zlib.compress(deep)), 76), "\nnext words"),
+        "wrapped in short lines": ("a\n", wrap(b64(SECRET.encode()), 12), "\n"),
+        "wrapped twice": ("a ", b64(wrap(b64(gzip.compress(deep, mtime=0)), 76).encode()), " z"),
+    }[name]
+
+
+HIDDEN = "french|gzip in zlib|zlib as %xx|gzip as quoted url|gzip as escapes|second member|over two members|wrong sum|broken tail|cut off|wrapped|wrapped by windows, indented|wrapped after words|wrapped in short lines|wrapped twice".split("|")
+
+
+@pytest.mark.parametrize("name", HIDDEN)
+def test_no_layer_is_left_out(name):
+    before, secret, after = hidden(name)
+    base, more = secret_scan.find_all(before + secret + after)
+    assert not base and any(kind == 0 and len(before) <= a < b <= len(before + secret) for a, kind, b in more)
+    assert min(a for a, _, _ in more) >= len(before) and max(b for _, _, b in more) <= len(before + secret)
+
+
+def test_text_without_secrets_has_none():
+    r = random.Random(5)
+    for k in range(200):
+        assert secret_scan.find_all(b64(r.randbytes(300 + k)) + "\n" + "\n".join(r.choices(["one", "Hk text", "x^2", "longerwordsthansixteen"], k=9)))[1] == []
+
+
 def plain(text):
     """The three rules of the base, written out."""
     out = []
