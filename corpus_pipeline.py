@@ -37,7 +37,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences of 1024 tokens."""
+    """Training sequences of 1024 tokens, in pieces with their token ids."""
     return packing.pack_documents(docs, size=1024)
 
 

@@ -72,7 +72,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key, pa.int64())], names=["doc_id", "text", "curve"])
 
 
-_OUT = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
+_OUT = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.list_(pa.int32()))]
 
 
 class _Packer:
@@ -100,11 +100,13 @@ class _Packer:
         seg = np.searchsorted(edge, begin, side="right") - 1
         seq = np.searchsorted(cuts, begin, side="right") - 1
         start = self.start[seg] + begin - edge[seg]
-        raw = memoryview(self.ids.astype("<u4").tobytes())
+        own = self.ids[: cuts[-1]].astype("<i4")
+        raw = memoryview(own.tobytes())
         crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), end.tolist())]
         columns = [start, end - begin, np.array(crc, np.int64), self.tokens[seg], seq + self.next_id, begin - cuts[seq]]
         out = pa.RecordBatch.from_arrays(
-            [self.doc.take(pa.array(seg)), *(pa.array(x.astype(np.int64)) for x in columns)], names=[n for n, _ in _OUT]
+            [self.doc.take(pa.array(seg)), *(pa.array(x.astype(np.int64)) for x in columns), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(own))],
+            schema=pa.schema(_OUT),
         )
         self.next_id += len(cuts) - 1
         keep = int(np.searchsorted(edge, cuts[-1], side="right")) - 1  # the segment that holds the cut
@@ -138,7 +140,9 @@ def pack_documents(docs: DataFrame, *, size: int = 1024, tokenizer: str | None =
     is a path of a byte-level BPE file (default: the public 50k vocabulary). Each
     document is its ids and then id 0; null counts as the empty text, which is id 0
     alone. Returns a row per piece: ``doc_id, start`` (the document's ids before
-    it), ``length, ids_crc32, doc_tokens, sequence_id, offset``.
+    it), ``length, ids_crc32`` (of the ids as little-endian 32-bit numbers),
+    ``doc_tokens, sequence_id, offset`` and ``ids``, the piece's token ids: the
+    pieces of a ``sequence_id`` by ``offset`` are the training sequence.
 
     A document's signed, hashed word counts are projected to 3 dimensions; rows are
     range-partitioned and sorted by the place on the Hilbert curve through that cube
@@ -155,4 +159,4 @@ def pack_documents(docs: DataFrame, *, size: int = 1024, tokenizer: str | None =
     keyed = rows.mapInArrow(_keyed, "doc_id bigint, text string, curve bigint")
     tie = F.xxhash64("doc_id")
     ordered = keyed.repartitionByRange(n, "curve", tie).sortWithinPartitions("curve", tie, "doc_id", F.xxhash64("text")).select("doc_id", "text")
-    return ordered.mapInArrow(_packed(size, tokenizer), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return ordered.mapInArrow(_packed(size, tokenizer), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids array<int>")

@@ -3,11 +3,12 @@ from __future__ import annotations
 import random
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from revdiff.llm import packing, token_count, vocabulary
+from revdiff.llm import packing, queries, token_count, vocabulary
 from revdiff.llm.textbatch import text_buffer
 from revdiff.llm.tokens import ByteBpe
 
@@ -78,6 +79,26 @@ def test_packing_is_a_partition_of_all_ids(spark):
         assert total <= 256 and total & (total - 1) == 0  # nothing to pad
 
 
+def test_packing_returns_the_ids(spark, tmp_path):
+    texts = [*EDGE, *(prose(i, random.Random(i).randint(1, 400)) for i in range(30))]
+    docs = table(spark, texts)
+    got = sorted(packing.pack_documents(docs, size=256).collect(), key=lambda p: (p.sequence_id, p.offset))
+    want = [e.ids + [0] for e in bpe().encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    pieces, sequences = {}, {}
+    for p in got:
+        assert len(p.ids) == p.length and zlib.crc32(np.array(p.ids, "<u4").tobytes()) == p.ids_crc32
+        pieces.setdefault(p.doc_id, []).append((p.start, p.ids))
+        assert p.offset == len(sequences.setdefault(p.sequence_id, []))
+        sequences[p.sequence_id] += p.ids
+    assert [sum((ids for _, ids in sorted(pieces[i])), []) for i in range(len(texts))] == want
+    assert sum(map(len, sequences.values())) == sum(map(len, want))
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.op10_packing(spark, str(tmp_path)).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    last = dict(corpus_pipeline.STAGES)["packing"](spark, docs, str(tmp_path))
+    assert dict(last.dtypes)["ids"] == "array<int>"
+
+
 def test_packing_edge_cases(spark, edge):
     got = packing.pack_documents(edge)
     assert got.select("doc_id").distinct().count() == len({*range(len(EDGE) - 2), None, 3})
