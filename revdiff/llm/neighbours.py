@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import staged
+
 #: Rows of a data block and of a query block.
 DATA_BLOCK, QUERY_BLOCK = 16_384, 1_024
 #: Candidates of a query in a block at least, if it has so many rows.
@@ -23,11 +25,13 @@ class CollisionIndex:
     counts one collision for each window that reaches it. Vectors with at least
     ``threshold`` of all projections are candidates, whose distances are computed;
     growing ends as soon as there are ``LEAST_CANDIDATES`` and a share of ``beta`` of the
-    block.
+    block. Rows of one id count as one candidate.
     """
 
-    def __init__(self, x: np.ndarray, projections: int, seed: int = 6):
+    def __init__(self, x: np.ndarray, projections: int, seed: int = 6, ids: np.ndarray | None = None):
         self.x = x
+        self.id = np.arange(len(x)) if ids is None else np.unique(ids, return_inverse=True)[1]
+        self.ids = int(self.id.max(initial=-1)) + 1
         rng = np.random.default_rng(seed)
         self.a = rng.standard_normal((x.shape[1], projections))
         h = x @ self.a
@@ -46,7 +50,9 @@ class CollisionIndex:
     def search(self, queries: np.ndarray, k: int, threshold: float, beta: float, growth: float) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the places of its candidates and their distances."""
         n, m = len(self.x), self.a.shape[1]
-        at, need, wanted = queries @ self.a, math.ceil(threshold * m), min(n, max(LEAST_CANDIDATES, k + 1, math.ceil(beta * n)))
+        at, need = queries @ self.a, math.ceil(threshold * m)
+        wanted = min(self.ids, max(LEAST_CANDIDATES, k + 1, math.ceil(beta * self.ids)))
+        rows = max(wanted, math.ceil(beta * n))
         half = max(self.unit, 1e-12) / 2
         count = np.zeros((len(queries), n), np.int16)
         old_lo = old_hi = self._windows(at, -1e-300)[0]
@@ -59,7 +65,8 @@ class CollisionIndex:
                 parts = [self.order[j, a[j] : b[j]] for j in range(m)] + [self.order[j, c[j] : d[j]] for j in range(m)]
                 count[q] += np.bincount(np.concatenate(parts), minlength=n).astype(np.int16)
                 found = np.flatnonzero(count[q] >= need)
-                if len(found) >= wanted or (hi[i] - lo[i]).min() == n:
+                enough = len(found) >= rows and (self.ids == n or len(np.unique(self.id[found])) >= wanted)
+                if enough or (hi[i] - lo[i]).min() == n:
                     out[q] = (found, np.sqrt(((self.x[found] - queries[q]) ** 2).sum(axis=1)))
                 else:
                     left.append(i)
@@ -92,8 +99,9 @@ def nearest_neighbours(
 
     All rows are indexed, in blocks of about ``DATA_BLOCK`` rows; the queries, in blocks
     too, meet every data block, so neither side is ever broadcast or held whole.
-    Each pair of blocks gives at most k rows a query, and the best of these are
-    ranked. ``beta`` is the share of a block whose distances are computed at least,
+    The block follows from id and vector, so rows of one id are spread over all.
+    Each pair of blocks gives at most the k nearest ids a query, and the best of
+    these are ranked. ``beta`` is the share of a block whose distances are computed at least,
     which is what recall depends on (measured in the tests and the README).
 
     Rows with a null id take no part, nor do vectors that are null, empty, zero, or
@@ -104,10 +112,11 @@ def nearest_neighbours(
     x = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x")).filter("vec_id IS NOT NULL AND size(x) > 0")
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     x = x.filter(finite & F.exists("x", lambda v: v != 0)).withColumn("size", F.size("x"))
+    x = staged(x.distinct())  # equal rows are one
     queries = x.filter(F.col("vec_id") % every == 0)
     n, nq = x.count(), queries.count()
     blocks, query_blocks = max(1, math.ceil(n / DATA_BLOCK)), max(1, math.ceil(nq / QUERY_BLOCK))
-    key = F.xxhash64("vec_id")
+    key = F.xxhash64("vec_id", "x")
     numbers = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     data = x.select("size", F.pmod(key, F.lit(blocks)).cast("int").alias("b"), numbers(query_blocks).alias("q"), "vec_id", "x")
     asked = queries.select("size", numbers(blocks).alias("b"), F.pmod(key, F.lit(query_blocks)).cast("int").alias("q"), "vec_id", "x")
@@ -116,12 +125,13 @@ def nearest_neighbours(
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if data_block.num_rows and query_block.num_rows:
             ids, own = data_block["vec_id"].to_numpy(), query_block["vec_id"].to_numpy()
-            index = CollisionIndex(_matrix(data_block["x"]), projections)
+            index = CollisionIndex(_matrix(data_block["x"]), projections, ids=ids)
             asked_for = _matrix(query_block["x"])
             found_in = (pair for lo in range(0, len(own), 64) for pair in index.search(asked_for[lo : lo + 64], k, threshold, beta, growth))
             for i, (found, score) in zip(own.tolist(), found_in):
                 score, found = score[ids[found] != i], found[ids[found] != i]
-                best = np.lexsort((ids[found], score))[: 2 * k]
+                best = np.lexsort((ids[found], score))
+                best = best[np.sort(np.unique(ids[found[best]], return_index=True)[1])[:k]]  # the nearest row of each id
                 out.append((np.full(len(best), i), ids[found[best]], score[best]))
         parts = [np.concatenate(p) for p in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": pa.array(parts[0], pa.int64()), "vec_id": pa.array(parts[1], pa.int64()), "score": pa.array(parts[2], pa.float64())})

@@ -103,3 +103,21 @@ def test_neighbour_edge_cases(spark):
     assert neighbours.nearest_neighbours(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
     same = neighbours.nearest_neighbours(vectors(spark, np.ones((40, 4)))).orderBy("rank").collect()
     assert [r.vec_id for r in same] == list(range(1, 11)) and all(r.score == 0 for r in same)
+
+
+def test_repeated_ids_leave_room_for_the_others(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    near, far = 0.01 * r.normal(0, 1, (400, 8)), r.normal(0, 1, (60, 8))
+    for copies in (near, np.repeat(near[:1], 400, axis=0)):  # one id with many vectors, or with one many times
+        x = np.concatenate([np.full((2, 8), 0.001), copies, far]).astype(np.float32)
+        ids = [0, 0, *[1] * 400, *range(2, 62)]
+        least = {}
+        for i, v in zip(ids[2:], x[2:].astype(float)):
+            d = np.sqrt(((v - x[0].astype(float)) ** 2).sum())
+            least[i] = min(d, least.get(i, d))
+        best = sorted((d, i) for i, d in least.items())[:10]
+        for block in (16_384, 50):
+            monkeypatch.setattr(neighbours, "DATA_BLOCK", block)
+            got = neighbours.nearest_neighbours(vectors(spark, x, ids)).orderBy("rank").collect()
+            assert [(g.query_id, g["rank"], g.vec_id) for g in got] == [(0, k + 1, i) for k, (_, i) in enumerate(best)]
+            assert np.allclose([g.score for g in got], [d for d, _ in best], rtol=1e-12)
