@@ -209,7 +209,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 1
     nothing is hit.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    indexes = _indexes(docs, benchmark, window, block_rows)
+    return _found(docs, _indexes(docs, benchmark, window, block_rows)).drop("digest")
+
+
+def _digest(doc_id, text):
+    """Same for rows of the same id and text, nulls included."""
+    return F.xxhash64(doc_id.cast("bigint"), text.cast("string"))
+
+
+def _found(docs: DataFrame, indexes: list) -> DataFrame:
+    """Rows of ``find_contamination``; with several blocks also their ``digest``."""
     schema = f"doc_id bigint, n_words bigint, n_hit bigint, items array<string>, spans {_SPANS}"
 
     def scan(index) -> DataFrame:
@@ -219,7 +228,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 1
                     ids = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns) if i != 1]
                     yield pa.RecordBatch.from_arrays([*ids[:1], *made, *ids[1:]], names=["doc_id", "n_words", "n_hit", "items", "spans", "digest"][: len(ids) + 4])
 
-        source = docs if len(indexes) < 2 else docs.withColumn("digest", F.xxhash64("doc_id", "text"))
+        source = docs if len(indexes) < 2 else docs.withColumn("digest", _digest(F.col("doc_id"), F.col("text")))
         return source.mapInArrow(run, schema + (", digest bigint" if len(indexes) > 1 else ""))
 
     if len(indexes) < 2:
@@ -244,7 +253,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 1
         parts[0]
         .select("doc_id", "n_words", "digest")
         .join(merged, "digest", "left")
-        .select("doc_id", "n_words", F.coalesce(n_hit, F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
+        .select("doc_id", "n_words", "digest", F.coalesce(n_hit, F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
     )
 
 
@@ -256,17 +265,21 @@ def is_contaminated(n_hit, n_words):
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The rows of ``docs``, all columns, whose text isn't contaminated.
 
-    Same rule and cases as ``find_contamination``; one benchmark block needs no
-    shuffle.
+    Same rule and cases as ``find_contamination``; each row is judged by its own
+    text, whatever other rows have its id. One benchmark block needs no shuffle;
+    with several, the verdicts are joined by a digest of id and text.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     indexes = _indexes(texts, benchmark, window, block_rows)
     if not indexes:
         return docs
     if len(indexes) > 1:
-        found = find_contamination(docs, benchmark, window=window, block_rows=block_rows)
-        bad = found.filter(is_contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti")
+        found = _found(texts, indexes)
+        key = "contaminated_digest"
+        while key in docs.columns:
+            key += "_"
+        bad = found.filter(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("digest").alias(key)).distinct()
+        return docs.withColumn(key, _digest(F.col("doc_id"), F.col("text"))).join(bad, key, "left_anti").drop(key)
     column, index = docs.columns.index("text"), indexes[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -61,6 +61,20 @@ def test_dropping(spark):
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == len(texts)
 
 
+def test_dropping_judges_each_row_in_any_number_of_blocks(spark):
+    bench = spark.createDataFrame([(1, prose(500, 14)), (2, prose(501, 13))], "item_id bigint, text string")
+    bad, other = prose(1, 40) + " " + prose(500, 14), prose(501, 13)
+    texts = [bad, prose(2, 50), prose(3, 50), bad, bad, other, None, None, "", prose(2, 50)]
+    ids = [None, None, 5, 5, 6, 6, 7, None, 5, 8]
+    docs = table(spark, texts, ids=ids)
+    docs = docs.select("text", *[c for c in docs.columns if c != "text"])
+    want = sorted((str(i), str(t)) for i, t in zip(ids, texts) if t not in (bad, other))
+    for block in (200_000, 1):
+        kept = decontaminate.drop_contaminated(docs, bench, block_rows=block)
+        assert kept.columns == docs.columns
+        assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == want
+
+
 def test_edge_cases(spark, edge):
     bench = spark.createDataFrame([(1, "two words"), (2, None)], "item_id bigint, text string")
     got = decontaminate.find_contamination(edge, bench)
