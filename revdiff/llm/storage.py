@@ -15,34 +15,50 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in tests, a temporary folder of
-    this machine is set.
+    Where the session names none, a temporary folder of this machine is set if Spark
+    runs on this machine alone, as in tests; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
 
 
-#: Rows of a batch that goes to Python at once, at most.
-BATCH_ROWS = 2_000
+#: Bytes of a batch that goes to Python at once, at most.
+BATCH_BYTES = 2 << 20
 
 
 def lean_batches(spark: SparkSession) -> None:
-    """Lower the session's rows per Arrow batch, as rows that hold whole texts are large.
+    """Lower the session's bytes per Arrow batch, as rows that hold whole texts are large.
 
     A batch lies in memory several times, in the JVM and in Python. A session that
-    asks for smaller batches keeps its own number.
+    asks for smaller batches keeps its own number. The setting stays, since results are
+    made only when they are read; the rows per batch aren't touched.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(str(spark.conf.get(key)).removesuffix("b")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+_marked: set[str] = set()
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back."""
+    """Write ``df`` as Parquet into the shared folder and read it back.
+
+    The tables of an application lie in one folder, which is deleted when it ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    run = f"{shared_dir(spark).rstrip('/')}/run-{spark.sparkContext.applicationId}"
+    if run not in _marked:
+        path = spark._jvm.org.apache.hadoop.fs.Path(run)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _marked.add(run)
+    path = f"{run}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

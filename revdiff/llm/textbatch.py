@@ -9,11 +9,15 @@ slice of its own.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+#: Bytes of a word above which its hash is no polynomial: for long words, equal ones could be built.
+LONG_WORD = 512
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -39,7 +43,7 @@ def _power_table(base: int, n: int) -> np.ndarray:
         steps = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if n <= 4 * SLICE_BYTES:
+        if n <= SLICE_BYTES:
             _powers[base] = have
     return have[:n]
 
@@ -85,6 +89,12 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
+def byte_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of a column of texts, of at most about ``limit`` bytes each, or of one row."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return slices(np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), limit)
+
+
 class Words:
     """Words of the texts ``buf[offsets[i]:offsets[i + 1]]``.
 
@@ -118,6 +128,8 @@ class Words:
             total = np.add.reduceat(value, self.start)
             total *= _power_table(_INVERSE, len(buf))[self.start]
             self.hash = mix64(total + (self.end - self.start).astype(np.uint64))
+            for i in np.flatnonzero(self.end - self.start > LONG_WORD).tolist():
+                self.hash[i] = int.from_bytes(blake2b(self.buf[self.start[i] : self.end[i]].tobytes(), digest_size=8).digest(), "little")
         else:
             self.hash = np.zeros(0, np.uint64)
 
