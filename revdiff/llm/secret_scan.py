@@ -12,10 +12,12 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import lean_batches
+from .textbatch import byte_slices
 
 # fixed values: the kinds in the order of the contract, and their patterns
 KINDS = ("assign", "access", "hex")
@@ -24,8 +26,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KEYWORDS = ("passw", "secret", "token", "api")
 
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+# the encodings of one character, by the character that introduces them
+_CODES = {
+    "%": re.compile(r"([0-9A-Fa-f]{2})()"),
+    "\\": re.compile(r"(?:x([0-9A-Fa-f]{2})|u([0-9A-Fa-f]{4}))()"),
+    "&": re.compile(r"#(?:x([0-9A-Fa-f]{1,6})|([0-9]{1,7}));"),
+}
+_ESCAPE = re.compile(r"%(?=[0-9A-Fa-f]{2})|\\(?=x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4})|&(?=#(?:x[0-9A-Fa-f]{1,6}|[0-9]{1,7});)")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _DELIMITED = re.compile(r"[A-Za-z0-9]{16,}={0,2}")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
@@ -46,90 +53,149 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+#: Characters of unpacked data that are scanned at once, and how many of them the next such part begins with.
+WINDOW, OVERLAP = 1 << 20, 1 << 16
+#: Packed bytes that are unpacked at once.
+PIECE = 1 << 14
+
+
 class _Layer:
-    """A decoded text; ``start[i]`` and ``end[i]`` are where its character i lies in the original text."""
+    """A decoded text and where it lies in the original one.
+
+    ``start[i]`` and ``end[i]`` belong to character i; they are None for the original
+    text itself, and one number each for unpacked data, which lie in one place as a whole.
+    """
 
     __slots__ = ("text", "start", "end")
 
-    def __init__(self, text: str, start: np.ndarray, end: np.ndarray):
+    def __init__(self, text: str, start, end):
         self.text, self.start, self.end = text, start, end
 
-    def key(self) -> tuple[str, bytes]:
+    def key(self) -> bytes:
         """Equal for layers of the same text that was decoded from the same places."""
-        n = len(self.text) if self.start.strides[0] else 1  # all characters of unpacked data lie in one place
-        return self.text, blake2b(self.start[:n].tobytes() + self.end[:n].tobytes(), digest_size=16).digest()
-
-
-def _replaced(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
-    """The layer with each match of ``pattern`` decoded; ``decode`` gives (text, source characters per character)."""
-    parts, starts, ends, at = [], [], [], 0
-    for m in pattern.finditer(layer.text):
-        a, b = m.span()
-        new, step = decode(m)
-        if new is None:
-            continue
-        parts += [layer.text[at:a], new]
-        first = a + np.arange(len(new)) * step
-        last = np.minimum(first + step, b) - 1
-        starts += [layer.start[at:a], layer.start[first]]
-        ends += [layer.end[at:a], layer.end[last]]
-        at = b
+        h = blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
+        for x in (self.start, self.end):
+            h.update(b"" if x is None else np.asarray(x, np.int32).tobytes())
+        return h.digest()
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        """Where the characters from a to b lie."""
+        if self.start is None:
+            return a, b
+        return (self.start, self.end) if isinstance(self.start, int) else (int(self.start[a:b].min()), int(self.end[a:b].max()))
+
+    def part(self, text: str, first: np.ndarray, last: np.ndarray) -> _Layer:
+        """A layer whose character i was made of the characters from ``first[i]`` to ``last[i]``, included."""
+        if isinstance(self.start, int):
+            return _Layer(text, self.start, self.end)
+        if self.start is None:
+            return _Layer(text, first.astype(np.int32), (last + 1).astype(np.int32))
+        return _Layer(text, self.start[first], self.end[last])
+
+
+def _unescaped(layer: _Layer) -> _Layer | None:
+    """The layer with its URL, Unicode and HTML codes decoded; None if it has none.
+
+    A code may stand for the sign that introduces the next one (``%2541``). Such a
+    chain is followed to its end at once, which takes time in proportion to its length:
+    the texts in between show nothing that the layer doesn't show, since these signs
+    belong to no secret.
+    """
+    text, parts, src, size, last = layer.text, [], [], [], []
+    at, m = 0, _ESCAPE.search(layer.text)
+    while m is not None:
+        sign, pos = m[0], m.end()
+        while sign in _CODES and (c := _CODES[sign].match(text, pos)) is not None:
+            code = int(c[1], 16) if c[1] else int(c[2], 10 if sign == "&" else 16)
+            if code >= 0x110000 or 0xD800 <= code < 0xE000:
+                break
+            sign, pos = chr(code), c.end()
+        if pos > m.end():
+            if at < m.start():
+                parts.append(text[at : m.start()])
+                src.append(at)
+                size.append(m.start() - at)
+                last.append(-1)
+            parts.append(sign)
+            src.append(m.start())
+            size.append(1)
+            last.append(pos - 1)
+            at = pos
+        m = _ESCAPE.search(text, pos)
     if not parts:
         return None
-    parts.append(layer.text[at:])
-    return _Layer("".join(parts), np.concatenate([*starts, layer.start[at:]]), np.concatenate([*ends, layer.end[at:]]))
-
-
-def _percent(m: re.Match) -> tuple[str, int]:
-    return bytes.fromhex(m[0].replace("%", "")).decode("latin-1"), 3
+    parts.append(text[at:])
+    if isinstance(layer.start, int):
+        return _Layer("".join(parts), layer.start, layer.end)
+    n = np.array([*size, len(text) - at], np.int64)
+    first = np.repeat(np.array([*src, at], np.int64) - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    until = np.repeat(np.array([*last, -1], np.int64), n)
+    return layer.part("".join(parts), first, np.where(until < 0, first, until))
 
 
-def _escape(m: re.Match) -> tuple[str | None, int]:
-    code = int(m[1] or m[2] or m[3] or "0", 16) or int(m[4] or 0)
-    return (chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None), len(m[0])
-
-
-def _inflated(raw: memoryview) -> tuple[bytes, int, bool]:
-    """Content of the zlib or gzip data that ``raw`` starts with, as far as it reaches, the bytes it takes, and whether it ends there.
+def _members(raw: memoryview) -> Iterator[tuple[bytes, int, bool]]:
+    """Content, in pieces, of the zlib or gzip data that ``raw`` starts with; with each, the bytes taken so far and whether the data end there.
 
     Members that follow one another are one content, as in gzip. Where the data
-    are broken, all that comes before the error counts.
+    are broken, all that comes before the error counts. No piece is larger than ``WINDOW``.
     """
-    out, at = [], 0
+    at = 0
     while True:
-        bits = 31 if raw[at] == 0x1F else 15
-        z = zlib.decompressobj(bits)
-        try:
-            out += [z.decompress(raw[at:]), z.flush()]
-        except zlib.error:
-            z = zlib.decompressobj(bits)
-            with contextlib.suppress(zlib.error):
-                while at < len(raw):
-                    out.append(z.decompress(raw[at : at + 1]))
-                    at += 1
-            return b"".join(out), at, False
-        at = len(raw) - len(z.unused_data)
+        z = zlib.decompressobj(31 if raw[at] == 0x1F else 15)
+        while not z.eof and at < len(raw):
+            piece, before = raw[at : at + PIECE], z.copy()
+            try:
+                made = z.decompress(piece, WINDOW)
+                while z.unconsumed_tail:
+                    yield made, at, False
+                    made = z.decompress(z.unconsumed_tail, WINDOW)
+                yield made, at, False
+            except zlib.error:
+                with contextlib.suppress(zlib.error):
+                    for k in range(len(piece)):
+                        made = before.decompress(piece[k : k + 1], WINDOW)
+                        yield made, at + k, False
+                        while before.unconsumed_tail:
+                            yield before.decompress(before.unconsumed_tail, WINDOW), at + k, False
+                return
+            at += len(piece) - len(z.unused_data)
+        yield b"", at, z.eof
         after = at
         while after < len(raw) and raw[after] == 0:
             after += 1
         if not z.eof or _PACKED.match(str(raw[after : after + 3], "latin-1")) is None:
-            return b"".join(out), at, z.eof
+            return
         at = after
 
 
+def _windows(raw: memoryview) -> Iterator[str]:
+    """The content of packed data in parts that overlap."""
+    held, size = [], 0
+    for made, _, _ in _members(raw):
+        held.append(made)
+        size += len(made)
+        if size >= WINDOW:
+            text = b"".join(held).decode("latin-1")
+            yield text
+            held, size = [text[-OVERLAP:].encode("latin-1")], OVERLAP
+    if size:
+        yield b"".join(held).decode("latin-1")
+
+
 def _packed_layers(layer: _Layer) -> Iterator[_Layer]:
-    """What zlib or gzip data in the characters of a decoded layer hold; it lies where all of the data lie."""
+    """What zlib or gzip data in the characters of a decoded layer hold, a window at a time; it lies where all of the data lie."""
     m = _PACKED.search(layer.text)
     if m is None:
         return
     raw = memoryview(layer.text.encode("latin-1", "replace"))
     while m is not None:
-        a = m.start()
-        content, size, whole = _inflated(raw[a:])
+        a, size, whole, some = m.start(), 0, False, False
+        for made, size, whole in _members(raw[a:]):  # noqa: B007  the last of each is what counts
+            some = some or bool(made)
         b = a + max(size, 1)
-        if content:
-            n = len(content)
-            yield _Layer(content.decode("latin-1"), np.broadcast_to(layer.start[a:b].min(), n), np.broadcast_to(layer.end[a:b].max(), n))
+        if some:
+            for text in _windows(raw[a:]):
+                yield _Layer(text, *layer.span(a, b))
         # what has no end may be text that only begins like such data
         m = _PACKED.search(layer.text, b if whole else a + 1)
 
@@ -153,68 +219,76 @@ def _base64_layers(layer: _Layer) -> Iterator[_Layer]:
     for m in _BASE64.finditer(layer.text):
         runs = [m.span()]
         if re.search(r"[+/_-]", m[0]):
-            runs += [(m.start() + d.start(), m.start() + d.end()) for d in _DELIMITED.finditer(m[0])]
+            # a part that begins at a multiple of four is decoded within the whole
+            runs += [(m.start() + d.start(), m.start() + d.end()) for d in _DELIMITED.finditer(m[0]) if d.start() % 4]
         for a, b in runs:
             made = _base64_text(layer.text[a:b])
             if _worth(made):
                 first = a + np.arange(len(made)) // 3 * 4
                 last = np.minimum(first + 4, b) - 1
                 last[-1] = b - 1
-                yield _Layer(made, layer.start[first], layer.end[last])
+                yield layer.part(made, first, last)
     if "\n" not in layer.text:
         return
     for m in _WRAPPED.finditer(layer.text):
-        lines = list(_LINE.finditer(m[0]))
-        first = np.cumsum([0, *(len(x[0]) for x in lines)])
-        body = "".join(x[0] for x in lines)
+        lines = [x.span() for x in _LINE.finditer(m[0])]
+        body = "".join(m[0][a:b] for a, b in lines)
+        edge = np.cumsum([0, *(b - a for a, b in lines)])
         # the words before the data are joined to them; any line may be the first, so all places in four that a line starts at are tried
-        for phase in sorted({int(x) % 4 for x in first[:-1]}):
+        for phase in sorted({int(x) for x in edge[:-1] % 4}):
             made = _base64_text(body[phase:])
             if _worth(made):
-                place = np.concatenate([np.arange(x.start(), x.end()) for x in lines]) + m.start()
+                place = np.repeat(m.start() + np.array([a for a, _ in lines]) - edge[:-1], np.diff(edge)) + np.arange(len(body))
                 a = phase + np.arange(len(made)) // 3 * 4
-                yield _Layer(made, layer.start[place[a]], layer.end[place[np.minimum(a + 4, len(place)) - 1]])
+                yield layer.part(made, place[a], place[np.minimum(a + 4, len(place)) - 1])
 
 
 def _encoded(text: str) -> bool:
     return (
-        ("%" in text and _PERCENT.search(text) is not None)
-        or (("\\" in text or "&#" in text) and _ESCAPE.search(text) is not None)
+        (("%" in text or "\\" in text or "&#" in text) and _ESCAPE.search(text) is not None)
         or _BASE64.search(text) is not None
         or ("\n" in text and any(len(m[0]) >= 16 for m in _WRAPPED.finditer(text)))
     )
 
 
+def _layers(layer: _Layer) -> Iterator[_Layer]:
+    """What the layer becomes by each way of decoding that changes it."""
+    made = _unescaped(layer)
+    if made is not None:
+        yield made
+        del made
+    if layer.start is not None:
+        yield from _packed_layers(layer)
+    yield from _base64_layers(layer)
+
+
 def find_all(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Spans of the text itself, and those that only decoded layers show, as (start, kind, end) in the text.
 
-    Layers wait in a worklist: each is scanned, then decoded in every way that
-    changes it, until none is left. A layer that was met before, with the same text
-    from the same places, is not decoded again, so nested data that contain
-    themselves end; the same text from another place has spans of its own.
+    The worklist is a stack of layers that are still being decoded: each decoded
+    layer is scanned and then decoded itself, until nothing is left. A layer that was
+    met before, with the same text from the same places, is not decoded again, so
+    nested data that contain themselves end; the same text from another place has spans
+    of its own. Of layers that were met only a digest is kept, and unpacked data are made
+    a window at a time, so memory grows with the text and the depth, not with what the
+    data unpack to.
     """
     base = scan(text)
     if not _encoded(text):
         return base, []
     found: set[tuple[int, int, int]] = set()
-    at = np.arange(len(text), dtype=np.int32)
-    work = [_Layer(text, at, at + 1)]
-    seen = {work[0].key()}
+    whole = _Layer(text, None, None)
+    work, seen = [_layers(whole)], {whole.key()}
     while work:
-        layer = work.pop()
-        if layer.text is not text:
-            found.update((int(layer.start[a]), kind, int(layer.end[b - 1])) for a, kind, b in scan(layer.text))
-        made = []
-        if "%" in layer.text:
-            made.append(_replaced(layer, _PERCENT, _percent))
-        if "\\" in layer.text or "&#" in layer.text:
-            made.append(_replaced(layer, _ESCAPE, _escape))
-        if layer.text is not text:
-            made += _packed_layers(layer)
-        for x in (*made, *_base64_layers(layer)):
-            if x is not None and x.text and (key := x.key()) not in seen:
-                seen.add(key)
-                work.append(x)
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+        elif layer.text and (key := layer.key()) not in seen:
+            seen.add(key)
+            for a, kind, b in scan(layer.text):
+                start, end = layer.span(a, b)
+                found.add((start, kind, end))
+            work.append(_layers(layer))
     return base, sorted(found - set(base))
 
 
@@ -223,12 +297,13 @@ _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int3
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        spans = []
-        for text in batch.column(1):
-            base, more = find_all(text.as_py() or "")
-            own = set(base)
-            spans.append([{"kind": KINDS[k], "start": a, "end": b, "base": (a, k, b) in own} for a, k, b in sorted([*base, *more])])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(_SPAN))], names=["doc_id", "spans"])
+        for lo, hi in byte_slices(batch.column(1)):
+            spans = []
+            for text in batch.column(1).slice(lo, hi - lo):
+                base, more = find_all(text.as_py() or "")
+                own = set(base)
+                spans.append([{"kind": KINDS[k], "start": a, "end": b, "base": (a, k, b) in own} for a, k, b in sorted([*base, *more])])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(spans, pa.list_(_SPAN))], names=["doc_id", "spans"])
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -242,7 +317,9 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     what the text shows without decoding. Every decoded layer is scanned, whatever
     its bytes, as the patterns are ASCII; base64 may be wrapped over lines;
     compressed data may begin anywhere in a decoded layer, have several members, be
-    cut off or be broken, and are read up to there. Nothing is shuffled; each text
+    cut off or be broken, and are read up to there. What they unpack to is scanned in
+    overlapping windows of ``WINDOW`` characters; encoded data inside that are larger than
+    a window are decoded window by window. Nothing is shuffled; each text
     is handled by itself. Null is the empty text, without spans; null ids and repeated rows stay.
     """
     lean_batches(docs.sparkSession)
@@ -275,16 +352,28 @@ def redact_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     lean_batches(docs.sparkSession)
     names = docs.columns
 
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns, at = list(batch.columns), names.index("text")
+        old, new, changed = columns[at], [], []
+        for k, x in enumerate(old):
+            text = x.as_py()
+            other = text if text is None else masked(text, mask)
+            if other != text:
+                new.append(other)
+                changed.append(k)
+        if not changed:
+            return batch
+        which = np.zeros(len(old), bool)
+        which[changed] = True
+        columns[at] = pc.replace_with_mask(old, pa.array(which), pa.array(new, old.type))
+        if "n_chars" in names:
+            n = columns[names.index("n_chars")]
+            columns[names.index("n_chars")] = pc.replace_with_mask(n, pa.array(which), pa.array([len(x) for x in new], n.type))
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            old = batch.column(names.index("text")).to_pylist()
-            new = [x if x is None else masked(x, mask) for x in old]
-            columns = list(batch.columns)
-            columns[names.index("text")] = pa.array(new, pa.string())
-            if "n_chars" in names:
-                at = names.index("n_chars")
-                values = [len(b) if b is not None and a != b else n for a, b, n in zip(old, new, batch.column(at).to_pylist())]
-                columns[at] = pa.array(values, batch.column(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for lo, hi in byte_slices(batch.column(names.index("text"))):
+                yield one(batch.slice(lo, hi - lo))
 
     return docs.mapInArrow(run, docs.schema)

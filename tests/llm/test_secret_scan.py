@@ -2,8 +2,12 @@ from __future__ import annotations
 
 import base64
 import gzip
+import os
 import random
 import re
+import subprocess
+import sys
+import time
 import urllib.parse
 import zlib
 
@@ -13,6 +17,7 @@ from revdiff.llm import queries, secret_scan
 
 from .conftest import EDGE, SCHEMA, table
 
+REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SECRET = "password=hunter2hunter2"
 KEY = "AKIA" + "ABCDEFGH12345678"
 
@@ -158,3 +163,40 @@ def test_redaction(spark):
     got = {r.doc_id: r for r in secret_scan.redact_secrets(docs).collect()}
     assert got[0].text == "x [SECRET] y" and got[0].n_chars == 12 and got[1].text == "clean" and got[2].text is None
     assert set(got[0].asDict()) == set(docs.columns)
+
+
+def test_nested_codes_take_time_in_proportion():
+    began = time.process_time()
+    assert secret_scan.find_all("%" + "25" * 500_000)[1] == []
+    chain = "%5c" + "x255c" * 150_000 + "x70"
+    assert secret_scan.find_all(f"a {chain}assword=hunter2hunter2 b")[1] == [(2, 0, 2 + len(chain) + 22)]
+    assert time.process_time() - began < 20
+
+
+BOMB = """
+import base64, resource, sys, zlib
+from revdiff.llm import secret_scan
+z, parts = zlib.compressobj(9, zlib.DEFLATED, 31), []
+for k in range(100):
+    parts.append(z.compress(bytes(1_000_000)))
+    if k == 60:
+        parts.append(z.compress(b" password=hunter2hunter2 "))
+text = "a " + base64.b64encode(b"".join(parts) + z.flush()).decode() + " b"
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+found = secret_scan.find_all(text)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before, len(text), found)
+"""
+
+
+def test_unpacked_data_are_never_held_whole():
+    said = subprocess.run([sys.executable, "-c", BOMB], capture_output=True, text=True, check=True, cwd=REPO).stdout.split("\n")[0]
+    grown, size, found = said.split(" ", 2)
+    assert int(grown) < 200 * 1024 and eval(found) == ([], [(2, 0, int(size) - 2)])
+
+
+def test_secrets_at_the_edges_of_windows(monkeypatch):
+    monkeypatch.setattr(secret_scan, "WINDOW", 500)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 60)
+    for pad in range(380, 520, 7):
+        text = b64(gzip.compress(b"~" * pad + SECRET.encode() + b"~" * 900))
+        assert [k for _, k, _ in secret_scan.find_all(f"a {text} b")[1]] == [0]
