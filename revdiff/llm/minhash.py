@@ -143,7 +143,7 @@ def _verify(k: int, num: int, den: int):
                 union = size_a[of] + np.bincount(row_b, minlength=hi - lo) - both
                 linked[lo:hi] = (den * both >= num * union) & (both > 0)
             keep = pa.array(linked)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(4).filter(keep), batch.column(5).filter(keep)], names=["u", "v"])
 
     return run
 
@@ -172,7 +172,7 @@ def near_duplicates(
        components may be linked. Instead of all pairs, the rarest shingles of the
        classes in such buckets are joined: sets of n shingles as similar as
        asked for share one of their ``n - ceil(n * num / den) + 1`` rarest ones, under any
-       common order. Set sizes and the place of the shared shingle bound what two sets
+       common order. Shingles that only one component has are left out. Set sizes and the place of the shared shingle bound what two sets
        can share; the pairs left are confirmed like the others. So no link that
        would join two components is left out.
 
@@ -193,22 +193,24 @@ def near_duplicates(
     classes = staged(full.groupBy(*group).agg(F.min("doc_id").alias("rep")))
     first = full.join(classes, [full[c].eqNullSafe(classes[c]) for c in group] + [full.doc_id == classes.rep], "left_semi")
     keyed = first.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"))
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").drop("last")
+    # what is known of each bucket is a table of its own, so that Spark can split a hot bucket's join
+    shared = staged(keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").drop("last"))
     members = staged(keyed.join(shared, "key"))
 
     texts = docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").filter("text IS NOT NULL")
     texts = staged(texts.select("doc_id", "text"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        """Links ``u, v`` of those ``pairs`` (``a, b, u, v``) whose texts a and b are similar enough."""
         left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-        rows_ = pairs.distinct().join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-        return rows_.mapInArrow(_verify(shingle, num, den), "u bigint, v bigint")
+        rows_ = pairs.distinct().join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b", "u", "v")
+        return staged(rows_.mapInArrow(_verify(shingle, num, den), "u bigint, v bigint"))
 
-    links = staged(confirmed(members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))))
-    found = staged(connected_components(links))
+    first_links = members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"), F.col("leader").alias("u"), F.col("rep").alias("v"))
+    found = staged(connected_components(confirmed(first_links)))
     placed = members.join(found, members.rep == found.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     placed = staged(placed)
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
+    mixed = staged(placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key"))
     opened = placed.join(mixed, "key", "left_semi").select("rep", "comp").distinct()
     counts = texts.select("text").mapInArrow(_counted(shingle), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     often = np.zeros(COUNT_BUCKETS, np.int64)
@@ -219,19 +221,22 @@ def near_duplicates(
         .select("rep", "comp", "text")
         .mapInArrow(_prefixes(shingle, num, den, often), "token bigint, rep bigint, comp bigint, n bigint, left bigint")
     )
+    # a token of one component alone links nothing new
+    useful = staged(rare.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token"))
+    rare = staged(rare.join(useful, "token", "left_semi"))
     x, y = rare.alias("x"), rare.alias("y")
     # "left": how many of a set's shingles follow its prefix token, so how many more two sets can share
     close = (
         (F.col("x.token") == F.col("y.token"))
-        & (F.col("x.rep") < F.col("y.rep"))
-        & (F.col("x.comp") != F.col("y.comp"))
+        & (F.col("x.comp") < F.col("y.comp"))
         & (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n"))
         & ((1 + F.least("x.left", "y.left")) * (num + den) >= num * (F.col("x.n") + F.col("y.n")))
     )
-    rest = x.join(y, close).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    more = confirmed(rest)
-    found = staged(connected_components(links.unionByName(more)))
-    classes = staged(classes.join(found, classes.rep == found.node, "left").select(*group, F.coalesce("component", "rep").alias("component")))
+    rest = x.join(y, close).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.comp").alias("u"), F.col("y.comp").alias("v"))
+    # these links join the components found so far
+    final = staged(connected_components(confirmed(rest))).toDF("comp", "joined")
+    placed = classes.join(found, classes.rep == found.node, "left").select(*group, F.coalesce("component", "rep").alias("comp"))
+    classes = staged(placed.join(final, "comp", "left").select(*group, F.coalesce("joined", "comp").alias("component")))
     joined = made.select("doc_id", *group).join(classes, group, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     out = joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
