@@ -205,12 +205,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, pool: float = 0.3, ridg
 def keep_good(docs: DataFrame, labels: DataFrame, *, pool: float = 0.3, ridge: float = 0.05, least: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is at least ``least``.
 
-    The model is that of ``score_quality``. Texts aren't shuffled: they are read a
-    second time to be scored in place.
+    The model is that of ``score_quality``, and so are the cases: null and empty texts
+    are judged by their statistics, rows with a null id are judged and not learned
+    from, repeated rows stay or go together, an empty table gives no rows. Texts aren't
+    shuffled: they are read a second time to be scored in place.
     """
     lean_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    features = rows.mapInArrow(_features, "doc_id bigint, x array<double>")
+    features = staged(rows.mapInArrow(_features, "doc_id bigint, x array<double>"))
     model = docs.sparkSession.sparkContext.broadcast(_fit(features, labels, pool, ridge))
     column = docs.columns.index("text")
 
