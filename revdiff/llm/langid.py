@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import lean_batches
+from .storage import lean_batches, staged
 from .textbatch import mix64, slices, text_buffer
 
 DIMENSIONS, GRAM = 512, 3
@@ -51,7 +53,7 @@ def gram_vectors(gram: np.ndarray, dimensions: int) -> np.ndarray:
 
 
 def _grams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and n-gram of each window of letters, runs of other characters being one gap; and the letters of each row."""
+    """Row and n-gram of each window of letters, runs of other characters and both ends of a text being one gap; and the letters of each row."""
     n = len(offsets) - 1
     code = np.frombuffer(buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     at = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])[offsets]
@@ -61,6 +63,9 @@ def _grams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     letter = _letters()[code].astype(np.uint64)
     doc = np.repeat(np.arange(n), np.diff(at))
     count = np.bincount(doc, weights=letter > 0, minlength=n).astype(np.int64)
+    padded = np.zeros(len(letter) + 2 * n, np.uint64)
+    padded[np.arange(len(letter)) + 2 * doc + 1] = letter
+    letter, doc = padded, np.repeat(np.arange(n), np.diff(at) + 2)
     keep = np.ones(len(letter), bool)
     keep[1:] = (letter[1:] != 0) | (letter[:-1] != 0) | (doc[1:] != doc[:-1])
     letter, doc = letter[keep], doc[keep]
@@ -142,22 +147,43 @@ def _learned(dimensions: int):
     return run
 
 
-def _prototypes(docs: DataFrame, dimensions: int, most: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    sums = docs.mapInArrow(_learned(dimensions), "lang string, cell int, value double").groupBy("lang", "cell").agg(F.sum("value").alias("value"))
-    if (n := sums.select("lang").distinct().count()) > most:
-        raise ValueError(f"{n} languages; at most {most} prototypes are broadcast")
-    table = sums.toPandas()
-    langs = sorted(table["lang"].unique())
-    at = {x: i for i, x in enumerate(langs)}
-    full = np.zeros((len(langs), dimensions + 1))
-    full[table["lang"].map(at).to_numpy(int), table["cell"].to_numpy(int)] = table["value"].to_numpy(float)
-    proto = full[:, :-1] / np.maximum(np.linalg.norm(full[:, :-1], axis=1, keepdims=True), 1e-12)
-    common = proto.mean(axis=0) if len(langs) > 1 else np.zeros(dimensions)
-    centred = proto - common
-    return langs, centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12), common
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
-def identify_languages(docs: DataFrame, *, dimensions: int = DIMENSIONS, max_languages: int = 2000) -> DataFrame:
+def _prototypes(train: DataFrame, dimensions: int, together: int) -> list[Broadcast]:
+    """Broadcast (languages by name, their centred prototypes, what all have in common), ``together`` languages or about as many at a time."""
+    spark = train.sparkSession
+    sums = staged(train.mapInArrow(_learned(dimensions), "lang string, cell int, value double").groupBy("lang", "cell").agg(F.sum("value").alias("value")))
+    count = sums.select("lang").distinct().count()
+    blocks = math.ceil(count / together)
+
+    def block(b: int) -> tuple[list[str], np.ndarray]:
+        table = sums.filter(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == b).toPandas()
+        langs = sorted(table["lang"].unique())
+        full = np.zeros((len(langs), dimensions + 1))
+        full[table["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), table["cell"].to_numpy(int)] = table["value"].to_numpy(float)
+        return langs, _unit(full[:, :-1])
+
+    common = np.zeros(dimensions)
+    for b in range(blocks if count > 1 else 0):
+        common += block(b)[1].sum(axis=0) / count
+    return [spark.sparkContext.broadcast((langs, _unit(own - common), common)) for langs, own in map(block, range(blocks)) if langs]
+
+
+def _best(v: np.ndarray, letters: np.ndarray, model: tuple[list[str], np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each profile the nearest language and its score."""
+    langs, proto, common = model
+    cosine = _unit(v - common) @ proto.T
+    best = cosine.argmax(axis=1)
+    score = np.clip((1 + cosine[np.arange(len(v)), best]) / 2, 0, 1)
+    names = np.array(langs, dtype=object)[best]
+    names[letters == 0] = "und"
+    score[letters == 0] = 0
+    return names, score
+
+
+def identify_languages(docs: DataFrame, *, dimensions: int = DIMENSIONS, together: int = 2000) -> DataFrame:
     """The language of each whole text, learned from the table's own ``lang``.
 
     ``docs`` needs ``doc_id, text, lang``; other columns are ignored. Learned from
@@ -166,44 +192,58 @@ def identify_languages(docs: DataFrame, *, dimensions: int = DIMENSIONS, max_lan
     held_out, lang_pred, score``.
 
     Letters (lower case) have fixed random vectors of -1 and 1; a run of other
-    characters is a gap. The vectors of three neighbours, permuted by their place,
-    are multiplied to an n-gram vector; a text's profile is the sum of its n-gram
-    vectors, of unit length, a language's prototype the sum of its texts' profiles.
-    What all prototypes have in common is taken off both before the cosine; the
-    score is half of 1 plus the cosine with the predicted language.
-
-    Prototypes are summed within each partition and then in Spark; only these sums,
-    at most ``max_languages`` of them (an error tells of more), reach the driver.
-    Null texts and texts without a letter give ``und`` and score 0, as does a table
-    without any language to learn from. Ties go to the first language by name. Null
-    ids are predicted and not learned from; repeated rows count each time; an empty
-    table gives no rows.
+    characters is a gap, and so is either end of a text. The vectors of three neighbours,
+    permuted by their place, are multiplied to an n-gram vector; a text's profile is the
+    sum of its n-gram vectors, of unit length, a language's prototype the sum of its
+    texts' profiles. What all prototypes have in common is taken off both before the
+    cosine; the score is half of 1 plus the cosine with the predicted language.
+
+    Prototypes are summed within each partition and then in Spark. They are broadcast
+    about ``together`` at a time; where there are more languages, profiles are written
+    once, compared with each such block, and the best of all blocks counts. Null texts
+    and texts without a letter give ``und`` and score 0, as does a table without any
+    language to learn from; a text of one letter has one n-gram, the letter between gaps.
+    Ties go to the first language by name. Null ids are predicted and not learned from;
+    repeated rows count each time; an empty table gives no rows.
     """
     lean_batches(docs.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     train = rows.filter(~held & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("lang", "text")
-    model = docs.sparkSession.sparkContext.broadcast(_prototypes(train, dimensions, max_languages))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, proto, common = model.value
+    models = _prototypes(train, dimensions, together)
+    rows = rows.select("doc_id", held.alias("held_out"), "text")
+    if not models:
+        return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    if len(models) == 1:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                buf, offsets = text_buffer(batch.column(2))
+                for lo, hi in slices(offsets):
+                    names, score = _best(*profiles(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], dimensions), models[0].value)
+                    ids = [batch.column(i).slice(lo, hi - lo) for i in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+
+        return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+
+    def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offsets = text_buffer(batch.column(2))
+            buf, offsets = text_buffer(batch.column(1))
             for lo, hi in slices(offsets):
                 v, letters = profiles(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], dimensions)
-                if langs:
-                    v = v - common
-                    cosine = (v @ proto.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                    best = cosine.argmax(axis=1)
-                    score = np.clip((1 + cosine[np.arange(hi - lo), best]) / 2, 0, 1)
-                    names = np.array(langs, dtype=object)[best]
-                    names[letters == 0] = "und"
-                    score[letters == 0] = 0
-                else:
-                    names, score = np.full(hi - lo, "und", dtype=object), np.zeros(hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(names, pa.string()), pa.array(score, pa.float64())],
-                    names=["doc_id", "held_out", "lang_pred", "score"],
-                )
-
-    return rows.select("doc_id", held.alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+                edges = pa.array(np.arange(hi - lo + 1, dtype=np.int32) * dimensions)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(letters), pa.ListArray.from_arrays(edges, pa.array(v.reshape(-1)))], names=["row", "letters", "v"])
+
+    def compared(model: Broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                names, score = _best(batch.column(2).flatten().to_numpy().reshape(-1, dimensions), batch.column(1).to_numpy(), model.value)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["row", "lang_pred", "score"])
+
+        return run
+
+    numbered = staged(rows.withColumn("row", F.monotonically_increasing_id()))
+    known = staged(numbered.select("row", "text").mapInArrow(profiled, "row bigint, letters bigint, v array<float>"))
+    parts = functools.reduce(DataFrame.unionByName, [known.mapInArrow(compared(m), "row bigint, lang_pred string, score double") for m in models])
+    best = parts.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("s"), "lang_pred")).alias("b"))
+    return numbered.join(best, "row").select("doc_id", "held_out", F.col("b.lang_pred").alias("lang_pred"), (-F.col("b.s")).alias("score"))
