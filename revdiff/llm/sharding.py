@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import staged
@@ -57,60 +57,79 @@ class _FreeSpace:
         return best[0]
 
 
-def best_fit_decreasing(sizes: Sequence[int], capacity: int) -> list[int]:
-    """The bin (from 0) of each item: by decreasing size, each into the fullest bin that still holds it.
+def best_fit_runs(sizes: Sequence[int], counts: Sequence[int], capacity: int, most: int | None = None) -> list[list[tuple[int, int]]] | None:
+    """Bins (from 0) of ``counts[i]`` items of ``sizes[i]`` each, sizes descending, as runs (bin, how many).
 
-    Items of equal size go in their given order, and of equally full bins the first
-    is taken. A new bin is opened only if no bin has room. An item above the
-    capacity has a bin of its own.
+    Best fit decreasing: each item goes into the fullest bin that still holds it, the
+    first of equally full ones, or else into a new bin. The bin that takes an item is still
+    the fullest with room for the next of its size, so equal items are placed in runs. An
+    item above the capacity has a bin of its own. None if more than ``most`` bins are needed.
     """
-    free, out, bins = _FreeSpace(), [0] * len(sizes), 0
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        got = free.take_tightest(sizes[i])
-        left, at = got if got else (max(capacity, sizes[i]), bins)
-        bins += got is None
-        out[i] = at
-        free.add((left - sizes[i], at))
+    free, out, bins = _FreeSpace(), [], 0
+    for size, count in zip(sizes, counts):
+        runs = []
+        while count:
+            got = free.take_tightest(size)
+            if got is None and bins == most:
+                return None
+            left, at = got if got else (max(capacity, size), bins)
+            bins += got is None
+            here = min(count, left // size)
+            runs.append((at, here))
+            free.add((left - here * size, at))
+            count -= here
+        out.append(runs)
+    return out
+
+
+def best_fit_decreasing(sizes: Sequence[int], capacity: int) -> list[int]:
+    """The bin (from 0) of each item, by ``best_fit_runs``; items of equal size go in their given order."""
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    out = [0] * len(sizes)
+    for i, runs in zip(order, best_fit_runs([sizes[i] for i in order], [1] * len(order), capacity)):
+        out[i] = runs[0][0]
     return out
 
 
-def balanced_bins(sizes: Sequence[int], bins: int) -> list[int]:
-    """Items in ``bins`` bins of near-equal sums, by best fit decreasing.
+def balanced_runs(sizes: Sequence[int], counts: Sequence[int], bins: int) -> list[list[tuple[int, int]]]:
+    """``counts[i]`` items of ``sizes[i]`` (descending) in ``bins`` bins of near-equal sums, as runs (bin, how many).
 
     While the largest item is above an equal share of what remains, it takes a bin
     of its own. For the others, the smallest capacity is searched at which best fit
     decreasing needs no more than the remaining bins.
     """
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    left, out, alone = sum(sizes), [0] * len(sizes), 0
-    while alone < min(bins - 1, len(order)) and sizes[order[alone]] * (bins - alone) > left:
-        out[order[alone]] = alone
-        left -= sizes[order[alone]]
-        alone += 1
-    rest = order[alone:]
+    left, alone, counts = sum(s * c for s, c in zip(sizes, counts)), 0, list(counts)
+    out: list[list[tuple[int, int]]] = [[] for _ in sizes]
+    for i, size in enumerate(sizes):
+        while counts[i] and alone < bins - 1 and size * (bins - alone) > left:
+            out[i].append((alone, 1))
+            counts[i] -= 1
+            alone += 1
+            left -= size
+        if counts[i]:
+            break
+    rest = [i for i, c in enumerate(counts) if c]
     if not rest:
         return out
-    items, n = [sizes[i] for i in rest], bins - alone
-    low = max(items[0], math.ceil(left / n))
-    high, best = 2 * low, None
-    while best is None or low < high:
-        capacity = (low + high) // 2 if best is not None else high
-        packed = best_fit_decreasing(items, capacity)
-        if max(packed) < n:
-            best, high = packed, capacity
-        elif best is None:
-            high *= 2
-        else:
-            low = capacity + 1
-    for i, at in zip(rest, best):
-        out[i] = alone + at
+    own, n = ([sizes[i] for i in rest], [counts[i] for i in rest]), bins - alone
+    low = max(own[0][0], math.ceil(left / n))
+    failed, capacity, step = low - 1, low, 1
+    while (best := best_fit_runs(*own, capacity, n)) is None:
+        failed, capacity, step = capacity, low + step, 2 * step
+    while capacity - failed > 1:
+        middle = (capacity + failed) // 2
+        packed = best_fit_runs(*own, middle, n)
+        best, capacity, failed = (packed, middle, failed) if packed is not None else (best, capacity, middle)
+    for i, runs in zip(rest, best):
+        out[i] += [(alone + at, k) for at, k in runs]
     return out
 
 
-#: A group of at least 1 / (shards * HEAVY) of all bytes is a unit of its own, so that there are at most shards * HEAVY of them.
-HEAVY = 512
-#: All smaller groups are dealt by a hash of the group into shards * PARCELS parcels, which are the other units.
-PARCELS = 1024
+#: Highest bits of a group's size that count, the rest being rounded up: sizes below 2 ** 14 are exact, larger ones
+#: to 1 / 8192. So there are at most 8192 sizes for each doubling, whatever the number of groups.
+SIZE_BITS = 14
+#: Groups or rows, about, that are numbered in one task.
+CELL_ROWS = 20_000
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -123,19 +142,48 @@ def _sized(docs: DataFrame) -> DataFrame:
     )
 
 
-def with_slots(df: DataFrame, rows: int, shards: int) -> DataFrame:
-    """Add ``slot``: the place of each row in its ``shard``, without gaps from 0, by a hash of doc_id.
+def rounded_size(size: Column) -> Column:
+    """``size`` with its ``SIZE_BITS`` highest bits, rounded up."""
+    step = F.pow(F.lit(2.0), F.greatest(F.length(F.bin(size)) - SIZE_BITS, F.lit(0)))
+    return (F.ceil(size / step) * step).cast("bigint")
+
 
-    A shard is dealt into cells by that hash; a cell's rows are numbered by themselves
-    from the count of the cells before it, so that no task holds a whole shard.
+def numbered(df: DataFrame, keys: list[str], order: list[str], salt: Column, cells: int, name: str) -> DataFrame:
+    """Add ``name``: the place of each row among those of its ``keys``, without gaps from 0.
+
+    Rows are dealt into cells by a hash of ``salt``; a cell's rows are numbered by
+    themselves from the count of the cells before it, so that no task holds all rows of a
+    key. ``df`` is read twice.
+    """
+    df = df.withColumn("__cell", F.pmod(F.xxhash64(salt), F.lit(cells)))
+    counts = df.groupBy(*keys, "__cell").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*keys, "__cell", F.coalesce(before, F.lit(0)).alias("__base"))
+    number = F.row_number().over(Window.partitionBy(*keys, "__cell").orderBy(*order))
+    return df.join(starts, [*keys, "__cell"]).withColumn(name, F.col("__base") + number - 1).drop("__cell", "__base")
+
+
+def group_shards(groups: DataFrame, shards: int) -> DataFrame:
+    """``grp, shard`` of each group (``grp, size``), by best fit decreasing into ``shards`` shards of near-equal sizes.
+
+    Which group of a size goes where doesn't matter to the packing. So the driver
+    packs the table of sizes and their counts, which ``SIZE_BITS`` bounds, and gives for
+    each size the runs of groups, by number, that a shard takes; the groups of each size are
+    numbered in Spark and look up their run. Every group is packed by its size; none
+    is dealt by a hash.
     """
-    cells = max(128, math.ceil(rows / (shards * 20_000)))
-    df = df.withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(cells)))
-    counts = df.groupBy("shard", "cell").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("shard", "cell", F.coalesce(before, F.lit(0)).alias("base"))
-    number = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "size"))
-    return df.join(starts, ["shard", "cell"]).withColumn("slot", F.col("base") + number - 1).drop("cell", "base")
+    groups = staged(groups.withColumn("rounded", rounded_size(F.col("size"))))
+    sizes = groups.groupBy("rounded").agg(F.count("*").alias("n")).toPandas().sort_values("rounded", ascending=False)
+    rows = []
+    for size, runs in zip(sizes["rounded"].tolist(), balanced_runs(sizes["rounded"].tolist(), sizes["n"].tolist(), shards)):
+        first = 0
+        for at, k in runs:
+            rows.append((size, first, first + k - 1, at))
+            first += k
+    table = groups.sparkSession.createDataFrame(pd.DataFrame(rows, columns=["rounded", "first", "last", "shard"]), "rounded bigint, first bigint, last bigint, shard int")
+    cells = max(1, math.ceil(sizes["n"].sum() / CELL_ROWS))
+    own = numbered(groups, ["rounded"], ["grp"], F.col("grp"), cells, "number")
+    return own.join(F.broadcast(table), (own.rounded == table.rounded) & F.col("number").between(F.col("first"), F.col("last"))).select("grp", "shard")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
@@ -146,43 +194,30 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     row of ``docs``: ``doc_id, size, text_crc32, law`` (always ``bytes``), ``shard,
     slot, grown_shard`` (null).
 
-    Groups are documents of one text hash. The groups that matter for the balance
-    are packed one by one, the rest in parcels; both are bounded in number by the
-    shards, never by the data, so the packing itself runs on the driver and its
-    result is broadcast. A parcel is about 1 / (shards * PARCELS) of all bytes, which
-    is how near to equal the shards get. A group above an equal share has a shard of
-    its own. Null ids and repeated rows are kept as rows; an empty table gives none.
+    Groups are documents of one text hash, and indivisible; they are packed by
+    ``group_shards``. A group above an equal share has a shard of its own. Null ids and
+    repeated rows are kept as rows, and their numbering is spread over tasks too, by a
+    random number that is written with each row; an empty table gives no rows.
     """
-    base = staged(_sized(docs))
-    total = base.agg(F.sum("size").alias("s"), F.count("*").alias("n")).first()
+    base = staged(_sized(docs).withColumn("salt", F.rand(7)))
     groups = base.groupBy("grp").agg(F.sum("size").alias("size"))
-    heavy = F.col("size") * (shards * HEAVY) >= F.lit(total["s"] or 0)
-    parcel = F.pmod(F.xxhash64(F.col("grp"), F.lit("parcel")), F.lit(shards * PARCELS))
-    units = (
-        groups.select(heavy.alias("heavy"), F.when(heavy, F.col("grp")).otherwise(parcel).alias("unit"), "size")
-        .groupBy("heavy", "unit")
-        .agg(F.sum("size").alias("size"))
-        .toPandas()
-        .sort_values(["size", "heavy", "unit"], ascending=[False, False, True])
-    )
-    units["shard"] = balanced_bins(units["size"].tolist(), shards)
-    spark = base.sparkSession
-    large = units[units["heavy"].astype(bool)]
-    small = units[~units["heavy"].astype(bool)]
-    frame = lambda rows, key, out: spark.createDataFrame(
-        [(int(a), int(b)) for a, b in zip(rows["unit"], rows["shard"])], f"{key} bigint, {out} int"
-    )
-    placed = (
-        base.join(F.broadcast(frame(large, "grp", "heavy_shard")), "grp", "left")
-        .withColumn("parcel", parcel)
-        .join(F.broadcast(frame(small, "parcel", "light_shard")), "parcel", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("heavy_shard", "light_shard").alias("shard"))
-    )
-    return with_slots(placed, total["n"], shards).select(
+    placed = staged(base.join(staged(group_shards(groups, shards)), "grp"))
+    cells = max(128, math.ceil(placed.count() / (shards * CELL_ROWS)))
+    return numbered(placed, ["shard"], ["doc_id", "text_crc32", "size", "salt"], F.col("salt"), cells, "slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 
 
+def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:
+    """Write ``docs``, all columns, as Parquet under ``path``, a folder ``shard=k`` for each of the shards of ``shard_documents``."""
+    key = "grp"
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    groups = _sized(docs).groupBy("grp").agg(F.sum("size").alias("size"))
+    keyed.join(staged(group_shards(groups, shards)).withColumnRenamed("grp", key), key).drop(key).write.partitionBy("shard").parquet(path)
+
+
 def pack_fixed_capacity(groups: DataFrame, capacity: int, region_bins: int = 256) -> DataFrame:
     """Few shards of a fixed capacity for any number of groups.
 
