@@ -1,4 +1,4 @@
-"""Language-model scores: words, and the lattice of all their segmentations into pieces."""
+"""Language-model scores: the lattice of all segmentations of a text's words into pieces."""
 
 from __future__ import annotations
 
@@ -16,8 +16,6 @@ from .textbatch import Words, signed, slices, text_buffer
 
 #: Words whose values are broadcast; all others are joined.
 HEAD_WORDS = 300_000
-#: Weights of the word counts that are tried.
-_WEIGHTS = tuple(round(1 - 0.5 * 0.75**i, 6) for i in range(24))
 _MARK = "▁"
 _LOG10 = float(np.log(10.0))
 
@@ -144,23 +142,12 @@ class Lattice:
         return total
 
 
-def _earlier(words: Words) -> np.ndarray:
-    """How many earlier words of its text each word equals."""
-    order = np.lexsort((words.hash, words.doc))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (words.hash[order[1:]] != words.hash[order[:-1]]) | (words.doc[order[1:]] != words.doc[order[:-1]])
-    begin = np.flatnonzero(fresh)
-    out = np.empty(len(order), np.int64)
-    out[order] = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
-    return out
-
-
 def _held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 7 == 2, F.lit(False))
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of each slice with their occurrences in training texts."""
+    """Distinct words of each slice with their occurrences in training texts, and in all."""
     for batch in batches:
         train = batch.column(0).to_numpy(zero_copy_only=False)
         buf, offsets = text_buffer(batch.column(1))
@@ -173,117 +160,120 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counted = np.concatenate([[0], np.cumsum(train[lo:hi][words.doc[order]].astype(np.int64))])
             edge = np.append(np.flatnonzero(fresh), len(order))
             count = counted[edge[1:]] - counted[edge[:-1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(words.hash[first])), pa.array(words.strings(first), pa.string()), pa.array(count)], names=["h", "word", "c"]
-            )
+            columns = [pa.array(signed(words.hash[first])), pa.array(words.strings(first), pa.string()), pa.array(count), pa.array(np.diff(edge))]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "word", "c", "n"])
 
 
-def _start(vocab: Sequence[tuple[str, float]]) -> tuple[list[str], np.ndarray]:
-    """Pieces for words, and log probabilities from the vocabulary's scores.
+def word_pieces(vocab: Sequence[tuple[str, float]], scores: str) -> tuple[list[str], np.ndarray]:
+    """The pieces that words can be made of, with the 256 bytes after them, and their logarithmic weights.
 
-    Scores of at most 0 that are whole ranks are taken by Zipf's law, one over the
-    rank; others are log probabilities already.
+    ``scores`` says what the vocabulary's scores are: ``log``, logarithms of
+    probabilities, or ``rank``, negated ranks, to which Zipf's law gives one over the rank.
+    A byte has the weight of the least piece.
     """
     own = [(p, s) for p, s in vocab if not (p.startswith("<") and p.endswith(">")) and _MARK not in p[1:]]
     score = np.array([s for _, s in own])
-    ranks = len(score) and score.min() < -1000 and (score == np.round(score)).all()
-    log_p = -np.log(2 - score) if ranks else score
-    log_p = np.append(log_p, np.full(256, log_p.min() if len(log_p) else 0.0))
-    return [p for p, _ in own], log_p - np.logaddexp.reduce(log_p)
+    weight = {"log": lambda: score, "rank": lambda: -np.log(2 - score)}[scores]()
+    weight = np.append(weight, np.full(256, weight.min(initial=0.0)))
+    return [p for p, _ in own], weight - np.logaddexp.reduce(weight)
 
 
-def score_documents(docs: DataFrame, *, path: str | None = None, rounds: int = 2, memory: float = 800.0, head: int = HEAD_WORDS) -> DataFrame:
-    """log10 probability of each whole text under a model learned from the table.
+def fit_pieces(words: DataFrame, ends: int, pieces: Sequence[str], log_p: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
+    """Logarithmic probabilities of pieces and bytes, and that of the end, fitted to ``words`` (``word, c``) by expectation maximisation.
 
-    ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Text is
-    lower-cased (A-Z); tokens are its runs without space and ``\\t\\n\\v\\f\\r`` and one
-    end. Learned from are rows whose crc32(doc_id as text) modulo 7 isn't 2. Returns
-    a row per row of ``docs``: ``doc_id, held_out, n_tokens, n_known, train_tokens,
-    base_score, score``. ``base_score`` sums log10((c + 1) / (N + V + 1)).
-
-    The model draws a token either by its training count, c / N, or as a string of
-    pieces: its probability there is the sum over all segmentations, by a forward
-    recursion in logarithms. Pieces are a public unigram vocabulary (``path``);
-    their probabilities begin at the vocabulary's scores and are fitted to all
-    training words by ``rounds`` rounds of expectation maximisation. The weight of
-    the two ways is the best of 24 when each training token is left out in turn.
-
-    A text's own earlier tokens then count besides that model, which stands for
-    ``memory`` tokens: after i tokens, k of them equal to the next, its probability
-    is (memory * P + k) / (memory + i). So the scores of a text's tokens multiply to
-    a probability of the text.
-
-    Counting, fitting and scoring go over the distinct words, which Spark gathers;
-    only sums by piece, as many as the vocabulary has, reach the driver. The values
-    of the ``head`` most frequent words are broadcast; of all other words a document
-    has a row each, which is joined with the word table. Null texts are empty, with
-    the end as their only token. Null ids are learned from; repeated rows count each
-    time; an empty table gives no rows.
+    A piece's probability is its expected share of all pieces and ends, 0.01 added to
+    each; so pieces and the end together have probability 1. The words stay in Spark; what
+    reaches the driver is a sum for each piece.
     """
-    lean_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    rows = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), _held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text")
-    )
-    counts = rows.select(~F.col("held_out"), "text").mapInArrow(_word_counts, "h bigint, word string, c bigint")
-    words = staged(counts.groupBy("h", "word").agg(F.sum("c").alias("c")))
-    ends = rows.filter(~F.col("held_out")).count()
-    size = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
-    n, v = (size["n"] or 0) + ends, size["v"] + (ends > 0)
-
-    pieces, log_p = _start(vocabulary.load(path)[0])
-    trie = spark.sparkContext.broadcast(Lattice(pieces))
+    spark = words.sparkSession
+    lattice = spark.sparkContext.broadcast(Lattice(pieces))
+    ends = ends + 0.01
 
     def expected(weights):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(trie.value.size)
+            total = np.zeros(lattice.value.size)
             for batch in batches:
-                total += trie.value.expected_counts(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float), weights.value)
+                total += lattice.value.expected_counts(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float), weights.value)
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["piece", "n"])
 
         return run
 
+    total = np.exp(log_p)
     for _ in range(rounds):
         weights = spark.sparkContext.broadcast(log_p)
         used = words.filter("c > 0").select("word", "c").mapInArrow(expected(weights), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
         total = np.full(len(log_p), 0.01)
         total[used["piece"].to_numpy(int)] += used["n"].to_numpy(float)
-        log_p = np.log(total / (total.sum() + ends + 0.01))
-    end_lattice = float(np.log10(max(1 - np.exp(log_p).sum(), 1e-12)))  # the end is one more piece
-    weights = spark.sparkContext.broadcast(log_p)
+        log_p = np.log(total / (total.sum() + ends))
+    return log_p, float(np.log(ends / (total.sum() + ends)))
 
-    def marginal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            value = trie.value.log_probs(batch.column(1).to_pylist(), weights.value) / _LOG10
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(value)], names=["h", "c", "lattice"])
 
-    scored = staged(words.mapInArrow(marginal, "h bigint, c bigint, lattice double"))
-    ten = F.pow(F.lit(10.0), F.col("lattice"))
-    left_out = [F.sum(F.col("c") * F.log(w * (F.col("c") - 1) / max(n - 1, 1) + (1 - w) * ten + 1e-300)).alias(f"w{i}") for i, w in enumerate(_WEIGHTS)]
-    sums = scored.filter("c > 0").agg(*left_out).first()
-    weight = _WEIGHTS[max(range(len(_WEIGHTS)), key=lambda i: sums[f"w{i}"] if sums[f"w{i}"] is not None else 0.0)] if n else 0.5
+def score_documents(docs: DataFrame, *, path: str | None = None, scores: str = "rank", rounds: int = 2, head: int = HEAD_WORDS) -> DataFrame:
+    """log10 probability of each whole text under a subword lattice model fitted to the table.
 
-    def log_sum(c: Column, lattice: Column) -> Column:
-        known = F.log10(weight * c / max(n, 1) + (1 - weight) * F.pow(F.lit(10.0), lattice))
-        return F.when(c > 0, known).otherwise(float(np.log10(1 - weight)) + lattice)
+    ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Text is
+    lower-cased (A-Z); tokens are its runs without space and ``\\t\\n\\v\\f\\r`` and one
+    end. Learned from are rows whose crc32(doc_id as text) modulo 7 isn't 2. Returns
+    a row per row of ``docs``: ``doc_id, held_out, n_tokens, n_known, train_tokens,
+    base_score, score, mixed_score``. ``base_score`` sums log10((c + 1) / (N + V + 1)).
+
+    ``score`` is the marginal over all ways to cut the text into pieces of a public
+    unigram vocabulary (``path``), as no piece crosses words: the sum over its words of
+    the forward recursion's result, and the end. The pieces' probabilities begin at the
+    vocabulary's scores (of the kind ``scores``) and are fitted to all training words by
+    ``rounds`` rounds of expectation maximisation.
+
+    ``mixed_score`` is another column, for comparison: there a word is drawn by its
+    training count with the prior (N - V) / N, and else as pieces.
+
+    Counting, fitting and scoring go over the distinct words, which Spark gathers. The
+    values of the ``head`` words that occur most often in all texts are broadcast; of all
+    other words a document has a row for each, which is joined with the word table. Null
+    texts are empty, with the end as their only token. Null ids are learned from; repeated
+    rows count each time; an empty table gives no rows.
+    """
+    lean_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    rows = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), _held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text")
+    )
+    counts = rows.select(~F.col("held_out"), "text").mapInArrow(_word_counts, "h bigint, word string, c bigint, n bigint")
+    words = staged(counts.groupBy("h", "word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")))
+    ends = rows.filter(~F.col("held_out")).count()
+    size = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    n, v = (size["n"] or 0) + ends, size["v"] + (ends > 0)
+
+    pieces, log_p = word_pieces(vocabulary.load(path)[0], scores)
+    log_p, log_end = fit_pieces(words, ends, pieces, log_p, rounds)
+    lattice, weights = spark.sparkContext.broadcast(Lattice(pieces)), spark.sparkContext.broadcast(log_p)
+
+    def marginal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value = lattice.value.log_probs(batch.column(1).to_pylist(), weights.value) / _LOG10
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(value)], names=["h", "c", "n", "score"])
 
     def base(c: Column) -> Column:
         return F.log10((c + 1) / F.lit(float(n + v + 1)))
 
-    values = scored.select("h", "c", base(F.col("c")).alias("base"), log_sum(F.col("c"), F.col("lattice")).alias("score"))
-    end_base, end_score = (
-        spark.range(1).select(base(F.lit(ends)).alias("b"), log_sum(F.lit(ends), F.lit(end_lattice)).alias("s")).first()
-    )
-    often = scored.groupBy("c").agg(F.count("*").alias("k")).orderBy(F.desc("c")).limit(100_000).toArrow().to_pandas()
+    prior = max(0.0, min(1 - v / n, 1 - 1e-9)) if n else 0.0
+
+    def mixed(c: Column, score: Column) -> Column:
+        return F.when(c > 0, F.log10(prior * c / max(n, 1) + (1 - prior) * F.pow(F.lit(10.0), score))).otherwise(float(np.log10(1 - prior)) + score)
+
+    values = words.mapInArrow(marginal, "h bigint, c bigint, n bigint, score double")
+    values = staged(values.select("h", "n", (F.col("c") > 0).cast("int").alias("known"), base(F.col("c")).alias("base"), "score", mixed(F.col("c"), F.col("score")).alias("mixed")))
+    end_score = log_end / _LOG10
+    end = spark.range(1).select(base(F.lit(ends)).alias("b"), F.lit(end_score).alias("s"), mixed(F.lit(ends), F.lit(end_score)).alias("m")).first()
+    often = values.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).limit(100_000).toArrow().to_pandas()
     fits = often[often["k"].cumsum() <= head]
-    least = int(fits["c"].min()) if len(fits) else (int(often["c"].max()) + 1 if len(often) else 0)
-    top: pd.DataFrame = values.filter(F.col("c") >= least).toArrow().to_pandas().sort_values("h")
-    table = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), top["base"].to_numpy(float), top["score"].to_numpy(float), (top["c"] > 0).to_numpy()))
+    least = int(fits["n"].min()) if len(fits) else (int(often["n"].max()) + 1 if len(often) else 0)
+    top: pd.DataFrame = values.filter(F.col("n") >= least).toArrow().to_pandas().sort_values("h")
+    table = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), top[_SUMS].to_numpy(float)))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text with the sums of its frequent words, and one for each of its other words."""
-        keys, bases, scores, known = table.value
+        """A row for each text with the sums of its frequent words, and one for each of its other words with their number."""
+        keys, known = table.value
         for batch in batches:
             buf, offsets = text_buffer(batch.column(3))
             for lo, hi in slices(offsets):
@@ -292,49 +282,35 @@ def score_documents(docs: DataFrame, *, path: str | None = None, rounds: int = 2
                 h = signed(words_.hash)
                 at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
                 hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-                before = _earlier(words_)
-                total = memory + np.arange(len(h)) - words_.first[words_.doc]
-                near = np.log10(memory / total)
-                doc, at = words_.doc[hit], at[hit]
-                k_hit, one = before[hit], scores[at]
-                adapted = np.where(k_hit > 0, np.log10((memory * 10.0**one + k_hit) / total[hit]), one + near[hit])
-                add = lambda x, of=doc: np.bincount(of, weights=x, minlength=k) if len(of) else np.zeros(k)
+                sums = [np.bincount(words_.doc[hit], weights=known[at[hit], i], minlength=k) if hit.any() else np.zeros(k) for i in range(len(_SUMS))]
                 own = batch.slice(lo, k)
-                sums_ = [np.diff(words_.first) + 1, add(known[at].astype(float)) + (ends > 0), add(bases[at]) + end_base, add(adapted) + end_score + np.log10(memory / (memory + np.diff(words_.first)))]
-                kinds = [np.int64, np.int64, float, float]
-                yield pa.RecordBatch.from_arrays(
-                    [own.column(0), own.column(1), own.column(2), pa.nulls(k, pa.int64()), *(pa.array(x.astype(t)) for x, t in zip(sums_, kinds))], names=_SPLIT
-                )
-                rest = words_.doc[~hit]
-                if len(rest):
-                    m = len(rest)
-                    yield pa.RecordBatch.from_arrays(
-                        [own.column(0).take(pa.array(rest)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(h[~hit]),
-                         pa.nulls(m, pa.int64()), pa.array(before[~hit]), pa.nulls(m, pa.float64()), pa.array(near[~hit])],
-                        names=_SPLIT,
-                    )
+                ids = [own.column(i) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.nulls(k, pa.int64()), pa.array(np.diff(words_.first) + 1), *map(pa.array, sums)], names=_SPLIT)
+                order = np.lexsort((h[~hit], words_.doc[~hit]))
+                doc, other = words_.doc[~hit][order], h[~hit][order]
+                if len(doc):
+                    fresh = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (other[1:] != other[:-1])))
+                    m, times = len(fresh), np.diff(np.append(fresh, len(doc)))
+                    ids = [own.column(0).take(pa.array(doc[fresh])), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_())]
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array(other[fresh]), pa.array(times), *[pa.nulls(m, pa.float64())] * len(_SUMS)], names=_SPLIT)
 
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    parts = staged(numbered.mapInArrow(split, "row bigint, doc_id bigint, held_out boolean, h bigint, n_tokens bigint, n_known bigint, base double, score double"))
-    # in the rows of single words, n_known is k and score is log10(memory / (memory + i))
-    rest = parts.filter("h IS NOT NULL").select("row", "h", F.col("n_known").alias("k"), F.col("score").alias("near"))
-    tail = rest.join(values.filter(F.col("c") < least), "h")
-    again = F.log10(F.pow(F.lit(10.0), F.col("score")) + F.col("k") / F.lit(memory)) + F.col("near")
-    tail = tail.withColumn("score", F.when(F.col("k") > 0, again).otherwise(F.col("score") + F.col("near")))
-    tail = tail.groupBy("row").agg(F.count(F.when(F.col("c") > 0, 1)).alias("more_known"), F.sum("base").alias("more_base"), F.sum("score").alias("more_score"))
-    return (
-        parts.filter("h IS NULL")
-        .join(tail, "row", "left")
-        .select(
-            "doc_id",
-            "held_out",
-            "n_tokens",
-            (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-            F.lit(n).cast("bigint").alias("train_tokens"),
-            (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-            (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
-        )
+    parts = staged(numbered.mapInArrow(split, "row bigint, doc_id bigint, held_out boolean, h bigint, n_tokens bigint, " + ", ".join(f"{x} double" for x in _SUMS)))
+    rest = parts.filter("h IS NOT NULL").select("row", "h", F.col("n_tokens").alias("k"))
+    tail = rest.join(values.filter(F.col("n") < least), "h").groupBy("row").agg(*(F.sum(F.col(x) * F.col("k")).alias(f"more_{x}") for x in _SUMS))
+    whole = parts.filter("h IS NULL").join(tail, "row", "left")
+    total = {x: F.col(x) + F.coalesce(f"more_{x}", F.lit(0.0)) for x in _SUMS}
+    return whole.select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        (total["known"] + int(ends > 0)).cast("bigint").alias("n_known"),
+        F.lit(n).cast("bigint").alias("train_tokens"),
+        (total["base"] + end["b"]).alias("base_score"),
+        (total["score"] + end["s"]).alias("score"),
+        (total["mixed"] + end["m"]).alias("mixed_score"),
     )
 
 
-_SPLIT = ["row", "doc_id", "held_out", "h", "n_tokens", "n_known", "base", "score"]
+_SUMS = ["known", "base", "score", "mixed"]
+_SPLIT = ["row", "doc_id", "held_out", "h", "n_tokens", *_SUMS]
