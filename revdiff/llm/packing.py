@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -63,13 +64,35 @@ def document_keys(buf: np.ndarray, offsets: np.ndarray, projection: np.ndarray)
     return hilbert_key(np.minimum((cube * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Rows from which the bounds of the partitions are taken, about, and bytes of text in a partition.
+SAMPLE_ROWS, PARTITION_BYTES = 20_000, 32 << 20
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``place``: the Hilbert key and, below it, the highest bits of ``tie``, before the other columns; the text comes first."""
     projection = _projection()
     for batch in batches:
-        buf, offsets = text_buffer(batch.column(1))
-        keys = [document_keys(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], projection) for a, b in slices(offsets)]
-        key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key, pa.int64())], names=["doc_id", "text", "curve"])
+        buf, offsets = text_buffer(batch.column(0))
+        for lo, hi in slices(offsets):
+            key = document_keys(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], projection)
+            own = batch.slice(lo, hi - lo)
+            tie = own.column(1).to_numpy().view(np.uint64) >> np.uint64(DIMENSIONS * BITS + 1)
+            place = (key << (63 - DIMENSIONS * BITS)) | tie.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(place), *own.columns], names=["place", *own.schema.names])
+
+
+def _bounds(rows: DataFrame, partitions: int | None) -> np.ndarray:
+    """Places at which partitions of about equal bytes begin, but for the first."""
+    n = rows.count()
+    sample = rows if n <= SAMPLE_ROWS else rows.sample(SAMPLE_ROWS / n, seed=10)
+    sample = sample.mapInArrow(_places, "place bigint, text string, tie bigint, doc_id bigint").select("place", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).toArrow()
+    place, size = sample["place"].to_numpy(), sample["size"].to_numpy().astype(np.int64) + 1
+    if partitions is None:
+        partitions = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(float(size.mean()) * n / PARTITION_BYTES)) if len(size) else 1
+    order = np.argsort(place)
+    reached = np.cumsum(size[order])
+    at = np.searchsorted(reached, np.arange(1, partitions) * (reached[-1] if len(reached) else 0) / partitions)
+    return np.unique(place[order][at]) if len(place) else place
 
 
 _OUT = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.list_(pa.int32()))]
@@ -146,17 +169,24 @@ def pack_documents(docs: DataFrame, *, size: int = 1024, tokenizer: str | None =
 
     A document's signed, hashed word counts are projected to 3 dimensions; rows are
     range-partitioned and sorted by the place on the Hilbert curve through that cube
-    and, as copies share a place, by a hash of the id, so that a hot text is spread
-    over partitions. Each partition is one stream that is cut every ``size`` tokens;
-    its last tokens become sequences whose lengths are powers of two, so nothing is
-    padded. Texts are shuffled once and tokenised once, after the shuffle. Null ids
-    and repeated rows are packed like others; an empty table gives no rows.
+    and, as copies share a place, by a hash of the id and the row's number in the input, so
+    that a hot text is spread over partitions, whatever its ids. The ranges are those of a
+    sample of about ``SAMPLE_ROWS`` rows and hold about ``PARTITION_BYTES`` of text each, so
+    that a task doesn't grow with the input. Each partition is one stream that is cut every
+    ``size`` tokens; its last tokens become sequences whose lengths are powers of two, so
+    nothing is padded. Texts are shuffled once and tokenised once, after the shuffle. Null
+    ids and repeated rows are packed like others; an empty table gives no rows.
     """
     lean_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = rows.mapInArrow(_keyed, "doc_id bigint, text string, curve bigint")
-    tie = F.xxhash64("doc_id")
-    ordered = keyed.repartitionByRange(n, "curve", tie).sortWithinPartitions("curve", tie, "doc_id", F.xxhash64("text")).select("doc_id", "text")
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("bigint"), F.monotonically_increasing_id()).alias("tie"), F.col("doc_id").cast("bigint").alias("doc_id"))
+    bounds = _bounds(rows, partitions)
+    begins = docs.sparkSession.sparkContext.broadcast(bounds)
+
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _places(batches):
+            part = np.searchsorted(begins.value, batch.column(0).to_numpy(), side="right")
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), batch.column(0), batch.column(3), batch.column(1)], names=["part", "place", "doc_id", "text"])
+
+    keyed = rows.mapInArrow(ranged, "part int, place bigint, doc_id bigint, text string")
+    ordered = keyed.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("place", "doc_id", F.xxhash64("text")).select("doc_id", "text")
     return ordered.mapInArrow(_packed(size, tokenizer), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids array<int>")
