@@ -63,10 +63,46 @@ def test_scores_of_documents(spark):
         assert r.held_out == (zlib.crc32(str(i).encode()) % 7 == 2) and r.train_tokens == n
         assert (r.n_tokens, r.n_known) == (len(own), sum(count[w] > 0 for w in own))
         assert r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in own))
-        assert r.score < 0 and math.isfinite(r.score) and r.score == pytest.approx(few[i].score)
+        assert r.score < 0 and math.isfinite(r.score) and (r.score, r.mixed_score) == pytest.approx((few[i].score, few[i].mixed_score))
         assert (few[i].n_tokens, few[i].n_known, few[i].base_score) == (r.n_tokens, r.n_known, pytest.approx(r.base_score))
 
 
+def test_document_score_is_the_marginal_of_its_segmentations(spark, monkeypatch):
+    vocab = [("<unk>", 0.0), ("▁", -3.0), ("a", -1.0), ("b", -2.0), ("ab", -1.5), ("▁a", -1.0), ("ba", -2.5), ("a▁b", -1.0)]
+    monkeypatch.setattr(lattice_lm.vocabulary, "load", lambda path: (vocab, 0))
+    pieces, log_p = lattice_lm.word_pieces(vocab, "log")
+    assert pieces == ["▁", "a", "b", "ab", "▁a", "ba"] and np.exp(log_p).sum() == pytest.approx(1)
+    assert lattice_lm.word_pieces([("x", 0.0), ("y", -1.0)], "rank")[1][0] - lattice_lm.word_pieces([("x", 0.0), ("y", -1.0)], "rank")[1][1] == pytest.approx(math.log(1.5))
+    texts = ["a ab abab", "baba é", "", None, "ab AB  abb", "b bé a", "abba baab"]
+
+    def cuts(word):
+        """All segmentations of a word, as lists of piece numbers."""
+        if not word:
+            return [[]]
+        out = [[n, *rest] for n, p in enumerate(pieces) if word.startswith(p) for rest in cuts(word[len(p) :])]
+        if word[0] not in "▁ab":
+            out += [[*(len(pieces) + x for x in word[0].encode()), *rest] for rest in cuts(word[1:])]
+        return out
+
+    words = [["▁" + w for w in (t or "").lower().split()] for t in texts]
+    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 7 != 2]
+    p = np.exp(log_p)
+    for _ in range(3):
+        used = np.full(len(p), 0.01)
+        for i in train:
+            for w in words[i]:
+                ways = cuts(w)
+                chance = np.array([np.prod(p[x]) for x in ways])
+                for x, c in zip(ways, chance / chance.sum()):
+                    np.add.at(used, x, c)
+        p = used / (used.sum() + len(train) + 0.01)
+    end = (len(train) + 0.01) / (used.sum() + len(train) + 0.01)
+    assert p.sum() + end == pytest.approx(1)
+    got = {r.doc_id: r.score for r in lattice_lm.score_documents(table(spark, texts), scores="log", rounds=3).collect()}
+    for i, own in enumerate(words):
+        assert got[i] == pytest.approx(sum(math.log10(sum(np.prod(p[x]) for x in cuts(w))) for w in own) + math.log10(end))
+
+
 def test_score_edge_cases(spark, edge):
     assert lattice_lm.score_documents(edge).count() == len(EDGE)
     assert lattice_lm.score_documents(spark.createDataFrame([], SCHEMA)).count() == 0
@@ -86,8 +122,45 @@ def test_language_edge_cases(spark, edge):
     assert {got[i].lang_pred for i in (0, 1, 2, 11)} == {"und"} and got[3].lang_pred == "en" and got[1].score == 0
     assert {r.lang_pred for r in langid.identify_languages(edge.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert langid.identify_languages(spark.createDataFrame([], SCHEMA)).count() == 0
-    with pytest.raises(ValueError, match="languages"):
-        langid.identify_languages(edge.withColumn("lang", F.col("doc_id").cast("string")), max_languages=2)
+    assert got[3].score > 0.5
+
+
+def test_languages_equal_brute_force(spark):
+    vector = lambda c: langid.letter_vectors(np.array([c]), 512)[0].astype(int)
+
+    def profile(text):
+        codes = [0]
+        for c in text or "":
+            code = ord(c.lower()) if c.isalpha() else 0
+            if code or codes[-1]:
+                codes.append(code)
+        if codes[-1]:
+            codes.append(0)
+        total = np.zeros(512)
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            total += vector(a) * np.roll(vector(b), 1) * np.roll(vector(c), 2)
+        return total / max(np.linalg.norm(total), 1e-9)
+
+    texts = [*EDGE[:10], *EDGE[11:], "a", "ab", "É", *(prose(i, 12, vocabulary=30 + 40 * (i % 3)) for i in range(30))]
+    names = {k: f"l{k % 7}" for k in range(len(texts))}
+    v = [profile(t) for t in texts]
+    held = [zlib.crc32(str(i).encode()) % 3 == 1 for i in range(len(texts))]
+    has = [any(c.isalpha() for c in t or "") for t in texts]
+    langs = sorted({names[i] for i in range(len(texts)) if has[i] and not held[i]})
+    proto = {x: sum(v[i] for i in range(len(texts)) if names[i] == x and has[i] and not held[i]) for x in langs}
+    proto = {x: p / np.linalg.norm(p) for x, p in proto.items()}
+    common = sum(proto.values()) / len(langs)
+    docs = table(spark, texts, langs=names)
+    for together in (2000, 2):  # one block of prototypes, or several
+        got = {r.doc_id: r for r in langid.identify_languages(docs, together=together).collect()}
+        for i in range(len(texts)):
+            own = v[i] - common
+            scores = {x: (1 + own @ (p - common) / np.linalg.norm(own) / np.linalg.norm(p - common)) / 2 for x, p in proto.items()}
+            assert got[i].held_out == held[i]
+            if not has[i]:
+                assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            else:
+                assert got[i].score == pytest.approx(max(scores.values()), abs=1e-5) == pytest.approx(scores[got[i].lang_pred], abs=1e-5)
 
 
 def test_held_out_quality(spark):

@@ -30,13 +30,60 @@ def test_best_fit_equals_a_plain_search():
         assert sharding.best_fit_decreasing(sizes, 50) == naive(sizes, 50)
 
 
-def test_balanced_bins():
-    assert sharding.balanced_bins([], 4) == []
-    sizes = [1000, *[10] * 70]
-    bins = sharding.balanced_bins(sizes, 8)
-    assert bins.count(bins[0]) == 1
-    sums = [sum(s for s, b in zip(sizes, bins) if b == k) for k in range(8) if k != bins[0]]
-    assert max(sums) - min(sums) <= 10
+def naive_balance(sizes, bins):
+    """The bin of each item, one by one."""
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    left, out, alone = sum(sizes), {}, 0
+    while order and alone < bins - 1 and sizes[order[0]] * (bins - alone) > left:
+        i = order.pop(0)
+        out[i], left, alone = alone, left - sizes[i], alone + 1
+    if order:
+        capacity = max(sizes[order[0]], -(-left // (bins - alone)))
+        while max(own := naive([sizes[i] for i in order], capacity)) >= bins - alone:
+            capacity += 1
+        out |= {i: alone + b for i, b in zip(order, own)}
+    return out
+
+
+def test_runs_equal_a_plain_search():
+    assert sharding.balanced_runs([], [], 4) == []
+    r = random.Random(3)
+    for _ in range(60):
+        counts = {r.choice([1, 2, 3, 5, 8, 40, 300]): r.randint(1, 30) for _ in range(r.randint(1, 5))}
+        sizes = sorted(counts, reverse=True)
+        runs = sharding.balanced_runs(sizes, [counts[s] for s in sizes], 4)
+        items = [s for s in sizes for _ in range(counts[s])]
+        want = naive_balance(items, 4)
+        got = [b for own in runs for b, k in own for _ in range(k)]
+        assert sorted(zip(items, got)) == sorted((items[i], b) for i, b in want.items())
+
+
+def test_groups_are_packed_one_by_one(spark):
+    r = random.Random(4)
+    sizes = [r.choice([3, 7, 7, 7, 20, 55, 1000, r.randint(1, 400)]) for _ in range(3000)]
+    groups = spark.createDataFrame(list(enumerate(sizes)), "grp bigint, size bigint").repartition(5)
+    got = {x.grp: x.shard for x in sharding.group_shards(groups, 8).collect()}
+    want = naive_balance(sizes, 8)
+    assert sorted((sizes[i], b) for i, b in got.items()) == sorted((sizes[i], b) for i, b in want.items())
+    sums = [sum(s for i, s in enumerate(sizes) if got[i] == k) for k in range(8)]
+    assert max(sums) - min(sums) <= 8
+    assert sharding.group_shards(groups.limit(0), 8).count() == 0
+
+
+def test_sizes_are_rounded_up(spark):
+    sizes = [1, 16383, 16384, 16385, 10**6, 2**40 - 1]
+    got = [x.r for x in spark.createDataFrame([(s,) for s in sizes], "s bigint").select(sharding.rounded_size(F.col("s")).alias("r")).collect()]
+    assert got[:3] == sizes[:3] and all(s <= g <= s * (1 + 1 / 8192) for s, g in zip(sizes, got))
+
+
+def test_shards_are_written(spark, tmp_path):
+    texts = [prose(i, 20) for i in range(60)] + EDGE[:9]
+    docs = table(spark, texts)
+    sharding.write_shards(docs, f"{tmp_path}/out", 4)
+    written = spark.read.parquet(f"{tmp_path}/out")
+    assert set(written.columns) == {*docs.columns, "shard"} and written.count() == len(texts)
+    want = {(x.doc_id, x.shard) for x in sharding.shard_documents(docs, 4).collect()}
+    assert {(x.doc_id, x.shard) for x in written.collect()} == want
 
 
 def check(got, texts):
@@ -116,8 +163,34 @@ def test_repeated_ids_leave_room_for_the_others(spark, monkeypatch):
             d = np.sqrt(((v - x[0].astype(float)) ** 2).sum())
             least[i] = min(d, least.get(i, d))
         best = sorted((d, i) for i, d in least.items())[:10]
-        for block in (16_384, 50):
-            monkeypatch.setattr(neighbours, "DATA_BLOCK", block)
+        for block in (1 << 20, 400):
+            monkeypatch.setattr(neighbours, "BLOCK_VALUES", block)
             got = neighbours.nearest_neighbours(vectors(spark, x, ids)).orderBy("rank").collect()
             assert [(g.query_id, g["rank"], g.vec_id) for g in got] == [(0, k + 1, i) for k, (_, i) in enumerate(best)]
             assert np.allclose([g.score for g in got], [d for d, _ in best], rtol=1e-12)
+
+
+def test_huge_and_tiny_numbers(spark):
+    r = np.random.default_rng(6)
+    x = [[1e300, 0.0, 0.0], [1e300, 1e290, 0.0], [-1e300, 0.0, 1.0], [1e-300, 0.0, 0.0], *r.normal(0, 1, (40, 3)).tolist()]
+    got = neighbours.nearest_neighbours(spark.createDataFrame([(i, v) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")).orderBy("rank").collect()
+    assert [g["rank"] for g in got] == list(range(1, 11)) and got[0].vec_id == 1 and got[0].score == 1e290
+    assert all(g.score == 1e300 for g in got[1:]) and [g.vec_id for g in got[1:]] == list(range(3, 12))
+
+
+def test_clusters_are_searched_where_they_are(spark, monkeypatch):
+    r = np.random.default_rng(7)
+    centre = 20 * r.normal(0, 1, (30, 16))
+    x = (np.repeat(centre, 100, axis=0) + r.normal(0, 1, (3000, 16))).astype(np.float32)
+    x = x[r.permutation(3000)]
+    monkeypatch.setattr(neighbours, "BLOCK_VALUES", 16 * 200)
+    cells = neighbours.Cells.fitted(x.astype(float), np.arange(3000), 15)
+    assert len(cells.low) == 15 and np.bincount(cells.of(x.astype(float)), minlength=15).min() >= neighbours.LEAST_SAMPLE
+    assert np.mean([len(cells.near(x[q].astype(float), q, 10)) for q in range(0, 3000, 100)]) < 5  # of 15
+    got = neighbours.nearest_neighbours(vectors(spark, x)).toPandas()
+    hits = 0
+    for q in range(0, 3000, 100):
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hits += len(set(got[got.query_id == q].vec_id) & set(np.argsort(d)[:10]))
+    assert hits >= 0.95 * 300

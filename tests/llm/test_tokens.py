@@ -99,6 +99,26 @@ def test_packing_returns_the_ids(spark, tmp_path):
     assert dict(last.dtypes)["ids"] == "array<int>"
 
 
+def test_packing_follows_the_curve(spark):
+    texts = [t for t in EDGE if t and len(t) < 10_000] + [prose(i, 20 + i % 50) for i in range(80)] + [prose(5, 60)] * 30
+    ids = [None if i % 9 == 0 else i % 60 for i in range(len(texts))]
+    docs = table(spark, texts, ids=ids)
+    buf, offsets = text_buffer(pa.array(texts))
+    key = packing.document_keys(buf, offsets, packing._projection())
+    by_ids = {tuple(e.ids + [0]): int(k) for e, k in zip(bpe().encode_batch(texts, add_special_tokens=False), key)}
+    for n in (1, 5):
+        got = sorted(packing.pack_documents(docs, size=128, partitions=n).collect(), key=lambda p: (p.sequence_id, p.offset))
+        found, open_ = [], []
+        for p in got:
+            open_ += p.ids
+            if p.start + p.length == p.doc_tokens:  # a document ends where its last piece does
+                found.append((p.sequence_id >> 40, by_ids[tuple(open_)]))
+                open_ = []
+        assert not open_ and len(found) == len(texts)
+        assert found == sorted(found) and len({part for part, _ in found}) == n
+        assert [k for _, k in found] == sorted(key.tolist())
+
+
 def test_packing_edge_cases(spark, edge):
     got = packing.pack_documents(edge)
     assert got.select("doc_id").distinct().count() == len({*range(len(EDGE) - 2), None, 3})
