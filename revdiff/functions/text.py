@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,20 +43,29 @@ def is_table_row(c: Column) -> Column:
     return c.rlike(rf"(?U)\A{SPACE}*\|")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, where ``value`` is worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def parse_table_row(c: Column) -> Column:
     r"""Cells of ``| a | b |``: split at pipes not written as ``\|``, stripped; a blank first or last part is dropped."""
-    parts = F.split(c, r"(?<!\\)\|", -1)
-    first = F.when(strip(F.element_at(parts, 1)) == "", 1).otherwise(0)
-    rest = F.slice(parts, first + 1, F.size(parts) - first)
-    last = F.when((F.size(rest) > 0) & (strip(F.try_element_at(rest, F.lit(-1))) == ""), 1).otherwise(0)
-    rest = F.slice(rest, F.lit(1), F.size(rest) - last)
-    return F.transform(rest, lambda x: strip(F.replace(x, F.lit("\\|"), F.lit("|"))))
+
+    def inner(parts: Column) -> Column:
+        first = F.when(strip(F.element_at(parts, 1)) == "", 1).otherwise(0)
+        return F.slice(parts, first + 1, F.size(parts) - first)
+
+    def cells(rest: Column) -> Column:
+        last = F.when((F.size(rest) > 0) & (strip(F.try_element_at(rest, F.lit(-1))) == ""), 1).otherwise(0)
+        return F.transform(F.slice(rest, F.lit(1), F.size(rest) - last), lambda x: strip(F.replace(x, F.lit("\\|"), F.lit("|"))))
+
+    return _let(_let(F.split(c, r"(?<!\\)\|", -1), inner), cells)
 
 
 def is_table_separator(c: Column) -> Column:
     """A table row whose cells are all dashes with optional colons."""
-    cells = parse_table_row(c)
-    return is_table_row(c) & (F.size(cells) > 0) & F.forall(cells, lambda x: x.rlike(r"\A:?-{2,}:?\z"))
+    dashes = lambda cells: (F.size(cells) > 0) & F.forall(cells, lambda x: x.rlike(r"\A:?-{2,}:?\z"))
+    return is_table_row(c) & _let(parse_table_row(c), dashes)
 
 
 def formatting_key(c: Column) -> Column:
@@ -69,7 +80,7 @@ def formatting_key(c: Column) -> Column:
     c = F.replace(c, F.lit("…"), F.lit("."))
     c = F.regexp_replace(c, rf"(?U){SPACE}*({SPACED_PUNCTUATION}){SPACE}*", "$1")
     c = F.regexp_replace(c, rf"({REPEATED_PUNCTUATION})\1+", "$1")
-    return collapse_blanks(c)
+    return F.btrim(F.regexp_replace(c, "[ \t]+", " "), F.lit(" \t"))
 
 
 def is_formatting_only(old: Column, new: Column) -> Column:

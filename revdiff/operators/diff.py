@@ -2,27 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions import text
 from ..kernels import matching
 
 _CODES = "array<struct<opcode:string,i1:int,i2:int,j1:int,j2:int>>"
 _SEGMENTS = "array<struct<text:string,type:string>>"
 
 
-def _two_sides(kind: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField("left", kind), T.StructField("right", kind)])
-
-
-_SEGMENT_LIST = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("type", T.StringType())]))
-_SIDES, _CELL_SIDES = _two_sides(_SEGMENT_LIST), _two_sides(T.ArrayType(_SEGMENT_LIST))
-
-
 def block_sequences(blocks: DataFrame) -> DataFrame:
     """``doc_id, hashes``: the 64-bit hashes of each document's block texts, by ``pos``."""
     rows = blocks.select("doc_id", F.struct("pos", F.xxhash64("text").alias("h")).alias("b"))
@@ -119,36 +113,99 @@ def _ratio_of(old: pd.Series, new: pd.Series, threshold: pd.Series, autojunk: pd
 
 
 def block_similarity(old: Column, new: Column, threshold: float = 0.0, autojunk: bool = True) -> Column:
-    """Ratio of two texts (Column -> Column), 0 below ``threshold``; null if either is null."""
+    """Ratio of two texts (Column -> Column), 0 below ``threshold``; null if either is null.
+
+    Every row goes to the Python helper; ``similar_texts`` sends only those that nothing else decides.
+    """
     own = F.pandas_udf(_ratio_of, "double")(F.coalesce(old, F.lit("")), F.coalesce(new, F.lit("")), F.lit(float(threshold)), F.lit(autojunk))
     return F.when(old.isNotNull() & new.isNotNull(), F.when(old == new, 1.0).otherwise(own))
 
 
-def _segments(side: matching.Segments) -> list[dict]:
-    return [{"text": t, "type": k} for t, k in side]
+def similar_texts(rows: DataFrame, keys: list[str], threshold: float = 0.0, autojunk: bool = True) -> DataFrame:
+    """The keys and ``ratio`` of the texts ``old`` and ``new`` of each row, as ``block_similarity`` gives it.
+
+    Equal texts, and those whose lengths alone keep them below the threshold, are settled
+    without Python.
+    """
+    ratio = F.when(F.col("old") == F.col("new"), 1.0).when(text.length_ratio_bound(F.col("old"), F.col("new")) < threshold, 0.0)
+    known = rows.withColumn("ratio", ratio).withColumn("open", F.col("ratio").isNull() & F.col("old").isNotNull() & F.col("new").isNotNull())
+    settled = known.filter(~F.col("open")).select(*keys, "ratio")
+    return settled.unionByName(known.filter("open").select(*keys, block_similarity(F.col("old"), F.col("new"), threshold, autojunk).alias("ratio")))
+
+
+_SEGMENT = pa.struct([("text", pa.string()), ("type", pa.string())])
+
+
+def _lists(lists: list[list | None], values: pa.Array) -> pa.Array:
+    """A list array of the given (or null) lists' lengths over ``values``."""
+    ends = itertools.accumulate((len(x or ()) for x in lists), initial=0)
+    at = pa.array([None if x is None else e for x, e in zip([*lists, ()], ends)], pa.int32())
+    return pa.ListArray.from_arrays(at, values)
+
+
+def _segment_array(sides: list[matching.Segments | None]) -> pa.Array:
+    flat = [x for side in sides if side is not None for x in side]
+    return _lists(sides, pa.StructArray.from_arrays([pa.array([t for t, _ in flat], pa.string()), pa.array([k for _, k in flat], pa.string())], fields=list(_SEGMENT)))
 
 
-def _inline_of(old: pd.Series, new: pd.Series, most: pd.Series) -> pd.DataFrame:
-    found = [matching.inline_diff(a, b, int(n)) if a is not None and b is not None else None for a, b, n in zip(old, new, most)]
-    return pd.DataFrame({"left": [None if x is None else _segments(x[0]) for x in found], "right": [None if x is None else _segments(x[1]) for x in found]})
+def _cell_array(sides: list[list[matching.Segments] | None]) -> pa.Array:
+    return _lists(sides, _segment_array([cell for side in sides if side is not None for cell in side]))
 
 
-def inline_diff(old: Column, new: Column, max_tokens: int = matching.MAX_INLINE_TOKENS) -> Column:
-    """Word segments of a changed pair: struct of ``left`` and ``right``, both null above ``max_tokens`` token pairs.
+def _two(left: pa.Array, right: pa.Array) -> pa.Array:
+    return pa.StructArray.from_arrays([left, right], names=["left", "right"])
 
-    The texts of a side's segments, one after another, are that side's text.
+
+def _words_of(old: list, new: list, most: int) -> pa.Array:
+    found = [matching.inline_diff(a, b, most) if a is not None and b is not None else None for a, b in zip(old, new)]
+    return _two(*(_segment_array([None if x is None else x[i] for x in found]) for i in (0, 1)))
+
+
+def _cells_of(old: list, new: list, most: int) -> pa.Array:
+    found = [matching.cell_diff(a, b, most) if a is not None and b is not None else None for a, b in zip(old, new)]
+    return _two(*(_cell_array([None if x is None else x[i] for x in found]) for i in (0, 1)))
+
+
+def _whole(c: Column) -> Column:
+    return F.when(c == "", F.array().cast(_SEGMENTS)).otherwise(F.array(F.struct(c.alias("text"), F.lit("same").alias("type"))))
+
+
+def equal_segments(c: Column) -> Column:
+    """Word segments of a text that didn't change: struct of ``left`` and ``right``."""
+    return F.struct(_whole(c).alias("left"), _whole(c).alias("right"))
+
+
+def inline_diff(rows: DataFrame, keys: list[str], max_tokens: int = matching.MAX_INLINE_TOKENS) -> DataFrame:
+    """The keys and the word segments ``left, right`` of the texts ``old`` and ``new`` of each row.
+
+    Both are null above ``max_tokens`` token pairs, and where a text is null. The texts of a
+    side's segments, one after another, are that side's text. Only rows whose texts
+    differ go to Python.
     """
-    whole = F.when(old == "", F.array().cast(_SEGMENTS)).otherwise(F.array(F.struct(old.alias("text"), F.lit("same").alias("type"))))
-    equal = F.struct(whole.alias("left"), whole.alias("right"))
-    return F.when(old == new, equal).otherwise(F.pandas_udf(_inline_of, _SIDES)(F.when(~(old == new), old), F.when(~(old == new), new), F.lit(max_tokens)))
+    same = F.coalesce(F.col("old") == F.col("new"), F.lit(False))
+    changed = changed_segments(rows.filter(~same).withColumns({"old_cells": F.lit(None).cast("array<string>"), "new_cells": F.lit(None).cast("array<string>")}), keys, max_tokens)
+    equal = rows.filter(same).select(*keys, equal_segments(F.col("old")).alias("words"))
+    return equal.unionByName(changed.drop("cells")).select(*keys, "words.left", "words.right")
+
 
+def cell_diff(rows: DataFrame, keys: list[str], max_tokens: int = matching.MAX_INLINE_TOKENS) -> DataFrame:
+    """The keys and ``left, right``: the word segments of each cell of the changed table rows ``old_cells, new_cells``."""
+    texts = {c: F.lit(None).cast("string") for c in ("old", "new")}
+    return changed_segments(rows.withColumns(texts), keys, max_tokens).select(*keys, "cells.left", "cells.right")
 
-def _cells_of(old: pd.Series, new: pd.Series, most: pd.Series) -> pd.DataFrame:
-    found = [matching.cell_diff(list(a), list(b), int(n)) if a is not None and b is not None else None for a, b, n in zip(old, new, most)]
-    side = lambda i: [None if x is None else [_segments(c) for c in x[i]] for x in found]
-    return pd.DataFrame({"left": side(0), "right": side(1)})
 
+def changed_segments(rows: DataFrame, keys: list[str], max_tokens: int = matching.MAX_INLINE_TOKENS) -> DataFrame:
+    """The keys and ``words, cells``: structs of ``left`` and ``right`` segments of ``old, new`` and of ``old_cells, new_cells``.
+
+    All rows go to Python, so ``rows`` should hold what changed alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            old, new, old_cells, new_cells = (batch.column(i).to_pylist() for i in range(-4, 0))
+            made = [_words_of(old, new, max_tokens), _cells_of(old_cells, new_cells, max_tokens)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], *made], names=[*keys, "words", "cells"])
 
-def cell_diff(old: Column, new: Column, max_tokens: int = matching.MAX_INLINE_TOKENS) -> Column:
-    """Word segments of each cell of a changed table row: struct of two arrays of segments."""
-    return F.pandas_udf(_cells_of, _CELL_SIDES)(old, new, F.lit(max_tokens))
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", words struct<left:{_SEGMENTS},right:{_SEGMENTS}>, cells struct<left:array<{_SEGMENTS}>,right:array<{_SEGMENTS}>>"
+    return rows.select(*keys, "old", "new", "old_cells", "new_cells").mapInArrow(run, schema)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,28 +40,40 @@ def words_outside_cells(words: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def lines_from_words(words: DataFrame) -> DataFrame:
-    """Words with ``line_no`` (from 0), ``line_top`` and the page's ``gap``.
+    """Words with ``line_no`` (from 0), ``line_top``, the page's ``gap`` and ``line_pos`` (from 0, in the page).
 
     Words are taken by (top to a tenth, x0). The gap is the upper median of the word
     heights; a word belongs to the current line if its top is at most a gap from the
-    top of the line's first word. A page's words are one group, handled by one task.
+    top of the line's first word. A page's words are sorted as an array and folded once,
+    which notes only where lines begin.
     """
     names = words.columns
-    types = ", ".join(f"`{n}` {t}" for n, t in words.dtypes)
-
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(__top=[round(x, 1) for x in pdf["top"]]).sort_values(["__top", "x0", "word_no"], kind="stable").drop(columns="__top")
-        heights = sorted((pdf["bottom"] - pdf["top"]).tolist())
-        gap = heights[len(heights) // 2]
-        number, anchor, no = [], [], -1
-        for top in pdf["top"].tolist():
-            if no < 0 or abs(top - anchor[-1]) > gap:
-                no += 1
-                anchor.append(top)
-            number.append(no)
-        return pdf.assign(line_no=number, line_top=[anchor[i] for i in number], gap=gap, line_pos=range(len(pdf)))[[*names, "line_no", "line_top", "gap", "line_pos"]]
-
-    return words.groupBy(*_PAGE).applyInPandas(page, f"{types}, line_no int, line_top double, gap double, line_pos int")
+    row = F.struct(F.bround("top", 1).alias("__top"), F.col("x0").alias("__x0"), F.col("word_no").alias("__no"), F.struct(*names).alias("w"))
+    pages = words.groupBy(*_PAGE).agg(F.array_sort(F.collect_list(row), lambda a, b: _before(a, b)).alias("ws"), F.sort_array(F.collect_list(F.col("bottom") - F.col("top"))).alias("heights"))
+    pages = pages.withColumn("gap", F.element_at("heights", (F.floor(F.size("heights") / 2) + 1).cast("int")))
+    starts = F.array().cast("array<struct<at:int,top:double>>")
+
+    def step(acc, x):
+        top = x["w"]["top"].cast("double")
+        new = F.coalesce(F.abs(top - acc["top"]) > F.col("gap"), F.lit(True))
+        begun = F.concat(acc["starts"], F.array(F.struct(acc["n"].alias("at"), top.alias("top"))))
+        return F.when(new, F.struct((acc["n"] + 1).alias("n"), top.alias("top"), begun.alias("starts"))).otherwise(F.struct((acc["n"] + 1).alias("n"), acc["top"].alias("top"), acc["starts"].alias("starts")))
+
+    first = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("top"), starts.alias("starts"))
+    pages = pages.withColumn("starts", F.aggregate("ws", first, step, lambda acc: acc["starts"]))
+    ends = F.concat(F.slice(F.transform("starts", lambda s: s["at"]), 2, F.greatest(F.size("starts") - 1, F.lit(0))), F.array(F.size("ws")))
+    cut = F.transform(F.arrays_zip("starts", F.col("ends")), lambda z: F.struct(z["starts"]["at"].alias("at"), z["starts"]["top"].alias("top"), F.slice("ws", z["starts"]["at"] + 1, z["ends"] - z["starts"]["at"]).alias("ws")))
+    lines = pages.withColumn("ends", ends).select("gap", F.posexplode(cut).alias("line_no", "line"))
+    every = lines.select("gap", "line_no", F.col("line.top").alias("line_top"), F.col("line.at").alias("at"), F.posexplode("line.ws").alias("i", "x"))
+    return every.select("x.w.*", "line_no", "line_top", "gap", (F.col("at") + F.col("i")).alias("line_pos"))
+
+
+def _before(a, b):
+    """Order of two words by (top to a tenth, x0, number), whatever else they hold."""
+    out = F.lit(0)
+    for c in ("__no", "__x0", "__top"):
+        out = F.when(a[c] < b[c], -1).when(a[c] > b[c], 1).otherwise(out)
+    return out
 
 
 def restore_list_markers(lines: DataFrame, chars: DataFrame) -> DataFrame:
@@ -72,15 +81,17 @@ def restore_list_markers(lines: DataFrame, chars: DataFrame) -> DataFrame:
 
     ``chars``: ``doc_id, page, text, x0, top, x1, bottom``. Of the markers within 3 points
     of the line's top that end at least 2 points left of its first word, the first by
-    (top to a tenth, x0) is added, with ``line_pos`` -1.
+    (top to a tenth, x0) is added, with ``line_pos`` -1. Lines and markers meet in bands of
+    3 points, so a page's lines aren't compared with all its markers.
     """
-    first = lines.withColumn("__n", F.row_number().over(Window.partitionBy(*_PAGE, "line_no").orderBy("line_pos"))).filter("__n = 1")
-    first = first.filter(~F.col("text").isin(*LIST_MARKERS)).select(*_PAGE, "line_no", "line_top", "gap", F.col("x0").alias("__x"))
-    marks = chars.filter(F.col("text").isin(*LIST_MARKERS)).select(*_PAGE, *(F.col(c).alias(f"m_{c}") for c in ("text", "x0", "top", "x1", "bottom")))
+    first = lines.groupBy(*_PAGE, "line_no").agg(F.min_by(F.struct("text", "x0", "line_top", "gap"), "line_pos").alias("f"))
+    first = first.filter(~F.col("f.text").isin(*LIST_MARKERS)).select(*_PAGE, "line_no", F.col("f.line_top").alias("line_top"), F.col("f.gap").alias("gap"), F.col("f.x0").alias("__x"))
+    band = lambda c: F.floor(c / MARKER_HEIGHT).cast("bigint")
+    first = first.withColumn("__band", F.explode(F.sequence(band(F.col("line_top")) - 1, band(F.col("line_top")) + 1)))
+    marks = chars.filter(F.col("text").isin(*LIST_MARKERS)).select(*_PAGE, *(F.col(c).alias(f"m_{c}") for c in ("text", "x0", "top", "x1", "bottom")), band(F.col("top")).alias("__band"))
     near = (F.abs(F.col("m_top") - F.col("line_top")) <= MARKER_HEIGHT) & (F.col("m_x1") <= F.col("__x") - MARKER_GAP)
-    found = first.join(marks, _PAGE).filter(near)
-    order = Window.partitionBy(*_PAGE, "line_no").orderBy(F.round("m_top", 1), "m_x0")
-    found = found.withColumn("__n", F.row_number().over(order)).filter("__n = 1")
+    mark = F.struct("m_text", "m_x0", "m_top", "m_x1", "m_bottom", "line_top", "gap")
+    found = first.join(marks, [*_PAGE, "__band"]).filter(near).groupBy(*_PAGE, "line_no").agg(F.min_by(mark, F.struct(F.bround("m_top", 1), F.col("m_x0"))).alias("m")).select(*_PAGE, "line_no", "m.*")
     own = {"text": "m_text", "x0": "m_x0", "top": "m_top", "x1": "m_x1", "bottom": "m_bottom"}
     kept = {*_PAGE, "line_no", "line_top", "gap"}
     added = found.select(*(F.col(n) if n in kept else (F.col(own[n]).alias(n) if n in own else F.lit(-1 if n == "line_pos" else None).cast(t).alias(n)) for n, t in lines.dtypes))

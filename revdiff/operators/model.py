@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,7 +112,7 @@ def read_pages_cached(pages: DataFrame, cache: DataFrame, reader: Reader | None,
     keys = [c for c in pages.columns if c != "content"]
     keyed = pages.withColumn("key", text.page_cache_key(F.col("content"), model, version))
     asked = keyed.select("key", "content").dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
-    fresh = read_pages(asked, reader, partitions)
+    fresh = read_pages(asked, reader, partitions).persist(StorageLevel.MEMORY_AND_DISK)  # both results need it
     hits = cache.select("key", "markdown", F.lit(False).alias("unreadable"), F.lit(False).alias("degraded"))
     out = keyed.select(*keys, "key").join(hits.unionByName(fresh), "key", "left").select(*keys, "markdown", "unreadable", "degraded")
     return out, fresh.filter("NOT unreadable").select("key", "markdown")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +36,18 @@ def otsu_threshold(histogram: DataFrame, keys: tuple[str, ...] = ("doc_id", "pag
 
 
 def page_histogram(grey_pages: DataFrame) -> DataFrame:
-    """``doc_id, page, grey, n`` of pages (``doc_id, page, content``: a byte a pixel)."""
-    byte = F.explode(F.split(F.regexp_replace(F.hex("content"), "(..)", "$1 "), " "))
-    pixels = grey_pages.select(*_KEYS, byte.alias("h")).filter("h <> ''")
-    return pixels.groupBy(*_KEYS, F.conv("h", 16, 10).cast("int").alias("grey")).agg(F.count("*").alias("n"))
+    """``doc_id, page, grey, n`` of pages (``doc_id, page, content``: a byte a pixel), at most 256 rows a page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [np.bincount(np.frombuffer(x.as_buffer(), np.uint8), minlength=256) for x in batch.column(2) if x.is_valid]
+            flat = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+            some = np.flatnonzero(flat)
+            of = pa.array(np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False))[some // 256])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array((some % 256).astype(np.int32)), pa.array(flat[some].astype(np.int64))], names=[*_KEYS, "grey", "n"])
+
+    types = dict(grey_pages.dtypes)
+    return grey_pages.select(*_KEYS, "content").mapInArrow(run, f"doc_id {types['doc_id']}, page {types['page']}, grey int, n bigint")
 
 
 def page_sha1(height: Column, width: Column, bits: Column) -> Column:
@@ -112,51 +121,86 @@ def page_scores(pairs: DataFrame, masks: DataFrame, threshold: float = MATCH_IOU
     return settled.unionByName(scored)
 
 
+def _best_pages(numbers: DataFrame, scores: DataFrame) -> DataFrame:
+    """``pair_id, old_page, new_page, iou``: pages paired in order for the largest total score."""
+    listed = scores.groupBy("pair_id").agg(F.collect_list(F.struct(F.col("old_page").cast("int").alias("o"), F.col("new_page").cast("int").alias("n"), "iou")).alias("scores"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for pair, old, new, scores_ in zip(pdf["pair_id"], pdf["old"], pdf["new"], pdf["scores"]):
+                row, column = ({p: i for i, p in enumerate(pages)} for pages in (old, new))
+                grid = np.zeros((len(old), len(new)))
+                for s in scores_:
+                    grid[row[s["o"]], column[s["n"]]] = s["iou"]
+                rows += [(pair, old[i], new[j], grid[i, j]) for i, j in matching.best_monotone_pairs(grid)]
+            yield pd.DataFrame(rows, columns=["pair_id", "old_page", "new_page", "iou"])
+
+    return numbers.join(listed, "pair_id").select("pair_id", "old", "new", "scores").mapInPandas(run, f"pair_id {dict(numbers.dtypes)['pair_id']}, old_page int, new_page int, iou double")
+
+
+def _walked_pages(pairs: DataFrame, masks: DataFrame, threshold: float) -> DataFrame:
+    """``pair_id, old_page, new_page, iou``: each old page takes the next new page that fits; what was passed over isn't taken up again.
+
+    Pages are scored as the walk meets them, at most once a page of either side. The
+    masks of a pair are one group.
+    """
+    m = masks.select("doc_id", F.col("page").cast("int").alias("page"), "height", "width", "ink", "sha1", "bits")
+    names = ["pair_id", "page", "height", "width", "ink", "sha1", "bits"]
+    side = lambda doc: pairs.select("pair_id", F.col(doc).alias("doc_id")).join(m, "doc_id").select(*(F.col(n).alias(n) for n in names))
+
+    def score(a: dict, b: dict) -> float:
+        if (a["height"], a["width"]) != (b["height"], b["width"]):
+            return 0.0
+        if a["sha1"] == b["sha1"]:
+            return 1.0
+        if min(a["ink"], b["ink"]) < threshold * max(a["ink"], b["ink"]):
+            return 0.0
+        return raster.iou(np.asarray(a["bits"], np.int64), np.asarray(b["bits"], np.int64))
+
+    def walk(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        old, new = (x.sort_values("page").to_dict("records") for x in (old, new))
+        rows, j = [], 0
+        for a in old:
+            found = 0.0
+            while j < len(new) and (found := score(a, new[j])) < threshold:
+                j += 1
+            if j == len(new):
+                break
+            rows.append((a["pair_id"], a["page"], new[j]["page"], found))
+            j += 1
+        return pd.DataFrame(rows, columns=["pair_id", "old_page", "new_page", "iou"])
+
+    both = side("old_doc").groupBy("pair_id").cogroup(side("new_doc").groupBy("pair_id"))
+    return both.applyInPandas(walk, f"pair_id {dict(pairs.dtypes)['pair_id']}, old_page int, new_page int, iou double")
+
+
 def align_pages(pairs: DataFrame, masks: DataFrame, threshold: float = MATCH_IOU, identity: float = IDENTITY_IOU, max_pairs: int = MAX_PAGE_PAIRS) -> DataFrame:
     """``pair_id, kind, old_page, new_page, iou``: which pages of two documents belong together.
 
     Kinds: ``identical`` (IoU of at least ``identity``), ``changed``, ``only_old``, ``only_new``.
     Pages are paired in order for the largest total IoU. Documents of more than
-    ``max_pairs`` page pairs are walked through: each old page takes the next new
-    page that fits, and what was passed over isn't taken up again.
+    ``max_pairs`` page pairs are walked through instead, and only the page pairs that the
+    walk meets are scored.
     """
     numbers = masks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.col("page").cast("int"))).alias("pages"))
-    scores = page_scores(pairs, masks, threshold).groupBy("pair_id").agg(F.collect_list(F.struct(F.col("old_page").cast("int").alias("o"), F.col("new_page").cast("int").alias("n"), "iou")).alias("scores"))
     none = F.array().cast("array<int>")
-    whole = (
-        pairs.select("pair_id", "old_doc", "new_doc")
-        .join(numbers.toDF("old_doc", "old"), "old_doc", "left")
-        .join(numbers.toDF("new_doc", "new"), "new_doc", "left")
-        .join(scores, "pair_id", "left")
-        .select("pair_id", F.coalesce("old", none).alias("old"), F.coalesce("new", none).alias("new"), "scores")
+    whole = pairs.select("pair_id", "old_doc", "new_doc").join(numbers.toDF("old_doc", "old"), "old_doc", "left").join(numbers.toDF("new_doc", "new"), "new_doc", "left")
+    whole = whole.select("pair_id", "old_doc", "new_doc", F.coalesce("old", none).alias("old"), F.coalesce("new", none).alias("new"))
+    small = F.size("old").cast("bigint") * F.size("new") <= max_pairs
+    ids = ["pair_id", "old_doc", "new_doc"]
+    near = whole.filter(small)
+    matched = _best_pages(near, page_scores(near.select(*ids), masks, threshold)).unionByName(_walked_pages(whole.filter(~small).select(*ids), masks, threshold))
+    taken = matched.groupBy("pair_id").agg(F.collect_list(F.struct("old_page", "new_page", "iou")).alias("m"))
+    all_pages = whole.join(taken, "pair_id", "left").withColumn("m", F.coalesce("m", F.array().cast("array<struct<old_page:int,new_page:int,iou:double>>")))
+    row = lambda kind, old, new, iou: F.struct(kind.alias("kind"), old.cast("int").alias("old_page"), new.cast("int").alias("new_page"), iou.cast("double").alias("iou"))
+    null, alone = F.lit(None), lambda pages, c: F.array_except(pages, F.transform("m", lambda x: x[c]))
+    rows = F.concat(
+        F.transform("m", lambda x: row(F.when(x["iou"] >= identity, "identical").otherwise("changed"), x["old_page"], x["new_page"], x["iou"])),
+        F.transform(alone("old", "old_page"), lambda p: row(F.lit("only_old"), p, null, null)),
+        F.transform(alone("new", "new_page"), lambda p: row(F.lit("only_new"), null, p, null)),
     )
-
-    def one(old: list[int], new: list[int], found: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
-        if len(old) * len(new) <= max_pairs:
-            grid = [[found.get((a, b), 0.0) for b in new] for a in old]
-            return [(old[i], new[j]) for i, j in matching.best_monotone_pairs(grid)]
-        out, j = [], 0
-        for a in old:
-            while j < len(new) and (a, new[j]) not in found:
-                j += 1
-            if j < len(new):
-                out.append((a, new[j]))
-                j += 1
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for pair, old, new, scores_ in zip(pdf["pair_id"], pdf["old"], pdf["new"], pdf["scores"]):
-                found = {(s["o"], s["n"]): s["iou"] for s in (scores_ if scores_ is not None else [])}
-                matched = one(list(old), list(new), found)
-                rows += [(pair, "identical" if found[m] >= identity else "changed", *m, found[m]) for m in matched]
-                rows += [(pair, "only_old", a, None, None) for a in old if a not in {m[0] for m in matched}]
-                rows += [(pair, "only_new", None, b, None) for b in new if b not in {m[1] for m in matched}]
-            out = pd.DataFrame(rows, columns=["pair_id", "kind", "old_page", "new_page", "iou"])
-            yield out.astype({"old_page": "Int32", "new_page": "Int32", "iou": "Float64"})
-
-    return whole.mapInPandas(run, f"pair_id {dict(pairs.dtypes)['pair_id']}, kind string, old_page int, new_page int, iou double")
+    return all_pages.select("pair_id", F.explode(rows).alias("r")).select("pair_id", "r.*")
 
 
 _BOX = "struct<x0:int,y0:int,x1:int,y1:int>"
@@ -184,7 +228,9 @@ def select_regions(regions: Column, weight, limit: int = CROP_BUDGET) -> Column:
     """Regions by descending area as far as their weights fit (Column -> Column): struct of ``regions`` and ``truncated``.
 
     A region that doesn't fit is left out and smaller ones are still tried. ``weight``
-    gives a region's bytes as a Column.
+    gives a region's bytes as a Column. The budget is that of the array: of a page pair
+    if it holds one pair's regions, of a document pair if it holds all of them
+    (``select_pair_regions``).
     """
     area = lambda r: (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])
     numbered = F.transform(regions, lambda r, i: F.struct((-area(r)).alias("a"), i.alias("i"), weight(r).cast("bigint").alias("w"), r.alias("r")))
@@ -207,3 +253,26 @@ def regions_by_page(regions: DataFrame) -> DataFrame:
     old = one.select("pair_id", F.lit("old").alias("side"), F.col("old_page").alias("page"), "r")
     new = one.select("pair_id", F.lit("new").alias("side"), F.col("new_page").alias("page"), "r")
     return old.unionByName(new).distinct().groupBy("pair_id", "side", "page").agg(F.array_sort(F.collect_list("r")).alias("regions"))
+
+
+def select_pair_regions(regions: DataFrame, weight, limit: int = CROP_BUDGET) -> DataFrame:
+    """``regions`` (``pair_id, old_page, new_page, regions``) under one budget for each document pair: the same columns and ``truncated``.
+
+    Page pairs are served in the order of their pages, each by ``select_regions``' rule with
+    what those before it left; a page pair's row stays if none of its regions fits.
+    """
+    area = lambda r: (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])
+    one = lambda r, i: F.struct(F.col("old_page"), F.col("new_page"), (-area(r)).alias("a"), i.alias("i"), weight(r).cast("bigint").alias("w"), r.alias("r"))
+    every = regions.withColumn("x", F.transform("regions", one)).groupBy("pair_id").agg(F.array_sort(F.flatten(F.collect_list("x"))).alias("x"))
+    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<boolean>").alias("fits"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = acc["used"] + x["w"] <= limit
+        return F.struct((acc["used"] + F.when(fits, x["w"]).otherwise(0)).alias("used"), F.concat(acc["fits"], F.array(fits)).alias("fits"))
+
+    told = every.withColumn("fits", F.aggregate("x", start, step, lambda acc: acc["fits"]))
+    flat = told.select("pair_id", F.posexplode(F.zip_with("x", "fits", lambda x, f: F.struct(x["old_page"].alias("old_page"), x["new_page"].alias("new_page"), x["r"].alias("r"), f.alias("f")))).alias("n", "z")).select("pair_id", "n", "z.*")
+    kept = F.array_sort(F.collect_list(F.when(F.col("f"), F.struct("n", "r"))))
+    made = flat.groupBy("pair_id", "old_page", "new_page").agg(F.transform(kept, lambda x: x["r"]).alias("s"), F.bool_or(~F.col("f")).alias("t"))
+    out = regions.select("pair_id", "old_page", "new_page").join(made, ["pair_id", "old_page", "new_page"], "left")
+    return out.select("pair_id", "old_page", "new_page", F.coalesce("s", F.array().cast(f"array<{_BOX}>")).alias("regions"), F.coalesce("t", F.lit(False)).alias("truncated"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,88 +16,128 @@ IMAGE = "struct<sha1:string,n_bytes:bigint,data_uri:string>"
 _BLOCK = {"text": "string", "html": "string", "images": f"array<{IMAGE}>", "page": "int", "words": "array<struct<x0:double,top:double,x1:double,bottom:double>>", "cells": "array<string>"}
 
 
+def _table_parts(c: Column, given: Column) -> tuple[Column, Column, Column]:
+    """Whether a text is a table row, whether that is a separator, and its cells; ``given`` cells stay."""
+    row = F.when(text.is_table_row(c), c)  # null for most blocks, which then cost nothing
+    sep = F.coalesce(text.is_table_separator(row), F.lit(False))
+    cells = F.when(given.isNotNull(), given).when(~sep, text.parse_table_row(row))
+    return row.isNotNull(), given.isNull() & sep, cells
+
+
 def _whole_blocks(blocks: DataFrame) -> DataFrame:
     """``doc_id, pos, b``: each block as a struct of all fields a row can show."""
     fields = [(F.col(n).cast(t) if n in blocks.columns else F.lit(None).cast(t)).alias(n) for n, t in _BLOCK.items()]
-    row = F.when(text.is_table_row(F.col("text")), F.col("text"))  # null for most blocks, which then cost nothing
     given = F.col("cells").cast(_BLOCK["cells"]) if "cells" in blocks.columns else F.lit(None).cast(_BLOCK["cells"])
-    sep = F.coalesce(text.is_table_separator(row), F.lit(False))
-    cells = F.when(given.isNotNull(), given).when(~sep, text.parse_table_row(row))
+    table, sep, cells = _table_parts(F.col("text"), given)
     fields = [cells.alias("cells") if n == "cells" else f for n, f in zip(_BLOCK, fields)]
-    extra = [(given.isNull() & sep).alias("sep"), row.isNotNull().alias("table")]
-    return blocks.select("doc_id", F.col("pos").cast("int").alias("pos"), F.struct(*fields, *extra).alias("b"))
+    return blocks.select("doc_id", F.col("pos").cast("int").alias("pos"), F.struct(*fields, sep.alias("sep"), table.alias("table")).alias("b"))
 
 
-def _stretches(pairs: DataFrame, blocks: DataFrame, fragments: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fragments and the equal stretches between them: ``pair_id, slot, i1, i2, j1, j2, label, formatting``."""
-    sizes = blocks.groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
-    ends = pairs.select("pair_id", "old_doc", "new_doc", "is_pdf")
-    ends = ends.join(sizes.toDF("old_doc", "old_n"), "old_doc", "left").join(sizes.toDF("new_doc", "new_n"), "new_doc", "left")
-    ends = ends.select("pair_id", "is_pdf", F.coalesce("old_n", F.lit(0)).alias("old_n"), F.coalesce("new_n", F.lit(0)).alias("new_n"))
+def _marked(pairs: DataFrame, fragments: DataFrame, labels: DataFrame) -> DataFrame:
+    """Fragments with their ``slot`` among the stretches of a pair, ``label``, and whether they are mere ``formatting``."""
     same_keys = F.forall(F.zip_with("old_blocks", "new_blocks", lambda a, b: text.is_formatting_only(a, b)), lambda x: F.coalesce(x, F.lit(False)))
-    f = fragments.join(labels.select("pair_id", "frag_no", "label"), ["pair_id", "frag_no"], "left").join(ends.select("pair_id", "is_pdf"), "pair_id")
+    f = fragments.join(labels.select("pair_id", "frag_no", "label"), ["pair_id", "frag_no"], "left").join(pairs.select("pair_id", "is_pdf", "old_doc", "new_doc"), "pair_id")
     formatting = (F.coalesce(F.col("label"), F.lit("")) == "formatting") | (F.col("is_pdf") & (F.size("old_blocks") == F.size("new_blocks")) & same_keys)
-    f = f.select("pair_id", "frag_no", "i1", "i2", "j1", "j2", "label", formatting.alias("formatting"))
-    null = F.lit(None)
-    last = ends.select("pair_id", F.lit(2**30).alias("frag_no"), F.col("old_n").alias("i1"), F.col("old_n").alias("i2"), F.col("new_n").alias("j1"), F.col("new_n").alias("j2"), null.cast("string").alias("label"), F.lit(False).alias("formatting"))
-    order = Window.partitionBy("pair_id").orderBy("frag_no")
+    return f.select("pair_id", "old_doc", "new_doc", "frag_no", (2 * F.col("frag_no").cast("bigint") + 1).alias("slot"), "i1", "i2", "j1", "j2", "label", formatting.alias("formatting"), "old_blocks", "new_blocks")
+
+
+def _stretches(pairs: DataFrame, blocks: DataFrame, marked: DataFrame) -> DataFrame:
+    """Fragments and the equal stretches between them: ``pair_id, slot, i1, i2, j1, j2, label, plain``."""
+    sizes = blocks.groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
+    ends = pairs.select("pair_id", "old_doc", "new_doc").join(sizes.toDF("old_doc", "old_n"), "old_doc", "left").join(sizes.toDF("new_doc", "new_n"), "new_doc", "left")
+    ends = ends.select("pair_id", F.coalesce("old_n", F.lit(0)).alias("i1"), F.coalesce("new_n", F.lit(0)).alias("j1"))
+    last = ends.select("pair_id", F.lit(2**31).cast("bigint").alias("slot"), "i1", F.col("i1").alias("i2"), "j1", F.col("j1").alias("j2"))
+    f = marked.select("pair_id", "slot", "i1", "i2", "j1", "j2")
+    order = Window.partitionBy("pair_id").orderBy("slot")
     every = f.unionByName(last).withColumn("__i", F.lag("i2", 1, 0).over(order)).withColumn("__j", F.lag("j2", 1, 0).over(order))
+    null = F.lit(None).cast("string")
     gaps = every.filter(F.col("i1") > F.col("__i")).select(
-        "pair_id", (2 * F.col("frag_no").cast("bigint")).alias("slot"), F.col("__i").alias("i1"), F.col("i1").alias("i2"), F.col("__j").alias("j1"), F.col("j1").alias("j2"),
-        null.cast("string").alias("label"), F.lit(False).alias("formatting"), F.lit(True).alias("equal"),
-    )
-    own = f.select("pair_id", (2 * F.col("frag_no").cast("bigint") + 1).alias("slot"), "i1", "i2", "j1", "j2", "label", "formatting", F.lit(False).alias("equal"))
-    return own.unionByName(gaps)
+        "pair_id", (F.col("slot") - 1).alias("slot"), F.col("__i").alias("i1"), F.col("i1").alias("i2"), F.col("__j").alias("j1"), F.col("j1").alias("j2"), null.alias("label"), F.lit(True).alias("plain")
+    )
+    return marked.select("pair_id", "slot", "i1", "i2", "j1", "j2", "label", F.col("formatting").alias("plain")).unionByName(gaps)
+
+
+def _sha1s(images: Column) -> Column:
+    return F.transform(F.coalesce(images, F.array().cast(f"array<{IMAGE}>")), lambda x: x["sha1"])
 
 
 _SUB = "array<struct<i1:int,i2:int,j1:int,j2:int,changed:boolean>>"
 
 
-def _image_rows(old: pd.Series, new: pd.Series) -> pd.Series:
-    def one(a, b):
-        if a is None or b is None:
-            return None
-        return [{"i1": i1, "i2": i2, "j1": j1, "j2": j2, "changed": c} for i1, i2, j1, j2, c in matching.image_rows(list(a), list(b))]
+def image_subrows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys and ``subs``: how the image fingerprints ``old`` and ``new`` of each row stand beside each other, as ranges of both sides.
 
-    return pd.Series([one(a, b) for a, b in zip(old, new)])
+    Rows whose lists are equal are left out, and only the others go to Python.
+    """
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            subs = [[dict(zip(("i1", "i2", "j1", "j2", "changed"), x)) for x in matching.image_rows(list(a), list(b))] for a, b in zip(pdf["old"], pdf["new"])]
+            yield pdf[keys].assign(subs=subs)
 
-def image_subrows(old_images: Column, new_images: Column) -> Column:
-    """How two image lists stand beside each other (Column -> Column): ranges of both sides for each sub-row; null if the lists are equal."""
-    sha = lambda images: F.transform(F.coalesce(images, F.array().cast(f"array<{IMAGE}>")), lambda x: x["sha1"])
-    a, b = sha(old_images), sha(new_images)
-    return F.when(a != b, F.pandas_udf(_image_rows, _SUB)(F.when(a != b, a), F.when(a != b, b)))
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", subs {_SUB}"
+    return rows.filter(F.col("old") != F.col("new")).select(*keys, "old", "new").mapInPandas(run, schema)
 
 
-def _sha1s(images: Column) -> Column:
-    return F.transform(F.coalesce(images, F.array().cast(f"array<{IMAGE}>")), lambda x: x["sha1"])
+_LINE = ["pair_id", "slot", "k"]
 
 
-def _lines(pairs: DataFrame, blocks: DataFrame, fragments: DataFrame, labels: DataFrame) -> DataFrame:
-    """The blocks of both sides beside each other: ``pair_id, slot, k, label, plain, o, w`` (old and new block), their classes ``lc, rc`` and ``subs``."""
-    s = _stretches(pairs, blocks, fragments, labels)
-    n = F.greatest(F.col("i2") - F.col("i1"), F.col("j2") - F.col("j1"))
-    lines = s.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("k")).join(pairs.select("pair_id", "old_doc", "new_doc"), "pair_id")
-    lines = lines.withColumn("old_pos", F.when(F.col("i1") + F.col("k") < F.col("i2"), F.col("i1") + F.col("k"))).withColumn("new_pos", F.when(F.col("j1") + F.col("k") < F.col("j2"), F.col("j1") + F.col("k")))
-    whole = _whole_blocks(blocks)
-    lines = lines.join(whole.toDF("old_doc", "old_pos", "o"), ["old_doc", "old_pos"], "left").join(whole.toDF("new_doc", "new_pos", "w"), ["new_doc", "new_pos"], "left")
-    paired = F.col("o").isNotNull() & F.col("w").isNotNull()
-    plain = F.col("equal") | F.col("formatting")
-    left = F.when(plain, F.lit(None)).when(~paired, "removed").otherwise(text.side_change(F.col("label"), "left"))
-    right = F.when(plain, F.lit(None)).when(~paired, "added").otherwise(text.side_change(F.col("label"), "right"))
-    split = paired & ~F.col("o.table") & ~F.col("w.table")
-    return lines.select(
-        "pair_id", "slot", "k", "label", plain.alias("plain"), "o", "w",
-        F.when(F.col("o").isNotNull(), left).alias("lc"), F.when(F.col("w").isNotNull(), right).alias("rc"), F.when(split, image_subrows(F.col("o.images"), F.col("w.images"))).alias("subs"),
-    )
+def _subrows(pairs: DataFrame, blocks: DataFrame, stretches: DataFrame) -> DataFrame | None:
+    """``pair_id, slot, k, subs`` of the paired lines, no table rows, whose images differ; None if blocks have no images at all."""
+    if "images" not in blocks.columns:
+        return None
+    light = blocks.filter(~F.coalesce(text.is_table_row(F.col("text")), F.lit(False))).select("doc_id", F.col("pos").cast("int").alias("pos"), _sha1s(F.col("images")).alias("s"))
+    n = F.least(F.col("i2") - F.col("i1"), F.col("j2") - F.col("j1"))
+    lines = stretches.filter(n > 0).select("pair_id", "slot", "i1", "j1", F.explode(F.sequence(F.lit(0), n - 1)).alias("k")).join(pairs.select("pair_id", "old_doc", "new_doc"), "pair_id")
+    lines = lines.select(*_LINE, "old_doc", (F.col("i1") + F.col("k")).alias("old_pos"), "new_doc", (F.col("j1") + F.col("k")).alias("new_pos"))
+    both = lines.join(light.toDF("old_doc", "old_pos", "old"), ["old_doc", "old_pos"]).join(light.toDF("new_doc", "new_pos", "new"), ["new_doc", "new_pos"])
+    return image_subrows(both, _LINE)
 
 
 def row_changes(pairs: DataFrame, blocks: DataFrame, fragments: DataFrame, labels: DataFrame) -> DataFrame:
-    """``pair_id, change``: the class of each row that ``build_rows`` makes, without making texts and segments."""
-    own = F.array(F.coalesce("lc", "rc"))
-    sub = F.transform("subs", lambda x: F.when(x["i1"] == x["i2"], "added").when(x["j1"] == x["j2"], "removed"))
-    every = F.when(F.col("subs").isNull(), own).otherwise(F.concat(own, sub))
-    return _lines(pairs, blocks, fragments, labels).select("pair_id", F.explode(every).alias("change"))
+    """``pair_id, change, n``: how many rows of each class ``build_rows`` makes, in parts.
+
+    All follows from the ranges of the fragments; no text is moved, and blocks are
+    joined for their images' fingerprints alone.
+    """
+    s = _stretches(pairs, blocks, _marked(pairs, fragments, labels))
+    old, new = F.col("i2") - F.col("i1"), F.col("j2") - F.col("j1")
+    own = F.coalesce(text.side_change(F.col("label"), "left"), text.side_change(F.col("label"), "right"))
+    part = lambda change, n: F.struct(F.when(~F.col("plain"), change).alias("change"), n.cast("bigint").alias("n"))
+    parts = F.array(part(own, F.least(old, new)), part(F.lit("removed"), old - F.least(old, new)), part(F.lit("added"), new - F.least(old, new)))
+    out = s.select("pair_id", F.explode(parts).alias("p")).select("pair_id", "p.*").filter("n > 0")
+    subs = _subrows(pairs, blocks, s)
+    if subs is None:
+        return out
+    more = F.explode(F.transform("subs", lambda x: F.when(x["i1"] == x["i2"], "added").when(x["j1"] == x["j2"], "removed")))
+    return out.unionByName(subs.select("pair_id", more.alias("change"), F.lit(1).cast("bigint").alias("n")))
+
+
+def _segments(blocks: DataFrame, marked: DataFrame, max_tokens: int) -> DataFrame:
+    """``pair_id, slot, k, words, cells`` of the paired blocks of changed fragments whose segments aren't known without a match."""
+    n = F.least(F.size("old_blocks"), F.size("new_blocks"))
+    none = F.lit(None).cast("array<string>")
+
+    def both(a: Column, b: Column) -> Column:
+        (_, old_sep, old_cells), (_, new_sep, new_cells) = _table_parts(a, none), _table_parts(b, none)
+        return F.struct(a.alias("old"), b.alias("new"), old_cells.alias("oc"), new_cells.alias("wc"), old_sep.alias("os"), new_sep.alias("ws"))
+
+    # cells are made inside the array, so that the explosion below keeps them from being made again for each use
+    two = F.zip_with(F.slice("old_blocks", 1, n), F.slice("new_blocks", 1, n), both)
+    lines = marked.filter((F.col("label") == "changed") & ~F.col("formatting") & (n > 0)).select("pair_id", "slot", "old_doc", "new_doc", "i1", "j1", F.posexplode(two).alias("k", "t"))
+    lines = lines.select(*_LINE, "old_doc", (F.col("i1") + F.col("k")).alias("old_pos"), "new_doc", (F.col("j1") + F.col("k")).alias("new_pos"), "t.*")
+    if "cells" in blocks.columns:
+        given = blocks.filter(F.col("cells").isNotNull()).select("doc_id", F.col("pos").cast("int").alias("pos"), F.col("cells").cast("array<string>").alias("cells"))
+        lines = lines.join(given.toDF("old_doc", "old_pos", "og"), ["old_doc", "old_pos"], "left").join(given.toDF("new_doc", "new_pos", "wg"), ["new_doc", "new_pos"], "left")
+        sep = {s: F.col(s) & F.col(g).isNull() for s, g in (("os", "og"), ("ws", "wg"))}
+        lines = lines.withColumns({"oc": F.coalesce("og", "oc"), "wc": F.coalesce("wg", "wc"), **sep})
+    by_cells = F.col("oc").isNotNull() & F.col("wc").isNotNull()
+    by_words = ~by_cells & ~F.col("os") & ~F.col("ws") & (F.col("old") != F.col("new"))
+    some = lines.filter(by_cells | by_words)
+    kept = lambda c, cond: F.when(cond, F.col(c))
+    some = some.select(*_LINE, kept("old", by_words).alias("old"), kept("new", by_words).alias("new"), kept("oc", by_cells).alias("old_cells"), kept("wc", by_cells).alias("new_cells"))
+    return diff.changed_segments(some, _LINE, max_tokens)
 
 
 def build_rows(pairs: DataFrame, blocks: DataFrame, fragments: DataFrame, labels: DataFrame, max_tokens: int = matching.MAX_INLINE_TOKENS) -> DataFrame:
@@ -115,13 +157,25 @@ def build_rows(pairs: DataFrame, blocks: DataFrame, fragments: DataFrame, labels
     paired row differ, a table row is marked, and other rows give their images to
     sub-rows.
     """
-    lines = _lines(pairs, blocks, fragments, labels)
-    marked = F.col("o").isNotNull() & F.col("w").isNotNull() & ~F.col("plain") & (F.col("label") == "changed")
-    by_cells = marked & F.col("o.cells").isNotNull() & F.col("w.cells").isNotNull()
-    by_words = marked & ~by_cells & ~F.col("o.sep") & ~F.col("w.sep")
-    lines = lines.withColumn("cs", diff.cell_diff(F.when(by_cells, F.col("o.cells")), F.when(by_cells, F.col("w.cells")), max_tokens)).withColumn(
-        "ws", diff.inline_diff(F.when(by_words, F.col("o.text")), F.when(by_words, F.col("w.text")), max_tokens)
-    )
+    marked = _marked(pairs, fragments, labels)
+    s = _stretches(pairs, blocks, marked)
+    n = F.greatest(F.col("i2") - F.col("i1"), F.col("j2") - F.col("j1"))
+    lines = s.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("k")).join(pairs.select("pair_id", "old_doc", "new_doc"), "pair_id")
+    lines = lines.withColumn("old_pos", F.when(F.col("i1") + F.col("k") < F.col("i2"), F.col("i1") + F.col("k"))).withColumn("new_pos", F.when(F.col("j1") + F.col("k") < F.col("j2"), F.col("j1") + F.col("k")))
+    # what Python makes is joined to the bare lines, before these get their blocks
+    lines = lines.join(_segments(blocks, marked, max_tokens), _LINE, "left")
+    subs = _subrows(pairs, blocks, s)
+    lines = lines.join(subs, _LINE, "left") if subs is not None else lines.withColumn("subs", F.lit(None).cast(_SUB))
+    whole = _whole_blocks(blocks)
+    lines = lines.join(whole.toDF("old_doc", "old_pos", "o"), ["old_doc", "old_pos"], "left").join(whole.toDF("new_doc", "new_pos", "w"), ["new_doc", "new_pos"], "left")
+    paired = F.col("o").isNotNull() & F.col("w").isNotNull()
+    left = F.when(F.col("plain"), F.lit(None)).when(~paired, "removed").otherwise(text.side_change(F.col("label"), "left"))
+    right = F.when(F.col("plain"), F.lit(None)).when(~paired, "added").otherwise(text.side_change(F.col("label"), "right"))
+    whole_words = paired & ~F.col("plain") & (F.col("label") == "changed") & F.col("words").isNull() & F.col("cells").isNull() & ~F.col("o.sep") & ~F.col("w.sep") & (F.col("o.text") == F.col("w.text"))
+    lines = lines.select(
+        *_LINE, "o", "w", "subs", F.when(F.col("o").isNotNull(), left).alias("lc"), F.when(F.col("w").isNotNull(), right).alias("rc"),
+        F.when(whole_words, diff.equal_segments(F.col("o.text"))).otherwise(F.col("words")).alias("ws"), F.col("cells").alias("cs"),
+    )
     table_images = (F.col("o.table") | F.col("w.table")) & (_sha1s(F.col("o.images")) != _sha1s(F.col("w.images"))) & F.col("o").isNotNull() & F.col("w").isNotNull()
     no_images = F.array().cast(f"array<{IMAGE}>")
 

@@ -12,9 +12,9 @@ def change_counts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     ``rows`` as ``build_rows`` or, more cheaply, ``row_changes`` gives them.
     """
     change = F.col("change") if "change" in rows.columns else F.coalesce("left.change", "right.change")
-    own = rows.select("pair_id", change.alias("c"))
-    count = lambda x: F.sum((F.col("c") == x).cast("int"))
-    sums = own.groupBy("pair_id").agg(*(F.coalesce(count(x), F.lit(0)).alias(x) for x in ("changed", "removed", "added")), F.sum(F.col("c").isNull().cast("int")).alias("unchanged"))
+    own = rows.select("pair_id", change.alias("c"), (F.col("n") if "n" in rows.columns else F.lit(1)).alias("n"))
+    count = lambda x: F.sum(F.when(F.col("c") == x, F.col("n")))
+    sums = own.groupBy("pair_id").agg(*(count(x).alias(x) for x in ("changed", "removed", "added")), F.sum(F.when(F.col("c").isNull(), F.col("n"))).alias("unchanged"))
     zero = lambda x: F.coalesce(F.col(x), F.lit(0)).cast("bigint").alias(x)
     return pairs.select("pair_id").join(sums, "pair_id", "left").select("pair_id", *(zero(x) for x in ("changed", "removed", "added", "unchanged")))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -15,13 +17,49 @@ from ..operators import pairs as pair_ops
 
 @dataclass
 class Comparison:
-    """Tables of a comparison, all keyed by ``pair_id``."""
+    """Tables of a comparison, all keyed by ``pair_id``; ``rows``, ``summary`` and ``counts`` are planned when they are asked for.
 
+    ``release`` frees what is kept for them; the tables can still be read, at the price
+    of being made anew.
+    """
+
+    pairs: DataFrame
+    blocks: DataFrame
     fragments: DataFrame
     labels: DataFrame
-    rows: DataFrame
-    summary: DataFrame
-    counts: DataFrame
+    degraded: DataFrame
+    kept: list[DataFrame]
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return rows.build_rows(self.pairs, self.blocks, self.fragments, self.labels)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return summary.pair_summary(self.pairs, self.fragments, self.labels, self.degraded)
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        return summary.change_counts(self.pairs, rows.row_changes(self.pairs, self.blocks, self.fragments, self.labels))
+
+    def release(self) -> None:
+        for table in self.kept:
+            table.unpersist()
+
+
+def cut(table: DataFrame) -> DataFrame:
+    """``table``, made now and written to the checkpoint folder, so that plans upon it stay small.
+
+    The folder is the session's ``spark.checkpoint.dir``. Only where Spark runs on this machine
+    alone and none is set, as in tests, a temporary one is taken.
+    """
+    spark = table.sparkSession.sparkContext
+    if not spark.getCheckpointDir():
+        shared = table.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-shared-"))
+    return table.checkpoint()
 
 
 def compare_blocks(pairs: DataFrame, blocks: DataFrame, chat: model.Chat | None = None, degraded: DataFrame | None = None) -> Comparison:
@@ -34,13 +72,13 @@ def compare_blocks(pairs: DataFrame, blocks: DataFrame, chat: model.Chat | None
     """
     own = block_ops.normalize_blocks(blocks).persist(StorageLevel.MEMORY_AND_DISK)
     fragments = diff.refine_fragments(diff.find_diffs(pairs, own)).persist(StorageLevel.MEMORY_AND_DISK)
-    labels = model.classify_fragments(fragments, chat)
+    labels, kept = model.classify_fragments(fragments, chat), [own, fragments]
     if chat is not None:
         labels = labels.persist(StorageLevel.MEMORY_AND_DISK)
-    made = rows.build_rows(pairs, own, fragments, labels)
+        kept.append(labels)
     if degraded is None:
         degraded = pairs.select("pair_id", F.lit("old").alias("side"), F.lit(0).alias("page")).limit(0)
-    return Comparison(fragments, labels, made, summary.pair_summary(pairs, fragments, labels, degraded), summary.change_counts(pairs, rows.row_changes(pairs, own, fragments, labels)))
+    return Comparison(pairs, own, fragments, labels, degraded, kept)
 
 
 def compare_text_pages(pairs: DataFrame, blocks: DataFrame, masks: DataFrame, chat: model.Chat | None = None) -> tuple[Comparison, DataFrame]:
@@ -49,7 +87,7 @@ def compare_text_pages(pairs: DataFrame, blocks: DataFrame, masks: DataFrame, ch
     ``blocks`` need ``page``; ``masks``: ``doc_id, page, height, width, bits, ink, sha1``.
     As a document may be in several pairs, its blocks are taken for each pair apart.
     """
-    alignment = pages.align_pages(pairs, masks)
+    alignment = cut(pages.align_pages(pairs, masks))
     sides = [pairs.select("pair_id", F.lit(s).alias("side"), F.col(f"{s}_doc").alias("doc_id")) for s in ("old", "new")]
     own = sides[0].unionByName(sides[1]).join(blocks, "doc_id")
     own = pair_ops.drop_unchanged_pages(own, alignment)
@@ -63,13 +101,15 @@ def compare_scans(pairs: DataFrame, page_content: DataFrame, masks: DataFrame, c
     """Compare scanned documents, reading only the pages that changed.
 
     ``page_content``: ``doc_id, page, content``. Returns the comparison, the alignment and
-    new rows for the cache.
+    new rows for the cache. Alignment and reads are made at once and written to the
+    checkpoint folder, so that no page is read twice.
     """
-    alignment = pages.align_pages(pairs, masks)
+    alignment = cut(pages.align_pages(pairs, masks))
     wanted = pair_ops.pages_to_read(alignment)
     docs = pairs.select("pair_id", F.lit("old").alias("side"), F.col("old_doc").alias("doc_id")).unionByName(pairs.select("pair_id", F.lit("new").alias("side"), F.col("new_doc").alias("doc_id")))
     asked = wanted.join(docs, ["pair_id", "side"]).join(page_content.select("doc_id", F.col("page").cast("int").alias("page"), "content"), ["doc_id", "page"])
     reads, fresh = model.read_pages_cached(asked.select("pair_id", "side", "page", "content"), cache, reader, model_name, version)
+    reads = cut(reads)
     keyed = reads.withColumn("doc_id", F.xxhash64("pair_id", "side"))
     own = block_ops.blocks_from_page_reads(keyed.select("doc_id", "page", "markdown", "unreadable"))
     sides = docs.select("pair_id", "side", F.xxhash64("pair_id", "side").alias("doc_id"))

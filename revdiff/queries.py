@@ -372,8 +372,8 @@ def refined_fragments(spark, sf_dir):
 @query()
 def similar_lines(spark, sf_dir):
     nxt = F.lead("text").over(Window.partitionBy("doc_id").orderBy("pos"))
-    two = line_blocks(spark, sf_dir).withColumn("b", nxt).filter("b IS NOT NULL")
-    return two.select("doc_id", "pos", diff.block_similarity(F.col("text"), F.col("b"), 0.6).alias("ratio"))
+    two = line_blocks(spark, sf_dir).withColumn("new", nxt).filter("new IS NOT NULL").withColumnRenamed("text", "old")
+    return diff.similar_texts(two, ["doc_id", "pos"], 0.6)
 
 
 def _changed_lines(spark, sf_dir):
@@ -383,13 +383,14 @@ def _changed_lines(spark, sf_dir):
 
 @query()
 def word_segments(spark, sf_dir):
-    return _changed_lines(spark, sf_dir).select("doc_id", "pos", diff.inline_diff(F.col("text"), F.col("new")).alias("s")).select("doc_id", "pos", "s.left", "s.right")
+    return diff.inline_diff(_changed_lines(spark, sf_dir).withColumnRenamed("text", "old"), ["doc_id", "pos"])
 
 
 @query()
 def cell_segments(spark, sf_dir):
     rows_ = _changed_lines(spark, sf_dir).filter(text.is_table_row(F.concat(F.lit("| "), F.col("text"))) & F.col("text").contains("|"))
-    return rows_.select("doc_id", "pos", diff.cell_diff(text.parse_table_row(F.col("text")), text.parse_table_row(F.col("new"))).alias("s")).select("doc_id", "pos", "s.left", "s.right")
+    cells = rows_.select("doc_id", "pos", text.parse_table_row(F.col("text")).alias("old_cells"), text.parse_table_row(F.col("new")).alias("new_cells"))
+    return diff.cell_diff(cells, ["doc_id", "pos"])
 
 
 @query()

@@ -87,26 +87,30 @@ def test_similarity_keeps_direction_and_junk(spark):
     r = random.Random(4)
     texts = [("".join(r.choices("abcde ", k=r.choice([0, 5, 250]))), "".join(r.choices("abcde ", k=r.choice([0, 5, 250])))) for _ in range(80)]
     got = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "i int, a string, b string").select("i", diff.block_similarity(F.col("a"), F.col("b")).alias("r")).orderBy("i").collect()
-    assert [g.r for g in got] == pytest.approx([SequenceMatcher(None, a, b).ratio() for a, b in texts])
+    want = [SequenceMatcher(None, a, b).ratio() for a, b in texts]
+    assert [g.r for g in got] == pytest.approx(want)
+    two = spark.createDataFrame([(i, *t) for i, t in enumerate([*texts, (None, "x")])], "i int, old string, new string")
+    got = diff.similar_texts(two, ["i"], 0.6).orderBy("i").collect()
+    assert got[-1].ratio is None and [g.ratio for g in got[:-1]] == pytest.approx([r if r >= 0.6 else 0.0 for r in want])
 
 
 def test_segments_rebuild_their_texts(spark):
     r = random.Random(5)
     texts = [("one two three", "one 2 three"), ("a b", "a b c"), ("a b c", "a c"), ("same", "same"), ("", "x"), ("x", ""), ("", "")]
     texts += [(" ".join(r.choices(["ab", "c,", "д", "1"], k=r.randint(0, 8))), " ".join(r.choices(["ab", "c,", "д", "1"], k=r.randint(0, 8)))) for _ in range(80)]
-    got = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "i int, a string, b string").select("i", diff.inline_diff(F.col("a"), F.col("b")).alias("s")).orderBy("i").collect()
+    got = diff.inline_diff(spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "i int, old string, new string"), ["i"]).orderBy("i").collect()
     for (a, b), g in zip(texts, got):
-        assert "".join(x.text for x in g.s.left) == a and "".join(x.text for x in g.s.right) == b
-        for side in (g.s.left, g.s.right):
+        assert "".join(x.text for x in g.left) == a and "".join(x.text for x in g.right) == b
+        for side in (g.left, g.right):
             assert all(x.type != y.type for x, y in zip(side, side[1:]) if x.text and y.text)
-    assert [(x.text, x.type) for x in got[0].s.left] == [("one ", "same"), ("two", "del"), (" three", "same")]
-    assert [(x.text, x.type) for x in got[1].s.left] == [("a b", "same"), ("", "add-mark")]
-    assert [(x.text, x.type) for x in got[2].s.right][1] == ("", "del-mark")
+    assert [(x.text, x.type) for x in got[0].left] == [("one ", "same"), ("two", "del"), (" three", "same")]
+    assert [(x.text, x.type) for x in got[1].left] == [("a b", "same"), ("", "add-mark")]
+    assert [(x.text, x.type) for x in got[2].right][1] == ("", "del-mark")
     assert matching.inline_diff("a " * 9, "b " * 9, most=10) is None
 
 
 def test_cells(spark):
-    got = spark.createDataFrame([(["a b", "c"], ["a x", "c", "new"])], "a array<string>, b array<string>").select(diff.cell_diff(F.col("a"), F.col("b")).alias("s")).first().s
+    got = diff.cell_diff(spark.createDataFrame([(1, ["a b", "c"], ["a x", "c", "new"])], "i int, old_cells array<string>, new_cells array<string>"), ["i"]).first()
     assert len(got.left) == len(got.right) == 3
     assert [(x.text, x.type) for x in got.left[2]] == [("", "add-mark")] and [(x.text, x.type) for x in got.right[2]] == [("new", "add")]
     assert [(x.text, x.type) for x in got.left[1]] == [("c", "same")]
