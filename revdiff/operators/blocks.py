@@ -24,12 +24,19 @@ def normalize_blocks(blocks: DataFrame, fold_nbsp: bool = False) -> DataFrame:
     return out.filter(filled).withColumn("pos", F.row_number().over(order) - 1).select(*blocks.columns)
 
 
+def table_parts(c: Column, given: Column) -> tuple[Column, Column, Column]:
+    """Whether a text is a table row, whether that is a separator, and its cells; ``given`` cells stay."""
+    row = F.when(text.is_table_row(c), c)  # null for most blocks, which then cost nothing
+    sep = F.coalesce(text.is_table_separator(row), F.lit(False))
+    cells = F.when(given.isNotNull(), given).when(~sep, text.parse_table_row(row))
+    return row.isNotNull(), given.isNull() & sep, cells
+
+
 def enrich_table_cells(blocks: DataFrame) -> DataFrame:
     """``cells`` of table rows, and ``sep`` for separator rows; cells that are there stay."""
-    row, sep = text.is_table_row(F.col("text")), text.is_table_separator(F.col("text"))
-    own = F.col("cells") if "cells" in blocks.columns else F.lit(None).cast("array<string>")
-    cells = F.when(own.isNotNull(), own).when(row & ~sep, text.parse_table_row(F.col("text")))
-    return blocks.withColumn("sep", own.isNull() & row & sep).withColumn("cells", cells)
+    given = F.col("cells").cast("array<string>") if "cells" in blocks.columns else F.lit(None).cast("array<string>")
+    _, sep, cells = table_parts(F.col("text"), given)
+    return blocks.withColumns({"sep": sep, "cells": cells})
 
 
 def build_blocks(items: DataFrame) -> DataFrame:

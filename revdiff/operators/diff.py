@@ -68,7 +68,7 @@ def find_diffs(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
 
     types = dict(both.dtypes)
     schema = f"pair_id {types['pair_id']}, old_doc {types['old_doc']}, new_doc {types['new_doc']}, codes {_CODES}"
-    spans = both.mapInPandas(match, schema).select("pair_id", "old_doc", "new_doc", F.posexplode("codes").alias("frag_no", "c"))
+    spans = spread(both, ["pair_id"]).mapInPandas(match, schema).select("pair_id", "old_doc", "new_doc", F.posexplode("codes").alias("frag_no", "c"))
     spans = spans.select("pair_id", "frag_no", "old_doc", "new_doc", "c.*")
     none = F.array().cast("array<string>")
     own = spans.join(_texts(spans, blocks), ["pair_id", "frag_no"], "left")
@@ -96,7 +96,7 @@ def refine_fragments(fragments: DataFrame, threshold: float = matching.SIMILARIT
 
     names = fragments.columns
     schema = ", ".join(f"`{n}` {t}" for n, t in fragments.dtypes) + f", codes {_CODES}"
-    parts = fragments.filter(eligible).mapInPandas(split, schema).select("*", F.posexplode("codes").alias("sub", "c"))
+    parts = spread(fragments.filter(eligible), ["pair_id", "frag_no"]).mapInPandas(split, schema).select("*", F.posexplode("codes").alias("sub", "c"))
     part = lambda blocks, a, b: F.slice(blocks, F.col(a) + 1, F.col(b) - F.col(a))
     changed = {
         "opcode": F.col("c.opcode"), "i1": F.col("i1") + F.col("c.i1"), "i2": F.col("i1") + F.col("c.i2"), "j1": F.col("j1") + F.col("c.j1"), "j2": F.col("j1") + F.col("c.j2"),
@@ -130,7 +130,12 @@ def similar_texts(rows: DataFrame, keys: list[str], threshold: float = 0.0, auto
     ratio = F.when(F.col("old") == F.col("new"), 1.0).when(text.length_ratio_bound(F.col("old"), F.col("new")) < threshold, 0.0)
     known = rows.withColumn("ratio", ratio).withColumn("open", F.col("ratio").isNull() & F.col("old").isNotNull() & F.col("new").isNotNull())
     settled = known.filter(~F.col("open")).select(*keys, "ratio")
-    return settled.unionByName(known.filter("open").select(*keys, block_similarity(F.col("old"), F.col("new"), threshold, autojunk).alias("ratio")))
+    return settled.unionByName(spread(known.filter("open").select(*keys, "old", "new"), keys).select(*keys, block_similarity(F.col("old"), F.col("new"), threshold, autojunk).alias("ratio")))
+
+
+def spread(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` dealt anew over all tasks, as matching in Python takes much longer than moving the few texts that need it."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 _SEGMENT = pa.struct([("text", pa.string()), ("type", pa.string())])
@@ -208,4 +213,4 @@ def changed_segments(rows: DataFrame, keys: list[str], max_tokens: int = matchin
 
     types = dict(rows.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", words struct<left:{_SEGMENTS},right:{_SEGMENTS}>, cells struct<left:array<{_SEGMENTS}>,right:array<{_SEGMENTS}>>"
-    return rows.select(*keys, "old", "new", "old_cells", "new_cells").mapInArrow(run, schema)
+    return spread(rows.select(*keys, "old", "new", "old_cells", "new_cells"), keys).mapInArrow(run, schema)

@@ -11,24 +11,17 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..kernels import matching
 from . import diff
+from .blocks import table_parts
 
 IMAGE = "struct<sha1:string,n_bytes:bigint,data_uri:string>"
 _BLOCK = {"text": "string", "html": "string", "images": f"array<{IMAGE}>", "page": "int", "words": "array<struct<x0:double,top:double,x1:double,bottom:double>>", "cells": "array<string>"}
 
 
-def _table_parts(c: Column, given: Column) -> tuple[Column, Column, Column]:
-    """Whether a text is a table row, whether that is a separator, and its cells; ``given`` cells stay."""
-    row = F.when(text.is_table_row(c), c)  # null for most blocks, which then cost nothing
-    sep = F.coalesce(text.is_table_separator(row), F.lit(False))
-    cells = F.when(given.isNotNull(), given).when(~sep, text.parse_table_row(row))
-    return row.isNotNull(), given.isNull() & sep, cells
-
-
 def _whole_blocks(blocks: DataFrame) -> DataFrame:
     """``doc_id, pos, b``: each block as a struct of all fields a row can show."""
     fields = [(F.col(n).cast(t) if n in blocks.columns else F.lit(None).cast(t)).alias(n) for n, t in _BLOCK.items()]
     given = F.col("cells").cast(_BLOCK["cells"]) if "cells" in blocks.columns else F.lit(None).cast(_BLOCK["cells"])
-    table, sep, cells = _table_parts(F.col("text"), given)
+    table, sep, cells = table_parts(F.col("text"), given)
     fields = [cells.alias("cells") if n == "cells" else f for n, f in zip(_BLOCK, fields)]
     return blocks.select("doc_id", F.col("pos").cast("int").alias("pos"), F.struct(*fields, sep.alias("sep"), table.alias("table")).alias("b"))
 
@@ -120,7 +113,7 @@ def _segments(blocks: DataFrame, marked: DataFrame, max_tokens: int) -> DataFram
     none = F.lit(None).cast("array<string>")
 
     def both(a: Column, b: Column) -> Column:
-        (_, old_sep, old_cells), (_, new_sep, new_cells) = _table_parts(a, none), _table_parts(b, none)
+        (_, old_sep, old_cells), (_, new_sep, new_cells) = table_parts(a, none), table_parts(b, none)
         return F.struct(a.alias("old"), b.alias("new"), old_cells.alias("oc"), new_cells.alias("wc"), old_sep.alias("os"), new_sep.alias("ws"))
 
     # cells are made inside the array, so that the explosion below keeps them from being made again for each use

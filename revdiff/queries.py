@@ -140,6 +140,11 @@ def _cells_sql(x: str) -> str:
     return f"[{_STRIP.format('replace(p, chr(1), chr(124))')} for p in {parts}[{first}:{last}]]"
 
 
+_CELLS_OF_LINE = rf"""WITH {LINES}, t AS (SELECT doc_id, pos, '| ' || text AS text FROM lines), c AS (SELECT *, {_cells_sql("text")} AS cells FROM t),
+s AS (SELECT *, pos % 5 <> 4 AND len(cells) > 0 AND len([x for x in cells if NOT regexp_matches(x, '^:?-{{2,}}:?$')]) = 0 AS sep FROM c)
+SELECT doc_id, pos, sep, CASE WHEN pos % 5 = 4 THEN 'own~' || text WHEN NOT sep THEN array_to_string(cells, '~') END AS cells FROM s"""
+
+
 # ---------------------------------------------------------------- text functions
 
 
@@ -259,7 +264,14 @@ def markdown_to_blocks(spark, sf_dir):
     return blocks.markdown_blocks(markdown_pages(spark, sf_dir), ("doc_id",))
 
 
-@query()
+_WRAP = """CASE WHEN {tag} LIKE 'h%' THEN '<' || {tag} || '>' || {x} || '</' || {tag} || '>' WHEN {tag} IN ('ul', 'ol') THEN '<' || {tag} || '><li>' || {x} || '</li></' || {tag} || '>' ELSE '<p>' || {x} || '</p>' END"""
+
+
+def _html_sql(x: str, tag: str) -> str:
+    return f"CASE WHEN {_TABLE_ROW.format(x)} THEN array_to_string(['<td>' || {_ESC.format('y')} || '</td>' for y in {_cells_sql(x)}], '') ELSE {_WRAP.format(tag=tag, x=_ESC.format(x))} END"
+
+
+@query(f"SELECT doc_id, 1 AS page, pos, text, tag, {_html_sql('text', 'tag')} AS html FROM ({_MD})")
 def page_reads_to_blocks(spark, sf_dir):
     return blocks.blocks_from_page_reads(markdown_pages(spark, sf_dir))
 
@@ -282,7 +294,17 @@ def run_paragraphs(spark, sf_dir):
     return blocks.paragraphs_from_runs(conversation_runs(spark, sf_dir)).select("doc_id", "text", "tag")
 
 
-@query()
+@query(rf"""WITH c AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '\s+', ' ', 'g') AS c FROM conversations),
+b AS (SELECT *, coalesce(last_value(CASE WHEN c <> '' THEN c LIKE '% ' END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS gap FROM c),
+t AS (SELECT conv_id, turn, CASE WHEN gap THEN ltrim(c, ' ') ELSE c END AS t FROM b),
+h AS (SELECT conv_id, turn, t, CASE WHEN turn % 2 = 0 THEN '<strong>' || {_ESC.format("t")} || '</strong>' ELSE {_ESC.format("t")} END AS h FROM t WHERE t <> ''),
+i AS (SELECT conv_id, turn, t, CASE WHEN turn % 3 = 0 THEN '<em>' || h || '</em>' ELSE h END AS h FROM h),
+u AS (SELECT conv_id, turn, t, CASE WHEN turn % 5 = 0 THEN '<u>' || h || '</u>' ELSE h END AS h FROM i),
+g AS (SELECT conv_id, rtrim(string_agg(t, '' ORDER BY turn), ' ') AS text, regexp_replace(regexp_replace(string_agg(h, '' ORDER BY turn), '\s+((?:<[^>]+>)*)$', '\1'), '^((?:<[^>]+>)*)\s+', '\1') AS inner_ FROM u GROUP BY conv_id),
+a AS (SELECT d.conv_id, coalesce(text, '') AS text, coalesce(inner_, '') AS inner_, CASE d.conv_id % 4 WHEN 0 THEN 'h1' WHEN 1 THEN 'ul' WHEN 2 THEN 'ol' ELSE 'p' END AS tag FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN g USING (conv_id)),
+p AS (SELECT *, replace(replace(replace(replace(replace(regexp_replace(inner_, '<[^>]+>', '', 'g'), '&#x27;', chr(39)), '&quot;', chr(34)), '&gt;', '>'), '&lt;', '<'), '&amp;', '&') AS bare FROM a),
+s AS (SELECT *, CASE WHEN bare = text THEN inner_ ELSE {_ESC.format("text")} END AS shown FROM p)
+SELECT conv_id AS doc_id, 0 AS block_no, text, tag, {_WRAP.format(tag="tag", x="shown")} AS html FROM s""")
 def run_paragraph_html(spark, sf_dir):
     return blocks.paragraphs_from_runs(conversation_runs(spark, sf_dir))
 
@@ -335,7 +357,17 @@ def _paragraphs(spark, sf_dir):
     return layout.paragraphs_from_lines(layout.restore_list_markers(lines, marks.drop("word_no")))
 
 
-@query()
+_PARAGRAPHS = f"""{CELLS}, free AS (SELECT * FROM w2 WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.doc_id = w2.doc_id AND c.page = w2.page
+  AND (w2.x0 + w2.x1) / 2 BETWEEN c.x0 AND c.x1 AND (w2.top + w2.bottom) / 2 BETWEEN c.y0 AND c.y1)),
+ln AS (SELECT doc_id, page, pos, min(top) AS top, max(bottom) AS bottom, arg_min(text, x0) AS first, string_agg(text, ' ' ORDER BY x0) AS text FROM free GROUP BY doc_id, page, pos),
+mk AS (SELECT DISTINCT doc_id, page, pos FROM words WHERE i = 1),
+lm AS (SELECT ln.doc_id, ln.page, ln.pos, top, bottom, CASE WHEN mk.pos IS NOT NULL AND first NOT IN ('*', '-', '•', '–', '—') THEN '• ' || text ELSE text END AS text FROM ln LEFT JOIN mk ON mk.doc_id = ln.doc_id AND mk.page = ln.page AND mk.pos = ln.pos),
+br AS (SELECT *, CASE WHEN top - lag(bottom) OVER w > 1.6::DOUBLE * 12 THEN 1 ELSE 0 END AS b FROM lm WINDOW w AS (PARTITION BY doc_id, page ORDER BY pos)),
+pn AS (SELECT *, sum(b) OVER (PARTITION BY doc_id, page ORDER BY pos) AS par_no FROM br),
+par AS (SELECT doc_id, page, par_no, min(top) AS top, trim(regexp_replace(string_agg(text, chr(10) ORDER BY pos), '[ \t]+', ' ', 'g'), ' ' || chr(9)) AS text FROM pn GROUP BY doc_id, page, par_no)"""
+
+
+@query(f"WITH {_PARAGRAPHS} SELECT * FROM par")
 def layout_paragraphs(spark, sf_dir):
     return _paragraphs(spark, sf_dir)
 
@@ -350,10 +382,22 @@ def paragraph_boxes(spark, sf_dir):
     return boxes.select("doc_id", "page", "par_no", F.size("words").cast("bigint").alias("n_words"), F.array_max(F.transform("words", lambda w: w["x1"])).alias("right_edge"))
 
 
-@query()
+@query(rf"""WITH {_PARAGRAPHS}, rw AS (SELECT doc_id, page, row_no, min(y0) AS top, '| ' || string_agg(text, ' | ' ORDER BY col_no) || ' |' AS text, list(text ORDER BY col_no) AS cells FROM cells GROUP BY doc_id, page, row_no),
+st AS (SELECT *, {_STRIP.format("text")} AS s FROM par WHERE text <> ''),
+hd AS (SELECT *, length(regexp_replace(s, '[^\p{{L}}]', '', 'g')) AS l, length(regexp_replace(s, '[^\p{{Lu}}]', '', 'g')) AS u FROM st),
+it AS (SELECT doc_id, page, top, 1 AS kind, par_no AS no, text, CASE WHEN length(s) BETWEEN 1 AND 120 AND l > 0 AND u * 5 >= l * 4 THEN 'h2' ELSE 'p' END AS tag, NULL::VARCHAR[] AS cells FROM hd
+  UNION ALL SELECT doc_id, page, top, 0, row_no, text, 'tr', cells FROM rw),
+nu AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY top, kind, no) AS n FROM it),
+im AS (SELECT doc_id, 1 AS page, sha1(CAST(doc_id AS VARCHAR)) AS images FROM labels WHERE toxic = 1),
+ev AS (SELECT nu.doc_id, nu.page, n, text, tag, cells, images FROM nu LEFT JOIN im ON im.doc_id = nu.doc_id AND im.page = nu.page AND n = 1
+  UNION ALL SELECT doc_id, page, 1, '', 'p', NULL, images FROM im WHERE NOT EXISTS (SELECT 1 FROM nu WHERE nu.doc_id = im.doc_id AND nu.page = im.page))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, n) - 1 AS INT) AS pos, page, text, tag,
+  CASE WHEN text = '' THEN '' WHEN {_TABLE_ROW.format("text")} THEN array_to_string(['<td>' || {_ESC.format("y")} || '</td>' for y in coalesce(cells, {_cells_sql("text")})], '') ELSE {_WRAP.format(tag="tag", x=_ESC.format("text"))} END AS html,
+  array_to_string(cells, '~') AS cells, images FROM ev""")
 def assembled_pages(spark, sf_dir):
     images = _table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id", F.lit(1).alias("page"), F.array(F.struct(F.sha1(F.col("doc_id").cast("string")).alias("sha1"), F.lit(10).cast("bigint").alias("n_bytes"), F.lit("").alias("data_uri"))).alias("images"))
-    return layout.assemble_page_blocks(_paragraphs(spark, sf_dir), layout.table_rows_from_rects(cell_layout(spark, sf_dir)), images)
+    made = layout.assemble_page_blocks(_paragraphs(spark, sf_dir), layout.table_rows_from_rects(cell_layout(spark, sf_dir)), images)
+    return made.withColumn("cells", F.array_join("cells", "~")).withColumn("images", F.col("images")[0]["sha1"])
 
 
 # ---------------------------------------------------------------- differences and rows
@@ -447,7 +491,7 @@ def identical_documents(spark, sf_dir):
 # ---------------------------------------------------------------- pairs and pages
 
 
-_REQ = "SELECT o_orderkey AS pair_id, o_orderkey % 700 AS old_doc, o_orderkey % 1100 AS new_doc FROM orders"
+_REQ = "SELECT o_orderkey AS pair_id, o_orderkey % (7 * n // 10) AS old_doc, o_orderkey % (11 * n // 10) AS new_doc FROM orders, (SELECT count(*) AS n FROM documents)"
 _EXT = "CASE doc_id % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.pdf' ELSE '.docx' END"
 
 
@@ -456,7 +500,8 @@ j AS (SELECT r.*, a.ext AS e1, b.ext AS e2 FROM r LEFT JOIN d a ON a.doc_id = r.
 SELECT pair_id, old_doc, new_doc, e1 AS ext, CASE WHEN e1 IS NULL OR e2 IS NULL OR e1 <> e2 THEN 'rejected' ELSE 'ok' END AS status,
   CASE WHEN e1 IS NULL OR e2 IS NULL THEN 'unknown document' WHEN e1 <> e2 THEN 'different formats' END AS reason FROM j""")
 def paired_files(spark, sf_dir):
-    req = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pair_id"), (F.col("o_orderkey") % 700).alias("old_doc"), (F.col("o_orderkey") % 1100).alias("new_doc"))
+    n = _table(spark, sf_dir, "documents").count()  # some requests name documents that aren't there
+    req = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pair_id"), (F.col("o_orderkey") % (7 * n // 10)).alias("old_doc"), (F.col("o_orderkey") % (11 * n // 10)).alias("new_doc"))
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.expr(_EXT).alias("ext"))
     return pairs.make_pairs(req, docs)
 
@@ -498,12 +543,15 @@ def pages_without_blocks(spark, sf_dir):
     return pairs.unreadable_pages(pairs.pages_to_read(derived_alignment(spark, sf_dir)), _page_blocks(spark, sf_dir))
 
 
-@query(f"""WITH {ALIGNMENT}, {_PB}, same AS (SELECT pair_id, new_page AS page, min(old_page) AS o FROM al WHERE kind = 'identical' GROUP BY 1, 2),
+_MARKERS = f"""{ALIGNMENT}, {_PB}, same AS (SELECT pair_id, new_page AS page, min(old_page) AS o FROM al WHERE kind = 'identical' GROUP BY 1, 2),
 isl AS (SELECT *, page - row_number() OVER (PARTITION BY pair_id ORDER BY page) AS g FROM same),
 rg AS (SELECT pair_id, min(page) AS page, max(page) AS last, false AS unreadable, arg_min(o, page) AS first_old, arg_max(o, page) AS last_old FROM isl GROUP BY pair_id, g),
 rd AS (SELECT DISTINCT * FROM (SELECT pair_id, 'old' AS side, old_page AS page FROM al WHERE kind IN ('changed', 'only_old') UNION ALL SELECT pair_id, 'new', new_page FROM al WHERE kind IN ('changed', 'only_new'))),
-ur AS (SELECT DISTINCT pair_id, page FROM rd WHERE NOT EXISTS (SELECT 1 FROM pb WHERE pb.pair_id = rd.pair_id AND pb.side = rd.side AND pb.page = rd.page))
-SELECT * FROM rg UNION ALL SELECT pair_id, page, page, true, NULL, NULL FROM ur""")
+ur AS (SELECT DISTINCT pair_id, page FROM rd WHERE NOT EXISTS (SELECT 1 FROM pb WHERE pb.pair_id = rd.pair_id AND pb.side = rd.side AND pb.page = rd.page)),
+mk AS (SELECT * FROM rg UNION ALL SELECT pair_id, page, page, true, NULL, NULL FROM ur)"""
+
+
+@query(f"WITH {_MARKERS} SELECT * FROM mk")
 def collapsed_ranges(spark, sf_dir):
     return rows.page_markers(derived_alignment(spark, sf_dir), pages_without_blocks(spark, sf_dir))
 
@@ -515,9 +563,13 @@ def _paged_rows(spark, sf_dir):
     return p.select("pair_id", row_no.alias("row_no"), side.alias("left"), side.alias("right"))
 
 
-@query()
+@query(f"""WITH {_MARKERS}, rw AS (SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY vec_id) - 1 AS row_no, page FROM pb WHERE side = 'old'),
+fs AS (SELECT m.pair_id, m.page, m.last, m.unreadable, coalesce(min(r.row_no), 2147483647) AS before FROM mk m LEFT JOIN rw r ON r.pair_id = m.pair_id AND r.page > m.page GROUP BY ALL),
+pl AS (SELECT *, max(before) OVER (PARTITION BY pair_id ORDER BY page, unreadable ROWS UNBOUNDED PRECEDING) AS spot, row_number() OVER (PARTITION BY pair_id ORDER BY page, unreadable) AS n FROM fs),
+ev AS (SELECT pair_id, spot, 0 AS kind, n, NULL AS row_no, page, last, unreadable FROM pl UNION ALL SELECT pair_id, row_no, 1, 0, row_no, NULL, NULL, false FROM rw)
+SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY spot, kind, n) - 1 AS place, row_no, page, last, unreadable FROM ev""")
 def marked_rows(spark, sf_dir):
-    return rows.rows_with_markers(_paged_rows(spark, sf_dir), collapsed_ranges(spark, sf_dir))
+    return rows.rows_with_markers(_paged_rows(spark, sf_dir), collapsed_ranges(spark, sf_dir)).fillna({"unreadable": False})
 
 
 @query(f"""WITH {ALIGNMENT}, p AS (SELECT DISTINCT vec_id // 10 AS pair_id FROM embeddings), c AS (SELECT vec_id // 10 AS doc_id, count(*) AS n FROM embeddings GROUP BY 1),
@@ -578,9 +630,18 @@ def grey_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select((F.col("vec_id") / 10).cast("bigint").alias("doc_id"), (1 + F.col("vec_id") % 10).cast("int").alias("page"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.unhex(F.array_join(F.transform("embedding", value), "")).alias("content"))
 
 
-@query()
+_GREY = "px AS (SELECT vec_id, k, CAST(floor((greatest(least(embedding[k + 1]::DOUBLE, 0.5), -0.5) + 0.5) * 255) AS INT) AS grey FROM embeddings, (SELECT unnest(range(64)) AS k))"
+
+
+@query(f"""WITH {_GREY}, h AS (SELECT vec_id, grey, count(*) AS n FROM px GROUP BY 1, 2),
+c AS (SELECT *, sum(n) OVER o AS w0, sum(n * grey) OVER o AS s0, sum(n) OVER e AS w, sum(n * grey) OVER e AS s FROM h WINDOW o AS (PARTITION BY vec_id ORDER BY grey), e AS (PARTITION BY vec_id)),
+b AS (SELECT vec_id, grey, (w0 * (w - w0))::DOUBLE * pow(s0::DOUBLE / w0 - (s - s0)::DOUBLE / (w - w0), 2) AS v FROM c WHERE w > w0),
+t AS (SELECT vec_id, arg_max(grey, (v, -grey)) AS t FROM b GROUP BY vec_id),
+m AS (SELECT vec_id, sum(CASE WHEN grey <= t THEN 1::HUGEINT << k ELSE 0::HUGEINT END) AS bits, count(CASE WHEN grey <= t THEN 1 END) AS ink FROM px LEFT JOIN t USING (vec_id) GROUP BY vec_id),
+w AS (SELECT vec_id, CAST(CASE WHEN bits >= 9223372036854775808 THEN bits - 18446744073709551616::HUGEINT ELSE bits END AS BIGINT)::VARCHAR AS bits, ink FROM m)
+SELECT vec_id // 10 AS doc_id, CAST(1 + vec_id % 10 AS INT) AS page, 8 AS height, 8 AS width, bits, ink, 0.0::DOUBLE AS skew, sha1('8,8,' || bits) AS sha1 FROM w""")
 def page_inks(spark, sf_dir):
-    return pages.ink_masks(grey_pages(spark, sf_dir))
+    return pages.ink_masks(grey_pages(spark, sf_dir)).withColumn("bits", F.array_join(F.col("bits").cast("array<string>"), ","))
 
 
 @query()
@@ -600,16 +661,31 @@ def _boxes(spark, sf_dir):
     return e.select((F.col("vec_id") / 10).cast("bigint").alias("pair_id"), (1 + F.col("vec_id") % 10).cast("int").alias("old_page"), (1 + F.col("label")).cast("int").alias("new_page"), F.array(r(1), r(5), r(9)).alias("regions"))
 
 
-@query()
-def selected_regions(spark, sf_dir):
-    weight = lambda r: (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])
-    return _boxes(spark, sf_dir).select("pair_id", "old_page", pages.select_regions(F.col("regions"), weight, 4000).alias("s")).select("pair_id", "old_page", "s.regions", "s.truncated")
-
-
 _BX = ", ".join(f"CAST(floor(abs(embedding[{{0}} + {k}]) * 100) + {50 if k > 1 else 0} AS INT) AS {n}" for k, n in enumerate(("x0", "y0", "x1", "y1")))
 _BOXES = " UNION ALL ".join(f"SELECT vec_id // 10 AS pair_id, CAST(1 + vec_id % 10 AS INT) AS old_page, CAST(1 + label AS INT) AS new_page, {_BX.format(i)} FROM embeddings" for i in (1, 5, 9))
 
 
+def _area(r):
+    return (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])
+
+
+def _shown(regions):
+    return F.array_join(F.transform(regions, lambda r: F.concat_ws(" ", r["x0"], r["y0"], r["x1"], r["y1"])), ",")
+
+
+_NUMBERED_BOXES = " UNION ALL ".join(f"SELECT vec_id, vec_id // 10 AS pair_id, CAST(1 + vec_id % 10 AS INT) AS old_page, CAST(1 + label AS INT) AS new_page, {i} AS i, {_BX.format(i)} FROM embeddings" for i in (1, 5, 9))
+
+
+@query(f"""WITH b AS ({_NUMBERED_BOXES}), a AS (SELECT *, (x1 - x0) * (y1 - y0) AS w, x0 || ' ' || y0 || ' ' || x1 || ' ' || y1 AS shown FROM b),
+o AS (SELECT vec_id, any_value(pair_id) AS pair_id, any_value(old_page) AS old_page, list(w ORDER BY -w, i) AS w, list(shown ORDER BY -w, i) AS s FROM a GROUP BY vec_id),
+f AS (SELECT *, w[1] <= 4000 AS f1 FROM o), g AS (SELECT *, (CASE WHEN f1 THEN w[1] ELSE 0 END) + w[2] <= 4000 AS f2 FROM f),
+h AS (SELECT *, (CASE WHEN f1 THEN w[1] ELSE 0 END) + (CASE WHEN f2 THEN w[2] ELSE 0 END) + w[3] <= 4000 AS f3 FROM g)
+SELECT pair_id, old_page, array_to_string(list_filter([CASE WHEN f1 THEN s[1] END, CASE WHEN f2 THEN s[2] END, CASE WHEN f3 THEN s[3] END], lambda x: x IS NOT NULL), ',') AS regions, NOT (f1 AND f2 AND f3) AS truncated FROM h""")
+def selected_regions(spark, sf_dir):
+    chosen = _boxes(spark, sf_dir).select("pair_id", "old_page", pages.select_regions(F.col("regions"), _area, 4000).alias("s"))
+    return chosen.select("pair_id", "old_page", _shown("s.regions").alias("regions"), "s.truncated")
+
+
 @query(f"""WITH b AS ({_BOXES}), s AS (SELECT DISTINCT * FROM (SELECT pair_id, 'old' AS side, old_page AS page, x0, y0, x1, y1 FROM b UNION ALL SELECT pair_id, 'new', new_page, x0, y0, x1, y1 FROM b))
 SELECT pair_id, side, page, string_agg(x0 || ' ' || y0 || ' ' || x1 || ' ' || y1, ',' ORDER BY x0, y0, x1, y1) AS regions FROM s GROUP BY 1, 2, 3""")
 def page_regions(spark, sf_dir):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,8 +50,9 @@ _FIELDS = {
 def read_docx(files: DataFrame) -> dict[str, DataFrame]:
     """Tables ``runs``, ``cells``, ``images`` and ``errors`` (``doc_id, error``) of word-processor files.
 
-    ``files``: ``doc_id, content``. The files are unpacked once for each table asked for;
-    a broken file gives an error row and nothing else.
+    ``files``: ``doc_id, content``. What the files hold is kept (on disk where memory is
+    short), so that they are unpacked once for all tables; ``unpersist`` of the table
+    ``files`` frees it. A broken file gives an error row and nothing else.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,9 +66,9 @@ def read_docx(files: DataFrame) -> dict[str, DataFrame]:
                 rows.append((doc, error, *([dict(zip(names, x)) for x in part] for names, part in zip(_FIELDS.values(), parts))))
             yield pd.DataFrame(rows, columns=["doc_id", "error", "runs", "cells", "images"])
 
-    whole = files.select("doc_id", "content").mapInPandas(run, _DOCX)
+    whole = files.select("doc_id", "content").mapInPandas(run, _DOCX).persist(StorageLevel.MEMORY_AND_DISK)
     out = {k: whole.select("doc_id", F.explode(k).alias("x")).select("doc_id", "x.*") for k in _FIELDS}
-    return out | {"errors": whole.filter("error IS NOT NULL").select("doc_id", "error")}
+    return out | {"files": whole, "errors": whole.filter("error IS NOT NULL").select("doc_id", "error")}
 
 
 def result_json(rows: DataFrame, summary: DataFrame) -> DataFrame:
