@@ -66,7 +66,7 @@ def page_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signs of ``embeddings`` as masks of 64 pixels: document ``vec_id div 10``, page ``1 + vec_id % 10``."""
     e = _table(spark, sf_dir, "embeddings")
     half = lambda a: F.aggregate(F.slice("embedding", a + 1, 32), F.struct(F.lit(0).cast("bigint").alias("v"), F.lit(1).cast("bigint").alias("p")), lambda acc, x: F.struct((acc["v"] + F.when(x > 0, acc["p"]).otherwise(0)).alias("v"), (acc["p"] * 2).alias("p")), lambda acc: acc["v"])
-    m = e.select((F.col("vec_id") / 10).cast("bigint").alias("doc_id"), (1 + F.col("vec_id") % 10).cast("int").alias("page"), F.lit(1).alias("height"), F.lit(64).alias("width"), F.array(half(0), half(32)).alias("bits"))
+    m = e.select((F.col("vec_id") / 10).cast("bigint").alias("doc_id"), (1 + F.col("vec_id") % 10).cast("int").alias("page"), F.lit(1).alias("height"), F.lit(64).alias("width"), F.array(half(0).bitwiseOR(F.shiftleft(half(32), 32))).alias("bits"))
     m = m.withColumn("ink", F.aggregate("bits", F.lit(0).cast("bigint"), lambda acc, x: acc + F.bit_count(x)))
     return m.withColumn("sha1", pages.page_sha1(F.col("height"), F.col("width"), F.col("bits")))
 

@@ -208,3 +208,17 @@ def test_labels_of_models(spark):
     answers = spark.createDataFrame([(0, 0, 1, "?", None), (0, 0, 2, '{"label": "added"}', None), (1, 0, 1, None, "down"), (1, 0, 2, '{"label": "added"}', None)], "pair_id bigint, frag_no int, attempt int, content string, error string")
     got = model.labels_from_responses(fragments, answers).orderBy("pair_id").collect()
     assert [(r.label, r.semantic) for r in got] == [("added", True), ("removed", False)]
+
+
+def test_arriving_pairs_are_compared_once(spark, tmp_path):
+    from revdiff.streaming.arrivals import compare_arrivals
+
+    pairs, blocks = tables(spark, random_versions(6, 9))
+    pairs.repartition(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(pairs.schema).parquet(f"{tmp_path}/in")
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    for _ in range(2):  # nothing new arrives the second time
+        compare_arrivals(stream, blocks, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").drop("batch")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, compare.compare_blocks(pairs, blocks).counts.collect()))
+    assert before == 0 or len(spark.sparkContext._jsc.getPersistentRDDs()) <= before + 2
