@@ -44,6 +44,20 @@ def test_stages_against_brute_force(spark):
     assert corpus_pipeline.run(spark, DATA).count() == packed.count()
 
 
+def test_stages_take_any_rows(spark, edge, tmp_path):
+    spark.createDataFrame([(0, 1, 0), (None, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("i", "two words"), (None, "x"), ("j", None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for docs in (edge, edge.limit(0)):
+        docs = staged(docs)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before, docs = docs, staged(stage(spark, docs, str(tmp_path)))
+            assert docs.columns == edge.columns and docs.count() <= before.count(), name
+        left = {r.doc_id for r in docs.collect()}
+        assert left == ({0, 1, 2, 3, 7, 8, 9, 10, 11, None} if before.count() else set())
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert {r.doc_id for r in packed.select("doc_id").collect()} == left
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_equals_sql(spark, name):
     import os
