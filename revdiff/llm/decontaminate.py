@@ -157,31 +157,31 @@ def _by_row(doc: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return doc[order], item[order]
 
 
-def _indexes(docs: DataFrame, benchmark: DataFrame, window: int, block_rows: int) -> list:
-    """Broadcast indexes, of at most about ``block_rows`` (window, item) rows each."""
+def _windows_of(docs: DataFrame, benchmark: DataFrame, window: int, block_rows: int) -> tuple[DataFrame, int]:
+    """The distinct windows of all items, dealt to blocks of about ``block_rows``, and the number of blocks."""
     lean_batches(docs.sparkSession)
-    spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     made = items.filter("item_id IS NOT NULL").mapInArrow(_windows(window), "item_id string, words array<bigint>, shingles array<bigint>")
     rows = staged(made.distinct())
     blocks = math.ceil(rows.count() / block_rows)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("words", "item_id"), F.lit(max(1, blocks))))
-    out = []
-    for b in range(blocks):
-        own = rows.filter(F.col("block") == b).select("item_id", "words", "shingles").toPandas()
-        if own.empty:
-            continue
-        words = [np.asarray(w, np.int64) for w in own["words"]]
-        runs = [np.asarray(w, np.int64) for w in own["shingles"]]
-        keys = sorted_union(np.concatenate(runs), np.zeros(0, np.int64))
-        sizes = sorted({min(SHINGLE, len(w)) for w in words})
-        counts = docs.select("text").mapInArrow(_frequencies(keys, sizes), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).toPandas()
-        often = np.zeros(len(keys), np.int64)
-        often[np.searchsorted(keys, counts["shingle"].to_numpy(np.int64))] = counts["n"].to_numpy(np.int64)
-        rarest = [int(np.lexsort((r, often[np.searchsorted(keys, r)]))[0]) for r in runs]
-        prefix = np.array([r[i] for r, i in zip(runs, rarest)], np.int64)
-        out.append(spark.sparkContext.broadcast(_Index(prefix, np.array(rarest, np.int64), words, own["item_id"].tolist())))
-    return out
+    return rows.withColumn("block", F.pmod(F.xxhash64("words", "item_id"), F.lit(max(1, blocks)))), blocks
+
+
+def _index(docs: DataFrame, rows: DataFrame, block: int):
+    """The broadcast index of one block, by the frequencies of its shingles in ``docs``; None if it is empty."""
+    own = rows.filter(F.col("block") == block).select("item_id", "words", "shingles").toPandas()
+    if own.empty:
+        return None
+    words = [np.asarray(w, np.int64) for w in own["words"]]
+    runs = [np.asarray(w, np.int64) for w in own["shingles"]]
+    keys = sorted_union(np.concatenate(runs), np.zeros(0, np.int64))
+    sizes = sorted({min(SHINGLE, len(w)) for w in words})
+    counts = docs.select("text").mapInArrow(_frequencies(keys, sizes), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(len(keys), np.int64)
+    often[np.searchsorted(keys, counts["shingle"].to_numpy(np.int64))] = counts["n"].to_numpy(np.int64)
+    rarest = [int(np.lexsort((r, often[np.searchsorted(keys, r)]))[0]) for r in runs]
+    prefix = np.array([r[i] for r, i in zip(runs, rarest)], np.int64)
+    return docs.sparkSession.sparkContext.broadcast(_Index(prefix, np.array(rarest, np.int64), words, own["item_id"].tolist()))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -202,14 +202,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 1
     end after the text are left out, and the words are compared. Both passes are
     scans without a shuffle of texts; a passage that many documents share costs no
     more than its occurrences. The broadcast index is limited to ``block_rows``
-    rows; a larger benchmark is searched in blocks, whose hits are merged.
+    rows. A larger benchmark is searched in blocks, one after another: the hits of
+    a block are written before its index is released and the next one is made, so
+    that one index at most is held at any time; then the hits are merged.
 
     Null or empty texts have no words. Null item ids are ignored; repeated items
     count once. Null doc ids and repeated rows are kept. Without any window,
     nothing is hit.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _found(docs, _indexes(docs, benchmark, window, block_rows)).drop("digest")
+    rows, blocks = _windows_of(docs, benchmark, window, block_rows)
+    if blocks < 2:
+        return _scanned(docs, _index(docs, rows, 0) if blocks else None)
+    return _found_in_blocks(docs, rows, blocks).drop("digest")
 
 
 def _digest(doc_id, text):
@@ -217,26 +222,30 @@ def _digest(doc_id, text):
     return F.xxhash64(doc_id.cast("bigint"), text.cast("string"))
 
 
-def _found(docs: DataFrame, indexes: list) -> DataFrame:
-    """Rows of ``find_contamination``; with several blocks also their ``digest``."""
-    schema = f"doc_id bigint, n_words bigint, n_hit bigint, items array<string>, spans {_SPANS}"
+def _scanned(docs: DataFrame, index) -> DataFrame:
+    """Rows of ``find_contamination`` by one index; columns of ``docs`` after the text follow."""
+    more = docs.columns[2:]
 
-    def scan(index) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lo, hi, made in _scan(batch, 1, index.value if index is not None else None):
-                    ids = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns) if i != 1]
-                    yield pa.RecordBatch.from_arrays([*ids[:1], *made, *ids[1:]], names=["doc_id", "n_words", "n_hit", "items", "spans", "digest"][: len(ids) + 4])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, made in _scan(batch, 1, index.value if index is not None else None):
+                ids = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns) if i != 1]
+                yield pa.RecordBatch.from_arrays([*ids[:1], *made, *ids[1:]], names=["doc_id", "n_words", "n_hit", "items", "spans", *more])
 
-        source = docs if len(indexes) < 2 else docs.withColumn("digest", _digest(F.col("doc_id"), F.col("text")))
-        return source.mapInArrow(run, schema + (", digest bigint" if len(indexes) > 1 else ""))
+    return docs.mapInArrow(run, f"doc_id bigint, n_words bigint, n_hit bigint, items array<string>, spans {_SPANS}" + "".join(f", {c} bigint" for c in more))
 
-    if len(indexes) < 2:
-        return scan(indexes[0] if indexes else None)
-    parts = [scan(x) for x in indexes]
-    hits = parts[0].filter("n_hit > 0")
-    for part in parts[1:]:
-        hits = hits.unionByName(part.filter("n_hit > 0"))
+
+def _found_in_blocks(docs: DataFrame, rows: DataFrame, blocks: int) -> DataFrame:
+    """Rows of ``find_contamination`` and their ``digest``, by several blocks of windows."""
+    docs = docs.withColumn("digest", _digest(F.col("doc_id"), F.col("text")))
+    hits = None
+    for block in range(blocks):
+        index = _index(docs, rows, block)
+        if index is None:
+            continue
+        part = staged(_scanned(docs, index).filter("n_hit > 0").select("digest", "items", "spans"))
+        index.destroy()
+        hits = part if hits is None else hits.unionByName(part)
     merged = hits.groupBy("digest").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("all"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     # runs that touch or overlap become one
     spans = F.aggregate(
@@ -250,7 +259,7 @@ def _found(docs: DataFrame, indexes: list) -> DataFrame:
     merged = merged.select("digest", "items", spans.alias("spans"))
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, x: acc + x["end"] - x["start"])
     return (
-        parts[0]
+        _scanned(docs, None)
         .select("doc_id", "n_words", "digest")
         .join(merged, "digest", "left")
         .select("doc_id", "n_words", "digest", F.coalesce(n_hit, F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
@@ -270,17 +279,17 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 13
     with several, the verdicts are joined by a digest of id and text.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    indexes = _indexes(texts, benchmark, window, block_rows)
-    if not indexes:
+    rows, blocks = _windows_of(texts, benchmark, window, block_rows)
+    if not blocks:
         return docs
-    if len(indexes) > 1:
-        found = _found(texts, indexes)
+    if blocks > 1:
+        found = _found_in_blocks(texts, rows, blocks)
         key = "contaminated_digest"
         while key in docs.columns:
             key += "_"
         bad = found.filter(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("digest").alias(key)).distinct()
         return docs.withColumn(key, _digest(F.col("doc_id"), F.col("text"))).join(bad, key, "left_anti").drop(key)
-    column, index = docs.columns.index("text"), indexes[0]
+    column, index = docs.columns.index("text"), _index(texts, rows, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
