@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -70,8 +70,8 @@ def _signatures(k: int, bands: int, rows: int):
                 flat = pa.array(signed(keys[size > 0].reshape(-1)))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), flat)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, n), pa.array(size.astype(np.int64)), *prints, lists],
-                    names=["doc_id", "n_shingles", "f1", "f2", "bands"],
+                    [batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array(size.astype(np.int64)), *prints, lists],
+                    names=["doc_id", "digest", "n_shingles", "f1", "f2", "bands"],
                 )
 
     return run
@@ -112,7 +112,7 @@ def _prefixes(k: int, num: int, den: int, often):
                 of = row[keep]
                 at = pa.array(of + lo)
                 columns = [pa.array(signed(h[keep])), batch.column(0).take(at), batch.column(1).take(at), pa.array(size[of]), pa.array((size[of] - place[keep] - 1).astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["token", "rep", "comp", "n", "left"])
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "node", "comp", "n", "left"])
 
     return run
 
@@ -172,33 +172,42 @@ def near_duplicates(
        components may be linked. Instead of all pairs, the rarest shingles of the
        classes in such buckets are joined: sets of n shingles as similar as
        asked for share one of their ``n - ceil(n * num / den) + 1`` rarest ones, under any
-       common order. Shingles that only one component has are left out. Set sizes and the place of the shared shingle bound what two sets
-       can share; the pairs left are confirmed like the others. So no link that
-       would join two components is left out.
+       common order. Shingles that only one component has are left out. Set sizes and
+       the place of the shared shingle bound what two sets can share; the pairs left
+       are confirmed like the others. So no link that would join two components is
+       left out.
 
     Null or empty text: no shingles, linked with nothing. A null ``doc_id``: the
     row stays, with a null ``component_id`` and ``kept`` true. Rows that share an
-    id are one document if their sets are equal. An empty table gives no rows.
+    id are judged each by its own text. An empty table gives no rows.
     """
+    found = _grouped(docs, shingle, num, den, bands, rows).select("doc_id", "n_shingles", "component_id")
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _grouped(docs: DataFrame, shingle: int, num: int, den: int, bands: int, rows: int) -> DataFrame:
+    """``doc_id, digest`` (of the text), ``n_shingles, component_id`` of each row, and ``label``: a number of its component, null without shingles or id."""
     lean_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("digest", F.xxhash64("text"))
     made = staged(
         docs.mapInArrow(
             _signatures(shingle, bands, rows),
-            "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>",
+            "doc_id bigint, digest bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>",
         )
     )
     group = ["n_shingles", "f1", "f2"]
-    full = made.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = staged(full.groupBy(*group).agg(F.min("doc_id").alias("rep")))
-    first = full.join(classes, [full[c].eqNullSafe(classes[c]) for c in group] + [full.doc_id == classes.rep], "left_semi")
-    keyed = first.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"))
+    # a class is a node of the graph; its number is written once, so it stays
+    full = made.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*group).agg(F.min(F.struct("doc_id", "digest")).alias("of"), F.first("bands").alias("bands"))
+    classes = staged(full.select(*group, F.col("of.doc_id").alias("rep"), F.col("of.digest").alias("digest"), "bands", F.monotonically_increasing_id().alias("node")))
+    keyed = classes.select(F.explode("bands").alias("key"), "node")
     # what is known of each bucket is a table of its own, so that Spark can split a hot bucket's join
-    shared = staged(keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").drop("last"))
+    shared = staged(keyed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").drop("last"))
     members = staged(keyed.join(shared, "key"))
 
-    texts = docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").filter("text IS NOT NULL")
-    texts = staged(texts.select("doc_id", "text"))
+    # one text of each class; rows of equal id and text are made one before they are moved
+    wanted = classes.select(F.col("rep").alias("doc_id"), "digest", "node").join(members.select("node").distinct(), "node", "left_semi")
+    texts = staged(docs.filter("text IS NOT NULL").dropDuplicates(["doc_id", "digest"]).join(wanted, ["doc_id", "digest"]).select("node", "text"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Links ``u, v`` of those ``pairs`` (``a, b, u, v``) whose texts a and b are similar enough."""
@@ -206,20 +215,19 @@ def near_duplicates(
         rows_ = pairs.distinct().join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b", "u", "v")
         return staged(rows_.mapInArrow(_verify(shingle, num, den), "u bigint, v bigint"))
 
-    first_links = members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"), F.col("leader").alias("u"), F.col("rep").alias("v"))
+    first_links = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("leader").alias("u"), F.col("node").alias("v"))
     found = staged(connected_components(confirmed(first_links)))
-    placed = members.join(found, members.rep == found.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    placed = staged(placed)
+    placed = staged(members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp")))
     mixed = staged(placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key"))
-    opened = placed.join(mixed, "key", "left_semi").select("rep", "comp").distinct()
+    opened = placed.join(mixed, "key", "left_semi").select("node", "comp").distinct()
     counts = texts.select("text").mapInArrow(_counted(shingle), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     often = np.zeros(COUNT_BUCKETS, np.int64)
     often[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
     often = docs.sparkSession.sparkContext.broadcast(often)
     rare = staged(
-        texts.join(opened, texts.doc_id == opened.rep)
-        .select("rep", "comp", "text")
-        .mapInArrow(_prefixes(shingle, num, den, often), "token bigint, rep bigint, comp bigint, n bigint, left bigint")
+        texts.join(opened, "node")
+        .select("node", "comp", "text")
+        .mapInArrow(_prefixes(shingle, num, den, often), "token bigint, node bigint, comp bigint, n bigint, left bigint")
     )
     # a token of one component alone links nothing new
     useful = staged(rare.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token"))
@@ -232,26 +240,35 @@ def near_duplicates(
         & (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n"))
         & ((1 + F.least("x.left", "y.left")) * (num + den) >= num * (F.col("x.n") + F.col("y.n")))
     )
-    rest = x.join(y, close).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.comp").alias("u"), F.col("y.comp").alias("v"))
+    rest = x.join(y, close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.comp").alias("u"), F.col("y.comp").alias("v"))
     # these links join the components found so far
     final = staged(connected_components(confirmed(rest))).toDF("comp", "joined")
-    placed = classes.join(found, classes.rep == found.node, "left").select(*group, F.coalesce("component", "rep").alias("comp"))
-    classes = staged(placed.join(final, "comp", "left").select(*group, F.coalesce("joined", "comp").alias("component")))
-    joined = made.select("doc_id", *group).join(classes, group, "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    out = joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    placed = classes.join(found, "node", "left").select(*group, "rep", F.coalesce("component", "node").alias("comp"))
+    placed = staged(placed.join(final, "comp", "left").select(*group, "rep", F.coalesce("joined", "comp").alias("label")))
+    least = staged(placed.groupBy("label").agg(F.min("rep").alias("component")))
+    joined = made.drop("bands").join(staged(placed.join(least, "label").drop("rep")), group, "left")
+    has_id, has_words = F.col("doc_id").isNotNull(), F.col("n_shingles") > 0
+    component = F.when(has_id, F.when(has_words, F.col("component")).otherwise(F.col("doc_id")))
+    return joined.select("doc_id", "digest", "n_shingles", component.alias("component_id"), F.when(has_id & has_words, F.col("label")).alias("label"))
 
 
-def keep_first(docs: DataFrame, **how) -> DataFrame:
+def keep_first(
+    docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100, bands: int = 32, rows: int = 4
+) -> DataFrame:
     """The rows of ``docs``, all columns, one document of each group of near duplicates.
 
-    The document with the smallest id stays. ``how`` are parameters of
-    ``near_duplicates``, and the cases are its own; of rows that share an id one
-    stays. Rows with a null id stay. Texts are shuffled once, by id.
+    The document with the smallest id stays. Parameters and cases are those of
+    ``near_duplicates``. Rows are judged by id and text: of rows equal in both one
+    stays; where linked texts share the smallest id, the one of the smallest hash
+    stays; texts that aren't linked stay, though they share an id. Rows with a null
+    id stay. Rows equal in id and text are made one before texts are shuffled, once.
     """
-    found = near_duplicates(docs, **how).filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
-    names = docs.columns
-    some = docs.filter("doc_id IS NOT NULL").join(found.select("doc_id"), "doc_id", "left_semi").select(*names)
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return some.withColumn("__first", first).filter("__first = 1").drop("__first").unionByName(docs.filter("doc_id IS NULL"))
+    found = _grouped(docs, shingle, num, den, bands, rows).filter("doc_id IS NOT NULL AND doc_id = component_id")
+    chosen = found.filter("label IS NOT NULL").groupBy("label", "doc_id").agg(F.min("digest").alias("digest")).drop("label")
+    chosen = chosen.unionByName(found.filter("label IS NULL").select("doc_id", "digest").distinct()).toDF("kept_id", "kept_digest")
+    key = "text_digest"
+    while key in docs.columns + chosen.columns:
+        key += "_"
+    once = docs.filter("doc_id IS NOT NULL").withColumn(key, F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", key])
+    same = (once["doc_id"] == chosen["kept_id"]) & (once[key] == chosen["kept_digest"])
+    return once.join(chosen, same, "left_semi").drop(key).unionByName(docs.filter("doc_id IS NULL"))

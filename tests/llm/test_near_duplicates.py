@@ -65,7 +65,29 @@ def test_keep_first_keeps_columns_and_one_of_each_group(spark, edge):
     kept = minhash.keep_first(edge)
     assert kept.columns == edge.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == [0, 1, 2, 3, 4, 7, 8, 9, 10, 11] and None in ids
+    assert sorted(i for i in ids if i is not None) == [0, 1, 2, 3, 3, 4, 7, 8, 9, 10, 11] and None in ids  # 3: two texts that aren't linked
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    near_a = a + " and more"
+    texts = [a, near_a, b, b, b + " too", c, "", "", None, a, near_a]
+    ids = [3, 5, 5, 5, 9, 9, 5, 5, 7, None, None]
+    docs = table(spark, texts, ids=ids)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).filter("doc_id IS NOT NULL").collect())
+    size = {t: len(shingle_set(t, 5)) for t in texts if t is not None}
+    assert got == sorted([(3, size[a], 3, True), (5, size[near_a], 3, False), (5, size[b], 5, True), (5, size[b], 5, True), (9, size[b + " too"], 5, False), (9, size[c], 9, True), (5, 0, 5, True), (5, 0, 5, True), (7, 0, 7, True)])
+    kept = minhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted([("3", a), ("5", b), ("9", c), ("5", ""), ("7", "None"), ("None", a), ("None", near_a)])
+
+
+def test_linked_texts_of_one_id_leave_one(spark):
+    base = prose(4, 120)
+    docs = table(spark, [base, base + " x", base, base + " y"] * 10, ids=[2, 2, 2, 1] * 10)
+    kept = minhash.keep_first(docs).collect()
+    assert [(r.doc_id, r.text) for r in kept] == [(1, base + " y")]
+    assert len(minhash.keep_first(docs.filter("doc_id = 2")).collect()) == 1
 
 
 def test_signatures_estimate_similarity():
