@@ -31,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document, of the smallest id, of each group of near duplicates.
 
     Null and empty texts are like nothing and stay, and so do rows with a null id; of rows
-    that share an id one stays.
+    equal in id and text one stays, and texts that only share an id are judged apart.
     """
     return minhash.keep_first(docs, shingle=5, num=80, den=100)
 
