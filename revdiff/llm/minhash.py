@@ -165,7 +165,7 @@ def near_duplicates(
        never meet in a bucket.
     2. Classes are bucketed by band. A pair at the threshold of 0.8 shares no bucket
        with a probability of 5e-8 (32 bands of 4 places); at 0.85, 6e-11.
-    3. Every class of a bucket is compared with the bucket's smallest one: links
+    3. Every class of a bucket is compared with the bucket's class of the smallest id: links
        grow with the bucket, not with its square. Candidates are confirmed on full
        sets made from the texts.
     4. In a bucket that still holds several components, any two classes of different
@@ -200,10 +200,10 @@ def _grouped(docs: DataFrame, shingle: int, num: int, den: int, bands: int, rows
     # a class is a node of the graph; its number is written once, so it stays
     full = made.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*group).agg(F.min(F.struct("doc_id", "digest")).alias("of"), F.first("bands").alias("bands"))
     classes = staged(full.select(*group, F.col("of.doc_id").alias("rep"), F.col("of.digest").alias("digest"), "bands", F.monotonically_increasing_id().alias("node")))
-    keyed = classes.select(F.explode("bands").alias("key"), "node")
+    keyed = classes.select(F.explode("bands").alias("key"), "node", "rep")
     # what is known of each bucket is a table of its own, so that Spark can split a hot bucket's join
-    shared = staged(keyed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").drop("last"))
-    members = staged(keyed.join(shared, "key"))
+    shared = staged(keyed.groupBy("key").agg(F.min_by("node", "rep").alias("leader"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", "leader"))
+    members = staged(keyed.drop("rep").join(shared, "key"))
 
     # one text of each class; rows of equal id and text are made one before they are moved
     wanted = classes.select(F.col("rep").alias("doc_id"), "digest", "node").join(members.select("node").distinct(), "node", "left_semi")
