@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lattice_lm, minhash, neighbours, packing, quality, secret_scan, sharding, token_count
+from . import decontaminate, langid, lattice_lm, minhash, neighbours, packing, quality, resample, secret_scan, sharding, token_count
 
 _ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -130,6 +130,44 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), size=1024).drop("ids")
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of ``documents`` of 20 words or more drawn towards ``benchmark``, by single words in 10,000 buckets."""
+    found = resample.importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, percent=10, min_words=20, seed=2024)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE step(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS l FROM step WHERE k = 8),
+txt AS (
+  SELECT 0 AS kind, doc_id AS id, translate(coalesce(text, ''), '{_ASCII_UPPER}', '{_ASCII_UPPER.lower()}') AS t FROM documents
+  UNION ALL SELECT 1, item_id, translate(coalesce(text, ''), '{_ASCII_UPPER}', '{_ASCII_UPPER.lower()}') FROM benchmark),
+w AS (SELECT row_number() OVER () AS r, kind, id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM txt),
+f AS (SELECT r, kind, unnest(w) AS f FROM w),
+hexed AS (SELECT DISTINCT f, hex(encode(f)) AS h FROM f),
+coded AS (
+  SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT))),
+    lambda a, b: xor(a >> 8, l[(xor(a, b) & 255) + 1]))) % 10000 AS bucket
+  FROM hexed, crc),
+fb AS (SELECT r, kind, bucket FROM f JOIN coded USING (f)),
+total AS (SELECT count(*) FILTER (kind = 0) AS s, count(*) FILTER (kind = 1) AS t FROM fb),
+gain AS (
+  SELECT bucket, floor(1000 * ln((n.t + 1)::DOUBLE * (total.s + 10000) / ((n.s + 1)::DOUBLE * (total.t + 10000)))) AS g
+  FROM (SELECT bucket, count(*) FILTER (kind = 0) AS s, count(*) FILTER (kind = 1) AS t FROM fb GROUP BY bucket) n, total),
+mean AS (SELECT r, count(*) AS n_features, CAST(floor(sum(g) / count(*)) AS BIGINT) AS weight FROM fb JOIN gain USING (bucket) WHERE kind = 0 GROUP BY r),
+d AS (
+  SELECT r, id AS doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    CAST(concat('0x', left(sha256('2024:' || coalesce(CAST(id AS VARCHAR), '')), 8)) AS BIGINT) AS h
+  FROM w LEFT JOIN mean USING (r) WHERE kind = 0),
+scored AS (SELECT r, doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank
+FROM scored LEFT JOIN ranked USING (r)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_decontamination": op2_decontamination,
@@ -141,6 +179,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_minhash_near_dedup": OP1_SQL, "op2_decontamination": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_minhash_near_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op13_importance_resampling": OP13_SQL}
