@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lattice_lm, minhash, neighbours, packing, quality, resample, secret_scan, sharding, token_count
+from . import decontaminate, langid, lattice_lm, minhash, neighbours, packing, prefix_trie, quality, resample, secret_scan, sharding, token_count
+from .storage import staged
 
 _ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -130,6 +131,50 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), size=1024).drop("ids")
 
 
+#: crc32 in SQL: a table ``l`` of 256 remainders, and the checksum of bytes written in hexadecimal (``h``).
+_CRC_TABLE = """step(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS l FROM step WHERE k = 8)"""
+_CRC_OF_HEX = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT))),
+    lambda a, b: xor(a >> 8, l[(xor(a, b) & 255) + 1])))"""
+
+
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all ``conversations``, each rebuilt after the first turns of another one."""
+    ordered = staged(prefix_trie.ordered_turns(_table(spark, sf_dir, "conversations")))
+    return prefix_trie.trie(*prefix_trie.rebuilt_turns(ordered, span=5, most=9))
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k,
+    md5(coalesce(role, '')) || md5(coalesce(text, '')) AS x, CAST(strlen(coalesce(text, '')) AS BIGINT) AS b
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, n, {_CRC_OF_HEX} % 9 AS h FROM (SELECT conv_id, count(*) AS n, hex(encode(CAST(conv_id AS VARCHAR))) AS h FROM t GROUP BY conv_id), crc),
+m AS (SELECT c.conv_id, c.h, least(c.h, coalesce(o.n, 0)) AS m FROM c LEFT JOIN c o ON o.conv_id = c.conv_id - c.conv_id % 5),
+s AS (
+  SELECT m.conv_id, k, x, b FROM m JOIN t ON t.conv_id = m.conv_id - m.conv_id % 5 WHERE k <= m.m
+  UNION ALL SELECT m.conv_id, m.m + k - m.h, x, b FROM m JOIN t ON t.conv_id = m.conv_id WHERE k > m.h),
+p AS (
+  SELECT conv_id, k AS depth, string_agg(x, '') OVER w AS path, b FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY k)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+l AS (SELECT conv_id, max(depth) AS n FROM p GROUP BY conv_id),
+node AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(b) AS b,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = n), '')) AS ends_sha256
+  FROM p JOIN l USING (conv_id) GROUP BY path, depth),
+kids AS (SELECT path[:64 * (depth - 1)] AS path, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1),
+up AS (SELECT path[:64 * d] AS path, path AS low FROM (SELECT path, unnest(range(depth + 1)) AS d FROM node)),
+sub AS (
+  SELECT up.path, count(*) AS n_nodes, count(*) FILTER (n_children IS NULL) AS n_leaves, CAST(sum((n_convs - 1) * b) AS BIGINT) AS saved_tokens
+  FROM up JOIN node ON node.path = up.low LEFT JOIN kids ON kids.path = up.low GROUP BY up.path)
+SELECT node.conv_id, CAST(node.depth AS BIGINT) AS depth, above.conv_id AS parent_conv_id, node.n_convs, coalesce(n_children, 0) AS n_children, n_nodes, n_leaves, saved_tokens, node.ends_sha256
+FROM node JOIN sub USING (path) LEFT JOIN kids USING (path) LEFT JOIN node above ON node.depth > 0 AND above.path = node.path[:64 * (node.depth - 1)]
+"""
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of ``documents`` of 20 words or more drawn towards ``benchmark``, by single words in 10,000 buckets."""
     found = resample.importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, percent=10, min_words=20, seed=2024)
@@ -137,10 +182,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP13_SQL = rf"""
-WITH RECURSIVE step(i, k, c) AS (
-  SELECT i, 0, i FROM range(256) t(i)
-  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8),
-crc AS (SELECT list(c ORDER BY i) AS l FROM step WHERE k = 8),
+WITH RECURSIVE {_CRC_TABLE},
 txt AS (
   SELECT 0 AS kind, doc_id AS id, translate(coalesce(text, ''), '{_ASCII_UPPER}', '{_ASCII_UPPER.lower()}') AS t FROM documents
   UNION ALL SELECT 1, item_id, translate(coalesce(text, ''), '{_ASCII_UPPER}', '{_ASCII_UPPER.lower()}') FROM benchmark),
@@ -148,9 +190,7 @@ w AS (SELECT row_number() OVER () AS r, kind, id, regexp_extract_all(t, '[^\x00-
 f AS (SELECT r, kind, unnest(w) AS f FROM w),
 hexed AS (SELECT DISTINCT f, hex(encode(f)) AS h FROM f),
 coded AS (
-  SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT))),
-    lambda a, b: xor(a >> 8, l[(xor(a, b) & 255) + 1]))) % 10000 AS bucket
-  FROM hexed, crc),
+  SELECT f, {_CRC_OF_HEX} % 10000 AS bucket FROM hexed, crc),
 fb AS (SELECT r, kind, bucket FROM f JOIN coded USING (f)),
 total AS (SELECT count(*) FILTER (kind = 0) AS s, count(*) FILTER (kind = 1) AS t FROM fb),
 gain AS (
@@ -179,7 +219,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
+    "op11_conversation_prefix_trie": op11_conversation_prefix_trie,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_minhash_near_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op13_importance_resampling": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_minhash_near_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op11_conversation_prefix_trie": OP11_SQL, "op13_importance_resampling": OP13_SQL}
