@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lattice_lm, minhash, neighbours, packing, prefix_trie, quality, resample, secret_scan, sharding, token_count
+from . import decontaminate, jaccard_join, langid, lattice_lm, minhash, neighbours, packing, prefix_trie, quality, resample, secret_scan, sharding, token_count
 from .storage import staged
 
 _ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -175,6 +175,30 @@ FROM node JOIN sub USING (path) LEFT JOIN kids USING (path) LEFT JOIN node above
 """
 
 
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-word shingles, similarity of at least 0.85, all of ``documents``."""
+    return jaccard_join.similar_sets(_table(spark, sf_dir, "documents"), shingle=4, num=85, den=100)
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_ASCII_UPPER}', '{_ASCII_UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g
+  FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(x, y) AS (SELECT a, b FROM u UNION SELECT r.x, u.b FROM r JOIN u ON r.y = u.a),
+c AS (SELECT x, min(y) AS low FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.low, d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.x = d.doc_id
+"""
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of ``documents`` of 20 words or more drawn towards ``benchmark``, by single words in 10,000 buckets."""
     found = resample.importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, percent=10, min_words=20, seed=2024)
@@ -220,7 +244,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
     "op11_conversation_prefix_trie": op11_conversation_prefix_trie,
+    "op12_ngram_jaccard_join": op12_ngram_jaccard_join,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_minhash_near_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op11_conversation_prefix_trie": OP11_SQL, "op13_importance_resampling": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_minhash_near_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op11_conversation_prefix_trie": OP11_SQL, "op12_ngram_jaccard_join": OP12_SQL, "op13_importance_resampling": OP13_SQL}
