@@ -247,7 +247,7 @@ def nearest_neighbours(
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks one after another: the rows of each, then its queries."""
-        block, ids, held, index = None, [], [], None
+        block, ids, held, index, indexed = None, [], [], None, None
         for batch in batches:
             keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)
             edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
@@ -255,16 +255,18 @@ def nearest_neighbours(
                 if lo == hi:
                     continue
                 if block != (now := tuple(keys[lo, :3])):
-                    block, ids, held, index = now, [], [], None
+                    block, ids, held, index, indexed = now, [], [], None, None
                 part = batch.slice(lo, hi - lo)
                 if not keys[lo, 3]:
                     ids.append(part.column(4).to_numpy())
                     held.append(_matrix(part.column(5)))
-                elif ids:
-                    if index is None:
-                        ids, held = np.concatenate(ids), np.concatenate(held)
-                        index = CollisionIndex(held, projections, ids=ids)
-                    yield answers(index, ids, part)
+                    continue
+                if index is None and ids:
+                    indexed = np.concatenate(ids)
+                    index = CollisionIndex(np.concatenate(held), projections, ids=indexed)
+                    ids, held = [], []
+                if index is not None:
+                    yield answers(index, indexed, part)
 
     def answers(index: CollisionIndex, ids: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
         own, wanted = part.column(4).to_numpy(), _matrix(part.column(5))

@@ -194,3 +194,18 @@ def test_clusters_are_searched_where_they_are(spark, monkeypatch):
         d[q] = np.inf
         hits += len(set(got[got.query_id == q].vec_id) & set(np.argsort(d)[:10]))
     assert hits >= 0.95 * 300
+
+
+def test_blocks_whose_rows_and_queries_fill_many_batches(spark, monkeypatch):
+    """A batch may end anywhere among a block's rows or queries."""
+    x = np.random.default_rng(8).normal(size=(900, 8))
+    monkeypatch.setattr(neighbours, "BLOCK_VALUES", 8 * 300)
+    want = neighbours.nearest_neighbours(vectors(spark, x), every=20).orderBy("query_id", "rank").collect()
+    had = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for rows in ("3", "17"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            assert neighbours.nearest_neighbours(vectors(spark, x), every=20).orderBy("query_id", "rank").collect() == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", had)
+    assert len(want) == 45 * 10
