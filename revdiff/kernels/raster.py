@@ -30,42 +30,97 @@ def ink(grey: np.ndarray) -> np.ndarray:
     return np.zeros(grey.shape, bool) if t is None else grey <= t
 
 
+#: Rows of a page that are worked on at once.
+STRIP_ROWS = 256
+
+
 def rotated(image: np.ndarray, degrees: float, fill: int) -> np.ndarray:
-    """The image turned about its centre, counter-clockwise, each pixel from its nearest source."""
+    """The image turned about its centre, counter-clockwise, each pixel from its nearest source; made strip by strip."""
     h, w = image.shape
     a = np.deg2rad(degrees)
     cy, cx = (h - 1) / 2, (w - 1) / 2
-    y, x = np.mgrid[0:h, 0:w]
-    sx = np.cos(a) * (x - cx) - np.sin(a) * (y - cy) + cx
-    sy = np.sin(a) * (x - cx) + np.cos(a) * (y - cy) + cy
-    ix, iy = np.rint(sx).astype(int), np.rint(sy).astype(int)
-    inside = (ix >= 0) & (ix < w) & (iy >= 0) & (iy < h)
     out = np.full_like(image, fill)
-    out[inside] = image[iy[inside], ix[inside]]
+    for top in range(0, h, STRIP_ROWS):
+        y, x = np.mgrid[top : min(top + STRIP_ROWS, h), 0:w]
+        sx = np.cos(a) * (x - cx) - np.sin(a) * (y - cy) + cx
+        sy = np.sin(a) * (x - cx) + np.cos(a) * (y - cy) + cy
+        ix, iy = np.rint(sx).astype(int), np.rint(sy).astype(int)
+        inside = (ix >= 0) & (ix < w) & (iy >= 0) & (iy < h)
+        out[top : top + STRIP_ROWS][inside] = image[iy[inside], ix[inside]]
     return out
 
 
+def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first column and end of each run of ink, row by row."""
+    h, w = mask.shape
+    edge = np.zeros((h, w + 2), np.int8)
+    edge[:, 1:-1] = mask
+    at = np.flatnonzero(np.diff(edge, axis=1).reshape(-1))
+    return at[::2] // (w + 1), at[::2] % (w + 1), at[1::2] % (w + 1)
+
+
+def _pieces(mask: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of ink, cut to ``most`` pixels."""
+    row, first, end = runs(mask)
+    n = -(-(end - first) // most)
+    of = np.repeat(np.arange(len(row)), n)
+    start = first[of] + most * (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
+    return row[of], start, np.minimum(start + most, end[of])
+
+
+def _within(row: np.ndarray, first: np.ndarray, end: np.ndarray, sine: float, cosine: float, middle: np.ndarray, least: int, most: int) -> tuple[np.ndarray, ...]:
+    """What of some runs lies between two columns when the page is turned: a run that crosses one of them pixel by pixel."""
+    across = lambda r, c: np.rint((r - middle[0]) * sine + (c - middle[1]) * cosine + middle[1])
+    left, right = across(row, first), across(row, end - 1)
+    whole = (left >= least) & (right < most)
+    cut = np.flatnonzero(~whole & (right >= least) & (left < most))
+    n = end[cut] - first[cut]
+    of = np.repeat(cut, n)
+    c = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    x = across(row[of], c)
+    inner = (x >= least) & (x < most)
+    return np.concatenate([row[whole], row[of][inner]]), np.concatenate([first[whole], c[inner]]), np.concatenate([end[whole], c[inner] + 1])
+
+
 def skew(mask: np.ndarray) -> float:
     """The turn, of those tried, at which the rows' ink changes most sharply; 0 for a page without ink.
 
-    No page is turned: each turn moves the ink's coordinates alone, and the rows are counted
-    within the middle four fifths of the page. Of equal turns the first, from the most
+    No page is turned and no pixel visited: a turn moves the ends of short runs of ink, which then lie
+    in one row or in two neighbours, and where a run changes its row is found by halving. The rows are
+    counted within the middle four fifths of the page. Of equal turns the first, from the most
     negative one, counts.
     """
-    row, column = np.nonzero(mask)
+    row, first, end = _pieces(mask, int(0.9 / np.sin(np.deg2rad(SKEW_LIMIT))))
     if not len(row):
         return 0.0
     middle = (np.array(mask.shape) - 1) / 2
     least = np.array(mask.shape) // 10
     most = np.array(mask.shape) - least
+    limit = np.deg2rad(SKEW_LIMIT)
+    moved = np.ceil(middle[0] * np.sin(limit) + middle[1] * (1 - np.cos(limit))) + 1  # no turn moves a pixel farther sideways
+    safe = (first >= least[1] + moved) & (end <= most[1] - moved)
+    near = ~safe & (end > least[1] - moved) & (first < most[1] + moved)
+    edge = row[near], first[near], end[near]
+    row, first, end = row[safe], first[safe], end[safe]
     steps = round(SKEW_LIMIT / SKEW_STEP)
     sharpness = np.zeros(2 * steps + 1)
     for k in range(-steps, steps + 1):
         sine, cosine = np.sin(np.deg2rad(k * SKEW_STEP)), np.cos(np.deg2rad(k * SKEW_STEP))
-        y = np.rint((row - middle[0]) * cosine - (column - middle[1]) * sine + middle[0]).astype(np.int64)
-        x = np.rint((row - middle[0]) * sine + (column - middle[1]) * cosine + middle[1])
-        inner = (y >= least[0]) & (y < most[0]) & (x >= least[1]) & (x < most[1])
-        per_row = np.bincount(y[inner] - least[0], minlength=most[0] - least[0])
+        line = lambda r, c: np.rint((r - middle[0]) * cosine - (c - middle[1]) * sine + middle[0]).astype(np.int64)  # noqa: B023, E731
+        r, a, b = (np.concatenate(x) for x in zip((row, first, end), _within(*edge, sine, cosine, middle, least[1], most[1])))
+        y = line(r, a)
+        bent = np.flatnonzero(y != line(r, b - 1))
+        low, high = a[bent], b[bent] - 1  # the row at ``low`` is still that of the start, at ``high`` no more
+        while (high - low > 1).any():
+            half = (low + high) // 2
+            still = line(r[bent], half) == y[bent]
+            low, high = np.where(still, half, low), np.where(still, high, half)
+        size = b - a
+        size[bent] = high - a[bent]
+        y = np.concatenate([y, line(r[bent], high)])
+        size = np.concatenate([size, b[bent] - high])
+        inner = (y >= least[0]) & (y < most[0])
+        per_row = np.bincount(y[inner] - least[0], weights=size[inner], minlength=most[0] - least[0])
         sharpness[k + steps] = np.square(np.diff(per_row)).sum()
     return float((sharpness.argmax() - steps) * SKEW_STEP)
 
@@ -95,21 +150,40 @@ def iou(a: np.ndarray, b: np.ndarray) -> float:
     return int(np.bitwise_count((a & b).view(np.uint64)).sum()) / either if either else 1.0
 
 
-def difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Where two masks differ, laid on each other at the upper left; all outside the common part differs."""
-    out = np.ones((max(a.shape[0], b.shape[0]), max(a.shape[1], b.shape[1])), bool)
-    h, w = min(a.shape[0], b.shape[0]), min(a.shape[1], b.shape[1])
-    out[:h, :w] = a[:h, :w] ^ b[:h, :w]
+class Packed:
+    """A packed mask, unpacked a few rows at a time."""
+
+    def __init__(self, words: list[int], height: int, width: int):
+        self.bytes, self.height, self.width = np.asarray(words, "<i8").view(np.uint8), int(height), int(width)
+
+    def rows(self, lo: int, hi: int) -> np.ndarray:
+        hi = max(min(hi, self.height), lo)
+        first, last = lo * self.width, hi * self.width
+        bits = np.unpackbits(self.bytes[first // 8 : -(-last // 8)], bitorder="little")
+        return bits[first % 8 : first % 8 + last - first].reshape(hi - lo, self.width).astype(bool)
+
+
+def difference(a: Packed, b: Packed, lo: int, hi: int) -> np.ndarray:
+    """Where rows ``lo`` to ``hi`` of two masks differ, laid on each other at the upper left; all outside the common part differs."""
+    x, y = a.rows(lo, hi), b.rows(lo, hi)
+    out = np.ones((hi - lo, max(a.width, b.width)), bool)
+    h, w = min(len(x), len(y)), min(a.width, b.width)
+    out[:h, :w] = x[:h, :w] ^ y[:h, :w]
     return out
 
 
 def _spread(mask: np.ndarray, radius: int) -> np.ndarray:
-    out = np.zeros_like(mask)
+    """Ink grown by a disk: each row to both sides, as far as the disk is wide at each distance up and down."""
     h, w = mask.shape
-    for dy in range(-radius, radius + 1):
-        for dx in range(-radius, radius + 1):
-            if dx * dx + dy * dy <= radius * radius and abs(dy) < h and abs(dx) < w:
-                out[max(dy, 0) : h + min(dy, 0), max(dx, 0) : w + min(dx, 0)] |= mask[max(-dy, 0) : h + min(-dy, 0), max(-dx, 0) : w + min(-dx, 0)]
+    out, wide, width = np.zeros_like(mask), mask.copy(), 0
+    for dy in range(radius, -1, -1):
+        while (width + 1) ** 2 + dy * dy <= radius * radius and width + 1 < w:
+            width += 1
+            wide[:, width:] |= mask[:, :-width]
+            wide[:, :-width] |= mask[:, width:]
+        if dy < h:
+            out[dy:] |= wide[: h - dy]
+            out[: h - dy] |= wide[dy:]
     return out
 
 
@@ -118,37 +192,43 @@ def closed(mask: np.ndarray, radius: int = CLOSING_RADIUS) -> np.ndarray:
     return ~_spread(~_spread(mask, radius), radius)
 
 
-def components(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(area, x0, y0, x1, y1) of each region of pixels that touch, corners included, by its first row run."""
-    parent: list[int] = []
-    runs: list[tuple[int, int, int, int]] = []
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    above: list[int] = []
-    for y in range(mask.shape[0]):
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], mask[y].astype(np.int8), [0]])))
-        here = []
-        for x0, x1 in zip(edge[::2].tolist(), edge[1::2].tolist()):
-            i = len(parent)
-            parent.append(i)
-            runs.append((x0, x1, y, i))
-            here.append(i)
-            for k in above:
-                if runs[k][0] <= x1 and x0 <= runs[k][1]:
-                    a, b = root(k), root(i)
-                    parent[max(a, b)] = min(a, b)
-        above = here
-    boxes: dict[int, list[int]] = {}
-    for x0, x1, y, i in runs:
-        b = boxes.setdefault(root(i), [0, x0, y, x1, y + 1])
-        b[0] += x1 - x0
-        b[1:] = [min(b[1], x0), min(b[2], y), max(b[3], x1), max(b[4], y + 1)]
-    return [tuple(b) for _, b in sorted(boxes.items())]
+def joined(row: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each run of ink, the first run of those it hangs together with, corners included. Runs are sorted.
+
+    Runs of neighbouring rows that touch are links; each run points at the least run it is known to hang with, and
+    all links are drawn together until none joins two.
+    """
+    n = len(row)
+    span = int(end.max(initial=0)) + 2
+    lo = np.searchsorted(row * span + end, (row - 1) * span + first)
+    hi = np.searchsorted(row * span + first, (row - 1) * span + end, side="right")
+    touching = np.maximum(hi - lo, 0)
+    below = np.repeat(np.arange(n), touching)
+    above = np.repeat(lo, touching) + np.arange(len(below)) - np.repeat(np.cumsum(touching) - touching, touching)
+    top = np.arange(n)
+    while len(below):
+        a, b = top[above], top[below]
+        apart = a != b
+        above, below, a, b = above[apart], below[apart], a[apart], b[apart]
+        np.minimum.at(top, np.maximum(a, b), np.minimum(a, b))
+        while ((further := top[top]) != top).any():
+            top = further
+    return top
+
+
+def components(row: np.ndarray, first: np.ndarray, end: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(area, x0, y0, x1, y1) of each region of touching runs, by its first run."""
+    if not len(row):
+        return []
+    tops, of = np.unique(joined(row, first, end), return_inverse=True)
+    least = [np.full(len(tops), np.iinfo(np.int64).max) for _ in range(2)]
+    most = [np.zeros(len(tops), np.int64) for _ in range(2)]
+    np.minimum.at(least[0], of, first)
+    np.minimum.at(least[1], of, row)
+    np.maximum.at(most[0], of, end)
+    np.maximum.at(most[1], of, row + 1)
+    area = np.bincount(of, weights=end - first).astype(np.int64)
+    return list(zip(*(x.tolist() for x in (area, *least, *most))))
 
 
 def merged(boxes: list[tuple[int, int, int, int]], gap: int = NEAR) -> list[tuple[int, int, int, int]]:
@@ -168,9 +248,21 @@ def merged(boxes: list[tuple[int, int, int, int]], gap: int = NEAR) -> list[tupl
     return [tuple(g) for g in groups[:n].tolist()]
 
 
-def changed_regions(a: np.ndarray, b: np.ndarray, least: float = MIN_REGION) -> list[tuple[int, int, int, int]]:
-    """Boxes of the larger differences of two pages."""
-    diff = difference(a, b)
-    if not diff.any():
+def changed_regions(a: Packed, b: Packed, least: float = MIN_REGION, strip: int = STRIP_ROWS) -> list[tuple[int, int, int, int]]:
+    """Boxes of the larger differences of two pages.
+
+    The page is gone through in strips of ``strip`` rows. A strip is closed together with the few rows around it that closing
+    can see, and leaves only its runs; regions are joined over the strips' edges.
+    """
+    height, width = max(a.height, b.height), max(a.width, b.width)
+    halo = 2 * CLOSING_RADIUS
+    found = []
+    for top in range(0, height, strip):
+        lo, hi = max(top - halo, 0), min(top + strip + halo, height)
+        diff = difference(a, b, lo, hi)
+        if diff.any():
+            row, first, end = runs(closed(diff)[top - lo : min(top + strip, height) - lo])
+            found.append((row + top, first, end))
+    if not found:
         return []
-    return merged([box for area, *box in components(closed(diff)) if area >= least * diff.size])
+    return merged([box for area, *box in components(*(np.concatenate(x) for x in zip(*found))) if area >= least * height * width])

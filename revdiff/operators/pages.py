@@ -216,7 +216,7 @@ def changed_regions(alignment: DataFrame, pairs: DataFrame, masks: DataFrame, le
         for pdf in batches:
             out = []
             for h1, w1, b1, h2, w2, b2 in zip(pdf["h1"], pdf["w1"], pdf["b1"], pdf["h2"], pdf["w2"], pdf["b2"]):
-                boxes = raster.changed_regions(raster.unpack(b1, h1, w1), raster.unpack(b2, h2, w2), least)
+                boxes = raster.changed_regions(raster.Packed(b1, h1, w1), raster.Packed(b2, h2, w2), least)
                 out.append([dict(zip(("x0", "y0", "x1", "y1"), box)) for box in boxes])
             yield pdf[["pair_id", "old_page", "new_page"]].assign(regions=out)
 

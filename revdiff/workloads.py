@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -204,6 +205,58 @@ def scan_comparison(spark, sf_dir):
     return compare.compare_scans(mask_pairs(spark, sf_dir), page_texts(spark, sf_dir), page_masks(spark, sf_dir), cache, _as_written, "m", "1")[0].counts
 
 
+#: Characters of a line, lines of a page, and pixels of a character's cell.
+_COLUMNS, _ROWS, _CELL = 80, 40, (16, 8)
+
+
+def drawn_page(lines: list[str], slant: float, spared: int = 0) -> np.ndarray:
+    """A grey page of 640 by 640 pixels: a dark box for each character that isn't a space, lines falling by ``slant`` degrees.
+
+    With ``spared``, one character in so many is left out.
+    """
+    page = np.full((_ROWS * _CELL[0], _COLUMNS * _CELL[1]), 255, np.uint8)
+    fall = np.tan(np.deg2rad(slant))
+    for i, line in enumerate(lines):
+        for j, c in enumerate(line):
+            if c.isspace() or spared and (31 * i + j) % spared == 0:
+                continue
+            x = j * _CELL[1]
+            y = i * _CELL[0] + 3 + round((x - page.shape[1] / 2) * fall)
+            page[max(y, 0) : max(y + 10, 0), x : x + 6] = 20
+    return page
+
+
+def drawn_pages(spark: SparkSession, sf_dir: str, spared: int = 0) -> DataFrame:
+    """Whole ``documents`` as scans, lines cut after 80 characters, 40 lines a page: ``doc_id, page, height, width, content``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+                lines = [line[k : k + _COLUMNS] for line in (text or "").split("\n") for k in range(0, max(len(line), 1), _COLUMNS)]
+                made = [drawn_page(lines[k : k + _ROWS], (doc % 5 - 2) * 0.75, spared) for k in range(0, len(lines), _ROWS)]
+                for k in range(0, len(made), 16):
+                    some = made[k : k + 16]
+                    yield pd.DataFrame({"doc_id": doc, "page": range(k + 1, k + len(some) + 1), "height": some[0].shape[0], "width": some[0].shape[1], "content": [p.tobytes() for p in some]})
+
+    return _table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id bigint, page int, height int, width int, content binary")
+
+
+@query()
+def scanned_skews(spark, sf_dir):
+    """The turn that sets each page of the scanned ``documents`` straight."""
+    return pages.deskew_pages(drawn_pages(spark, sf_dir)).select("doc_id", "page", "skew")
+
+
+@query()
+def scanned_changes(spark, sf_dir):
+    """Where the scanned ``documents`` differ from copies with every 997th character missing."""
+    old = pages.ink_masks(drawn_pages(spark, sf_dir)).select("doc_id", "page", "height", "width", "bits")
+    new = pages.ink_masks(drawn_pages(spark, sf_dir, 997)).select((-F.col("doc_id") - 1).alias("doc_id"), "page", "height", "width", "bits")
+    ids = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), F.col("doc_id").alias("old_doc"), (-F.col("doc_id") - 1).alias("new_doc"))
+    same = old.select(F.col("doc_id").alias("pair_id"), F.lit("changed").alias("kind"), F.col("page").alias("old_page"), F.col("page").alias("new_page"))
+    return pages.changed_regions(same, ids, old.unionByName(new)).withColumn("regions", _shown("regions"))
+
+
 @query()
 def pages_under_one_budget(spark, sf_dir):
     """Regions under one budget for each document pair."""

@@ -91,12 +91,16 @@ def test_regions(spark):
     assert {(r.side, r.page) for r in pages.regions_by_page(found).collect()} == {("old", 1), ("new", 1)}
 
 
+def packed(mask: np.ndarray) -> raster.Packed:
+    return raster.Packed(raster.pack(mask), *mask.shape)
+
+
 def test_kernel_pieces():
     assert raster.merged([(0, 0, 10, 10), (20, 0, 25, 5), (60, 0, 70, 10)]) == [(0, 0, 25, 10), (60, 0, 70, 10)]
     m = np.zeros((6, 6), bool)
     m[0, 0] = m[1, 1] = m[4, 4] = True
-    assert sorted(c[0] for c in raster.components(m)) == [1, 2]
-    assert raster.difference(np.ones((2, 2), bool), np.ones((3, 1), bool)).sum() == 4
+    assert sorted(c[0] for c in raster.components(*raster.runs(m))) == [1, 2]
+    assert raster.difference(packed(np.ones((2, 2), bool)), packed(np.ones((3, 1), bool)), 0, 3).sum() == 4
     ring = np.zeros((15, 15), bool)
     ring[5:10, 5:10] = True
     ring[7, 7] = False
