@@ -224,17 +224,22 @@ def rows_with_markers(rows: DataFrame, markers: DataFrame) -> DataFrame:
 
     A marker stands before the first row whose page (the left one, else the right one)
     is above the marker's; the rest come last. Rows without a page are passed over.
+
+    Rows and markers go through one sort by pair and falling page: what a marker stands before is the least
+    row number so far. Nothing is joined, so work grows with rows and markers alone.
     """
     paged = rows.select("pair_id", "row_no", F.coalesce("left.page", "right.page").alias("row_page"))
-    m, r = markers.alias("m"), paged.filter("row_page IS NOT NULL").alias("r")
-    first = m.join(r, (F.col("m.pair_id") == F.col("r.pair_id")) & (F.col("r.row_page") > F.col("m.page")), "left")
-    first = first.groupBy("m.pair_id", "m.page", "m.last", "m.unreadable").agg(F.min("r.row_no").alias("before"))
+    null = F.lit(None)
+    # of one page, markers come first: a marker stands before rows of later pages only
+    asked = markers.select("pair_id", F.col("page").alias("at_page"), F.lit(0).alias("is_row"), null.cast("int").alias("row_no"), "page", "last", "unreadable")
+    seen = paged.filter("row_page IS NOT NULL").select("pair_id", F.col("row_page").alias("at_page"), F.lit(1).alias("is_row"), "row_no", null.cast("int").alias("page"), null.cast("int").alias("last"), null.cast("boolean").alias("unreadable"))
+    falling = Window.partitionBy("pair_id").orderBy(F.col("at_page").desc(), "is_row").rowsBetween(Window.unboundedPreceding, 0)
+    first = asked.unionByName(seen).withColumn("before", F.min("row_no").over(falling)).filter("is_row = 0")
     # a marker isn't placed before one that comes earlier
     order = Window.partitionBy("pair_id").orderBy("page", F.col("unreadable").cast("int"))
     reach = F.max(F.coalesce("before", F.lit(2**31 - 1))).over(order.rowsBetween(Window.unboundedPreceding, 0))
     placed = first.withColumn("at", reach).withColumn("n", F.row_number().over(order))
-    own = placed.select("pair_id", "at", F.lit(0).alias("kind"), "n", F.lit(None).cast("int").alias("row_no"), "page", "last", "unreadable")
-    null = F.lit(None)
+    own = placed.select("pair_id", "at", F.lit(0).alias("kind"), "n", null.cast("int").alias("row_no"), "page", "last", "unreadable")
     plain = paged.select("pair_id", F.col("row_no").alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("n"), "row_no", null.cast("int").alias("page"), null.cast("int").alias("last"), null.cast("boolean").alias("unreadable"))
     place = F.row_number().over(Window.partitionBy("pair_id").orderBy("at", "kind", "n")) - 1
     return own.unionByName(plain).select("pair_id", place.alias("place"), "row_no", "page", "last", "unreadable")
