@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -139,40 +141,71 @@ def _best_pages(numbers: DataFrame, scores: DataFrame) -> DataFrame:
     return numbers.join(listed, "pair_id").select("pair_id", "old", "new", "scores").mapInPandas(run, f"pair_id {dict(numbers.dtypes)['pair_id']}, old_page int, new_page int, iou double")
 
 
-def _walked_pages(pairs: DataFrame, masks: DataFrame, threshold: float) -> DataFrame:
-    """``pair_id, old_page, new_page, iou``: each old page takes the next new page that fits; what was passed over isn't taken up again.
+class _Held:
+    """A page that waits for its turn: its bits are kept, packed small if it may wait long."""
 
-    Pages are scored as the walk meets them, at most once a page of either side. The
-    masks of a pair are one group.
-    """
-    m = masks.select("doc_id", F.col("page").cast("int").alias("page"), "height", "width", "ink", "sha1", "bits")
-    names = ["pair_id", "page", "height", "width", "ink", "sha1", "bits"]
-    side = lambda doc: pairs.select("pair_id", F.col(doc).alias("doc_id")).join(m, "doc_id").select(*(F.col(n).alias(n) for n in names))
+    def __init__(self, light: tuple, bits: np.ndarray, small: bool):
+        self.page, self.size, self.ink, self.sha1 = light[0], light[1:3], light[3], light[4]
+        self.bits, self.small = (zlib.compress(bits.tobytes(), 1), True) if small else (bits.copy(), False)
 
-    def score(a: dict, b: dict) -> float:
-        if (a["height"], a["width"]) != (b["height"], b["width"]):
+    def score(self, other: _Held, threshold: float) -> float:
+        """The IoU of two pages, from sizes, fingerprints and ink where these decide it."""
+        if self.size != other.size:
             return 0.0
-        if a["sha1"] == b["sha1"]:
+        if self.sha1 == other.sha1:
             return 1.0
-        if min(a["ink"], b["ink"]) < threshold * max(a["ink"], b["ink"]):
+        if min(self.ink, other.ink) < threshold * max(self.ink, other.ink):
             return 0.0
-        return raster.iou(np.asarray(a["bits"], np.int64), np.asarray(b["bits"], np.int64))
+        if self.small:
+            self.bits, self.small = np.frombuffer(zlib.decompress(self.bits), np.int64), False
+        return raster.iou(self.bits, other.bits)
+
 
-    def walk(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        old, new = (x.sort_values("page").to_dict("records") for x in (old, new))
-        rows, j = [], 0
-        for a in old:
-            found = 0.0
-            while j < len(new) and (found := score(a, new[j])) < threshold:
-                j += 1
-            if j == len(new):
-                break
-            rows.append((a["pair_id"], a["page"], new[j]["page"], found))
-            j += 1
-        return pd.DataFrame(rows, columns=["pair_id", "old_page", "new_page", "iou"])
+#: Old pages that wait as they are; those behind them are compressed.
+WAITING = 8
 
-    both = side("old_doc").groupBy("pair_id").cogroup(side("new_doc").groupBy("pair_id"))
-    return both.applyInPandas(walk, f"pair_id {dict(pairs.dtypes)['pair_id']}, old_page int, new_page int, iou double")
+
+def _walk(threshold: float):
+    """Walks through the pages of pairs, sorted by pair, place and side, as they stream by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, waiting = None, deque()
+        for batch in batches:
+            light = list(zip(*(batch.column(i).to_pylist() for i in range(7))))
+            lists = batch.column(7)
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            rows = []
+            for i, (now, side, *page) in enumerate(light):
+                if now != pair:
+                    pair, waiting = now, deque()
+                bits = values[ends[i] : ends[i + 1]]
+                if side == 0:
+                    waiting.append(_Held(tuple(page), bits, len(waiting) >= WAITING))
+                elif waiting:  # the old page whose turn it is takes this new page, or lets it pass
+                    found = waiting[0].score(_Held(tuple(page), bits, False), threshold)
+                    if found >= threshold:
+                        rows.append((pair, waiting.popleft().page, page[0], found))
+            if rows:
+                pairs_, old, new, iou = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs_, batch.column(0).type), pa.array(old, pa.int32()), pa.array(new, pa.int32()), pa.array(iou, pa.float64())], names=["pair_id", "old_page", "new_page", "iou"])
+
+    return run
+
+
+def _walked_pages(whole: DataFrame, masks: DataFrame, threshold: float) -> DataFrame:
+    """``pair_id, old_page, new_page, iou``: each old page takes the next new page that fits; what was passed over isn't taken up again.
+
+    ``whole``: ``pair_id, old_doc, new_doc`` and the documents' sorted page numbers ``old, new``. The pages of both sides
+    stream through one task a pair, sorted by their place in the document, and each new page is seen once.
+    An old page is taken before any new page behind its place, so no page is missed; only old pages
+    whose turn hasn't come are held, as many as new pages were passed over.
+    """
+    m = masks.select("doc_id", F.col("page").cast("int").alias("page"), "height", "width", "ink", "sha1", "bits")
+    side = lambda doc, own, number: whole.select("pair_id", F.col(doc).alias("doc_id"), F.lit(number).alias("side"), F.posexplode(own).alias("place", "page"))
+    every = side("old_doc", "old", 0).unionByName(side("new_doc", "new", 1)).join(m, ["doc_id", "page"])
+    ordered = every.repartition("pair_id").sortWithinPartitions("pair_id", "place", "side")
+    streamed = ordered.select("pair_id", "side", "page", "height", "width", "ink", "sha1", "bits")
+    return streamed.mapInArrow(_walk(threshold), f"pair_id {dict(whole.dtypes)['pair_id']}, old_page int, new_page int, iou double")
 
 
 def align_pages(pairs: DataFrame, masks: DataFrame, threshold: float = MATCH_IOU, identity: float = IDENTITY_IOU, max_pairs: int = MAX_PAGE_PAIRS) -> DataFrame:
@@ -190,7 +223,7 @@ def align_pages(pairs: DataFrame, masks: DataFrame, threshold: float = MATCH_IOU
     small = F.size("old").cast("bigint") * F.size("new") <= max_pairs
     ids = ["pair_id", "old_doc", "new_doc"]
     near = whole.filter(small)
-    matched = _best_pages(near, page_scores(near.select(*ids), masks, threshold)).unionByName(_walked_pages(whole.filter(~small).select(*ids), masks, threshold))
+    matched = _best_pages(near, page_scores(near.select(*ids), masks, threshold)).unionByName(_walked_pages(whole.filter(~small), masks, threshold))
     taken = matched.groupBy("pair_id").agg(F.collect_list(F.struct("old_page", "new_page", "iou")).alias("m"))
     all_pages = whole.join(taken, "pair_id", "left").withColumn("m", F.coalesce("m", F.array().cast("array<struct<old_page:int,new_page:int,iou:double>>")))
     row = lambda kind, old, new, iou: F.struct(kind.alias("kind"), old.cast("int").alias("old_page"), new.cast("int").alias("new_page"), iou.cast("double").alias("iou"))
