@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..kernels import docx
+from . import runs
 
 # fixed values
 UPLOAD_LIMIT = 128 * 1024 * 1024
+IMAGE_LIMIT = 10 * 1024 * 1024
 MAGIC = {".docx": "504B0304", ".pdf": "25504446"}
 
 
@@ -47,24 +49,25 @@ _FIELDS = {
 }
 
 
-def read_docx(files: DataFrame) -> dict[str, DataFrame]:
+def read_docx(files: DataFrame, max_images_bytes: int = IMAGE_LIMIT) -> dict[str, DataFrame]:
     """Tables ``runs``, ``cells``, ``images`` and ``errors`` (``doc_id, error``) of word-processor files.
 
-    ``files``: ``doc_id, content``. What the files hold is kept (on disk where memory is
+    ``files``: ``doc_id, content``. A file is read as a stream and given out in pieces. Its images are taken in
+    order as far as ``max_images_bytes`` reach; after the first that doesn't fit, none is but empty ones.
+    What the files hold is kept (on disk where memory is
     short), so that they are unpacked once for all tables; ``unpersist`` of the table
     ``files`` frees it. A broken file gives an error row and nothing else.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
             for doc, content in zip(pdf["doc_id"], pdf["content"]):
                 try:
-                    parts, error = docx.unpack(bytes(content)), None
+                    parts = docx.unpack(bytes(content), max_images_bytes)  # raises before its first piece
+                    for part in parts:
+                        yield pd.DataFrame([(doc, None, *([dict(zip(names, x)) for x in own] for names, own in zip(_FIELDS.values(), part)))], columns=["doc_id", "error", *_FIELDS])
                 except Exception as e:  # noqa: BLE001  any damage to a file is that file's error row
-                    parts, error = ([], [], []), type(e).__name__
-                rows.append((doc, error, *([dict(zip(names, x)) for x in part] for names, part in zip(_FIELDS.values(), parts))))
-            yield pd.DataFrame(rows, columns=["doc_id", "error", "runs", "cells", "images"])
+                    yield pd.DataFrame([(doc, type(e).__name__, [], [], [])], columns=["doc_id", "error", *_FIELDS])
 
     whole = files.select("doc_id", "content").mapInPandas(run, _DOCX).persist(StorageLevel.MEMORY_AND_DISK)
     out = {k: whole.select("doc_id", F.explode(k).alias("x")).select("doc_id", "x.*") for k in _FIELDS}
@@ -79,7 +82,27 @@ def result_json(rows: DataFrame, summary: DataFrame) -> DataFrame:
     return out.select("pair_id", F.to_json(F.struct(*(c for c in out.columns if c != "pair_id"))).alias("result"))
 
 
-def write_result(rows: DataFrame, summary: DataFrame, path: str) -> None:
-    """Rows and summaries as Parquet under ``path``."""
-    rows.write.parquet(f"{path}/rows")
-    summary.write.parquet(f"{path}/summary")
+def write_result(rows: DataFrame, summary: DataFrame, path: str, run: str | None = None) -> str:
+    """Rows and summaries of pairs as one run under ``path``; returns the run's id.
+
+    A later run replaces the pairs that it has and no others. A run that was stopped isn't
+    read; it can be repeated with the same ``run``. Rows are written by ranges of pairs, so that
+    one pair is read from few files. ``summary`` has a row for each pair of the run, also where it has no rows.
+    """
+    ordered = rows.repartitionByRange("pair_id", "row_no").sortWithinPartitions("pair_id", "row_no")
+    return runs.write_run({"summary": summary, "rows": ordered}, path, run)
+
+
+def read_result(spark: SparkSession, path: str, rows_schema: str, summary_schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows and summaries under ``path``, each pair as its last run left it."""
+    summary = runs.read_runs(spark, path, "summary", summary_schema)
+    last = runs.last_of_each(summary, "pair_id")
+    rows = runs.read_runs(spark, path, "rows", rows_schema)
+    return rows.join(last, ["pair_id", "run_no"]).drop("run_no"), summary.join(last, ["pair_id", "run_no"]).drop("run_no")
+
+
+def compact_result(spark: SparkSession, path: str, rows_schema: str, summary_schema: str) -> str:
+    """Write what is valid under ``path`` as one run in place of all before."""
+    rows, summary = read_result(spark, path, rows_schema, summary_schema)
+    ordered = rows.repartitionByRange("pair_id", "row_no").sortWithinPartitions("pair_id", "row_no")
+    return runs.write_run({"summary": summary, "rows": ordered}, path, replaces_all=True)
