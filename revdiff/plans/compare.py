@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import blocks as block_ops
 from ..operators import diff, model, pages, rows, summary
 from ..operators import pairs as pair_ops
+from ..sources.runs import shared_folder
 
 
 @dataclass
@@ -53,12 +53,9 @@ def cut(table: DataFrame) -> DataFrame:
     The folder is the session's ``spark.checkpoint.dir``. Only where Spark runs on this machine
     alone and none is set, as in tests, a temporary one is taken.
     """
-    spark = table.sparkSession.sparkContext
-    if not spark.getCheckpointDir():
-        shared = table.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not spark.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-shared-"))
+    spark = table.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return table.checkpoint()
 
 
@@ -67,15 +64,17 @@ def compare_blocks(pairs: DataFrame, blocks: DataFrame, chat: model.Chat | None
 
     ``pairs``: ``pair_id, old_doc, new_doc, is_pdf``; ``blocks``: ``doc_id, pos, text`` and
     perhaps ``html, images, page, words, cells``; ``degraded``: ``pair_id, side, page``.
-    The blocks, the fragments and, with a model, their labels are kept (on disk where
-    memory is short), as several results need them and they are dear to make.
+    The blocks and the fragments are kept (on disk where memory is short), as several results need
+    them and they are dear to make. A model's answers are written to the checkpoint folder before
+    they are used, so that it is asked once, whatever is lost later.
     """
     own = block_ops.normalize_blocks(blocks).persist(StorageLevel.MEMORY_AND_DISK)
     fragments = diff.refine_fragments(diff.find_diffs(pairs, own)).persist(StorageLevel.MEMORY_AND_DISK)
-    labels, kept = model.classify_fragments(fragments, chat), [own, fragments]
-    if chat is not None:
-        labels = labels.persist(StorageLevel.MEMORY_AND_DISK)
-        kept.append(labels)
+    kept = [own, fragments]
+    if chat is None:
+        labels = model.classify_fragments(fragments)
+    else:
+        labels = model.labels_from_responses(fragments, cut(model.ask_fragments(fragments, chat)))
     if degraded is None:
         degraded = pairs.select("pair_id", F.lit("old").alias("side"), F.lit(0).alias("page")).limit(0)
     return Comparison(pairs, own, fragments, labels, degraded, kept)
