@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .operators import blocks, diff, model, pages, pairs, summary
 from .plans import compare
 from .queries import _CELLS_OF_LINE, _PB, ALIGNMENT, LINES, _area, _boxes, _shown, _table, derived_alignment, line_blocks, mask_pairs, page_masks, pages_without_blocks, query
-from .sources import files
+from .sources import files, runs
 
 # ---------------------------------------------------------------- files
 
@@ -39,19 +39,26 @@ def validated_files(spark, sf_dir):
     return files.validate_files(made, limit=1500).select("doc_id", "ext", "length", "status", "reason")
 
 
-_W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+_W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+_RELS = 'xmlns="http://schemas.openxmlformats.org/package/2006/relationships"'
 
 
 def _docx(lines: list[str]) -> bytes:
-    """A word-processor file of one paragraph a line, every third one bold, and a table of two cells for lines with a pipe."""
-    parts = []
+    """A word-processor file of one paragraph a line, every third one bold, every fifth with an image, and a table of two cells for lines with a pipe."""
+    parts, images = [], {}
     for k, line in enumerate(lines):
         text = f'<w:t xml:space="preserve">{escape(line)}</w:t>'
+        if k % 5 == 2 and "|" not in line:
+            images[f"r{k}"] = line.encode()
+            text += f'<w:drawing><a:blip r:embed="r{k}"/></w:drawing>'
         run = f"<w:r>{'<w:rPr><w:b/></w:rPr>' if k % 3 == 0 else ''}{text}</w:r>"
         parts.append(f"<w:tbl><w:tr><w:tc><w:p><w:r>{text}</w:r></w:p></w:tc><w:tc><w:p/></w:tc></w:tr></w:tbl>" if "|" in line else f"<w:p>{run}</w:p>")
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("word/document.xml", f"<w:document {_W}><w:body>{''.join(parts)}</w:body></w:document>")
+        for name, blob in images.items():
+            z.writestr(f"word/media/{name}.png", blob)
+        z.writestr("word/_rels/document.xml.rels", f"<Relationships {_RELS}>" + "".join(f'<Relationship Id="{n}" Target="media/{n}.png"/>' for n in images) + "</Relationships>")
     return out.getvalue()
 
 
@@ -78,6 +85,28 @@ def docx_contents(spark, sf_dir):
     return runs.unionByName(cells).unionByName(lost)
 
 
+@query(f"""WITH {LINES}, i AS (SELECT doc_id, pos, text, strlen(text) AS n FROM lines WHERE doc_id % 17 <> 0 AND pos % 5 = 2 AND text NOT LIKE '%|%'),
+s AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS used FROM i)
+SELECT doc_id, pos AS block_no, 0 AS img_no, sha1(text) AS sha1, n AS n_bytes FROM s WHERE used <= 2000 OR n = 0""")
+def docx_images(spark, sf_dir):
+    """The images of word-processor files, as far as 2000 bytes a document reach."""
+    return files.read_docx(docx_files(spark, sf_dir), max_images_bytes=2000)["images"].select("doc_id", "block_no", "img_no", "sha1", "n_bytes")
+
+
+@query(f"""WITH {LINES} SELECT d.doc_id AS pair_id, CASE WHEN d.doc_id % 7 = 0 THEN 'second' ELSE 'first' END AS run, pos AS row_no, CASE WHEN d.doc_id % 7 = 0 THEN 'again ' || lines.text ELSE lines.text END AS text
+FROM documents d LEFT JOIN lines ON lines.doc_id = d.doc_id AND d.doc_id % 14 <> 0""")
+def stored_results(spark, sf_dir):
+    """Results of all ``documents`` stored in one run, those of every seventh replaced by another: what is read then."""
+    path = runs.own_folder(spark, "results")
+    rows = line_blocks(spark, sf_dir).select(F.col("doc_id").alias("pair_id"), F.col("pos").alias("row_no"), "text")
+    ids = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"))
+    files.write_result(rows, ids.withColumn("run", F.lit("first")), path, "first")
+    again = rows.filter("pair_id % 7 = 0 AND pair_id % 14 <> 0").withColumn("text", F.concat(F.lit("again "), "text"))
+    files.write_result(again, ids.filter("pair_id % 7 = 0").withColumn("run", F.lit("second")), path, "second")
+    kept, summaries = files.read_result(spark, path, "pair_id bigint, row_no int, text string", "pair_id bigint, run string")
+    return summaries.join(kept, "pair_id", "left").select("pair_id", "run", "row_no", "text")
+
+
 @query(_CELLS_OF_LINE)
 def enriched_cells(spark, sf_dir):
     given = F.when(F.col("pos") % 5 == 4, F.array(F.lit("own"), F.col("text")))
@@ -119,6 +148,16 @@ def read_pages(spark, sf_dir):
     return model.read_pages(_table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("content")), _reader)
 
 
+@query("SELECT doc_id, CASE WHEN strlen(text) % 5 IN (0, 1) THEN '' ELSE strlen(text) || ' bytes' END AS markdown, strlen(text) % 5 IN (0, 1) AS unreadable, strlen(text) % 5 IN (0, 1) AS degraded FROM documents")
+def pages_read_with_a_stored_cache(spark, sf_dir):
+    """``documents`` as pages: half of them read first, then all, from a cache that was compacted in between."""
+    path = runs.own_folder(spark, "reads")
+    content = _table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("content"))
+    model.read_pages_at(content.filter("doc_id % 2 = 0"), path, _reader, "m", "1")
+    model.compact_reads(spark, path)
+    return model.read_pages_at(content, path, _reader, "m", "1")
+
+
 # ---------------------------------------------------------------- related documents
 
 _RARE = f"""{LINES}, once AS (SELECT DISTINCT doc_id, text FROM lines WHERE length(text) > 20), cnt AS (SELECT text FROM lines WHERE length(text) > 20 GROUP BY text HAVING count(*) BETWEEN 2 AND 6),
