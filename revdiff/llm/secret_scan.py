@@ -7,6 +7,7 @@ import binascii
 import contextlib
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -32,7 +33,9 @@ _CODES = {
     "\\": re.compile(r"(?:x([0-9A-Fa-f]{2})|u([0-9A-Fa-f]{4}))()"),
     "&": re.compile(r"#(?:x([0-9A-Fa-f]{1,6})|([0-9]{1,7}));"),
 }
-_ESCAPE = re.compile(r"%(?=[0-9A-Fa-f]{2})|\\(?=x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4})|&(?=#(?:x[0-9A-Fa-f]{1,6}|[0-9]{1,7});)")
+_ESCAPE = re.compile(r"%(?=[0-9A-Fa-f]{2})|\\(?=x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|[bfnrt\"/\\])|&(?=#(?:x[0-9A-Fa-f]{1,6}|[0-9]{1,7});)")
+# the escapes of JSON that are one character, and what they stand for
+_LETTERS = {"b": 8, "f": 12, "n": 10, "r": 13, "t": 9, '"': 34, "/": 47, "\\": 92}
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _DELIMITED = re.compile(r"[A-Za-z0-9]{16,}={0,2}")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
@@ -105,7 +108,10 @@ def _unescaped(layer: _Layer) -> _Layer | None:
     at, m = 0, _ESCAPE.search(layer.text)
     while m is not None:
         sign, pos = m[0], m.end()
-        while sign in _CODES and (c := _CODES[sign].match(text, pos)) is not None:
+        letter = sign == "\\" and text[pos] in _LETTERS
+        if letter:  # no chain: what a code stands for may be followed by any letter in packed data
+            sign, pos = chr(_LETTERS[text[pos]]), pos + 1
+        while not letter and sign in _CODES and (c := _CODES[sign].match(text, pos)) is not None:
             code = int(c[1], 16) if c[1] else int(c[2], 10 if sign == "&" else 16)
             if code >= 0x110000 or 0xD800 <= code < 0xE000:
                 break
@@ -133,71 +139,185 @@ def _unescaped(layer: _Layer) -> _Layer | None:
     return layer.part("".join(parts), first, np.where(until < 0, first, until))
 
 
-def _members(raw: memoryview) -> Iterator[tuple[bytes, int, bool]]:
-    """Content, in pieces, of the zlib or gzip data that ``raw`` starts with; with each, the bytes taken so far and whether the data end there.
+class _Unpacker:
+    """Unpacks zlib or gzip data that are given in pieces.
 
-    Members that follow one another are one content, as in gzip. Where the data
-    are broken, all that comes before the error counts. No piece is larger than ``WINDOW``.
+    Members that follow one another are one content, as in gzip. Where the data are broken, all that comes before
+    the error counts. ``size``: the bytes taken so far; ``whole``: the data ended where they should; ``over``: no more is taken.
     """
-    at = 0
-    while True:
-        z = zlib.decompressobj(31 if raw[at] == 0x1F else 15)
-        while not z.eof and at < len(raw):
-            piece, before = raw[at : at + PIECE], z.copy()
+
+    def __init__(self) -> None:
+        self.z, self.size, self.whole, self.over, self.between = None, 0, False, False, b""
+
+    def feed(self, raw: bytes) -> Iterator[bytes]:
+        """The content that ``raw`` adds, in parts of at most ``WINDOW`` bytes."""
+        raw = self.between + raw
+        self.between = b""
+        while raw and not self.over:
+            if self.z is None:
+                zeros = len(raw) - len(raw.lstrip(b"\0")) if self.whole else 0
+                if len(raw) - zeros < 3:  # too little to tell another member
+                    self.between = raw
+                    return
+                if _PACKED.match(str(raw[zeros : zeros + 3], "latin-1")) is None:
+                    self.over = True
+                    return
+                raw, self.size = raw[zeros:], self.size + zeros
+                self.z, self.whole = zlib.decompressobj(31 if raw[0] == 0x1F else 15), False
+            before = self.z.copy()
             try:
-                made = z.decompress(piece, WINDOW)
-                while z.unconsumed_tail:
-                    yield made, at, False
-                    made = z.decompress(z.unconsumed_tail, WINDOW)
-                yield made, at, False
+                yield self.z.decompress(raw, WINDOW)
+                while self.z.unconsumed_tail:
+                    yield self.z.decompress(self.z.unconsumed_tail, WINDOW)
             except zlib.error:
+                self.over = True
                 with contextlib.suppress(zlib.error):
-                    for k in range(len(piece)):
-                        made = before.decompress(piece[k : k + 1], WINDOW)
-                        yield made, at + k, False
+                    for k in range(len(raw)):
+                        made = before.decompress(raw[k : k + 1], WINDOW)
+                        self.size += 1
+                        yield made
                         while before.unconsumed_tail:
-                            yield before.decompress(before.unconsumed_tail, WINDOW), at + k, False
+                            yield before.decompress(before.unconsumed_tail, WINDOW)
                 return
-            at += len(piece) - len(z.unused_data)
-        yield b"", at, z.eof
-        after = at
-        while after < len(raw) and raw[after] == 0:
-            after += 1
-        if not z.eof or _PACKED.match(str(raw[after : after + 3], "latin-1")) is None:
-            return
-        at = after
+            self.size += len(raw) - len(self.z.unused_data)
+            raw = self.z.unused_data
+            if self.z.eof:
+                self.z, self.whole = None, True
+
+    def begun(self) -> bool:
+        """Whether the data go on, after all that was given."""
+        return not self.over and self.z is not None
+
+
+class _Flow:
+    """Unpacked data that are never held whole, and what is encoded in them; all of it lies in one place.
+
+    Parts of ``WINDOW`` characters, which overlap, become layers. What may be longer than a part is followed
+    by flows of its own: a run of base64 longer than the overlap, decoded at each of the four places it may begin
+    at, and packed data that go on beyond a part.
+    """
 
+    def __init__(self, place: tuple[int, int], out: deque[_Layer]):
+        self.place, self.out = place, out
+        self.held, self.fresh = b"", 0  # the part so far, and how much of it was in no part before
+        self.run, self.runs = [], None  # the characters of the run that the data end with, or its decoders
+        self.run_size = 0
+        self.open: list[tuple[_Unpacker, _Flow]] = []
 
-def _windows(raw: memoryview) -> Iterator[str]:
-    """The content of packed data in parts that overlap."""
-    held, size = [], 0
-    for made, _, _ in _members(raw):
-        held.append(made)
-        size += len(made)
-        if size >= WINDOW:
-            text = b"".join(held).decode("latin-1")
-            yield text
-            held, size = [text[-OVERLAP:].encode("latin-1")], OVERLAP
-    if size:
-        yield b"".join(held).decode("latin-1")
+    def feed(self, data: bytes) -> None:
+        if not data:
+            return
+        for unpacker, flow in self.open:
+            for made in unpacker.feed(data):
+                flow.feed(made)
+        for unpacker, flow in self.open:
+            if not unpacker.begun():
+                flow.close()
+        self.open = [x for x in self.open if x[0].begun()]
+        self._follow_runs(data)
+        self.held, self.fresh = self.held + data, self.fresh + len(data)
+        while len(self.held) >= WINDOW + OVERLAP:
+            self._part(self.held[:WINDOW])
+            self.held = self.held[WINDOW - OVERLAP :]
+            self.fresh = len(self.held) - OVERLAP
+
+    def _part(self, data: bytes) -> None:
+        text = data.decode("latin-1")
+        self.out.append(_Layer(text, *self.place))
+        for m in _PACKED.finditer(text, 0, max(len(text) - OVERLAP, 0)):
+            unpacker = _Unpacker()
+            for _ in unpacker.feed(data[m.start() :]):
+                pass
+            if unpacker.begun():
+                unpacker, flow = _Unpacker(), _Flow(self.place, self.out)
+                for made in unpacker.feed(data[m.start() :]):
+                    flow.feed(made)
+                for made in unpacker.feed(self.held[len(data) :]):  # what was taken in behind this part
+                    flow.feed(made)
+                if unpacker.begun():
+                    self.open.append((unpacker, flow))
+                else:
+                    flow.close()
+
+    def _follow_runs(self, data: bytes) -> None:
+        at = 0
+        for m in _NO_BASE64.finditer(data):
+            self._more_of_run(data[at : m.start()])
+            self._end_of_run()
+            at = m.end()
+        self._more_of_run(data[at:])
+
+    def _more_of_run(self, data: bytes) -> None:
+        if not data:
+            return
+        self.run_size += len(data)
+        if self.runs is None:
+            self.run.append(data)
+            if self.run_size <= OVERLAP:
+                return
+            data, self.run = b"".join(self.run), []
+            self.runs = [(bytearray(), _Flow(self.place, self.out)) for _ in range(4)]
+            first = True
+        else:
+            first = False
+        for phase, (rest, flow) in enumerate(self.runs):
+            rest += data[phase:] if first else data
+            whole = len(rest) // 4 * 4
+            flow.feed(binascii.a2b_base64(bytes(rest[:whole]).translate(_STANDARD)))
+            del rest[:whole]
+
+    def _end_of_run(self) -> None:
+        for rest, flow in self.runs or ():
+            if len(rest) > 1:
+                flow.feed(binascii.a2b_base64(bytes(rest).translate(_STANDARD) + b"=" * (4 - len(rest))))
+            flow.close()
+        self.run, self.runs, self.run_size = [], None, 0
+
+    def close(self) -> None:
+        self._end_of_run()
+        for _, flow in self.open:
+            flow.close()
+        self.open = []
+        if self.held and (self.fresh or len(self.held) > OVERLAP):
+            self._part(self.held)
+        for _, flow in self.open:
+            flow.close()
+        self.held, self.open = b"", []
+
+
+_NO_BASE64 = re.compile(rb"[^A-Za-z0-9+/_-]+")
+_STANDARD = bytes.maketrans(b"-_", b"+/")
 
 
 def _packed_layers(layer: _Layer) -> Iterator[_Layer]:
-    """What zlib or gzip data in the characters of a decoded layer hold, a window at a time; it lies where all of the data lie."""
+    """What zlib or gzip data in the characters of a decoded layer hold, a part at a time; it lies where all of the data lie."""
     m = _PACKED.search(layer.text)
     if m is None:
         return
     raw = memoryview(layer.text.encode("latin-1", "replace"))
+
+    def pieces(unpacker: _Unpacker, a: int) -> Iterator[bytes]:
+        for k in range(a, len(raw), PIECE):
+            yield from unpacker.feed(bytes(raw[k : k + PIECE]))
+            if unpacker.over:
+                return
+
     while m is not None:
-        a, size, whole, some = m.start(), 0, False, False
-        for made, size, whole in _members(raw[a:]):  # noqa: B007  the last of each is what counts
+        a, some, first = m.start(), False, _Unpacker()
+        for made in pieces(first, a):
             some = some or bool(made)
-        b = a + max(size, 1)
+        b = a + max(first.size, 1)
         if some:
-            for text in _windows(raw[a:]):
-                yield _Layer(text, *layer.span(a, b))
+            out: deque[_Layer] = deque()
+            flow = _Flow(layer.span(a, b), out)
+            for made in pieces(_Unpacker(), a):
+                flow.feed(made)
+                while out:
+                    yield out.popleft()
+            flow.close()
+            yield from out
         # what has no end may be text that only begins like such data
-        m = _PACKED.search(layer.text, b if whole else a + 1)
+        m = _PACKED.search(layer.text, b if first.whole else a + 1)
 
 
 def _worth(text: str) -> bool:
@@ -217,9 +337,10 @@ def _base64_text(body: str) -> str:
 
 def _base64_layers(layer: _Layer) -> Iterator[_Layer]:
     for m in _BASE64.finditer(layer.text):
-        runs = [m.span()]
+        # what stands before the data may be joined to them, so all four places that they may begin at are tried
+        runs = [(m.start() + phase, m.end()) for phase in range(4)]
         if re.search(r"[+/_-]", m[0]):
-            # a part that begins at a multiple of four is decoded within the whole
+            # a part that ends before the run does
             runs += [(m.start() + d.start(), m.start() + d.end()) for d in _DELIMITED.finditer(m[0]) if d.start() % 4]
         for a, b in runs:
             made = _base64_text(layer.text[a:b])
@@ -234,8 +355,8 @@ def _base64_layers(layer: _Layer) -> Iterator[_Layer]:
         lines = [x.span() for x in _LINE.finditer(m[0])]
         body = "".join(m[0][a:b] for a, b in lines)
         edge = np.cumsum([0, *(b - a for a, b in lines)])
-        # the words before the data are joined to them; any line may be the first, so all places in four that a line starts at are tried
-        for phase in sorted({int(x) for x in edge[:-1] % 4}):
+        # the words before the data are joined to them, and any line may be the first
+        for phase in range(4):
             made = _base64_text(body[phase:])
             if _worth(made):
                 place = np.repeat(m.start() + np.array([a for a, _ in lines]) - edge[:-1], np.diff(edge)) + np.arange(len(body))
@@ -317,9 +438,11 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     what the text shows without decoding. Every decoded layer is scanned, whatever
     its bytes, as the patterns are ASCII; base64 may be wrapped over lines;
     compressed data may begin anywhere in a decoded layer, have several members, be
-    cut off or be broken, and are read up to there. What they unpack to is scanned in
-    overlapping windows of ``WINDOW`` characters; encoded data inside that are larger than
-    a window are decoded window by window. Nothing is shuffled; each text
+    cut off or be broken, and are read up to there. Base64 is tried at all four places it may begin at, as a letter may
+    stand before it, and the escapes of JSON (``\\n``, ``\\"`` ...) are decoded. What compressed data unpack to is scanned in
+    overlapping parts of ``WINDOW`` characters; base64 and compressed data inside that are larger than
+    a part are followed from part to part, at any depth. Compressed data of that size that are hidden in URL or Unicode codes, or in
+    base64 wrapped over lines, inside compressed data are followed in their first part only. Nothing is shuffled; each text
     is handled by itself. Null is the empty text, without spans; null ids and repeated rows stay.
     """
     lean_batches(docs.sparkSession)

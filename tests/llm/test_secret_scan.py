@@ -200,3 +200,62 @@ def test_secrets_at_the_edges_of_windows(monkeypatch):
     for pad in range(380, 520, 7):
         text = b64(gzip.compress(b"~" * pad + SECRET.encode() + b"~" * 900))
         assert [k for _, k, _ in secret_scan.find_all(f"a {text} b")[1]] == [0]
+
+
+@pytest.mark.parametrize("before", ["\\n", "x", "ab", "abc", '\\"', "key\\t", "\\/", "a\\\\n"])
+def test_base64_glued_to_what_stands_before_it(before):
+    text = f"é {before}{LAYERS['base64']} z"
+    more = secret_scan.find_all(text)[1]
+    assert len(more) == 1 and text[more[0][0] : more[0][2]].endswith(LAYERS["base64"])
+
+
+def test_json_inside_json():
+    text = r'{"body": "{\"password\": \"hunter2hunter2\"}"} and {\\\"token\\\": \\\"abcdefghij\\\"}'
+    found = [text[a:b] for a, k, b in secret_scan.find_all(text)[1]]
+    assert any("hunter2hunter2" in x for x in found) and any("abcdefghij" in x for x in found)
+
+
+def long_run(size, seed):
+    r = random.Random(seed)
+    return ("".join(r.choices("0123456789", k=1000)) * (size // 1000 + 1))[:size]
+
+
+@pytest.mark.parametrize("size", [300_000, 900_000, 1_500_000, 3_000_000])
+@pytest.mark.parametrize("filler", ["", "~", "~~"])
+def test_a_run_longer_than_a_part_keeps_its_secret(size, filler):
+    inner = filler + b64((long_run(size * 3 // 4, 1) + " " + SECRET + " x").encode())
+    assert secret_scan.find_all(f"a {b64(gzip.compress(inner.encode(), mtime=0))} b")[1]
+
+
+@pytest.fixture
+def small_parts(monkeypatch):
+    monkeypatch.setattr(secret_scan, "WINDOW", 2000)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 300)
+    monkeypatch.setattr(secret_scan, "PIECE", 256)
+
+
+@pytest.mark.parametrize("at", range(0, 12_000, 1234))
+@pytest.mark.parametrize("kind", ["base64", "base64 twice", "gzip in base64", "gzip later", "gzip in gzip", "zlib in base64 of zlib"])
+def test_every_part_of_long_data_is_read(small_parts, kind, at):
+    """A secret anywhere in data of six parts, in one layer more or two, wherever these begin."""
+    r = random.Random(at)
+    noise = lambda n: "".join(r.choices("bcdfghjkl mnpqrstvwxz", k=n))
+    deep = (noise(at) + " " + SECRET + " " + noise(12_000 - at)).encode()
+    head = noise(r.randint(0, 5000)).encode() + b" ~" + b"~" * r.randint(0, 3)
+    inner = {
+        "base64": lambda: head + b64(deep).encode(),
+        "base64 twice": lambda: head + b64(b"." + b64(deep).encode()).encode(),
+        "gzip in base64": lambda: head + b64(gzip.compress(r.randbytes(9000) + deep, mtime=0)).encode(),
+        "gzip later": lambda: head + b64(r.randbytes(5000) + gzip.compress(r.randbytes(9000) + deep, mtime=0)).encode() + b" end",
+        "gzip in gzip": lambda: head + gzip.compress(r.randbytes(9000) + deep, mtime=0) + b" end",
+        "zlib in base64 of zlib": lambda: head + b64(zlib.compress(head + b64(zlib.compress(r.randbytes(7000) + deep)).encode())).encode(),
+    }[kind]()
+    text = b64(gzip.compress(inner, mtime=0))
+    more = secret_scan.find_all(f"a {text} b")[1]
+    assert (2, 0, 2 + len(text)) in more or any(k == 0 and a == 2 for a, k, b in more)
+
+
+def test_noise_has_no_secrets_in_any_part(small_parts):
+    r = random.Random(6)
+    for k in range(20):
+        assert secret_scan.find_all(b64(gzip.compress(r.randbytes(20_000) + b64(r.randbytes(9000)).encode())))[1] == []
