@@ -119,12 +119,16 @@ def paragraphs_from_lines(lines: DataFrame) -> DataFrame:
 def paragraph_word_boxes(paragraphs: DataFrame, words: DataFrame, sizes: DataFrame) -> DataFrame:
     """``doc_id, page, par_no, words``: boxes of the words within 14 points under a paragraph's top.
 
-    ``sizes``: ``doc_id, page, width``.
+    ``sizes``: ``doc_id, page, width``. The page is cut into bands of that height; a paragraph meets the words of
+    two of them alone, so a page's words aren't compared with all its paragraphs.
     """
     box = F.struct(*(F.col(f"w.{c}").alias(c) for c in ("x0", "top", "x1", "bottom")))
-    p = paragraphs.join(sizes.select(*_PAGE, "width"), _PAGE).alias("p")
-    near = (F.col("p.doc_id") == F.col("w.doc_id")) & (F.col("p.page") == F.col("w.page")) & F.col("w.x0").between(0, F.col("p.width")) & F.col("w.top").between(F.col("p.top"), F.col("p.top") + WORD_BAND)
-    found = p.join(words.alias("w"), near).select("p.doc_id", "p.page", "p.par_no", F.struct(F.col("w.word_no").alias("n"), box.alias("b")).alias("w"))
+    band = F.floor(F.col("top") / WORD_BAND).cast("bigint")
+    p = paragraphs.join(sizes.select(*_PAGE, "width"), _PAGE).withColumn("__band", F.explode(F.array(band, band + 1))).alias("p")
+    w = words.withColumn("__band", band).alias("w")
+    same_band = (F.col("p.doc_id") == F.col("w.doc_id")) & (F.col("p.page") == F.col("w.page")) & (F.col("p.__band") == F.col("w.__band"))
+    near = same_band & F.col("w.x0").between(0, F.col("p.width")) & F.col("w.top").between(F.col("p.top"), F.col("p.top") + WORD_BAND)
+    found = p.join(w, near).select("p.doc_id", "p.page", "p.par_no", F.struct(F.col("w.word_no").alias("n"), box.alias("b")).alias("w"))
     return found.groupBy(*_PAGE, "par_no").agg(F.transform(F.array_sort(F.collect_list("w")), lambda x: x["b"]).alias("words"))
 
 

@@ -168,7 +168,9 @@ rare AS (SELECT once.* FROM once JOIN cnt USING (text)), rel AS (SELECT a.doc_id
 def related_documents(spark, sf_dir):
     """Documents that share at least three rare lines: longer than 20 characters, and met two to six times."""
     own = line_blocks(spark, sf_dir).filter(F.length("text") > 20).select("doc_id", F.xxhash64("text").alias("h"))
-    rare = own.groupBy("h").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("doc_id")).alias("docs")).filter("n BETWEEN 2 AND 6")
+    # lines are counted first, so that no list is longer than six, however common a line is
+    rare = own.groupBy("h").agg(F.count("*").alias("n")).filter("n BETWEEN 2 AND 6").select("h")
+    rare = own.join(rare, "h").groupBy("h").agg(F.sort_array(F.collect_set("doc_id")).alias("docs"))
     two = rare.select(F.explode(F.flatten(F.transform("docs", lambda a: F.transform(F.filter("docs", lambda b: b > a), lambda b: F.struct(a.alias("old_doc"), b.alias("new_doc")))))).alias("p"))
     return two.groupBy("p.old_doc", "p.new_doc").agg(F.count("*").alias("shared")).filter("shared >= 3")
 
