@@ -17,6 +17,8 @@ from .textbatch import Words, signed, slices, text_buffer
 #: Words whose values are broadcast; all others are joined.
 HEAD_WORDS = 300_000
 _MARK = "▁"
+#: What stands for a text's own mark: no piece has it, so it is spelt in bytes.
+_OTHER = "\ue000"
 _LOG10 = float(np.log(10.0))
 
 
@@ -87,7 +89,7 @@ class Lattice:
             hi = min(len(order), lo + max(1, min(16384, (1 << 20) // int(length[order[min(lo + 16384, len(order)) - 1]]))))
             some = order[lo:hi]
             width = int(length[some].max())
-            text = "".join((_MARK + words[i]).ljust(width, "\0") for i in some)
+            text = "".join((_MARK + words[i].replace(_MARK, _OTHER)).ljust(width, "\0") for i in some)
             chars = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64).reshape(len(some), width)
             yield some, chars, length[some]
             lo = hi
@@ -120,9 +122,13 @@ class Lattice:
             alpha[rows, end] = np.logaddexp(alpha[rows, end], alpha[rows, begin] + value)
         return alpha
 
-    def expected_counts(self, words: Sequence[str], weight: np.ndarray, log_p: np.ndarray) -> np.ndarray:
-        """How often each piece and byte is used, over all segmentations by their probability, weighted."""
-        total = np.zeros(self.size)
+    def expected_counts(self, words: Sequence[str], weight: np.ndarray, log_p: np.ndarray, own: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each piece and byte is used, over all segmentations by their probability, weighted; and each word's own piece.
+
+        ``own`` has the logarithmic probability of the piece that is the word itself, -inf where there is none; that
+        piece is used ``most`` times at most, and the vocabulary's pieces for the rest.
+        """
+        total, taken = np.zeros(self.size), np.zeros(len(words))
         for some, chars, length in self._padded(words):
             arcs = sorted(self._arcs(chars, length, log_p), key=lambda a: a[0])
             alpha = self._forward(arcs, chars.shape)
@@ -130,16 +136,18 @@ class Lattice:
             every = np.arange(len(some))
             beta[every, length] = 0
             whole = alpha[every, length]
+            taken[some] = np.minimum(weight[some] * np.exp(own[some] - np.logaddexp(whole, own[some])), most[some])
+            left = weight[some] - taken[some]
             for begin, end, rows, piece, value in reversed(arcs):
                 after = beta[rows, end] + value
                 beta[rows, begin] = np.logaddexp(beta[rows, begin], after)
-                share = np.exp(alpha[rows, begin] + after - whole[rows]) * weight[some[rows]]
+                share = np.exp(alpha[rows, begin] + after - whole[rows]) * left[rows]
                 if piece[0] >= 0:
                     total += np.bincount(piece, weights=share, minlength=self.size)
                 else:
                     for x in chr(int(chars[rows[0], begin])).encode("utf-8", "replace"):
                         total[self.size - 256 + x] += share[0]
-        return total
+        return total, taken
 
 
 def _held_out(doc_id: Column) -> Column:
@@ -178,54 +186,85 @@ def word_pieces(vocab: Sequence[tuple[str, float]], scores: str) -> tuple[list[s
     return [p for p, _ in own], weight - np.logaddexp.reduce(weight)
 
 
-def fit_pieces(words: DataFrame, ends: int, pieces: Sequence[str], log_p: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
-    """Logarithmic probabilities of pieces and bytes, and that of the end, fitted to ``words`` (``word, c``) by expectation maximisation.
+def _own(e: np.ndarray, log_total: float) -> np.ndarray:
+    """Logarithmic probabilities of words as pieces, from their expected counts; -inf where that is 0."""
+    with np.errstate(divide="ignore"):
+        return np.log(e) - log_total
+
+
+_WORDS = "h bigint, word string, c bigint, n bigint, e double"
+
+
+def fit_pieces(words: DataFrame, ends: int, pieces: Sequence[str], log_p: np.ndarray, rounds: int, discount: float) -> tuple[DataFrame, np.ndarray, float, float, float]:
+    """Pieces, words as pieces, and the end, fitted to ``words`` (``h, word, c, n``) by expectation maximisation.
 
-    A piece's probability is its expected share of all pieces and ends, 0.01 added to
-    each; so pieces and the end together have probability 1. The words stay in Spark; what
-    reaches the driver is a sum for each piece.
+    A text is a sequence of choices: at the beginning of a word, one of the words of the training texts as a whole, or
+    a piece that begins a word, or the text's end; inside a word, a further piece, or the word's end. So two sets of
+    probabilities have the sum 1 each. Those of the pieces begin at ``log_p``, with half of the sum for whole words and for
+    the word's end; then each is its expected share, 0.01 added to all but whole words. Of each word's occurrences ``discount`` at least
+    are made of pieces, which by that stand for words that no text has yet. Returns the words with the
+    expected count ``e`` of their own piece, the logarithms of the pieces' probabilities, of the text's end and of the word's end,
+    and that of the sum of the counts at the beginning of words. The words stay in Spark; what reaches the driver is a sum for each piece of the vocabulary.
     """
     spark = words.sparkSession
     lattice = spark.sparkContext.broadcast(Lattice(pieces))
-    ends = ends + 0.01
 
     def expected(weights):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            log_p, log_total, log_stop = weights.value
             total = np.zeros(lattice.value.size)
             for batch in batches:
-                total += lattice.value.expected_counts(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float), weights.value)
+                c, e = batch.column(2).to_numpy().astype(float), batch.column(4).to_numpy().copy()
+                some = np.flatnonzero(c > 0)
+                used, e[some] = lattice.value.expected_counts(batch.column(1).take(pa.array(some)).to_pylist(), c[some], log_p, _own(e[some], log_total) - log_stop, c[some] - discount)
+                total += used
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(e), pa.nulls(len(e), pa.int32()), pa.nulls(len(e), pa.float64())], names=_EXPECTED)
             some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["piece", "n"])
+            none = [pa.nulls(len(some), t) for t in (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(some.astype(np.int32)), pa.array(total[some])], names=_EXPECTED)
 
         return run
 
-    total = np.exp(log_p)
+    state = words.select("h", "word", "c", "n", F.col("c").cast("double").alias("e"))
+    every = words.agg(F.sum("c").alias("c")).first()["c"] or 0
+    begins = np.array([p.startswith(_MARK) for p in pieces] + [False] * 256)
+    log_p = log_p.copy()
+    for group in (begins, ~begins):
+        log_p[group] -= np.logaddexp.reduce(log_p[group], initial=-np.inf) + np.log(2)
+    log_total, log_stop, log_end = float(np.log(2 * max(every, 1))), float(-np.log(2)), 0.0
     for _ in range(rounds):
-        weights = spark.sparkContext.broadcast(log_p)
-        used = words.filter("c > 0").select("word", "c").mapInArrow(expected(weights), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
-        total = np.full(len(log_p), 0.01)
-        total[used["piece"].to_numpy(int)] += used["n"].to_numpy(float)
-        log_p = np.log(total / (total.sum() + ends))
-    return log_p, float(np.log(ends / (total.sum() + ends)))
+        weights = spark.sparkContext.broadcast((log_p, log_total, log_stop))
+        made = staged(state.mapInArrow(expected(weights), f"{_WORDS}, piece int, used double"))
+        used = made.filter("piece IS NOT NULL").groupBy("piece").agg(F.sum("used").alias("used")).toPandas()
+        count = np.full(len(log_p), 0.01)
+        count[used["piece"].to_numpy(int)] += used["used"].to_numpy(float)
+        state = made.filter("piece IS NULL").select("h", "word", "c", "n", "e")
+        sums = state.agg(F.sum("e").alias("e"), F.sum(F.col("c") - F.col("e")).alias("rest")).first()
+        stops = (sums["rest"] or 0.0) + 0.01
+        log_total = float(np.log(count[begins].sum() + (sums["e"] or 0.0) + ends + 0.01))
+        log_inside = float(np.log(count[~begins].sum() + stops))
+        log_p = np.log(count) - np.where(begins, log_total, log_inside)
+        log_end, log_stop = float(np.log(ends + 0.01)) - log_total, float(np.log(stops)) - log_inside
+    return state, log_p, log_end, log_stop, log_total
 
 
-def score_documents(docs: DataFrame, *, path: str | None = None, scores: str = "rank", rounds: int = 2, head: int = HEAD_WORDS) -> DataFrame:
+_EXPECTED = ["h", "word", "c", "n", "e", "piece", "used"]
+
+
+def score_documents(docs: DataFrame, *, path: str | None = None, scores: str = "rank", rounds: int = 2, discount: float = 0.75, head: int = HEAD_WORDS) -> DataFrame:
     """log10 probability of each whole text under a subword lattice model fitted to the table.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Text is
     lower-cased (A-Z); tokens are its runs without space and ``\\t\\n\\v\\f\\r`` and one
     end. Learned from are rows whose crc32(doc_id as text) modulo 7 isn't 2. Returns
     a row per row of ``docs``: ``doc_id, held_out, n_tokens, n_known, train_tokens,
-    base_score, score, mixed_score``. ``base_score`` sums log10((c + 1) / (N + V + 1)).
-
-    ``score`` is the marginal over all ways to cut the text into pieces of a public
-    unigram vocabulary (``path``), as no piece crosses words: the sum over its words of
-    the forward recursion's result, and the end. The pieces' probabilities begin at the
-    vocabulary's scores (of the kind ``scores``) and are fitted to all training words by
-    ``rounds`` rounds of expectation maximisation.
+    base_score, score``. ``base_score`` sums log10((c + 1) / (N + V + 1)).
 
-    ``mixed_score`` is another column, for comparison: there a word is drawn by its
-    training count with the prior (N - V) / N, and else as pieces.
+    ``score`` is the marginal over all ways to cut the text into pieces, as no piece crosses words: the sum over its
+    words of the forward recursion's result with the word's end, and the text's end; it is a probability of texts. Pieces are those of a public unigram vocabulary (``path``),
+    and every word of the training texts, so they grow with the table. Their probabilities begin at the vocabulary's
+    scores (of the kind ``scores``) and at the words' counts, and are fitted to all training words by ``rounds`` rounds of
+    expectation maximisation, in which each word leaves ``discount`` (between 0 and 1) of its occurrences to the vocabulary.
 
     Counting, fitting and scoring go over the distinct words, which Spark gathers. The
     values of the ``head`` words that occur most often in all texts are broadcast; of all
@@ -245,26 +284,21 @@ def score_documents(docs: DataFrame, *, path: str | None = None, scores: str = "
     n, v = (size["n"] or 0) + ends, size["v"] + (ends > 0)
 
     pieces, log_p = word_pieces(vocabulary.load(path)[0], scores)
-    log_p, log_end = fit_pieces(words, ends, pieces, log_p, rounds)
+    words, log_p, log_end, log_stop, log_total = fit_pieces(words, ends, pieces, log_p, rounds, discount)
     lattice, weights = spark.sparkContext.broadcast(Lattice(pieces)), spark.sparkContext.broadcast(log_p)
 
     def marginal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            value = lattice.value.log_probs(batch.column(1).to_pylist(), weights.value) / _LOG10
+            value = np.logaddexp(lattice.value.log_probs(batch.column(1).to_pylist(), weights.value) + log_stop, _own(batch.column(4).to_numpy(), log_total)) / _LOG10
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(value)], names=["h", "c", "n", "score"])
 
     def base(c: Column) -> Column:
         return F.log10((c + 1) / F.lit(float(n + v + 1)))
 
-    prior = max(0.0, min(1 - v / n, 1 - 1e-9)) if n else 0.0
-
-    def mixed(c: Column, score: Column) -> Column:
-        return F.when(c > 0, F.log10(prior * c / max(n, 1) + (1 - prior) * F.pow(F.lit(10.0), score))).otherwise(float(np.log10(1 - prior)) + score)
-
     values = words.mapInArrow(marginal, "h bigint, c bigint, n bigint, score double")
-    values = staged(values.select("h", "n", (F.col("c") > 0).cast("int").alias("known"), base(F.col("c")).alias("base"), "score", mixed(F.col("c"), F.col("score")).alias("mixed")))
+    values = staged(values.select("h", "n", (F.col("c") > 0).cast("int").alias("known"), base(F.col("c")).alias("base"), "score"))
     end_score = log_end / _LOG10
-    end = spark.range(1).select(base(F.lit(ends)).alias("b"), F.lit(end_score).alias("s"), mixed(F.lit(ends), F.lit(end_score)).alias("m")).first()
+    end = spark.range(1).select(base(F.lit(ends)).alias("b"), F.lit(end_score).alias("s")).first()
     often = values.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).limit(100_000).toArrow().to_pandas()
     fits = often[often["k"].cumsum() <= head]
     least = int(fits["n"].min()) if len(fits) else (int(often["n"].max()) + 1 if len(often) else 0)
@@ -308,9 +342,8 @@ def score_documents(docs: DataFrame, *, path: str | None = None, scores: str = "
         F.lit(n).cast("bigint").alias("train_tokens"),
         (total["base"] + end["b"]).alias("base_score"),
         (total["score"] + end["s"]).alias("score"),
-        (total["mixed"] + end["m"]).alias("mixed_score"),
     )
 
 
-_SUMS = ["known", "base", "score", "mixed"]
+_SUMS = ["known", "base", "score"]
 _SPLIT = ["row", "doc_id", "held_out", "h", "n_tokens", *_SUMS]
