@@ -39,6 +39,18 @@ def validated_files(spark, sf_dir):
     return files.validate_files(made, limit=1500).select("doc_id", "ext", "length", "status", "reason")
 
 
+@query("""SELECT coalesce(lang, 'none') AS lang, '.txt' AS ext, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS n_bytes, CAST(sum(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1) AS BIGINT) AS n_lines
+FROM documents GROUP BY 1""")
+def files_of_languages(spark, sf_dir):
+    """``documents`` written as text files, one folder a language, and read as files: bytes and lines of each language."""
+    path = runs.own_folder(spark, "texts")
+    texts = _table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    texts.write.mode("overwrite").partitionBy("lang").text(path, lineSep="\n")
+    found = files.read_files(spark, f"{path}/lang=*/*.txt").withColumn("lang", F.regexp_extract("path", "/lang=([^/]*)/", 1))
+    lines = F.size(F.split(F.decode("content", "utf-8"), "\n")) - 1
+    return found.groupBy("lang", "ext").agg(F.sum("length").alias("n_bytes"), F.sum(lines).cast("bigint").alias("n_lines"))
+
+
 _W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 _RELS = 'xmlns="http://schemas.openxmlformats.org/package/2006/relationships"'
 
@@ -198,6 +210,33 @@ def related_changes(spark, sf_dir):
 # ---------------------------------------------------------------- documents of pages
 
 
+@query(f"""WITH {ALIGNMENT}, {_PB}, rd AS (SELECT DISTINCT * FROM (SELECT pair_id, 'old' AS side, old_page AS page FROM al WHERE kind IN ('changed', 'only_old') UNION ALL SELECT pair_id, 'new', new_page FROM al WHERE kind IN ('changed', 'only_new'))),
+ur AS (SELECT * FROM rd WHERE NOT EXISTS (SELECT 1 FROM pb WHERE pb.pair_id = rd.pair_id AND pb.side = rd.side AND pb.page = rd.page))
+SELECT p.pair_id, coalesce(string_agg(page, ',' ORDER BY page) FILTER (side = 'old'), '') AS unreadable_left, coalesce(string_agg(page, ',' ORDER BY page) FILTER (side = 'new'), '') AS unreadable_right
+FROM (SELECT DISTINCT vec_id // 10 AS pair_id FROM embeddings) p LEFT JOIN ur USING (pair_id) GROUP BY 1""")
+def unreadable_by_side(spark, sf_dir):
+    """The pages of each side that couldn't be read, as the summary of a pair shows them."""
+    counts = _table(spark, sf_dir, "embeddings").groupBy((F.col("vec_id") / 10).cast("bigint").alias("doc_id")).agg(F.count("*").alias("n_pages"))
+    ids = counts.select(F.col("doc_id").alias("pair_id"), F.col("doc_id").alias("old_doc"), F.col("doc_id").alias("new_doc"))
+    made = summary.page_summary(ids, derived_alignment(spark, sf_dir), pages_without_blocks(spark, sf_dir), counts)
+    return made.select("pair_id", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("unreadable_left", "unreadable_right")))
+
+
+@query(f"""WITH {LINES}, r AS (SELECT doc_id, CAST(doc_id % 4 AS INT) AS a, CAST(doc_id % 7 AS INT) AS b, coalesce(lang = 'en', false) AS t FROM documents),
+pg AS (SELECT DISTINCT doc_id, 1 + pos // 3 AS page FROM lines), w AS (SELECT doc_id, unnest(range(a, b + 1)) AS page FROM r WHERE a >= 1 AND a <= b AND NOT t),
+s AS (SELECT w.doc_id, w.page, CASE WHEN pg.page IS NULL THEN 'missing page' WHEN pg.page % 3 = 0 THEN 'unreadable page' END AS reason FROM w LEFT JOIN pg ON pg.doc_id = w.doc_id AND pg.page = w.page)
+SELECT doc_id AS request_id, 'bad range' AS reason, '' AS pages FROM r WHERE NOT (a >= 1 AND a <= b)
+UNION ALL SELECT doc_id, reason, string_agg(page, ',' ORDER BY page) FROM s WHERE reason IS NOT NULL GROUP BY 1, 2""")
+def expansion_errors(spark, sf_dir):
+    """What is wrong with requests for page ranges: the range itself, pages that aren't there, pages that couldn't be read."""
+    d = _table(spark, sf_dir, "documents")
+    asked = d.select(F.col("doc_id").alias("request_id"), "doc_id", (F.col("doc_id") % 4).cast("int").alias("first"), (F.col("doc_id") % 7).cast("int").alias("last"))
+    own = line_blocks(spark, sf_dir).select("doc_id", (1 + F.floor(F.col("pos") / 3)).cast("int").alias("page"), "pos")
+    reads = own.select("doc_id", "page").distinct().withColumn("unreadable", F.col("page") % 3 == 0)
+    errors = pairs.expand_pages(asked, own, d.select("doc_id", (F.col("lang") == "en").alias("has_text")), reads)[1]
+    return errors.withColumn("pages", F.array_join(F.col("pages").cast("array<string>"), ","))
+
+
 @query()
 def walked_pages(spark, sf_dir):
     """Alignment by the walk that large documents have."""
