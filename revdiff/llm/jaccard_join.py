@@ -11,16 +11,21 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .minhash import COUNT_BUCKETS, _counted
-from .ordering import numbered
 from .storage import lean_batches, staged
 from .textbatch import Words, distinct_pairs, mix64, shingles, signed, slices, text_buffer
 
 #: Shared prefix tokens that a pair may be asked for, at most.
 MATCHES = 6
+#: Numbers of 64 bits in the parities of a set.
+PARITIES = 8
 #: Pairs that get one copy of their common partner's text, about.
 GROUP = 32
 
 
+_ODD = [f"odd_{w}" for w in range(PARITIES)]
+_OWN = ["last_n", "last_h", *_ODD]
+
+
 def choose_matches(size: np.ndarray, need: np.ndarray, prefix_cost: np.ndarray) -> np.ndarray:
     """The number of matches to ask for, for each set, and so the length of its prefix.
 
@@ -35,8 +40,20 @@ def choose_matches(size: np.ndarray, need: np.ndarray, prefix_cost: np.ndarray)
     return cost.argmin(axis=1) + 1
 
 
+def parities(first: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Of each set ``h[first[i]:first[i + 1]]``, the last one to the end and none empty: whether an even or odd number of its tokens fall on each of some bits.
+
+    A token that only one of two sets has turns one bit, so the bits in which two sets differ are at most
+    as many as the tokens in which they differ.
+    """
+    bit = mix64(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(64 * PARITIES)
+    one = np.uint64(1) << (bit % np.uint64(64))
+    words = [np.bitwise_xor.reduceat(np.where(bit // np.uint64(64) == w, one, np.uint64(0)), first) if len(first) else np.zeros(0, np.uint64) for w in range(PARITIES)]
+    return np.stack(words, axis=1)
+
+
 def _prepared(k: int, num: int, den: int, often):
-    """Of each text: size and fingerprint of its set, the matches to ask for, its prefix in order of rarity."""
+    """Of each text: size and fingerprint of its set, its prefix in order of rarity, how often its last token occurs, and that token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = often.value
@@ -62,10 +79,19 @@ def _prepared(k: int, num: int, den: int, often):
                 m = choose_matches(size, need, total[first[:, None] + ends] - total[first][:, None])
                 length = np.minimum(size, size - need + m)
                 keep = np.arange(len(row)) - first[row] < length[row]
+                some = size > 0
+                last = (first + length - 1)[some]
+                ends_at = []
+                for x in (seen, signed(h ^ np.uint64(1 << 63))):  # in signed numbers the order of the unsigned ones
+                    own = np.zeros(n, np.int64)
+                    own[some] = x[last]
+                    ends_at.append(pa.array(own))
+                odd = np.zeros((n, PARITIES), np.uint64)
+                odd[some] = parities(first[some], h)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(signed(h[keep])))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array(size.astype(np.int64)), *prints, pa.array(m.astype(np.int32)), lists],
-                    names=["doc_id", "digest", "n_shingles", "f1", "f2", "matches", "prefix"],
+                    [batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array(size.astype(np.int64)), *prints, *ends_at, *(pa.array(signed(np.ascontiguousarray(x))) for x in odd.T), lists],
+                    names=["doc_id", "digest", "n_shingles", "f1", "f2", *_OWN, "prefix"],
                 )
 
     return run
@@ -96,11 +122,24 @@ def _verified(k: int, num: int, den: int):
     return run
 
 
-def _similar_enough(num: int, den: int) -> Column:
-    """What two sets that share a token at places ``place`` can't be ruled out by: their sizes, and what may stand before and behind it."""
-    low, high = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    shared = F.least("x.place", "y.place") + 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) - 1
-    return (den * low >= num * high) & (shared * (num + den) >= num * (F.col("x.n") + F.col("y.n")))
+def _overlap(n_x: Column, n_y: Column, num: int, den: int) -> Column:
+    """How many tokens two sets of these sizes must share."""
+    return F.ceil(num * (n_x + n_y) / (num + den))
+
+
+def _apart() -> Column:
+    """In how many tokens the sets x and y differ at least."""
+    return sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in _ODD[1:]), F.bit_count(F.col(f"x.{_ODD[0]}").bitwiseXOR(F.col(f"y.{_ODD[0]}"))))
+
+
+def _first_to_end(c: str) -> Column:
+    """``c`` of that set of the two, x and y, whose prefix ends with the rarer token.
+
+    What they share outside both prefixes lies behind this prefix: a token of it that the other
+    has, the other has in its longer-reaching prefix.
+    """
+    x_ends = (F.col("x.last_n") < F.col("y.last_n")) | ((F.col("x.last_n") == F.col("y.last_n")) & (F.col("x.last_h") <= F.col("y.last_h")))
+    return F.when(x_ends, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))
 
 
 def similar_sets(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -112,13 +151,15 @@ def similar_sets(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int =
     reachable by links, its own included).
 
     1. Tokens are ordered by how often they occur. A set asks for m shared prefix tokens, m chosen for each set by
-       ``choose_matches``; the more it asks for, the longer its prefix is. Two similar sets share at
-       least the smaller m of the two in their prefixes. Equal sets are one class from here on.
-    2. In the list of each prefix token all classes are paired with the first one. A pair met often enough is verified on full sets.
-       So a group of n copies costs n pairs, and the classes of a list mostly lie in few components after it.
-    3. Then all pairs of classes of different components are made that share a token, checked by size and places, met
-       often enough, and verified. Lists that lie in one component are left out, since they can't join anything
-       new. No link that joins two components is left out.
+       ``choose_matches``; the more it asks for, the longer its prefix is. Equal sets are one class from here on.
+    2. In the list of each prefix token all classes are paired with the one that has the fewest prefix tokens of its own,
+       which is the least edited one of a group of copies. Pairs met often enough are verified on full sets. So a group of n copies costs
+       n pairs, and the classes of a list mostly lie in few components after it.
+    3. Then all pairs of classes of different components are made that share a token. Two sets share no more than
+       what they met in their prefixes and what stands behind that prefix that ends first; so the m that its set asked for and what
+       the sizes of the two ask for beyond it must have been met. Parities of the whole sets say in how many
+       tokens two sets differ at least, which leaves few pairs that aren't similar. The pairs left are verified. Lists that lie in one
+       component are left out, since they can't join anything new. No link that joins two components is left out.
 
     A text is verified in groups of about ``GROUP`` pairs that share one partner, whose text comes once a
     group. Null or empty text: no set, linked with nothing. A null ``doc_id``: the row stays, with a
@@ -131,17 +172,18 @@ def similar_sets(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int =
     often = np.zeros(COUNT_BUCKETS, np.int64)
     often[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
     often = spark.sparkContext.broadcast(often)
-    made = staged(docs.mapInArrow(_prepared(shingle, num, den, often), "doc_id bigint, digest bigint, n_shingles bigint, f1 bigint, f2 bigint, matches int, prefix array<bigint>"))
+    made = staged(docs.mapInArrow(_prepared(shingle, num, den, often), "doc_id bigint, digest bigint, n_shingles bigint, f1 bigint, f2 bigint, " + ", ".join(f"{c} bigint" for c in _OWN) + ", prefix array<bigint>"))
     group = ["n_shingles", "f1", "f2"]
-    classes = made.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*group).agg(F.min(F.struct("doc_id", "digest")).alias("of"), F.first("matches").alias("matches"), F.first("prefix").alias("prefix"))
-    classes = classes.select(*group, F.col("of.doc_id").alias("rep"), F.col("of.digest").alias("digest"), "matches", "prefix")
-    # numbers follow the ids: the first of a list is the one of the smallest id
-    classes = staged(numbered(classes, [F.col("rep").asc(), F.col("digest").asc()], "node"))
+    classes = made.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*group).agg(F.min(F.struct("doc_id", "digest")).alias("of"), *(F.first(c).alias(c) for c in [*_OWN, "prefix"]))
+    classes = staged(classes.select(F.monotonically_increasing_id().alias("node"), *group, F.col("of.doc_id").alias("rep"), F.col("of.digest").alias("digest"), *_OWN, "prefix"))
+    sizes = classes.select("node", F.col("n_shingles").alias("n"), F.size("prefix").alias("p"), *_OWN)
 
-    postings = classes.select("node", F.col("n_shingles").cast("int").alias("n"), "matches", F.posexplode("prefix").alias("place", "token"))
-    lists = postings.groupBy("token").agg(F.min("node").alias("leader"), F.count("*").alias("many")).filter("many > 1").select("token", "leader")
+    postings = classes.select("node", F.explode("prefix").alias("token"))
+    lists = postings.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1").select("token")
     members = staged(postings.join(lists, "token"))
-    sizes = classes.select("node", "n_shingles", "matches")
+    # the set with the fewest tokens of its own, and of these the largest, is the centre of what it shares
+    rank = sizes.join(members.groupBy("node").agg(F.count("*").alias("shared")), "node").select("node", F.struct((F.col("p") - F.col("shared")).alias("alone"), (-F.col("n")).alias("less"), "node").alias("rank"))
+    leaders = staged(members.join(rank, "node").groupBy("token").agg(F.min("rank")["node"].alias("leader")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The rows ``a, b`` of ``pairs`` (distinct) that are links."""
@@ -150,24 +192,29 @@ def similar_sets(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int =
         pairs = staged(pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part")))
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("rep").alias("doc_id"), "digest")
-        texts = staged(docs.filter("text IS NOT NULL").join(wanted, ["doc_id", "digest"]).dropDuplicates(["node"]).select("node", "text"))
+        texts = staged(docs.filter("text IS NOT NULL").dropDuplicates(["doc_id", "digest"]).join(wanted, ["doc_id", "digest"]).select("node", "text"))
         firsts = pairs.select("a", "part").distinct().join(texts, F.col("a") == F.col("node")).select("a", "part", F.lit(0).alias("member"), "node", "text")
         others = pairs.join(texts, F.col("b") == F.col("node")).select("a", "part", F.lit(1).alias("member"), "node", "text")
         dealt = firsts.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", "member", "node")
         return staged(dealt.mapInArrow(_verified(shingle, num, den), "a bigint, b bigint"))
 
-    met = members.filter("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b"), "n", "matches").agg(F.count("*").alias("met"))
-    met = met.join(sizes.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("matches").alias("matches_a")), "a")
-    fit = (den * F.least("n", "n_a") >= num * F.greatest("n", "n_a")) & (F.col("met") >= F.least("matches", "matches_a"))
-    found = staged(connected_components(verified(met.filter(fit).select("a", "b")).toDF("u", "v")))
+    must = _overlap(F.col("x.n"), F.col("y.n"), num, den)
+    alike = (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n")) & (_apart() <= F.col("x.n") + F.col("y.n") - 2 * must)
+    met = members.join(leaders, "token").filter("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("met"))
+    met = met.join(sizes.alias("x"), F.col("a") == F.col("x.node")).join(sizes.alias("y"), F.col("b") == F.col("y.node"))
+    found = staged(connected_components(verified(met.filter(alike & (F.col("met") + _first_to_end("n") - _first_to_end("p") >= must)).select("a", "b")).toDF("u", "v")))
 
-    placed = staged(members.drop("leader").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component"))
+    placed = staged(members.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component"))
     mixed = staged(placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token"))
     placed = staged(placed.join(mixed, "token", "left_semi"))
+    # what a set can share at most: its tokens that another component has, too, and what stands behind its prefix
+    useful = placed.groupBy("node").agg(F.count("*").alias("useful")).join(sizes, "node").withColumn("most", F.col("useful") + F.col("n") - F.col("p")).drop("useful")
+    placed = staged(placed.join(useful, "node"))
     x, y = placed.alias("x"), placed.alias("y")
-    close = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _similar_enough(num, den)
-    rest = x.join(y, close).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.least("x.matches", "y.matches").alias("need")).agg(F.count("*").alias("met"))
-    links = verified(rest.filter("met >= need").select("a", "b"))
+    close = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & alike & (_first_to_end("most") >= must)
+    asked = (must - _first_to_end("n") + _first_to_end("p")).alias("asked")
+    rest = x.join(y, close).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), asked).agg(F.count("*").alias("met"))
+    links = verified(rest.filter("met >= asked").select("a", "b"))
     comps = classes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("comp"))
     comps = staged(comps)
     joined = links.join(comps.toDF("a", "u"), "a").join(comps.toDF("b", "v"), "b").select("u", "v")

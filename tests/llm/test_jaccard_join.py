@@ -64,3 +64,16 @@ def test_matches_asked_for_grow_with_the_cost_of_candidates():
     assert (a, c, d) == (1, 6, 3) and a < b <= c
     steep = np.array([1, 30, 900, 9000, 90_000, 900_000.0])
     assert jaccard_join.choose_matches(size[:1], need[:1], steep[None]).tolist() == [1]
+
+
+def test_parities_never_tell_apart_more_than_there_is():
+    r = np.random.default_rng(3)
+    pool = r.integers(0, 2**63, 4000).astype(np.uint64)
+    for size in (1, 5, 150, 2000):
+        a = r.choice(pool, size, replace=False)
+        for changed in (0, 1, size // 10, size // 2, size):
+            b = np.concatenate([a[changed:], r.integers(0, 2**63, changed).astype(np.uint64)])
+            both = jaccard_join.parities(np.array([0, size]), np.concatenate([a, b]))
+            bits = int(np.bitwise_count(both[0] ^ both[1]).sum())
+            apart = len(set(a.tolist()) ^ set(b.tolist()))
+            assert bits <= apart and (apart > 60 or bits >= 0.6 * apart)
