@@ -25,8 +25,8 @@ def ordered_turns(turns: DataFrame) -> DataFrame:
 
     ``turns`` needs ``conv_id`` and ``turn`` (bigint), ``role`` and ``text``; other columns are ignored.
     Order is by ``turn``, a null one first; turns of equal number are ordered by their hashes. Null role
-    and text are empty. Rows with a null ``conv_id`` belong to no conversation and are left out.
-    A conversation may hold any part of all rows.
+    and text are empty; a repeated row is one more turn. Rows with a null ``conv_id`` belong to no conversation and are left out.
+    An empty table gives no rows. A conversation may hold any part of all rows.
     """
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
     rows = turns.filter("conv_id IS NOT NULL").select(
