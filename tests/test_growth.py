@@ -5,7 +5,10 @@ from __future__ import annotations
 import contextlib
 import io
 
+import numpy as np
+
 from revdiff import queries, workloads  # noqa: F401  workloads add their queries
+from revdiff.kernels import raster
 
 
 def plan_of(df) -> str:
@@ -35,3 +38,23 @@ def test_words_are_placed_without_moving_them(spark, tmp_path):
                 before += len(word) + 1
     got = made.select("doc_id", "page", "word_no", "text", "x0", "x1", "top", "bottom").collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_pages_are_drawn_in_many_tasks_and_each_once(spark, tmp_path):
+    texts = [f"line {k}\n" + "word " * 50 * k for k in range(12)] + [None, "", "\n" * 41, "x" * 3201]
+    folder = documents(spark, tmp_path, texts)
+    drawn = workloads.drawn_pages(spark, folder)
+    assert drawn.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbers = sorted(map(tuple, workloads.drawn_page_numbers(spark, folder).collect()))
+    assert numbers == sorted(map(tuple, drawn.select("doc_id", "page").collect()))
+    changes = workloads.scanned_changes(spark, folder)
+    plan = plan_of(changes).split("Initial Plan")[-1]
+    assert plan.count("MapInPandas") == 5  # old and new pages are drawn and read, and met: nothing is made twice
+    assert changes.count() == len(numbers)
+
+
+def test_turned_is_rotated():
+    rng = np.random.default_rng(1)
+    for h, w, degrees in ((7, 5, 1.0), (300, 64, -2.0), (513, 700, 0.75), (1, 9, 2.0)):
+        image = rng.integers(0, 256, (h, w), dtype=np.uint8)
+        assert (raster.turned(image, degrees, 255) == raster.rotated(image, degrees, 255)).all()
