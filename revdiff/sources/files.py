@@ -59,15 +59,28 @@ def read_docx(files: DataFrame, max_images_bytes: int = IMAGE_LIMIT) -> dict[str
     ``files`` frees it. A broken file gives an error row and nothing else.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    runs.lean_batches(files.sparkSession)
+    names = ["doc_id", "error", *_FIELDS]
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for pdf in batches:
             for doc, content in zip(pdf["doc_id"], pdf["content"]):
                 try:
-                    parts = docx.unpack(bytes(content), max_images_bytes)  # raises before its first piece
-                    for part in parts:
-                        yield pd.DataFrame([(doc, None, *([dict(zip(names, x)) for x in own] for names, own in zip(_FIELDS.values(), part)))], columns=["doc_id", "error", *_FIELDS])
+                    for part in docx.unpack(bytes(content), max_images_bytes):  # raises before its first piece
+                        yield (doc, None, *([dict(zip(fields, x)) for x in own] for fields, own in zip(_FIELDS.values(), part)))
                 except Exception as e:  # noqa: BLE001  any damage to a file is that file's error row
-                    yield pd.DataFrame([(doc, type(e).__name__, [], [], [])], columns=["doc_id", "error", *_FIELDS])
+                    yield (doc, type(e).__name__, [], [], [])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for piece in pieces(batches):  # small files are given out together
+            held.append(piece)
+            size += 10 + len(piece[2]) + len(piece[3]) + sum(10 + len(x["data_uri"]) // 100 for x in piece[4])
+            if size >= docx.PIECE:
+                yield pd.DataFrame(held, columns=names)
+                held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=names)
 
     whole = files.select("doc_id", "content").mapInPandas(run, _DOCX).persist(StorageLevel.MEMORY_AND_DISK)
     out = {k: whole.select("doc_id", F.explode(k).alias("x")).select("doc_id", "x.*") for k in _FIELDS}

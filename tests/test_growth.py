@@ -9,6 +9,7 @@ import numpy as np
 
 from revdiff import queries, workloads  # noqa: F401  workloads add their queries
 from revdiff.kernels import raster
+from revdiff.sources import runs
 
 
 def plan_of(df) -> str:
@@ -58,3 +59,15 @@ def test_turned_is_rotated():
     for h, w, degrees in ((7, 5, 1.0), (300, 64, -2.0), (513, 700, 0.75), (1, 9, 2.0)):
         image = rng.integers(0, 256, (h, w), dtype=np.uint8)
         assert (raster.turned(image, degrees, 255) == raster.rotated(image, degrees, 255)).all()
+
+
+def test_files_are_made_in_many_tasks_and_small_ones_given_out_together(spark, tmp_path):
+    folder = documents(spark, tmp_path, [f"line {k}\nnext\n| a | b" for k in range(400)])
+    made = workloads.docx_files(spark, folder)
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) <= runs.BATCH_BYTES
+    found = workloads.docx_contents(spark, folder)
+    want = {(d, b, k, t, bold) for d in range(400) if d % 17 for b, k, t, bold in ((0, "run", f"line {d}", True), (1, "run", "next", False), (2, "cell", "| a | b", False), (2, "cell", "", False))}
+    want |= {(d, None, "error", None, False) for d in range(0, 400, 17)}
+    rows = [(r.doc_id, r.block_no, r.kind, r.text, r.bold) for r in found.collect()]
+    assert len(rows) == len(want) and set(rows) == want
