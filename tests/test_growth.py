@@ -71,3 +71,9 @@ def test_files_are_made_in_many_tasks_and_small_ones_given_out_together(spark, t
     want |= {(d, None, "error", None, False) for d in range(0, 400, 17)}
     rows = [(r.doc_id, r.block_no, r.kind, r.text, r.bold) for r in found.collect()]
     assert len(rows) == len(want) and set(rows) == want
+
+
+def test_rows_get_their_blocks_by_one_move(spark, tmp_path):
+    folder = documents(spark, tmp_path, ["a b c\nd e f\ng h", "one\ntwo\nthree"])
+    plan = plan_of(queries.aligned_rows(spark, folder))
+    assert plan.count("REPARTITION_BY_COL") == 1  # parts of lines meet by pair, where lines are numbered, too
