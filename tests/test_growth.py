@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import io
+import random
+from difflib import SequenceMatcher
 
 import numpy as np
 
 from revdiff import queries, workloads  # noqa: F401  workloads add their queries
-from revdiff.kernels import raster
+from revdiff.kernels import longest, matching, raster
 from revdiff.sources import runs
 
 
@@ -77,3 +79,38 @@ def test_rows_get_their_blocks_by_one_move(spark, tmp_path):
     folder = documents(spark, tmp_path, ["a b c\nd e f\ng h", "one\ntwo\nthree"])
     plan = plan_of(queries.aligned_rows(spark, folder))
     assert plan.count("REPARTITION_BY_COL") == 1  # parts of lines meet by pair, where lines are numbered, too
+
+
+def test_unlike_texts_are_settled_without_a_match(monkeypatch):
+    rng = random.Random(3)
+    two = [("".join(rng.choice("etaoinshr ") for _ in range(n)), "".join(rng.choice("dlucmfw,. ") for _ in range(n))) for n in (50, 150, 700)]
+    known = [SequenceMatcher(None, a, b).ratio() for a, b in two]
+    monkeypatch.setattr(matching, "SequenceMatcher", None)
+    assert all(r < 0.6 for r in known) and [matching.similarity(a, b, 0.6) for a, b in two] == [0.0] * 3
+
+
+def test_a_changed_end_of_a_long_line_is_found_at_once(monkeypatch):
+    line = " ".join(f"w{k % 40} x{k}" for k in range(300)) + "."
+    old, new = matching._TOKEN.findall(line), matching._TOKEN.findall(line + " more")
+    head = matching._TOKEN.findall(line.replace(" ", ", ", 1))
+    want = [SequenceMatcher(None, old, b, autojunk=False).get_opcodes() for b in (new, head)]
+    monkeypatch.setattr(longest, "opcodes", None)
+    assert [matching.opcodes(old, b) for b in (new, head)] == want
+
+
+def test_matches_at_the_ends_are_those_of_difflib():
+    rng = random.Random(5)
+    for _ in range(1500):
+        kinds = "abcdefghijklmnopqrst"[: rng.choice([1, 2, 3, 20])]
+        a = [rng.choice(kinds) for _ in range(rng.choice([0, 1, 2, 5, 9, 40, 210]))]
+        b = list(a)
+        for _ in range(rng.choice([1, 1, 2, 4])):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(3)] = [rng.choice(kinds) for _ in range(rng.randrange(3))]
+        x, y = "".join(a), "".join(b)
+        want = SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+        assert matching.opcodes(a, b) == want and matching.opcodes(x, y) == want
+        for junk in (True, False):
+            for least in (0.0, 0.6, 0.95):
+                r = SequenceMatcher(None, x, y, junk).ratio()
+                assert matching.similarity(x, y, least, junk) == (r if r >= least else 0.0)
