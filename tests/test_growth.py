@@ -114,3 +114,9 @@ def test_matches_at_the_ends_are_those_of_difflib():
             for least in (0.0, 0.6, 0.95):
                 r = SequenceMatcher(None, x, y, junk).ratio()
                 assert matching.similarity(x, y, least, junk) == (r if r >= least else 0.0)
+
+
+def test_lines_are_compared_in_place(spark, tmp_path):
+    folder = documents(spark, tmp_path, ["a b c\nd e f\ng h", "one", None, ""])
+    assert plan_of(queries.similar_lines(spark, folder)).count("Exchange") == 1  # what needs matching is dealt to all tasks
+    assert {(r.doc_id, r.pos) for r in queries.similar_lines(spark, folder).collect()} == {(0, 0), (0, 1)}
