@@ -116,6 +116,11 @@ def test_matches_at_the_ends_are_those_of_difflib():
                 assert matching.similarity(x, y, least, junk) == (r if r >= least else 0.0)
 
 
+def test_fragments_are_matched_and_refined_once(spark, tmp_path):
+    plan = plan_of(queries.refined_fragments(spark, documents(spark, tmp_path, ["a b c\nd e f\ng h", "one\ntwo\nthree"]))).split("Initial Plan")[-1]
+    assert plan.count("MapInPandas") == 1 and plan.count("MapInArrow") == 1
+
+
 def test_lines_are_compared_in_place(spark, tmp_path):
     folder = documents(spark, tmp_path, ["a b c\nd e f\ng h", "one", None, ""])
     assert plan_of(queries.similar_lines(spark, folder)).count("Exchange") == 1  # what needs matching is dealt to all tasks
