@@ -11,6 +11,8 @@ import numpy as np
 
 from revdiff import queries, workloads  # noqa: F401  workloads add their queries
 from revdiff.kernels import longest, matching, raster
+from revdiff.operators import model
+from revdiff.plans import compare
 from revdiff.sources import runs
 
 
@@ -116,11 +118,24 @@ def test_matches_at_the_ends_are_those_of_difflib():
                 assert matching.similarity(x, y, least, junk) == (r if r >= least else 0.0)
 
 
+def test_versions_are_made_in_place(spark, tmp_path):
+    assert "Exchange" not in plan_of(queries.versions(spark, documents(spark, tmp_path, ["a b c\nd e f\ng h", "one", None, ""]))[1])
+
+
 def test_fragments_are_matched_and_refined_once(spark, tmp_path):
     plan = plan_of(queries.refined_fragments(spark, documents(spark, tmp_path, ["a b c\nd e f\ng h", "one\ntwo\nthree"]))).split("Initial Plan")[-1]
     assert plan.count("MapInPandas") == 1 and plan.count("MapInArrow") == 1
 
 
+def test_a_comparison_stores_what_several_results_read(spark, tmp_path):
+    done = compare.compare_blocks(*queries.versions(spark, documents(spark, tmp_path, ["a b c\nd e f\ng h", "one\ntwo\nthree"])))
+    before = done.counts.collect(), done.summary.collect(), done.rows.count()
+    assert "InMemoryTableScan" not in plan_of(done.summary) and done.fragments.inputFiles() and done.blocks.inputFiles()
+    done.release()
+    assert not done.kept and not any("/fragments-" in f for f in done.fragments.inputFiles())
+    assert sorted(done.counts.collect()) == sorted(before[0]) and sorted(done.summary.collect()) == sorted(before[1]) and done.rows.count() == before[2]
+
+
 def test_lines_are_compared_in_place(spark, tmp_path):
     folder = documents(spark, tmp_path, ["a b c\nd e f\ng h", "one", None, ""])
     assert plan_of(queries.similar_lines(spark, folder)).count("Exchange") == 1  # what needs matching is dealt to all tasks
