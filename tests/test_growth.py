@@ -136,6 +136,16 @@ def test_a_comparison_stores_what_several_results_read(spark, tmp_path):
     assert sorted(done.counts.collect()) == sorted(before[0]) and sorted(done.summary.collect()) == sorted(before[1]) and done.rows.count() == before[2]
 
 
+def test_prompts_and_pages_go_to_a_model_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.createDataFrame([(1, 0, "delete", ["a"], [])], "pair_id bigint, frag_no int, opcode string, old_blocks array<string>, new_blocks array<string>")
+    pages = spark.createDataFrame([(1, b"x")], "doc_id bigint, content binary")
+    for ask in (lambda: model.classify_fragments(rows, str), lambda: model.ask_fragments(rows, str), lambda: model.read_pages(pages, bytes.decode)):
+        spark.conf.set(key, str(64 << 20))
+        ask()
+        assert int(spark.conf.get(key).removesuffix("b")) <= runs.BATCH_BYTES
+
+
 def test_lines_are_compared_in_place(spark, tmp_path):
     folder = documents(spark, tmp_path, ["a b c\nd e f\ng h", "one", None, ""])
     assert plan_of(queries.similar_lines(spark, folder)).count("Exchange") == 1  # what needs matching is dealt to all tasks
