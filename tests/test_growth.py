@@ -11,7 +11,7 @@ import numpy as np
 
 from revdiff import queries, workloads  # noqa: F401  workloads add their queries
 from revdiff.kernels import longest, matching, raster
-from revdiff.operators import model
+from revdiff.operators import model, summary
 from revdiff.plans import compare
 from revdiff.sources import runs
 
@@ -150,3 +150,33 @@ def test_lines_are_compared_in_place(spark, tmp_path):
     folder = documents(spark, tmp_path, ["a b c\nd e f\ng h", "one", None, ""])
     assert plan_of(queries.similar_lines(spark, folder)).count("Exchange") == 1  # what needs matching is dealt to all tasks
     assert {(r.doc_id, r.pos) for r in queries.similar_lines(spark, folder).collect()} == {(0, 0), (0, 1)}
+
+
+def test_identical_documents_are_told_without_a_match(spark, tmp_path):
+    folder = documents(spark, tmp_path, ["a b c\nd e f\ng h", "one", None, ""])
+    spark.createDataFrame([(0, 1), (13, 0)], "vec_id bigint, label int").write.parquet(f"{folder}/embeddings.parquet")
+    made = queries.identical_documents(spark, folder)
+    assert "MapIn" not in plan_of(made) and "/blocks-" not in plan_of(made)
+    assert {r.pair_id: r.identical for r in made.collect()} == {0: False, 1: None, 2: True, 3: None}
+
+
+def test_identity_is_that_of_a_comparison(spark):
+    """Against fragments and rows: texts, blanks, images with and without fingerprints, their order, table rows, documents without blocks, pages."""
+    a, b, n = ("a", 1, "u"), ("b", 1, "u"), (None, 1, "u")
+    docs = {
+        0: [("x  y", [a]), ("z", None)], 1: [("x y ", [a]), ("", []), ("z", [])], 2: [("x y", [b]), ("z", [])], 3: [("x y", [a, b]), ("z", [])], 4: [("x y", [b, a]), ("z", [])], 5: [("x y", [n]), ("z", [])],
+        6: [("x y", [n, n]), ("z", [])], 7: [("x y", []), ("z", [a])], 8: [("z", []), ("x y", [a])], 9: [("x y", [a])], 10: [(None, [])], 11: [("| c |", [a])], 12: [("| c |", [b])], 13: [("", [a]), ("z", [])],
+        15: [("x y", [None]), ("z", [])], 16: [("x y", [a]), ("z", []), ("z", [])],
+    }
+    rows = [(d, 3 * k, t, own) for d, blocks in docs.items() for k, (t, own) in enumerate(blocks)]
+    blocks = spark.createDataFrame(rows, "doc_id bigint, pos int, text string, images array<struct<sha1:string,n_bytes:bigint,data_uri:string>>")
+    ids = [(100 * x + y, x, y, (x + y) % 5 != 4) for x in range(17) for y in range(17)]
+    pairs = spark.createDataFrame(ids, "pair_id bigint, old_doc bigint, new_doc bigint, is_pdf boolean")
+    alignment = spark.createDataFrame([(0, "changed"), (101, "identical")], "pair_id bigint, kind string")
+    degraded = spark.createDataFrame([(202, "old", 1)], "pair_id bigint, side string, page int")
+    for own in (blocks, blocks.drop("images")):
+        made = compare.compare_blocks(pairs, own, degraded=degraded)
+        want = {r.pair_id: r.identical for r in summary.documents_identical(pairs, made.summary, alignment, made.rows).collect()}
+        got = {r.pair_id: r.identical for r in compare.identical_documents(pairs, own, alignment, degraded).collect()}
+        assert got == want and len(got) == len(ids) and {None, True, False} == set(got.values())
+        made.release()
