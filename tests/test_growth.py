@@ -180,3 +180,36 @@ def test_identity_is_that_of_a_comparison(spark):
         got = {r.pair_id: r.identical for r in compare.identical_documents(pairs, own, alignment, degraded).collect()}
         assert got == want and len(got) == len(ids) and {None, True, False} == set(got.values())
         made.release()
+
+
+def test_only_promising_pairs_of_a_fragment_are_matched(monkeypatch):
+    r = random.Random(8)
+    texts = ["".join(chr(200 + r.randrange(400)) for _ in range(230 + 9 * k)) for k in range(20)]
+    edited = [t[:40] + "X" + t[40:] for t in texts]
+    asked = []
+    plain = matching.similarity
+    monkeypatch.setattr(matching, "similarity", lambda *x: asked.append(x) or plain(*x))
+    assert matching.split_replaced(texts, edited) == [("replace", k, k + 1, k, k + 1) for k in range(20)]
+    assert len(asked) <= 40  # of 400
+
+
+def test_similarity_from_rare_characters_is_that_of_difflib():
+    r = random.Random(9)
+    for _ in range(400):
+        kinds = r.choice("ab abcdefgh abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOP".split())
+        new = "".join(r.choice(kinds) for _ in range(r.randrange(190, 400)))
+        old = list(new)
+        for _ in range(r.randrange(0, 30)):
+            at = r.randrange(len(old))
+            old[at : at + r.randrange(0, 7)] = new[r.randrange(len(new)) :][: r.randrange(1, 9)]
+        for a, b in (("".join(old), new), (new, new), (new[:150], new), (new + new[:50], new)):
+            want = SequenceMatcher(None, a, b).ratio()
+            for least in (0.0, 0.6, want):
+                assert matching.similarity(a, b, least) == (want if want >= least else 0.0)
+
+
+def test_blocks_are_placed_among_rows_without_a_table_of_lines(spark, tmp_path):
+    folder = documents(spark, tmp_path, ["a b c\nd e f\ng h", "one\ntwo\nthree"])
+    plan = plan_of(queries.aligned_rows(spark, folder)).split("Initial Plan")[-1]
+    assert "sequence(0" not in plan  # no row is made for each line to look its blocks up
+    assert "sub#" not in plan  # blocks without images have no sub-rows to be made and sorted

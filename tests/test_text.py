@@ -83,3 +83,12 @@ def test_html(spark):
     assert back == [r[0] for r in rows[:4]]
     kept = ask(spark, [("<em>a</em>", "a"), ("<em>a</em>", "b<")], h=markup.html_or_plain(F.col("a"), F.col("b")))
     assert [g["h"] for g in kept] == ["<em>a</em>", "b&lt;"]
+
+
+def test_formatting_only_is_that_of_the_keys(spark):
+    pieces = ["a", "b", " ", "\t", "\u00a0", "\u2028", "\u2029", "\x85", "\u3000", "\x1c", "\n", "- ", "\u2022", "*", ".", "..", "\u2026", ",", "(", ")", "\u00ab", "\u2014", "!", '"', "\U0001f600"]
+    r = random.Random(4)
+    texts = ["".join(r.choice(pieces) for _ in range(r.randrange(0, 6))) for _ in range(160)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    both = rows.toDF("a").crossJoin(rows.toDF("b")).withColumns({"got": text.is_formatting_only(F.col("a"), F.col("b")), "want": text.formatting_key(F.col("a")) == text.formatting_key(F.col("b"))})
+    assert both.filter(~F.col("got").eqNullSafe(F.col("want"))).count() == 0 and both.filter("want AND a <> b").count() > 100
