@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import markup, text
+from ..kernels import page as one_page
+from ..kernels.page import LIST_MARKERS, MARKER_GAP, MARKER_HEIGHT, PARAGRAPH_GAPS
 
-# fixed values: characters that mark list items, and distances in points
-LIST_MARKERS = ("*", "-", "•", "–", "—")
-MARKER_HEIGHT, MARKER_GAP, PARAGRAPH_GAPS, WORD_BAND = 3.0, 2.0, 1.6, 14.0
+# fixed value: points under a paragraph's top
+WORD_BAND = 14.0
 
 _PAGE = ["doc_id", "page"]
 
@@ -144,22 +148,62 @@ def table_rows_from_rects(cells: DataFrame) -> DataFrame:
     return rows.select(*_PAGE, "table_no", "row_no", "top", F.concat(F.lit("| "), F.array_join("cells", " | "), F.lit(" |")).alias("text"), "cells")
 
 
+#: Gives the words, cells and further characters of a page from a row of a table of pages.
+Place = Callable[[tuple], tuple[list[one_page.Word], list[one_page.Cell], list[one_page.Word]]]
+
+
+def page_items(pages: DataFrame, place: Place) -> DataFrame:
+    """Table rows (``kind`` 0) and paragraphs of the words beside them (1): ``doc_id, page, top, kind, table_no, no, text, cells``.
+
+    ``pages`` has one row a page, ``doc_id, page`` and what ``place`` needs to give its words and cells. The rows are those of
+    ``table_rows_from_rects`` and of ``words_outside_cells``, ``lines_from_words``, ``restore_list_markers`` and
+    ``paragraphs_from_lines``; but where a page's words are known from its row, they are placed there, and no word is moved.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made: list[tuple] = []
+            for row in pdf.itertuples(index=False):
+                words, cells, chars = place(row)
+                made += [(row.doc_id, row.page, top, 0, table, no, f"| {' | '.join(texts)} |", texts) for table, no, top, texts in one_page.table_rows(cells)]
+                made += [(row.doc_id, row.page, top, 1, 0, no, joined, None) for no, (top, joined) in enumerate(one_page.paragraphs(words, cells, chars))]
+            yield pd.DataFrame(made, columns=["doc_id", "page", "top", "kind", "table_no", "no", "text", "cells"])
+
+    types = dict(pages.dtypes)
+    out = pages.mapInPandas(run, f"doc_id {types['doc_id']}, page {types['page']}, top double, kind int, table_no int, no int, text string, cells array<string>")
+    return out.withColumn("text", F.when(F.col("kind") == 0, F.col("text")).otherwise(text.collapse_blanks(F.col("text"))))
+
+
+def page_paragraphs(pages: DataFrame, place: Place) -> DataFrame:
+    """The paragraphs of ``page_items``, as ``paragraphs_from_lines`` gives them."""
+    return page_items(pages, place).filter("kind = 1").select(*_PAGE, F.col("no").cast("bigint").alias("par_no"), "top", "text")
+
+
 def assemble_page_blocks(paragraphs: DataFrame, table_rows: DataFrame, images: DataFrame) -> DataFrame:
     """Blocks of text-layer documents: ``doc_id, pos, page, text, tag, html, cells, images``.
 
     Table rows and paragraphs by their top, table rows first on ties. A page's images
     (``doc_id, page, images``) go to its first block, or make a block without text.
     """
-    p = paragraphs.filter("text <> ''").select(*_PAGE, "top", F.lit(1).alias("kind"), F.lit(0).alias("table_no"), F.col("par_no").alias("no"), "text", text.heading_tag(F.col("text")).alias("tag"), F.lit(None).cast("array<string>").alias("cells"))
-    t = table_rows.select(*_PAGE, "top", F.lit(0).alias("kind"), "table_no", F.col("row_no").alias("no"), "text", F.lit("tr").alias("tag"), "cells")
-    items = p.unionByName(t)
-    order = Window.partitionBy("doc_id", "page").orderBy("top", "kind", "table_no", "no")
-    items = items.withColumn("n", F.row_number().over(order))
-    some = images.filter(F.size("images") > 0).select(*_PAGE, "images")
-    with_images = items.join(some.withColumn("n", F.lit(1)), [*_PAGE, "n"], "left")
-    alone = some.join(items.select(*_PAGE).distinct(), _PAGE, "left_anti")
-    alone = alone.select(*_PAGE, F.lit(1).alias("n"), F.lit("").alias("text"), F.lit("p").alias("tag"), F.lit(None).cast("array<string>").alias("cells"), "images")
-    every = with_images.select(*_PAGE, "n", "text", "tag", "cells", "images").unionByName(alone)
-    html = F.when(F.col("text") == "", "").otherwise(markup.block_html(F.col("text"), F.col("tag"), F.col("cells")))
+    p = paragraphs.select(*_PAGE, "top", F.lit(1).alias("kind"), F.lit(0).alias("table_no"), F.col("par_no").alias("no"), "text", F.lit(None).cast("array<string>").alias("cells"))
+    t = table_rows.select(*_PAGE, "top", F.lit(0).alias("kind"), "table_no", F.col("row_no").alias("no"), "text", "cells")
+    return assemble_items(p.unionByName(t), images)
+
+
+def assemble_items(items: DataFrame, images: DataFrame) -> DataFrame:
+    """``assemble_page_blocks`` of the rows that ``page_items`` gives: texts are moved once, to their document, where pages and blocks are numbered and meet their images."""
+    own = items.filter("kind = 0 OR text <> ''").withColumn("images", F.lit(None).cast(images.schema["images"].dataType))
+    some = images.filter(F.size("images") > 0).select(*_PAGE, F.lit(2).alias("kind"), "images")
+    every = own.unionByName(some, allowMissingColumns=True).repartition("doc_id")
+    # images stand behind a page's other rows: they see whether there are any, and the first of these takes them
+    first = Window.partitionBy(*_PAGE).orderBy(F.col("kind") == 2, "top", "kind", "table_no", "no")
+    page = Window.partitionBy(*_PAGE)
+    told = every.withColumns({"n": F.row_number().over(first), "given": F.collect_list("images").over(page), "filled": F.min("kind").over(page) < 2})
+    told = told.filter((F.col("kind") < 2) | ~F.col("filled"))
+    mine = F.when(F.col("kind") == 2, F.array("images")).when((F.col("n") == 1) & (F.size("given") > 0), F.col("given"))
+    out = told.select(*_PAGE, "n", F.coalesce("text", F.lit("")).alias("text"), "kind", "cells", F.explode_outer(mine).alias("images"))
     pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "n")) - 1
-    return every.select("doc_id", pos.alias("pos"), "page", "text", "tag", html.alias("html"), "cells", "images")
+    tag = F.when(F.col("kind") == 0, "tr").when(F.col("kind") == 1, text.heading_tag(F.col("text"))).otherwise("p")
+    placed = out.select("doc_id", pos.alias("pos"), "page", "text", tag.alias("tag"), "cells", "images")
+    html = F.when(F.col("text") == "", "").otherwise(markup.block_html(F.col("text"), F.col("tag"), F.col("cells")))
+    return placed.select("doc_id", "pos", "page", "text", "tag", html.alias("html"), "cells", "images")

@@ -10,8 +10,8 @@ from difflib import SequenceMatcher
 import numpy as np
 
 from revdiff import queries, workloads  # noqa: F401  workloads add their queries
-from revdiff.kernels import longest, matching, raster
-from revdiff.operators import model, summary
+from revdiff.kernels import longest, matching, page, raster
+from revdiff.operators import layout, model, summary
 from revdiff.plans import compare
 from revdiff.sources import runs
 
@@ -213,3 +213,41 @@ def test_blocks_are_placed_among_rows_without_a_table_of_lines(spark, tmp_path):
     plan = plan_of(queries.aligned_rows(spark, folder)).split("Initial Plan")[-1]
     assert "sequence(0" not in plan  # no row is made for each line to look its blocks up
     assert "sub#" not in plan  # blocks without images have no sub-rows to be made and sorted
+
+
+def test_pages_are_laid_out_in_their_rows(spark, tmp_path):
+    folder = documents(spark, tmp_path, ["a b c\nd e f\ng h", "one\n\ntwo three", None, ""])
+    assert plan_of(queries.layout_paragraphs(spark, folder)).split("Initial Plan")[-1].count("Exchange") == 1  # no word is moved
+    spark.createDataFrame([(0, 1, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    moved = [line for line in plan_of(queries.assembled_pages(spark, folder)).split("Initial Plan")[-1].splitlines() if "Exchange" in line]
+    assert len(moved) == 2  # documents are dealt to all tasks, and rows go to their document once
+
+
+def test_laid_out_pages_are_those_of_the_tables(spark):
+    """A page in one row gives what the operators on tables of words and cells give."""
+    r = random.Random(8)
+    words, cells, chars, rows = [], [], [], []
+    for doc in range(40):
+        own = [page.Word(k, r.choice(["a", "bb", "•", "-", None]), float(r.randint(0, 200)), r.choice([0.0, 0.05, 4.35, 12.0, 14.25, 31.0, 60.0]) + r.randint(0, 2), 0.0, 0.0) for k in range(r.randint(0, 14))]
+        own = [w._replace(x1=w.x0 + r.randint(1, 20), bottom=w.top + r.randint(4, 14)) for w in own]
+        boxes = [page.Cell(r.randint(0, 1), k // 2, k % 2, float(r.randint(0, 150)), float(r.randint(0, 40)), 0.0, 0.0, r.choice(["t", " ", None, "u"])) for k in range(r.randint(0, 6))]
+        boxes = [c._replace(x1=c.x0 + 40, y1=c.y0 + r.randint(1, 30)) if k != 3 else c._replace(x0=None, y0=None, x1=None, y1=None) for k, c in enumerate(boxes)]
+        bullets = [page.Word(0, r.choice("•-x"), -40.0 + k + r.randint(0, 2) * 20, r.choice([0.0, 3.0, 13.5, 61.0]), 0.0, 9.0) for k in range(r.randint(0, 4))]
+        bullets = [b._replace(x1=b.x0 + 5) for b in bullets]
+        rows.append((doc, 1, own, boxes, bullets))
+        words += [(doc, 1, *w) for w in own]
+        cells += [(doc, 1, *c) for c in boxes]
+        chars += [(doc, 1, *b[1:]) for b in bullets]
+    box = "x0 double, top double, x1 double, bottom double"
+    words_ = spark.createDataFrame(words, f"doc_id bigint, page int, word_no int, text string, {box}")
+    cells_ = spark.createDataFrame(cells, "doc_id bigint, page int, table_no int, row_no int, col_no int, x0 double, y0 double, x1 double, y1 double, text string")
+    chars_ = spark.createDataFrame(chars, f"doc_id bigint, page int, text string, {box}")
+    lines = layout.restore_list_markers(layout.lines_from_words(layout.words_outside_cells(words_, cells_)), chars_)
+    want = {tuple(x) for x in layout.paragraphs_from_lines(lines).collect()}
+    tables = {(x.doc_id, x.page, x.table_no, x.row_no, x.top, x.text, tuple(x.cells)) for x in layout.table_rows_from_rects(cells_).collect()}
+    given = {doc: (own, boxes, bullets) for doc, _, own, boxes, bullets in rows}
+    pages_ = spark.createDataFrame([(doc, 1) for doc in given], "doc_id bigint, page int")
+    place = lambda row: given[row.doc_id]
+    assert {tuple(x) for x in layout.page_paragraphs(pages_, place).collect()} == want and len(want) > 40
+    items = layout.page_items(pages_, place).filter("kind = 0").collect()
+    assert {(x.doc_id, x.page, x.table_no, x.no, x.top, x.text, tuple(x.cells)) for x in items} == tables and len(tables) > 20
