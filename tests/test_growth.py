@@ -11,7 +11,7 @@ import numpy as np
 
 from revdiff import queries, workloads  # noqa: F401  workloads add their queries
 from revdiff.kernels import longest, matching, page, raster
-from revdiff.operators import layout, model, summary
+from revdiff.operators import layout, model, rows, summary
 from revdiff.plans import compare
 from revdiff.sources import runs
 
@@ -251,3 +251,22 @@ def test_laid_out_pages_are_those_of_the_tables(spark):
     assert {tuple(x) for x in layout.page_paragraphs(pages_, place).collect()} == want and len(want) > 40
     items = layout.page_items(pages_, place).filter("kind = 0").collect()
     assert {(x.doc_id, x.page, x.table_no, x.no, x.top, x.text, tuple(x.cells)) for x in items} == tables and len(tables) > 20
+
+
+def test_texts_of_fragments_and_documents_are_not_moved_to_be_marked_or_paired(spark, tmp_path):
+    ids, lines = queries.versions(spark, documents(spark, tmp_path, ["a b c\nd e f\ng h", "one\ntwo\nthree"]))
+    done = compare.compare_blocks(ids, lines)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        with contextlib.redirect_stdout(io.StringIO()) as said:
+            rows._marked(done.pairs, done.fragments, done.labels).explain("formatted")
+            rows._placed(done.pairs, rows._whole_blocks(done.blocks), rows._stretches(done.pairs, done.blocks, rows._marked(done.pairs, done.fragments, done.labels))).explain("formatted")
+    finally:
+        spark.conf.set(key, before)
+    moved = [part.split("\n")[1] for part in said.getvalue().split("\n\n") if ") Exchange\n" in part]
+    assert len(moved) > 4 and not [x for x in moved if "old_blocks" in x or "b#" in x or "text#" in x]
+    # blocks that don't know their pairs find them by a join, with the same rows
+    found = sorted(map(repr, done.rows.collect()))
+    assert sorted(map(repr, rows.build_rows(done.pairs, done.blocks.drop("in_pairs"), done.fragments, done.labels).collect())) == found
